@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from . import line_dedup, pii
+from . import line_dedup, mixing, pii, simhash, token_counts, topk
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
+    "op3_topk": topk.op3_topk,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_mixing": mixing.op5_mixing,
+    "op6_token_counts": token_counts.op6_token_counts,
     "op7_pii": pii.op7_pii,
 }
 
 ORACLE_SQL = {
+    "op3_topk": topk.OP3_SQL,
     "op4_line_dedup": line_dedup.OP4_SQL,
+    "op5_mixing": mixing.OP5_SQL,
     "op7_pii": pii.OP7_SQL,
 }
