@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, pii, simhash, token_counts, topk
+from . import decontamination, line_dedup, mixing, pii, simhash, token_counts, topk, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_decontamination": decontamination.op2_decontamination,
     "op3_topk": topk.op3_topk,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_pii": pii.op7_pii,
+    "op8_toxicity": toxicity.op8_toxicity,
 }
 
 ORACLE_SQL = {
+    "op2_decontamination": decontamination.OP2_SQL,
     "op3_topk": topk.OP3_SQL,
     "op4_line_dedup": line_dedup.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
