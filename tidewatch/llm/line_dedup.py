@@ -21,7 +21,8 @@ def _lines(text: Column) -> Column:
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
-    """Rows (id_col, n_lines, n_dropped, kept_text), one for each row of docs.
+    """Rows (id_col, n_lines, n_dropped, kept_text, others), one for each row of docs, with its
+    other columns in the struct others.
 
     A line's key is the line stripped at both ends and with A-Z in lower case. A key
     of at least `min_chars` code points that at least `min_docs` documents hold loses
@@ -30,10 +31,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null or empty text: one empty line, which stays. A null id is a document of its
     own that comes after all others. Repeated rows: equal rows get equal results, and
     rows with one id but several texts count as one document. Ties don't arise: a line
-    stays wherever the smallest id holds it, repeats included. Other columns of docs
-    are ignored, whatever their names. No rows: no rows.
+    stays wherever the smallest id holds it, repeats included. Other columns are
+    carried, whatever their names. No rows: no rows.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("rk", row_key("id", "text"))
+    others = F.struct(F.lit(0).alias("__none"), *[docs[c] for c in docs.columns if c not in (id_col, text_col)])
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), others.alias("others")).withColumn("rk", row_key("id", "text"))
     keyed = (
         base.select("id", "rk", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
         .select("id", "rk", "pos", ascii_lower(F.btrim("line", F.lit(WS))).alias("key"))
@@ -52,10 +54,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lost = keyed.join(shared_keys, "h").filter((F.col("id") > F.col("first")) | F.col("id").isNull() & F.col("first").isNotNull())
     lost = lost.groupBy(F.col("id").alias("lid"), F.col("rk").alias("lrk")).agg(F.collect_set("pos").alias("gone"))
     both = base.join(lost, F.col("id").eqNullSafe(F.col("lid")) & (F.col("rk") == F.col("lrk")), "left")
-    both = both.select("id", "text", "gone", _lines(F.col("text")).alias("lines")).withColumn("n_lines", F.size("lines").cast("long"))
+    both = both.select("id", "text", "others", "gone", _lines(F.col("text")).alias("lines")).withColumn("n_lines", F.size("lines").cast("long"))
     kept_at = F.array_except(F.sequence(F.lit(0), (F.col("n_lines") - 1).cast("int")), F.col("gone"))
     kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(kept_at, lambda i: F.get(F.col("lines"), i)), "\n"))
-    return both.select(F.col("id").alias(id_col), "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept_text"))
+    return both.select(F.col("id").alias(id_col), "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept_text"), "others")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, mixing, pii, simhash, token_counts, topk, toxicity
+from . import decontamination, line_dedup, mixing, pii, simhash, substrings, token_counts, topk, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_pii": pii.op7_pii,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_substring_dedup": substrings.op9_substring_dedup,
 }
 
 ORACLE_SQL = {

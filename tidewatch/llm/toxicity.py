@@ -89,9 +89,10 @@ def train(labelled: DataFrame, categories: list[str], folds: int = FOLDS) -> Cha
     return Chain(fitted, models)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (id_col, p_<category>..., <last category>), one for each row of docs: the
-    probabilities, and whether the last category's is at least `threshold`.
+def scored_documents(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows (doc, p_<category>..., <last category>), one for each row of docs, with all its
+    columns in the struct doc: the probabilities, and whether the last category's is at
+    least `threshold`.
 
     `categories`: in the order of the chain, a name and a 0/1 expression over labels,
     whose key is `id_col` too. A labelled id with a null label is not learnt from; one
@@ -99,18 +100,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     probabilities are null and nothing is rejected; one class only: its share.
     Null or empty text: a text without words, scored by the models' constants. Null ids
     are kept and scored, never learnt from. Repeated rows are scored alike. Other columns
-    are ignored. No documents: no rows.
+    are carried, whatever their names. No documents: no rows.
     """
     names = list(categories)
     marks = labels.select(F.col(id_col).alias("lid"), *[c.cast("double").alias(n) for n, c in categories.items()]).dropna().groupBy("lid").agg(*[F.max(n).alias(n) for n in names])
-    base = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("words"))
+    base = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("words"))
     # Ids and labels of at most `sample` rows: small enough for every task.
     chosen = staged(marks.orderBy(F.xxhash64("lid"), "lid").limit(sample), "sample")
-    chain = train(staged(base.join(F.broadcast(chosen), F.col("id") == F.col("lid")).drop("lid"), "texts"), names)
+    chain = train(staged(base.drop("doc").join(F.broadcast(chosen), F.col("id") == F.col("lid")).drop("lid"), "texts"), names)
     if chain is None:
-        return base.select(F.col("id").alias(id_col), *[F.lit(None).cast("double").alias(f"p_{n}") for n in names], F.lit(False).alias(names[-1]))
+        return base.select("doc", *[F.lit(None).cast("double").alias(f"p_{n}") for n in names], F.lit(False).alias(names[-1]))
     scored = chain.score(base, "words")
-    return scored.select(F.col("id").alias(id_col), *[f"p_{n}" for n in names], (F.col(f"p_{names[-1]}") >= threshold).alias(names[-1]))
+    return scored.select("doc", *[f"p_{n}" for n in names], (F.col(f"p_{names[-1]}") >= threshold).alias(names[-1]))
 
 
 def categories() -> dict[str, Column]:
@@ -119,4 +120,5 @@ def categories() -> dict[str, Column]:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), categories())
+    scored = scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), categories())
+    return scored.select("doc.doc_id", "p_low_quality", "p_toxic", "toxic")
