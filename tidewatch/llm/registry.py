@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, mixing, pii, simhash, substrings, token_counts, topk, toxicity
+from . import decontamination, line_dedup, mixing, passages, pii, simhash, substrings, token_counts, topk, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_pii": pii.op7_pii,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_substring_dedup": substrings.op9_substring_dedup,
+    "op10_passages": passages.op10_passages,
 }
 
 ORACLE_SQL = {
