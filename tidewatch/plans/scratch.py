@@ -1,0 +1,19 @@
+"""A folder for what queries write: shared between executors, or local in a local session."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+_own: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = _own.setdefault("at", tempfile.mkdtemp(prefix="spark-scratch-"))
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
