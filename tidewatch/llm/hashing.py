@@ -53,7 +53,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return b, at - at[0]
 
 
-def _pieces(b: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
+def _pieces(b: np.ndarray, at: np.ndarray, spaces: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of about PIECE bytes that end at a text's end or before a space."""
     a = 0
     while a < len(b):
@@ -61,7 +61,8 @@ def _pieces(b: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
         while e < len(b):
             k = np.searchsorted(at, e)  # the end of a text
             more = b[e : min(len(b), e + PIECE)]
-            space = np.flatnonzero(SPACES[more][:4096]) if SPACES[more][:4096].any() else np.flatnonzero(SPACES[more])
+            space = np.flatnonzero(spaces[more[:4096]])
+            space = space if len(space) else np.flatnonzero(spaces[more])
             stop = min(at[k], e + space[0] if len(space) else e + len(more))
             if len(space) or at[k] <= e + len(more):
                 e = int(stop)
@@ -71,15 +72,15 @@ def _pieces(b: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
         a = e
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def words(column: pa.Array, spaces: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, texts): of every word of a column of texts, with A-Z in lower case, in
-    order, the hash and the number of its text."""
+    order, the hash and the number of its text. `spaces` tells of each byte whether it parts words."""
     b, at = utf8(column)
     hashes, texts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     starts = at[:-1]
-    for a, e in _pieces(b, at):
+    for a, e in _pieces(b, at, spaces):
         own = LOWER[b[a:e]]
-        ink = ~SPACES[own]
+        ink = ~spaces[own]
         first = ink.copy()
         first[1:] &= ~ink[:-1]
         cut = starts[(starts > a) & (starts < e)] - a

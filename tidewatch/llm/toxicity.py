@@ -6,87 +6,194 @@ are out of fold: predicted by models that hadn't seen the row, as they will be f
 texts. The models are logistic, with an L1 penalty, so most words weigh nothing.
 
 The models are fitted on at most `sample` labelled rows, those whose ids have the least
-hashes; scoring reads whole texts, row by row, and shuffles nothing.
+hashes. Spark counts in how many of them each word is, by category, and keeps the words
+that can move a model at all; what is left of the sample is a small sparse matrix, which
+one task fits. Scoring reads whole texts, row by row, and shuffles nothing.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import staged, table
+from .hashing import words
 
 SAMPLE, FOLDS, THRESHOLD = 20_000, 3, 0.5
-VOCABULARY, MIN_DOCS, PENALTY, ITERATIONS = 1 << 16, 4, 5e-4, 60
-
-
-def words(text: Column) -> Column:
-    """The distinct runs of letters, in lower case."""
-    return F.array_remove(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+")), "")
-
-
-@dataclass
-class Chain:
-    """A fitted chain: (category, model or constant probability), in order."""
-
-    vectorizer: object
-    models: list[tuple[str, object]]
-
-    def score(self, df: DataFrame, words_col: str) -> DataFrame:
-        """df with columns p_<category>."""
-        df = self.vectorizer.transform(df.withColumnRenamed(words_col, "__w")).drop("__w")
-        for i, (name, model) in enumerate(self.models):
-            df = _predicted(df, model, [f"p_{x}" for x, _ in self.models[:i]], f"p_{name}")
-        return df.drop("__x")
-
-
-def _assembled(df: DataFrame, earlier: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=["__x", *earlier], outputCol="__f").transform(df)
-
-
-def _fitted(df: DataFrame, label: str, earlier: list[str]):
-    """A model, or the share of positive rows if there is but one class."""
-    n, positive = df.agg(F.count(F.lit(1)), F.sum(label)).first()
-    if not n or not positive or positive == n:
-        return float(positive or 0) / max(n, 1)
-    lr = LogisticRegression(featuresCol="__f", labelCol=label, regParam=PENALTY, elasticNetParam=1.0, standardization=False, maxIter=ITERATIONS, tol=1e-5)
-    return lr.fit(_assembled(df, earlier))
-
-
-def _predicted(df: DataFrame, model, earlier: list[str], name: str) -> DataFrame:
-    if isinstance(model, float):
-        return df.withColumn(name, F.lit(model))
-    out = model.setProbabilityCol("__p").setRawPredictionCol("__r").setPredictionCol("__y").transform(_assembled(df, earlier))
-    return out.withColumn(name, vector_to_array("__p")[1]).drop("__p", "__r", "__y", "__f")
-
-
-def train(labelled: DataFrame, categories: list[str], folds: int = FOLDS) -> Chain | None:
-    """A chain for a bounded table of (id, words, one 0/1 column for each category); None if it has no rows."""
-    if labelled.isEmpty():
-        return None
-    rows = labelled.count()
-    # A word must be in MIN_DOCS rows; a handful of rows may not have one that is.
-    vectorizer = CountVectorizer(inputCol="__w", outputCol="__x", binary=True, vocabSize=VOCABULARY, minDF=float(min(MIN_DOCS, max(1, rows // 20))))
-    filled = labelled.withColumnRenamed("words", "__w").withColumn("__w", F.when(F.size("__w") == 0, F.array(F.lit(""))).otherwise(F.col("__w")))
-    fitted = vectorizer.fit(filled)
-    df = staged(fitted.transform(filled).drop("__w").withColumn("__fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(folds))), "labelled")
-    models, earlier = [], []
-    for i, name in enumerate(categories):
-        models.append((name, _fitted(df, name, earlier)))
-        if i == len(categories) - 1:
-            break
-        parts = [_predicted(df.filter(F.col("__fold") == k), _fitted(df.filter(F.col("__fold") != k), name, earlier), earlier, f"p_{name}") for k in range(folds)]
-        out = parts[0]
-        for x in parts[1:]:
-            out = out.unionByName(x)
-        df = staged(out, "out-of-fold")
-        earlier = [*earlier, f"p_{name}"]
-    return Chain(fitted, models)
+PENALTY, STEPS, MIN_DOCS, MOST_WORDS = 5e-4, 400, 4, 4096
+#: All but ASCII letters and bytes of other letters part words.
+APART = np.array([not (65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
+
+
+def _distinct(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, texts) of the distinct words of each text."""
+    h, t = words(column, APART)
+    order = np.lexsort((h, t))
+    h, t = h[order], t[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (t[1:] != t[:-1]))[: len(h)]
+    return h[new], t[new]
+
+
+def _sample_words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in it:
+        h, t = _distinct(rows.column("text"))
+        at = np.searchsorted(t, np.arange(rows.num_rows + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("y"), pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))], ["id", "y", "words"])
+
+
+class Sparse:
+    """A 0/1 matrix of (rows, columns) of its ones, with some dense columns on the right."""
+
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, n: int, k: int, dense: np.ndarray):
+        self.rows, self.cols, self.n, self.k, self.dense = rows, cols, n, k, dense
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, w[self.cols], self.n) + self.dense @ w[self.k :]
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(self.cols, r[self.rows], self.k), self.dense.T @ r])
+
+    def some(self, keep: np.ndarray) -> Sparse:
+        place, ones = np.cumsum(keep) - 1, keep[self.rows]
+        return Sparse(place[self.rows[ones]], self.cols[ones], int(keep.sum()), self.k, self.dense[keep])
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def logistic(x: Sparse, y: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Weights and intercept of an L1 logistic model, by accelerated proximal gradient steps."""
+    share = y.mean() if len(y) else 0.0
+    w, bias = np.zeros(x.k + x.dense.shape[1]), float(np.log((share * len(y) + 0.5) / ((1 - share) * len(y) + 0.5)))
+    if not 0 < share < 1:
+        return w, bias
+    u = np.ones(len(w) + 1)
+    for _ in range(20):  # the largest eigenvalue of the matrix, with its column of ones
+        z = x.times(u[:-1]) + u[-1]
+        u = np.append(x.back(z), z.sum())
+        size = np.linalg.norm(u)
+        u /= size
+    rate = 4 * x.n / (1.05 * size)
+    v, c, pace, before, mark = w.copy(), bias, 1.0, w, bias
+    for _ in range(steps):
+        r = (sigmoid(x.times(v) + c) - y) / x.n
+        moved = v - rate * x.back(r)
+        w, bias = np.sign(moved) * np.maximum(0, np.abs(moved) - rate * penalty), c - rate * r.sum()
+        nxt = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        v, c = w + (pace - 1) / nxt * (w - before), bias + (pace - 1) / nxt * (bias - mark)
+        before, mark, pace = w, bias, nxt
+    return w, bias
+
+
+def chain(x: Sparse, y: np.ndarray, fold: np.ndarray, folds: int) -> list[tuple[np.ndarray, float]]:
+    """A model for each column of y, in order; each is trained with out-of-fold probabilities of those before."""
+    models = []
+    for j in range(y.shape[1]):
+        models.append(logistic(x, y[:, j]))
+        if j < y.shape[1] - 1:
+            p = np.zeros(x.n)
+            for f in range(folds):
+                w, bias = logistic(x.some(fold != f), y[fold != f, j])
+                p[fold == f] = sigmoid(x.some(fold == f).times(w) + bias)
+            x = Sparse(x.rows, x.cols, x.n, x.k, np.column_stack([x.dense, p]))
+    return models
+
+
+def _fitted(vocabulary: np.ndarray, categories: int, folds: int):
+    """The bounded sample (id hash, y, words), in one task, to rows (category, word, weight): word
+    null for the intercept, and below `categories` for the probability of that category."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, ys, rows, cols, n = [], [], [], [], 0
+        for b in it:
+            if not b.num_rows:
+                continue
+            ids.append(b.column("id").to_numpy(zero_copy_only=False))
+            ys.append(np.array(b.column("y").to_pylist(), float).reshape(b.num_rows, categories))
+            h = b.column("words").flatten().to_numpy(zero_copy_only=False)
+            at = np.searchsorted(vocabulary, h)
+            rows.append(n + np.repeat(np.arange(b.num_rows), np.diff(b.column("words").offsets.to_numpy())))
+            cols.append(at)
+            n += b.num_rows
+        if not n:
+            return
+        ids, ys, rows, cols = (np.concatenate(x) for x in (ids, ys, rows, cols))
+        # The same order whatever the order of arrival, so that reruns agree to the last bit.
+        order = np.argsort(ids, kind="stable")
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        rows, ys, ids = place[rows], ys[order], ids[order]
+        by = np.lexsort((cols, rows))
+        x = Sparse(rows[by], cols[by], n, len(vocabulary), np.zeros((n, 0)))
+        out = []
+        for j, (w, bias) in enumerate(chain(x, ys, ids.view(np.uint64) % np.uint64(folds), folds)):
+            used = np.flatnonzero(w[: x.k])
+            out += [(j, int(vocabulary[i]), False, float(w[i])) for i in used]
+            out += [(j, e, True, float(v)) for e, v in enumerate(w[x.k :])] + [(j, None, False, bias)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.bool_(), pa.float64()))], ["category", "word", "earlier", "weight"])
+
+    return run
+
+
+def train(labelled: DataFrame, categories: int, folds: int = FOLDS) -> list[tuple[int, int | None, bool, float]]:
+    """The models' rows for a bounded table (id, text, y: array of 0/1), none for an empty one."""
+    sample = staged(labelled.select(F.xxhash64("id").alias("id"), "y", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_sample_words, "id long, y array<double>, words array<long>"), "labelled")
+    sums = [F.sum(F.col("y")[j]).alias(f"y{j}") for j in range(categories)]
+    totals = sample.agg(F.count(F.lit(1)).alias("n"), *sums).first()
+    if not totals["n"]:
+        return []
+    # A word whose rows have a category about as often as all rows can't outweigh the penalty.
+    n = totals["n"]
+    per = sample.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("rows"), *sums)
+    pull = F.greatest(F.lit(0.0), *[F.abs(F.col(f"y{j}") - F.col("rows") * (totals[f"y{j}"] / n)) for j in range(categories)]) / n
+    strong = per.filter((F.col("rows") >= min(MIN_DOCS, max(1, n // 20))) & (pull > PENALTY / 2)).orderBy(F.desc(pull), "word").limit(MOST_WORDS).select("word")
+    known = sorted(r.word for r in strong.collect())
+    vocabulary = np.array(known, np.int64)
+    rows = sample.mapInArrow(_known_only(vocabulary), "id long, y array<double>, words array<long>").coalesce(1)
+    return [tuple(r) for r in rows.mapInArrow(_fitted(vocabulary, categories, folds), "category int, word long, earlier boolean, weight double").collect()]
+
+
+def _known_only(vocabulary: np.ndarray):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in it:
+            h, size = rows.column("words").flatten().to_numpy(zero_copy_only=False), np.diff(rows.column("words").offsets.to_numpy())
+            known = np.isin(h, vocabulary)
+            at = np.append(0, np.cumsum(np.bincount(np.repeat(np.arange(rows.num_rows), size)[known], minlength=rows.num_rows))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("y"), pa.ListArray.from_arrays(pa.array(at), pa.array(h[known]))], ["id", "y", "words"])
+
+    return run
+
+
+def _scored(model: list[tuple[int, int | None, bool, float]], categories: int):
+    def run(texts: pa.Array) -> np.ndarray:
+        """(categories, texts) probabilities."""
+        vocabulary = np.array(sorted({w for _, w, earlier, _ in model if w is not None and not earlier}), np.int64)
+        weights, base, links = np.zeros((categories, len(vocabulary) + 1)), np.zeros(categories), np.zeros((categories, categories))
+        for j, w, earlier, v in model:
+            if w is None:
+                base[j] = v
+            elif earlier:
+                links[j, w] = v
+            else:
+                weights[j, np.searchsorted(vocabulary, w)] = v
+        h, t = words(texts, APART)
+        h = h.view(np.int64)
+        at = np.searchsorted(vocabulary, h)
+        hit = np.append(vocabulary, 0)[at] == h if len(vocabulary) else np.zeros(len(h), bool)
+        hit &= at < len(vocabulary)
+        pairs = np.unique(t[hit] * max(1, len(vocabulary)) + at[hit])
+        doc, word = np.divmod(pairs, max(1, len(vocabulary)))
+        p = np.zeros((categories, len(texts)))
+        for j in range(categories):
+            p[j] = sigmoid(base[j] + np.bincount(doc, weights[j][word], len(texts)) + links[j] @ p)
+        return p
+
+    return run
 
 
 def scored_documents(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -97,21 +204,29 @@ def scored_documents(docs: DataFrame, labels: DataFrame, categories: dict[str, C
     `categories`: in the order of the chain, a name and a 0/1 expression over labels,
     whose key is `id_col` too. A labelled id with a null label is not learnt from; one
     labelled several times has each category that any of its rows has. No labelled rows:
-    probabilities are null and nothing is rejected; one class only: its share.
+    probabilities are null and nothing is rejected; one class only: about its share.
     Null or empty text: a text without words, scored by the models' constants. Null ids
     are kept and scored, never learnt from. Repeated rows are scored alike. Other columns
     are carried, whatever their names. No documents: no rows.
     """
     names = list(categories)
     marks = labels.select(F.col(id_col).alias("lid"), *[c.cast("double").alias(n) for n, c in categories.items()]).dropna().groupBy("lid").agg(*[F.max(n).alias(n) for n in names])
-    base = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("words"))
-    # Ids and labels of at most `sample` rows: small enough for every task.
-    chosen = staged(marks.orderBy(F.xxhash64("lid"), "lid").limit(sample), "sample")
-    chain = train(staged(base.drop("doc").join(F.broadcast(chosen), F.col("id") == F.col("lid")).drop("lid"), "texts"), names)
-    if chain is None:
+    chosen = marks.orderBy(F.xxhash64("lid"), "lid").limit(sample).select("lid", F.array(*names).alias("y"))
+    # Ids and labels of at most `sample` rows: small enough for every task. Repeated rows are learnt from once.
+    learnt = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(staged(chosen, "sample")), F.col("id") == F.col("lid"))
+    model = train(learnt.dropDuplicates(["id"]).select("id", "text", "y"), len(names))
+    base = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if not model:
         return base.select("doc", *[F.lit(None).cast("double").alias(f"p_{n}") for n in names], F.lit(False).alias(names[-1]))
-    scored = chain.score(base, "words")
-    return scored.select("doc", *[f"p_{n}" for n in names], (F.col(f"p_{names[-1]}") >= threshold).alias(names[-1]))
+    score = _scored(model, len(names))
+
+    @F.arrow_udf("array<double>")
+    def probabilities(texts: pa.Array) -> pa.Array:
+        p = score(texts)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(p)), pa.array(p.T.ravel()))
+
+    scored = base.select("doc", probabilities("text").alias("p"))
+    return scored.select("doc", *[F.col("p")[j].alias(f"p_{n}") for j, n in enumerate(names)], (F.col("p")[len(names) - 1] >= threshold).alias(names[-1]))
 
 
 def categories() -> dict[str, Column]:
