@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.distributions import wilson
 
-ONE = Window.partitionBy(F.lit(0))
+def one():
+    """All rows in one window: for tables of a few rows, as results by class or score."""
+    return Window.partitionBy(F.lit(0))
 
 
 def confusion(df: DataFrame, truth: str, predicted: str, keys: list[str] = []) -> DataFrame:
@@ -28,7 +30,7 @@ def per_class(matrix: DataFrame, keys: list[str] = []) -> DataFrame:
     """Rows (*keys, label, precision, recall, f1, support, fpr) of a confusion table; 0 for 0/0."""
     both = matrix.select(*keys, F.explode(F.array(F.struct(F.col("actual").alias("label"), F.col("n").alias("t"), F.lit(0).cast("long").alias("p"), F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0).alias("tp")), F.struct(F.col("predicted").alias("label"), F.lit(0).cast("long").alias("t"), F.col("n").alias("p"), F.lit(0).cast("long").alias("tp")))).alias("x")).select(*keys, "x.*")
     c = both.groupBy(*keys, "label").agg(F.sum("t").alias("support"), F.sum("p").alias("predicted"), F.sum("tp").alias("tp"))
-    total = F.sum("support").over(Window.partitionBy(*keys) if keys else ONE)
+    total = F.sum("support").over(Window.partitionBy(*keys) if keys else one())
     c = c.withColumn("total", total).withColumn("precision", _ratio(F.col("tp"), F.col("predicted"))).withColumn("recall", _ratio(F.col("tp"), F.col("support")))
     p, r, fp = F.col("precision"), F.col("recall"), F.col("predicted") - F.col("tp")
     return c.withColumn("f1", _ratio(2 * p * r, p + r)).withColumn("fpr", _ratio(fp, F.col("total") - F.col("support"))).select(*keys, "label", "precision", "recall", "f1", "support", "fpr", "predicted", "tp")
@@ -37,7 +39,7 @@ def per_class(matrix: DataFrame, keys: list[str] = []) -> DataFrame:
 def summary(classes: DataFrame, keys: list[str] = []) -> DataFrame:
     """One row for each of keys: accuracy, balanced accuracy, macro and weighted averages, macro
     false positive rate, Matthews correlation and the recall of the rarest classes."""
-    group = Window.partitionBy(*keys) if keys else ONE
+    group = Window.partitionBy(*keys) if keys else one()
     least = F.min(F.when(F.col("support") > 0, F.col("support"))).over(group)
     c = classes.withColumn("rare", F.when(F.col("support") == least, F.col("recall")))
     w = lambda x: F.sum(F.col(x) * F.col("support")) / F.sum("support")
@@ -56,7 +58,7 @@ def precision_recall(df: DataFrame, keys: list[str], score: str, positive: Colum
     Scores are counted first, so the running sums go over distinct scores.
     """
     c = df.groupBy(*keys, score).agg(F.count_if(positive).alias("pos"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*keys) if keys else ONE
+    w = Window.partitionBy(*keys) if keys else one()
     run = w.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     c = c.withColumns({"tp": F.sum("pos").over(run), "said": F.sum("n").over(run), "n_positive": F.sum("pos").over(w), "n_all": F.sum("n").over(w)})
     mixed = (F.col("n_positive") > 0) & (F.col("n_positive") < F.col("n_all"))
@@ -64,14 +66,14 @@ def precision_recall(df: DataFrame, keys: list[str], score: str, positive: Colum
 
 
 def average_precision(curve: DataFrame, keys: list[str], score: str) -> DataFrame:
-    w = (Window.partitionBy(*keys) if keys else ONE).orderBy(F.desc(score))
+    w = (Window.partitionBy(*keys) if keys else one()).orderBy(F.desc(score))
     step = F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0))
     return curve.withColumn("part", step * F.col("precision")).groupBy(*keys).agg(F.sum("part").alias("average_precision"))
 
 
 def compacted(curve: DataFrame, keys: list[str], score: str, points: int = 256) -> DataFrame:
     """At most `points` rows of a curve for each of keys, evenly spaced, both ends kept."""
-    w = Window.partitionBy(*keys) if keys else ONE
+    w = Window.partitionBy(*keys) if keys else one()
     c = curve.withColumn("i", F.row_number().over(w.orderBy(F.desc(score))) - 1).withColumn("m", F.count(F.lit(1)).over(w))
     slot = lambda i: F.floor(i * (points - 1) / (F.col("m") - 1))
     keep = (F.col("m") <= points) | (F.col("i") == 0) | (slot(F.col("i")) > slot(F.col("i") - 1))
@@ -89,8 +91,8 @@ def threshold_sweep(df: DataFrame, score: str, positive: Column, steps: int = 10
     c = df.filter(F.col(score) >= 0).groupBy(at.alias("i")).agg(F.count_if(positive).alias("pos"), F.count(F.lit(1)).alias("n"))
     every = df.sparkSession.range(steps + 1).select(F.col("id").cast("int").alias("i"))
     c = every.join(c, "i", "left").na.fill(0, ["pos", "n"])
-    run = ONE.orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumns({"tp": F.sum("pos").over(run), "said": F.sum("n").over(run), "p": F.sum("pos").over(ONE), "all": F.sum("n").over(ONE)})
+    run = one().orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
+    c = c.withColumns({"tp": F.sum("pos").over(run), "said": F.sum("n").over(run), "p": F.sum("pos").over(one()), "all": F.sum("n").over(one())})
     fp = F.col("said") - F.col("tp")
     return c.select((F.col("i") / steps).alias("threshold"), _ratio(F.col("tp"), F.col("p")).alias("recall"), _ratio(F.col("tp"), F.col("said")).alias("precision"), _ratio(fp, F.col("all") - F.col("p")).alias("fpr"), _ratio(F.col("said"), F.col("all")).alias("alert_rate"))
 
@@ -108,4 +110,4 @@ def gates(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     ok = F.when(F.col("at_least"), F.col("value") >= F.col("bound")).otherwise(F.col("value") <= F.col("bound")) & (F.col("support") >= F.col("minimum_support"))
     low, high = wilson(F.col("value") * F.col("support"), F.col("support"))
     j = j.withColumn("passed", F.coalesce(ok, F.lit(False)))
-    return j.select("gate", "value", low.alias("low"), high.alias("high"), "passed", F.bool_and("passed").over(ONE).alias("promoted"))
+    return j.select("gate", "value", low.alias("low"), high.alias("high"), "passed", F.bool_and("passed").over(one()).alias("promoted"))

@@ -126,7 +126,7 @@ def ev10(spark, d):
     p = _cascade(spark, d)
     s = M.summary(M.per_class(M.confusion(p, "truth", "predicted", ["seed"]), ["seed"]), ["seed"])
     x = p.groupBy("seed").agg(F.count_if((F.col("truth") != "normal") & (F.col("predicted") == "normal")).alias("false_negatives"), F.count_if("routed").alias("routed"))
-    return s.join(x, "seed").select("seed", R(F.col("macro_f1")).alias("macro_f1"), R(F.col("accuracy")).alias("accuracy"), "false_negatives", "routed", R(F.avg("macro_f1").over(M.ONE)).alias("mean_macro_f1"))
+    return s.join(x, "seed").select("seed", R(F.col("macro_f1")).alias("macro_f1"), R(F.col("accuracy")).alias("accuracy"), "false_negatives", "routed", R(F.avg("macro_f1").over(M.one())).alias("mean_macro_f1"))
 
 
 RUNS = "SELECT l_shipmode_ AS model, seed, avg(l_discount) AS f1, avg(l_tax) AS fpr, quantile_cont(l_extendedprice, 0.95) AS p95, avg(l_quantity) AS size FROM (SELECT *, 'model_' || (l_suppkey % 4) AS l_shipmode_, l_orderkey % 3 AS seed FROM lineitem) GROUP BY 1, 2"
@@ -137,7 +137,7 @@ def ev11(spark, d):
     li = table(spark, d, "lineitem").withColumn("model", F.concat(F.lit("model_"), (F.col("l_suppkey") % 4).cast("string"))).withColumn("seed", F.col("l_orderkey") % 3)
     runs = li.groupBy("model", "seed").agg(F.avg("l_discount").alias("f1"), F.avg("l_tax").alias("fpr"), F.percentile("l_extendedprice", F.lit(0.95)).alias("p95"), F.avg("l_quantity").alias("size"))
     m = runs.groupBy("model").agg(*[F.avg(c).alias(c) for c in ("f1", "fpr", "p95", "size")])
-    return m.select("model", R(F.col("f1")).alias("mean_f1"), F.row_number().over(M.ONE.orderBy(F.desc(R(F.col("f1"), 9)), R(F.col("fpr"), 9), "p95", "size", "model")).alias("rank"))
+    return m.select("model", R(F.col("f1")).alias("mean_f1"), F.row_number().over(M.one().orderBy(F.desc(R(F.col("f1"), 9)), R(F.col("fpr"), 9), "p95", "size", "model")).alias("rank"))
 
 
 Z = 1.959963984540054
@@ -181,4 +181,4 @@ def ev16(spark, d):
     told = c.groupBy("seed").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "support")))).alias("m"))
     text = F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
     s = M.summary(c, ["seed"]).join(told, "seed")
-    return s.select("seed", R(F.col("macro_f1")).alias("f1_macro"), R(F.col("macro_fpr")).alias("fpr"), text.alias("class_support"), (F.row_number().over(M.ONE.orderBy(F.desc(R(F.col("macro_f1"), 9)), "seed")) == 1).alias("champion"))
+    return s.select("seed", R(F.col("macro_f1")).alias("f1_macro"), R(F.col("macro_fpr")).alias("fpr"), text.alias("class_support"), (F.row_number().over(M.one().orderBy(F.desc(R(F.col("macro_f1"), 9)), "seed")) == 1).alias("champion"))
