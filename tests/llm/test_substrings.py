@@ -34,12 +34,14 @@ def cases():
     return rows + [(20 + i, line(20) + p[i : i + 55] + line(15)) for i in range(14)]
 
 
-@pytest.mark.parametrize("twice", [False, True])
-def test_against_brute_force(docs, twice, monkeypatch):
+@pytest.mark.parametrize(("twice", "buffer_rows"), [(False, 1), (False, 30), (True, 1 << 14)])
+def test_against_brute_force(docs, spark, twice, buffer_rows, monkeypatch):
     rows = cases() + (cases()[:4] + [(5, "another " + cases()[2][1])] if twice else [])
     if not twice:
         monkeypatch.setattr(substrings, "BATCH_BYTES", 100)
-    got = substrings.repeated_substrings(docs([(*r, "s") for r in rows])).drop("kept").collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7 if buffer_rows == 1 else 10_000)
+    got = substrings.repeated_substrings(docs([(*r, "s") for r in rows]), buffer_rows=buffer_rows).drop("kept").collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got) == brute(rows)
 
 

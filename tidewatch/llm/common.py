@@ -53,9 +53,9 @@ def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) ->
     return df.count() * row_bytes <= limit
 
 
-def attached(docs: DataFrame, side: DataFrame, on: Column, how: str, row_bytes: int) -> DataFrame:
+def attached(docs: DataFrame, side: DataFrame, on: Column, how: str, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """docs joined with a staged side, which is broadcast if its counted size allows it."""
-    return docs.join(F.broadcast(side) if small_enough(side, row_bytes) else side, on, how)
+    return docs.join(F.broadcast(side) if small_enough(side, row_bytes, limit) else side, on, how)
 
 
 def ascii_lower(c: Column) -> Column:
