@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from tidewatch import schema
 
-#: Microseconds. A gap must be longer than these to part two periods, subflows or bulks.
+#: Fixed values, in microseconds. A gap must be longer than these to part two periods, subflows or bulks.
 ACTIVITY_GAP, SUBFLOW_GAP, BULK_GAP, BULK_PACKETS = 5_000_000, 1_000_000, 1_000_000, 4
 FLAGS = ("fin", "syn", "rst", "psh", "ack", "urg", "cwr", "ece")
+#: The services of well-known ports.
 SERVICES = {22: "ssh", 53: "dns", 80: "http", 443: "ssl", 1883: "mqtt"}
 
 
