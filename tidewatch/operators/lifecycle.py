@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,7 +35,16 @@ def split_known(batch: DataFrame, stored: DataFrame, key: str, digest: str) -> D
     return joined.withColumn("disposition", F.when(conflict, "conflict").when(F.col("__had").isNotNull(), "duplicate").otherwise("new")).drop("__had", "__torn")
 
 
-def lower_rank_percentile(value: Column, q: float) -> Column:
-    """The element at rank floor(q * (n - 1)) of the values in order: nearest rank, from below."""
-    s = F.array_sort(F.collect_list(value))
-    return F.get(s, F.floor(q * (F.size(s) - 1)).cast("int"))
+def lower_rank_percentiles(df: DataFrame, keys: list[str], values: list[str], levels: dict[str, float]) -> DataFrame:
+    """Rows (*keys, <value>_<level>...): the element at rank floor(q * (n - 1)) of the values
+    in order, which is the nearest rank from below.
+
+    Equal values are counted first, and running counts find the rank; no list is gathered.
+    """
+    long = df.select(*keys, *values).unpivot(keys, values, "__of", "__x").filter("__x is not null")
+    c = long.groupBy(*keys, "__of", "__x").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(*keys, "__of")
+    upto = F.sum("__n").over(w.orderBy("__x").rowsBetween(Window.unboundedPreceding, 0))
+    c = c.withColumn("__upto", upto).withColumn("__all", F.sum("__n").over(w))
+    picks = [F.min(F.when((F.col("__of") == v) & (F.col("__upto") > F.floor(q * (F.col("__all") - 1))), F.col("__x"))).alias(f"{v}_{name}") for v in values for name, q in levels.items()]
+    return c.groupBy(*keys).agg(*picks)

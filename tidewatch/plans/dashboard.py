@@ -92,12 +92,15 @@ def ag11(spark, d):
     return D.topology_edges(alerts(spark, d))
 
 
-@query("ag12_graph_summary", f"WITH {ALERTS}, {RANKED}, ends AS (SELECT *, source AS node FROM ranked UNION ALL SELECT *, destination FROM ranked), n AS (SELECT node, max(rank) FILTER (WHERE open) AS r FROM ends GROUP BY node) SELECT count(*) AS n_nodes, count(*) FILTER (WHERE r >= 3) AS n_elevated, count(*) FILTER (WHERE regexp_matches(node, '^[0-9]+$')) AS n_limited_identity, sha256(string_agg(node, '|' ORDER BY node)) AS membership FROM n")
+@query("ag12_graph_summary", f"WITH {ALERTS}, {RANKED}, ends AS (SELECT *, source AS node FROM ranked UNION ALL SELECT *, destination FROM ranked), n AS (SELECT node, max(rank) FILTER (WHERE open) AS r FROM ends GROUP BY node) SELECT count(*) AS n_nodes, count(*) FILTER (WHERE r >= 3) AS n_elevated, count(*) FILTER (WHERE regexp_matches(node, '^[0-9]+$')) AS n_limited_identity, (SELECT sha256(string_agg(digest, '|' ORDER BY part)) FROM (SELECT substr(md5(node), 1, 3) AS part, sha256(string_agg(node, '|' ORDER BY node)) AS digest FROM n GROUP BY 1)) AS membership FROM n")
 def ag12(spark, d):
     n = D.topology_nodes(alerts(spark, d))
-    # The signature is a list of the graph's endpoints, as shown in one view.
+    # The signature of the members is a digest of the digests of their parts, so no list holds them all.
+    joined = lambda order, c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, c))), lambda r: r[c]), "|")
     members = F.array_join(F.array_sort(F.collect_set("node")), "|")
-    return n.agg(F.count(F.lit(1)).alias("n_nodes"), F.count_if(F.col("open_severity").isin("critical", "high")).alias("n_elevated"), F.count_if(F.col("identity") != "address").alias("n_limited_identity"), F.sha2(members, 256).alias("membership"))
+    limited, elevated = F.count_if(F.col("identity") != "address"), F.count_if(F.col("open_severity").isin("critical", "high"))
+    parts = n.groupBy(F.substring(F.md5(F.col("node").cast("binary")), 1, 3).alias("part")).agg(F.sha2(members, 256).alias("digest"), F.count(F.lit(1)).alias("n"), elevated.alias("e"), limited.alias("l"))
+    return parts.agg(F.sum("n").alias("n_nodes"), F.sum("e").alias("n_elevated"), F.sum("l").alias("n_limited_identity"), F.sha2(joined("part", "digest"), 256).alias("membership"))
 
 
 @query("ag14_sensor_rollup", f"WITH {ALERTS}, s AS (SELECT user_id, count(*) AS events_seen, count(*) FILTER (WHERE prediction = 'attack') AS alerts_seen, sum(k)::BIGINT AS packets, count(*) FILTER (WHERE k = 0) AS drops, max(observed_at) >= (SELECT max(observed_at) FROM alerts) - INTERVAL 1 HOUR AS online FROM alerts GROUP BY user_id) SELECT count(*) AS sensors, sum(events_seen)::BIGINT AS events_seen, sum(alerts_seen)::BIGINT AS alerts_seen, sum(packets)::BIGINT AS packets, sum(drops)::BIGINT AS drops, bool_or(online) AS online FROM s")

@@ -147,8 +147,8 @@ LOWER = "list_sort(list({x}))[floor({q} * (count({x}) - 1))::INT + 1]"
 @query("ag16_pipeline_latency", f"{JOB_TIMES}, w AS (SELECT channel, attempts, state, {DAY.format(a='created_at', b='claimed_at')} AS wait, {DAY.format(a='claimed_at', b='ended_at')} AS run FROM jobs JOIN t USING (job_id)) SELECT channel, count(*) AS n, {LOWER.format(x='wait', q='0.5::DOUBLE')} AS wait_p50, {LOWER.format(x='wait', q='0.95::DOUBLE')} AS wait_p95, {LOWER.format(x='run', q='0.5::DOUBLE')} AS run_p50, {LOWER.format(x='run', q='0.95::DOUBLE')} AS run_p95, count(*) FILTER (WHERE attempts > 1) AS retries, count(*) FILTER (WHERE state = 'dead_letter') AS failures, count(*) FILTER (WHERE state = 'queued') AS pending FROM w GROUP BY 1")
 def ag16(spark, d):
     j = _job_times(spark, d).withColumn("wait", _seconds("created_at", "claimed_at")).withColumn("run", _seconds("claimed_at", "ended_at"))
-    p = lambda c, q: L.lower_rank_percentile(F.col(c), q)
-    return j.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), p("wait", 0.5).alias("wait_p50"), p("wait", 0.95).alias("wait_p95"), p("run", 0.5).alias("run_p50"), p("run", 0.95).alias("run_p95"), F.count_if(F.col("attempts") > 1).alias("retries"), F.count_if(F.col("state") == "dead_letter").alias("failures"), F.count_if(F.col("state") == "queued").alias("pending"))
+    counts = j.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("attempts") > 1).alias("retries"), F.count_if(F.col("state") == "dead_letter").alias("failures"), F.count_if(F.col("state") == "queued").alias("pending"))
+    return counts.join(L.lower_rank_percentiles(j, ["channel"], ["wait", "run"], {"p50": 0.5, "p95": 0.95}), "channel")
 
 
 @query("ag13_ingestion_status", f"WITH {JOBS} SELECT count(*) FILTER (WHERE state = 'queued') AS queue_depth, count(*) FILTER (WHERE state = 'succeeded') AS succeeded, count(*) FILTER (WHERE state = 'dead_letter') AS dead_letter, date_diff('second', min(created_at) FILTER (WHERE state = 'queued'), max(created_at)) AS oldest_active_age, sum(greatest(attempts - 1, 0))::BIGINT AS retries, count(*) FILTER (WHERE state = 'succeeded' AND created_at >= (SELECT max(created_at) FROM jobs) - INTERVAL 1 DAY) AS succeeded_lately FROM jobs")
