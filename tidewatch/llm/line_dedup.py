@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, ascii_lower, row_key, table
+from .common import WS, ascii_lower, row_key, staged, table
 
 
 def _lines(text: Column) -> Column:
@@ -49,8 +49,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         shared = F.col("n") >= min_docs
         held = keyed.select("h", "id").distinct().groupBy("h").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
-    shared_keys = held.filter(shared).select("h", "first")
-    # shared_keys has one row for each key, so a key of very many lines is split by adaptive execution.
+    # Written first: with shuffles of its own on both sides, the join of a key of very many
+    # lines can be split by adaptive execution.
+    shared_keys = staged(held.filter(shared).select("h", "first"), "shared-lines")
     lost = keyed.join(shared_keys, "h").filter((F.col("id") > F.col("first")) | F.col("id").isNull() & F.col("first").isNotNull())
     lost = lost.groupBy(F.col("id").alias("lid"), F.col("rk").alias("lrk")).agg(F.collect_set("pos").alias("gone"))
     both = base.join(lost, F.col("id").eqNullSafe(F.col("lid")) & (F.col("rk") == F.col("lrk")), "left")
