@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +55,30 @@ def ks_statistic(df: DataFrame, group: list[str], value: str, side: str) -> Data
     return out.withColumn("ks", F.coalesce("ks", F.lit(0.0)))
 
 
+def slots(sample: DataFrame):
+    """A function of (feature, x) that tells where x lies among the sorted values of a stored sample
+    (feature, x): 2 i + 1 on the i-th distinct value, 2 i below it.
+
+    The reference's distribution function is flat between its values, so the greatest
+    distance to another one is found on its values or just below: slots may stand for the
+    values of any sample, of any size. A stored sample is bounded, and sent along.
+    """
+    own = {name: np.unique(v.to_numpy()) for name, v in sample.toPandas().groupby("feature")["x"]}
+
+    @F.pandas_udf("long")
+    def slot(feature: pd.Series, x: pd.Series) -> pd.Series:
+        out = np.zeros(len(x), np.int64)
+        f, v = feature.to_numpy(), x.to_numpy()
+        for name in np.unique(f.astype(str)):
+            at, known = np.flatnonzero(f == name), own.get(name, np.zeros(0))
+            i = np.searchsorted(known, v[at])
+            hit = np.zeros(len(at), bool) if not len(known) else known[np.minimum(i, len(known) - 1)] == v[at]
+            out[at] = 2 * i + hit
+        return pd.Series(out)
+
+    return slot
+
+
 def benjamini_hochberg(df: DataFrame, p: str, group: list[str], tiebreak: str, name: str = "q") -> DataFrame:
     """df with the q-value of p within its group (of tests, which are few)."""
     w = Window.partitionBy(*group)

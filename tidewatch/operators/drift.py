@@ -58,7 +58,9 @@ def numeric_drift(reference: DataFrame, reference_rows: DataFrame, sample: DataF
     js = full.withColumn("p", S.smoothed(F.col("n_ref"), *keys, "feature")).withColumn("q", S.smoothed(F.col("n"), *keys, "feature")).groupBy(*keys, "feature").agg(S.js_distance(F.col("p"), F.col("q")).alias("js"))
     # A stored sample of a fixed size for each feature meets every group.
     ref_side = groups.join(F.broadcast(sample), "feature").withColumn("side", F.lit(0))
-    ks = S.ks_statistic(ref_side.unionByName(current.select(*keys, "feature", "x").withColumn("side", F.lit(1))), [*keys, "feature"], "x", "side")
+    both = ref_side.unionByName(current.select(*keys, "feature", "x").withColumn("side", F.lit(1)))
+    both = both.withColumn("slot", S.slots(sample)(F.col("feature"), F.col("x")))
+    ks = S.ks_statistic(both, [*keys, "feature"], "slot", "side")
     ks = ks.withColumn("p", S.kolmogorov_p(F.col("ks"), F.col("n_ref"), F.col("n_cur"))).drop("n_ref", "n_cur")
     r = reference.select("feature", "min", "max", F.col("q50").alias("ref_median"), F.col("q95").alias("ref_p95"))
     out = (F.col("x") < F.col("min")) | (F.col("x") > F.col("max"))
