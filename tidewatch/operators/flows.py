@@ -1,6 +1,7 @@
 """Flows from packets: assembly, periods, bulks and the 83 features.
 
-All steps partition by the flow, so the packets are shuffled once.
+Every step partitions by the flow, so windows, aggregates and the joins of their results
+share that partitioning; each step shuffles only the packet columns that it needs.
 """
 
 from __future__ import annotations

@@ -81,10 +81,10 @@ def prj01(spark, d):
     return table(spark, d, "events").select("event_id", F.when(y.isin(*NORMAL), "normal").otherwise("attack").alias("binary_target"), F.when(~y.isin(*NORMAL), y).alias("family_target"))
 
 
-@query("prj02_unified_view", f"WITH {ALERTS} SELECT alert_id, CASE WHEN signature IS NOT NULL THEN 'suricata' ELSE 'model' END AS detection_source, CASE WHEN signature IS NOT NULL THEN signature ELSE attack_class END AS attack_class, CASE WHEN signature IS NULL THEN confidence END AS confidence, coalesce(CASE WHEN k % 2 = 0 THEN observed_at END, observed_at + INTERVAL 1 SECOND) AS observed_at FROM alerts")
+@query("prj02_unified_view", f"WITH {ALERTS} SELECT alert_id, CASE WHEN signature IS NOT NULL THEN 'sensor' ELSE 'model' END AS detection_source, CASE WHEN signature IS NOT NULL THEN signature ELSE attack_class END AS attack_class, CASE WHEN signature IS NULL THEN confidence END AS confidence, coalesce(CASE WHEN k % 2 = 0 THEN observed_at END, observed_at + INTERVAL 1 SECOND) AS observed_at FROM alerts")
 def prj02(spark, d):
-    a = alerts(spark, d).withColumn("detection_source", F.when(F.col("signature").isNotNull(), "suricata").otherwise("model"))
-    sensor = F.col("detection_source") == "suricata"
+    a = alerts(spark, d).withColumn("detection_source", F.when(F.col("signature").isNotNull(), "sensor").otherwise("model"))
+    sensor = F.col("detection_source") == "sensor"
     occurred, created = F.when(F.col("k") % 2 == 0, F.col("observed_at")), F.col("observed_at") + F.expr("interval 1 second")
     return a.select("alert_id", "detection_source", F.when(sensor, F.col("signature")).otherwise(F.col("attack_class")).alias("attack_class"), F.when(~sensor, F.col("confidence")).alias("confidence"), F.coalesce(occurred, created).alias("observed_at"))
 
