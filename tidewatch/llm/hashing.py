@@ -14,7 +14,7 @@ import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-PIECE = 1 << 20
+PIECE = 1 << 18
 SPACES = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 
@@ -24,7 +24,7 @@ _powers: dict[np.uint64, np.ndarray] = {}
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """base ** 0, ..., base ** n."""
     if len(_powers.get(base, ())) <= n:
-        steps = np.full(max(n, 2 * PIECE) + 1, base, np.uint64)
+        steps = np.full(max(2 * n, 2 * PIECE) + 1, base, np.uint64)
         steps[0] = 1
         _powers[base] = np.multiply.accumulate(steps)
     return _powers[base][: n + 1]
