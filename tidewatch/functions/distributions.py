@@ -68,9 +68,9 @@ def slots(sample: DataFrame):
     @F.pandas_udf("long")
     def slot(feature: pd.Series, x: pd.Series) -> pd.Series:
         out = np.zeros(len(x), np.int64)
-        f, v = feature.to_numpy(), x.to_numpy()
-        for name in np.unique(f.astype(str)):
-            at, known = np.flatnonzero(f == name), own.get(name, np.zeros(0))
+        v, (code, names) = x.to_numpy(), pd.factorize(feature)
+        for j, name in enumerate(names):
+            at, known = np.flatnonzero(code == j), own.get(name, np.zeros(0))
             i = np.searchsorted(known, v[at])
             hit = np.zeros(len(at), bool) if not len(known) else known[np.minimum(i, len(known) - 1)] == v[at]
             out[at] = 2 * i + hit

@@ -27,8 +27,10 @@ def long_categorical(df: DataFrame, keys: list[str], features: list[str]) -> Dat
 
 def numeric_reference(long: DataFrame, keys: list[str] = [], bins: int = 20) -> DataFrame:
     """Rows (*keys, feature, n, min, max, q05, q50, q95, edges)."""
-    q = F.percentile("x", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    r = long.groupBy(*keys, "feature").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), q.alias("q"), F.percentile("x", F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("e"))
+    levels = [*(i / bins for i in range(bins + 1)), 0.05, 0.5, 0.95]  # of one aggregate, as each keeps all values
+    every = F.percentile("x", F.array(*map(F.lit, levels)))
+    r = long.groupBy(*keys, "feature").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), every.alias("all"))
+    r = r.withColumn("e", F.slice("all", 1, bins + 1)).withColumn("q", F.slice("all", bins + 2, 3))
     e = F.array_sort(F.array_distinct("e"))
     pad = F.greatest(F.abs(F.col("e")[0]) * 1e-9, F.lit(1e-9))
     r = r.withColumn("edges", F.when(F.size(e) == 1, F.array(F.col("e")[0] - pad, F.col("e")[0] + pad)).otherwise(e))
@@ -49,6 +51,8 @@ def reference_sample(long: DataFrame, id_col: str, size: int = 2000) -> DataFram
 
 def numeric_drift(reference: DataFrame, reference_rows: DataFrame, sample: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (*keys, feature, js, ks, p, exceed_rate, ref_median, ref_p95, cur_median, cur_p95)."""
+    # A row for each feature, and a bounded sample of it: kept, as each is used several times.
+    reference, sample = reference.persist(), sample.persist()
     ref_hist = histogram(reference_rows, reference).withColumnRenamed("n", "n_ref")
     cur_hist = histogram(current, reference, keys)
     groups = current.select(*keys, "feature").distinct()
