@@ -102,6 +102,25 @@ def test_token_counts_of_chunks_equal_whole_texts(docs):
     assert token_counts.token_counts(docs([]), path).count() == 0
 
 
+def test_stretches_count_as_in_their_text():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    c = token_counts.Counter(path)
+    assert c.separable
+    assert not token_counts.Counter(public_tokenizers.path("word_bpe_49k.json")).separable
+    rng = np.random.default_rng(4)
+    bits = ["a", "B", "'s", "'ll", "12", "!", "é", "日", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "\u180e", "\u2003", "\u200b", "\u3000", "\ufeff", "<|endoftext|>", "<|end", "_", "\x00", "🙂", "ा"]
+    texts = ["".join(bits[i] for i in rng.integers(0, len(bits), rng.integers(0, 60))) for _ in range(3000)]
+    assert c.counts(texts) == c.encoded(texts)
+    assert all("".join(token_counts.stretches(x)) == x for x in texts)
+    for x in texts[:500]:
+        n, head, tail = c.chunk(x, 9, 15)
+        bounds = c.bounds(x)
+        assert n == len(c.encoder.encode(x, add_special_tokens=False))
+        assert head == [b for b in bounds if b[0] < 9] and tail == [b for b in bounds if b[0] >= 15]
+
+
 def brute_top(rows, k):
     out = []
     for q, a in rows:

@@ -14,13 +14,22 @@ Such a boundary is proven to be one of the whole text's:
 Token boundaries within a pre-token prove nothing and are not used. If an overlap holds
 no common boundary (say, within one huge word), the text is done again with four times
 the overlap; in the end the overlap spans the text, which is then one chunk.
+
+Texts are counted by stretches: white space and the characters up to the next white
+space. Byte-level BPE never joins characters across such a cut, in whatever text it
+stands, so a stretch has the same tokens everywhere and each task encodes it once.
+Offsets are taken only of the stretches in the overlaps.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,17 +39,95 @@ from .common import row_key, staged, table
 
 CHUNK_CHARS, OVERLAP, MARGIN = 16_384, 512, 64
 BATCH_TEXTS = 64
+#: Counts that a task keeps, of stretches of so many characters at most.
+KEPT_COUNTS, KEPT_CHARS = 1 << 18, 48
+#: White space by any definition but these four; a stretch goes on beyond it.
+OTHER_SPACES = "\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
+OTHER_SPACE = re.compile(f"[{OTHER_SPACES}]")
+STRETCH = re.compile("[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
+LONG_STRETCH = re.compile(f"[ \n\r\t]*(?:[^ \n\r\t{OTHER_SPACES}]+|[{OTHER_SPACES}][ \n\r\t]*)+|[ \n\r\t]+")
+
+
+def stretches(text: str) -> list[str]:
+    """The text in parts, cut where a white space follows something that is none."""
+    return (LONG_STRETCH if OTHER_SPACE.search(text) else STRETCH).findall(text)
+
+
+def separable(vocabulary: str) -> bool:
+    """Whether a tokenizer's file says that it counts stretches by themselves: byte-level
+    BPE with the usual pattern, as the text stands, and no white space in special strings."""
+    own = json.loads(vocabulary)
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    added = own.get("added_tokens") or []
+    return (
+        own.get("normalizer") is None
+        and own.get("post_processor") is None
+        and {k: (own.get("pre_tokenizer") or {}).get(k) for k in plain} == plain
+        and own["model"].get("type") == "BPE"
+        and not own["model"].get("dropout")
+        and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or re.search(r"\s", x["content"]) or OTHER_SPACE.search(x["content"]) for x in added)
+    )
+
+
+class Counter:
+    """Token counts by one tokenizer file, with the counts of short stretches kept."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark keeps the cores busy
+        from tokenizers import Tokenizer
+
+        self.encoder = Tokenizer.from_file(path)
+        self.encoder.no_truncation()
+        self.encoder.no_padding()
+        with open(path, encoding="utf-8") as f:
+            self.separable = separable(f.read())
+        self.kept: dict[str, int] = {}
+
+    def encoded(self, texts: list[str]) -> list[int]:
+        return [len(e) for at in range(0, len(texts), 1024) for e in self.encoder.encode_batch_fast(texts[at : at + 1024], add_special_tokens=False)]
+
+    def of_parts(self, parts: list[list[str]]) -> list[list[int]]:
+        """The tokens of each of lists of stretches."""
+        if len(self.kept) > KEPT_COUNTS:
+            self.kept = {}
+        new = [x for x in set().union(*parts) if x not in self.kept]
+        found = dict(zip(new, self.encoded(new)))
+        short = {x: n for x, n in found.items() if len(x) <= KEPT_CHARS}
+        self.kept.update(short)
+        count = self.kept.__getitem__ if len(short) == len(found) else lambda x: found[x] if x in found else self.kept[x]
+        return [[*map(count, x)] for x in parts]
+
+    def counts(self, texts: list[str]) -> list[int]:
+        if not self.separable:
+            return self.encoded(texts)
+        return [*map(sum, self.of_parts([stretches(x) for x in texts]))]
+
+    def bounds(self, text: str) -> list[tuple[int, int]]:
+        """(offset, tokens before it) of the boundaries between pre-tokens of a text, by the encoder."""
+        e = self.encoder.encode(text, add_special_tokens=False)
+        words, offsets = e.word_ids, e.offsets
+        return [(offsets[j][0], j) for j in range(len(words)) if not j or words[j] != words[j - 1]]
+
+    def chunk(self, text: str, overlap: int, step: int) -> tuple[int, list[tuple[int, int]], list[tuple[int, int]]]:
+        """(tokens, boundaries before `overlap`, boundaries from `step` on) of a chunk."""
+        if not self.separable:
+            e = self.encoder.encode(text, add_special_tokens=False)
+            found = self.bounds(text)
+            return len(e), [x for x in found if x[0] < overlap], [x for x in found if x[0] >= step]
+        parts = stretches(text)
+        ends = [0, *accumulate(map(len, parts))]
+        before = [0, *accumulate(self.of_parts([parts])[0])]
+        # Both overlaps, each widened to whole stretches.
+        last = bisect_right(ends, overlap - 1)
+        head = self.bounds(text[: ends[min(last, len(parts))]])
+        first = max(0, bisect_right(ends, step) - 1)
+        tail = [(ends[first] + p, before[first] + j) for p, j in self.bounds(text[ends[first] :])]
+        return before[-1], [x for x in head if x[0] < overlap], [x for x in tail if x[0] >= step]
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark keeps the cores busy
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    return t
+def _counter(path: str) -> Counter:
+    return Counter(path)
 
 
 def _batches(rows: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[str]]]:
@@ -50,9 +137,9 @@ def _batches(rows: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[str]
 
 def _whole(path: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(path)
+        t = _counter(path)
         for rows in it:
-            counts = [len(e) for _, texts in _batches(rows, "text") for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+            counts = [n for _, texts in _batches(rows, "text") for n in t.counts(texts)]
             yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("n_bytes"), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     return run
@@ -79,21 +166,19 @@ def _chunks(path: str, step: int, overlap: int):
     overlap) and the chunk's tokens before each."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(path)
+        t = _counter(path)
         for rows in it:
             n, head, head_n, tail, tail_n = [], [], [], [], []
-            for at, texts in _batches(rows, "text"):
-                for k, e in enumerate(t.encode_batch(texts, add_special_tokens=False)):
-                    words, offsets, size = e.word_ids, e.offsets, len(texts[k])
-                    bounds = [(offsets[j][0], j) for j in range(len(words)) if not j or words[j] != words[j - 1]]
-                    first = [x for x in bounds if x[0] < overlap]
-                    # The next chunk starts `step` characters after this one.
-                    final = [] if rows.column("last")[at + k].as_py() else [(p - step, j) for p, j in bounds if step <= p < size - MARGIN]
-                    n.append(len(words))
-                    head.append([p for p, _ in first])
-                    head_n.append([j for _, j in first])
-                    tail.append([p for p, _ in final])
-                    tail_n.append([j for _, j in final])
+            for text, last in zip(rows.column("text"), rows.column("last").to_pylist()):
+                text = text.as_py()
+                # The next chunk starts `step` characters after this one.
+                tokens, first, final = t.chunk(text, overlap, step)
+                final = [] if last else [(p - step, j) for p, j in final if p < len(text) - MARGIN]
+                n.append(tokens)
+                head.append([p for p, _ in first])
+                head_n.append([j for _, j in first])
+                tail.append([p for p, _ in final])
+                tail_n.append([j for _, j in final])
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (head, head_n, tail, tail_n)]
             yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("id", "rk", "no", "last")), pa.array(n, pa.int64()), *lists], ["id", "rk", "no", "last", "n", "head", "head_n", "tail", "tail_n"])
 
