@@ -104,6 +104,63 @@ def test_toxicity_on_held_out_rows(docs, spark):
     assert toxicity.scored_documents(docs([]), labels, chain).count() == 0
 
 
+def dense_chain(texts, y, fold, penalty):
+    """Probabilities of every text by a chain fitted on dense columns, plain gradient steps, one feature at a time."""
+    own = []
+    for t in texts:
+        w = re.findall(rb"[A-Za-z\x80-\xff]+", t.encode().lower())
+        own.append(set(w) | {(x[:4],) for x in w if len(x) >= 4})
+    names = sorted(set().union(*own), key=repr)
+    x = np.array([[f in o for f in names] for o in own], float)
+    n = len(y)
+
+    def fit(a, z):
+        w, b, rate = np.zeros(a.shape[1]), 0.0, 4 * len(a) / (np.linalg.norm(np.column_stack([a, np.ones(len(a))]), 2) ** 2)
+        for _ in range(30_000):
+            r = (1 / (1 + np.exp(-(a @ w + b))) - z) / len(a)
+            w, b = w - rate * (a.T @ r), b - rate * r.sum()
+            w = np.sign(w) * np.maximum(0, abs(w) - rate * penalty)
+        return w, b
+
+    said = lambda a, m: 1 / (1 + np.exp(-(a @ m[0] + m[1])))
+    out = []
+    for j in range(y.shape[1]):
+        full = fit(x[:n], y[:, j])
+        p = said(x, full)
+        out.append(p)
+        held = p.copy()  # rows to learn from see the probability by a model without their fold
+        for f in set(fold):
+            held[:n][fold == f] = said(x[:n][fold == f], fit(x[:n][fold != f], y[fold != f, j]))
+        learn, ask = np.column_stack([x[:n], held[:n]]), np.column_stack([x, p])
+        if j == 0 and y.shape[1] == 2:
+            return [p, said(ask, fit(learn, y[:, 1]))]
+    return out
+
+
+def test_chain_against_a_dense_one(docs, spark):
+    r = random.Random(3)
+    words = [f"wor{chr(97 + i)}x" for i in range(12)]
+    rows, y = [], []
+    for i in range(90):
+        low, toxic = i % 3 == 0, i % 3 == 0 and i % 2 == 0 or i % 11 == 0
+        own = [r.choice(words) for _ in range(r.randrange(3, 9))] + ["junk"] * (low and r.random() < 0.8) + ["vile"] * (toxic and r.random() < 0.8)
+        rows.append((i, " ".join(own), "s"))
+        y.append((i, int(low), int(toxic)))
+    labels = spark.createDataFrame(y[:70], "doc_id long, low int, toxic int")
+    chain = {"low": F.col("low"), "toxic": F.col("toxic")}
+    got = {g.doc_id: (g.p_low, g.p_toxic) for g in toxicity.scored_documents(docs(rows), labels, chain, penalty=4e-3, steps=20_000).select("doc.doc_id", "p_low", "p_toxic").collect()}
+    hashed = {x.i: x.h & (2**64 - 1) for x in spark.range(70).select(F.col("id").alias("i"), F.xxhash64("id").alias("h")).collect()}
+    want = dense_chain([t for _, t, _ in rows], np.array([v[1:] for v in y[:70]], float), np.array([hashed[i] % toxicity.FOLDS for i in range(70)]), 4e-3)
+    assert max(abs(got[i][j] - want[j][i]) for i in range(90) for j in (0, 1)) < 2e-3
+
+
+def test_threshold_is_the_best_out_of_fold():
+    # 8 of 10 above 0.9, one at 0.4 and one at 0.2; one of 200 others at 0.4, and twenty at 0.2.
+    assert toxicity.best_threshold([(95, 8, 0), (40, 1, 1), (20, 1, 20), (1, 0, 179)]) == pytest.approx((0.21 + 0.40) / 2)
+    assert toxicity.best_threshold([(95, 8, 0), (40, 2, 1), (1, 0, 199)]) == pytest.approx((0.02 + 0.40) / 2)
+    assert toxicity.best_threshold([(3, 0, 100)]) == toxicity.THRESHOLD == toxicity.best_threshold([])
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     given = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
     out, docs, left = {}, spark.read.parquet(f"{SF}/documents.parquet"), list(zip(given.doc_id, given.text))

@@ -72,11 +72,12 @@ def _pieces(b: np.ndarray, at: np.ndarray, spaces: np.ndarray) -> Iterator[tuple
         a = e
 
 
-def words(column: pa.Array, spaces: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
+def words(column: pa.Array, spaces: np.ndarray = SPACES, prefix: int = 0) -> tuple[np.ndarray, ...]:
     """(hashes, texts): of every word of a column of texts, with A-Z in lower case, in
-    order, the hash and the number of its text. `spaces` tells of each byte whether it parts words."""
+    order, the hash and the number of its text. `spaces` tells of each byte whether it parts words.
+    With a `prefix`, also the hash of its first so many bytes; 0 for a shorter word."""
     b, at = utf8(column)
-    hashes, texts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    hashes, texts, stems = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     starts = at[:-1]
     for a, e in _pieces(b, at, spaces):
         own = LOWER[b[a:e]]
@@ -98,7 +99,10 @@ def words(column: pa.Array, spaces: np.ndarray = SPACES) -> tuple[np.ndarray, np
         h = (sums[ends] - sums[s]) * powers(INVERSE, len(own))[s]
         hashes.append(mixed(h ^ (ends - s).astype(np.uint64)))
         texts.append(np.searchsorted(at, s + a, side="right") - 1)
-    return np.concatenate(hashes), np.concatenate(texts)
+        if prefix:
+            stem = (sums[np.minimum(s + prefix, len(own))] - sums[s]) * powers(INVERSE, len(own))[s]
+            stems.append(np.where(ends - s >= prefix, mixed(stem ^ np.uint64(1 << 62)), np.uint64(0)))
+    return (np.concatenate(hashes), np.concatenate(texts), np.concatenate(stems))[: 3 if prefix else 2]
 
 
 def shingles(hashes: np.ndarray, texts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

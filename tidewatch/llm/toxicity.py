@@ -1,14 +1,16 @@
 """Operator 8: toxicity by a classifier chain.
 
-Categories are predicted in order by linear models over the words of a text; each model
-also sees the probabilities of the categories before its own. Those it is trained with
-are out of fold: predicted by models that hadn't seen the row, as they will be for new
-texts. The models are logistic, with an L1 penalty, so most words weigh nothing.
+Categories are predicted in order by linear models over the words of a text and their
+first bytes; each model also sees the probabilities of the categories before its own.
+Those it is trained with are out of fold: predicted by models that hadn't seen the row,
+as they will be for new texts. The models are logistic, with an L1 penalty, so most
+features weigh nothing. A text is rejected where the last category's probability
+reaches a threshold, which is also chosen out of fold.
 
 The models are fitted on at most `sample` labelled rows, those whose ids have the least
-hashes. Spark counts in how many of them each word is, by category, and keeps the words
-that can move a model at all; what is left of the sample is a small sparse matrix, which
-one task fits. Scoring reads whole texts, row by row, and shuffles nothing.
+hashes. Spark counts in how many of them each feature is, by category, and keeps the
+features that can move a model at all. Every fit, of all rows of the sample or all but a
+fold, is a task of its own. Scoring reads whole texts, row by row, and shuffles nothing.
 """
 
 from __future__ import annotations
@@ -23,51 +25,68 @@ from pyspark.sql import functions as F
 from .common import staged, table
 from .hashing import words
 
-SAMPLE, FOLDS, THRESHOLD = 20_000, 3, 0.5
-PENALTY, STEPS, MIN_DOCS, MOST_WORDS = 5e-4, 400, 4, 4096
+SAMPLE, FOLDS = 20_000, 3
+#: Bytes of a word's beginning that make a feature besides the word.
+PREFIX = 4
+PENALTY, STEPS, TOLERANCE = 5e-4, 400, 1e-6
+#: Of rows without the category, the largest share that the threshold may reject, out of fold; the threshold where none can be chosen.
+FALSE_SHARE, THRESHOLD = 0.01, 0.5
 #: All but ASCII letters and bytes of other letters part words.
 APART = np.array([not (65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
 
 
-def _distinct(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, texts) of the distinct words of each text."""
-    h, t = words(column, APART)
+def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, texts) of the distinct features of each text, in the order of (text, hash)."""
+    h, t, stem = words(column, APART, PREFIX)
+    h, t = np.append(h, stem[stem > 0]), np.append(t, t[stem > 0])
     order = np.lexsort((h, t))
     h, t = h[order], t[order]
     new = np.append(True, (h[1:] != h[:-1]) | (t[1:] != t[:-1]))[: len(h)]
     return h[new], t[new]
 
 
-def _sample_words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lists(h: np.ndarray, t: np.ndarray, n: int) -> pa.Array:
+    at = np.searchsorted(t, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))
+
+
+def _sample_features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in it:
-        h, t = _distinct(rows.column("text"))
-        at = np.searchsorted(t, np.arange(rows.num_rows + 1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("y"), pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))], ["id", "y", "words"])
+        own = _lists(*features(rows.column("text")), rows.num_rows)
+        yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("y"), own], ["id", "y", "features"])
 
 
 class Sparse:
     """A 0/1 matrix of (rows, columns) of its ones, with some dense columns on the right."""
 
     def __init__(self, rows: np.ndarray, cols: np.ndarray, n: int, k: int, dense: np.ndarray):
-        self.rows, self.cols, self.n, self.k, self.dense = rows, cols, n, k, dense
+        self.n, self.k, self.dense = n, k, dense
+        # The ones by rows and by columns, each with the places where a new one begins.
+        by_row, by_col = np.lexsort((cols, rows)), np.lexsort((rows, cols))
+        self.cols, self.rows = cols[by_row], rows[by_col]
+        self.used_rows, self.row_at = np.unique(rows[by_row], return_index=True)
+        self.used_cols, self.col_at = np.unique(cols[by_col], return_index=True)
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.rows, w[self.cols], self.n) + self.dense @ w[self.k :]
+        out = self.dense @ w[self.k :] if self.dense.shape[1] else np.zeros(self.n)
+        if len(self.cols):
+            out[self.used_rows] += np.add.reduceat(w[self.cols], self.row_at)
+        return out
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.bincount(self.cols, r[self.rows], self.k), self.dense.T @ r])
-
-    def some(self, keep: np.ndarray) -> Sparse:
-        place, ones = np.cumsum(keep) - 1, keep[self.rows]
-        return Sparse(place[self.rows[ones]], self.cols[ones], int(keep.sum()), self.k, self.dense[keep])
+        out = np.zeros(self.k)
+        if len(self.rows):
+            out[self.used_cols] = np.add.reduceat(r[self.rows], self.col_at)
+        return np.concatenate([out, self.dense.T @ r])
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def logistic(x: Sparse, y: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and intercept of an L1 logistic model, by accelerated proximal gradient steps."""
+def logistic(x: Sparse, y: np.ndarray, penalty: float = PENALTY, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, float]:
+    """Weights and intercept of an L1 logistic model, by accelerated proximal gradient
+    steps, at most `steps`, until no weight's step is over `tolerance` as a gradient."""
     share = y.mean() if len(y) else 0.0
     w, bias = np.zeros(x.k + x.dense.shape[1]), float(np.log((share * len(y) + 0.5) / ((1 - share) * len(y) + 0.5)))
     if not 0 < share < 1:
@@ -84,126 +103,159 @@ def logistic(x: Sparse, y: np.ndarray, penalty: float = PENALTY, steps: int = ST
         r = (sigmoid(x.times(v) + c) - y) / x.n
         moved = v - rate * x.back(r)
         w, bias = np.sign(moved) * np.maximum(0, np.abs(moved) - rate * penalty), c - rate * r.sum()
+        step = w - v
+        if max(np.abs(step).max(initial=0), abs(bias - c)) <= tolerance * rate:
+            break
+        # Momentum that points uphill is dropped.
+        pace = 1.0 if step @ (w - before) < 0 else pace
         nxt = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
         v, c = w + (pace - 1) / nxt * (w - before), bias + (pace - 1) / nxt * (bias - mark)
         before, mark, pace = w, bias, nxt
     return w, bias
 
 
-def chain(x: Sparse, y: np.ndarray, fold: np.ndarray, folds: int) -> list[tuple[np.ndarray, float]]:
-    """A model for each column of y, in order; each is trained with out-of-fold probabilities of those before."""
-    models = []
-    for j in range(y.shape[1]):
-        models.append(logistic(x, y[:, j]))
-        if j < y.shape[1] - 1:
-            p = np.zeros(x.n)
-            for f in range(folds):
-                w, bias = logistic(x.some(fold != f), y[fold != f, j])
-                p[fold == f] = sigmoid(x.some(fold == f).times(w) + bias)
-            x = Sparse(x.rows, x.cols, x.n, x.k, np.column_stack([x.dense, p]))
-    return models
+def _fits(size: int, category: int, folds: int, penalty: float, steps: int):
+    """Rows (part, id, y, features, earlier), sorted by (part, id), to rows (id, p, feature,
+    weight): of part f the probabilities of the rows of fold f, by a model of all others; of
+    part -1 the weights of a model of all rows. Feature -1 is the intercept, and -2 - e the
+    probability of category e."""
+
+    def fitted(part: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        ids, n = t.column("id").to_numpy(), t.num_rows
+        y = np.array([v[category] for v in t.column("y").to_pylist()])
+        lists = [c.chunk(0) if isinstance(c := t.column(name).combine_chunks(), pa.ChunkedArray) else c for name in ("features", "earlier")]
+        rows, cols = np.repeat(np.arange(n), np.diff(lists[0].offsets.to_numpy())), lists[0].flatten().to_numpy()
+        dense = lists[1].flatten().to_numpy().reshape(n, category)
+        fold = ids.view(np.uint64) % np.uint64(folds)
+
+        def some(keep: np.ndarray) -> Sparse:
+            ones = keep[rows]
+            return Sparse((np.cumsum(keep) - 1)[rows[ones]], cols[ones], int(keep.sum()), size, dense[keep])
+
+        learn = np.ones(n, bool) if part < 0 else fold != part
+        w, bias = logistic(some(learn), y[learn], penalty, steps)
+        if part >= 0:
+            out = [ids[~learn], sigmoid(some(~learn).times(w) + bias), None, None]
+        else:
+            used = np.append(np.flatnonzero(w[:size]), np.arange(size, len(w)))
+            out = [None, None, np.append(np.where(used < size, used, size - 2 - used), -1), np.append(w[used], bias)]
+        m = max(len(c) for c in out if c is not None)
+        kinds = (pa.int64(), pa.float64(), pa.int64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.nulls(m, k) if c is None else pa.array(c, k) for c, k in zip(out, kinds)], ["id", "p", "feature", "weight"])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+        for rows in it:
+            parts = rows.column("part").to_numpy()
+            cuts = np.flatnonzero(np.diff(parts)) + 1
+            for a, e in zip([0, *cuts], [*cuts, len(parts)]):
+                if a == e:
+                    continue
+                if held and parts[a] != part:
+                    yield fitted(part, held)
+                    held = []
+                part = int(parts[a])
+                held.append(rows.slice(a, e - a))
+        if held:
+            yield fitted(part, held)
+
+    return run
 
 
-def _fitted(vocabulary: np.ndarray, categories: int, folds: int):
-    """The bounded sample (id hash, y, words), in one task, to rows (category, word, weight): word
-    null for the intercept, and below `categories` for the probability of that category."""
+def _known_only(vocabulary: np.ndarray):
+    """The features of rows as numbers in the vocabulary, without those that it hasn't."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, ys, rows, cols, n = [], [], [], [], 0
-        for b in it:
-            if not b.num_rows:
-                continue
-            ids.append(b.column("id").to_numpy(zero_copy_only=False))
-            ys.append(np.array(b.column("y").to_pylist(), float).reshape(b.num_rows, categories))
-            h = b.column("words").flatten().to_numpy(zero_copy_only=False)
+        for rows in it:
+            own = rows.column("features")
+            h, t = own.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(rows.num_rows), np.diff(own.offsets.to_numpy()))
             at = np.searchsorted(vocabulary, h)
-            rows.append(n + np.repeat(np.arange(b.num_rows), np.diff(b.column("words").offsets.to_numpy())))
-            cols.append(at)
-            n += b.num_rows
-        if not n:
-            return
-        ids, ys, rows, cols = (np.concatenate(x) for x in (ids, ys, rows, cols))
-        # The same order whatever the order of arrival, so that reruns agree to the last bit.
-        order = np.argsort(ids, kind="stable")
-        place = np.empty(n, np.int64)
-        place[order] = np.arange(n)
-        rows, ys, ids = place[rows], ys[order], ids[order]
-        by = np.lexsort((cols, rows))
-        x = Sparse(rows[by], cols[by], n, len(vocabulary), np.zeros((n, 0)))
-        out = []
-        for j, (w, bias) in enumerate(chain(x, ys, ids.view(np.uint64) % np.uint64(folds), folds)):
-            used = np.flatnonzero(w[: x.k])
-            out += [(j, int(vocabulary[i]), False, float(w[i])) for i in used]
-            out += [(j, e, True, float(v)) for e, v in enumerate(w[x.k :])] + [(j, None, False, bias)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.bool_(), pa.float64()))], ["category", "word", "earlier", "weight"])
+            known = np.append(vocabulary, 0)[at] == h
+            known &= at < len(vocabulary)
+            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("y"), _lists(at[known], t[known], rows.num_rows)], ["id", "y", "features"])
 
     return run
 
 
-def train(labelled: DataFrame, categories: int, folds: int = FOLDS) -> list[tuple[int, int | None, bool, float]]:
-    """The models' rows for a bounded table (id, text, y: array of 0/1), none for an empty one."""
-    sample = staged(labelled.select(F.xxhash64("id").alias("id"), "y", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_sample_words, "id long, y array<double>, words array<long>"), "labelled")
+def best_threshold(counts: list[tuple[int, int, int]], false_share: float = FALSE_SHARE) -> float:
+    """The middle of the thresholds, in hundredths, of the best F1 among those that reject at
+    most `false_share` of the rows without the category. `counts`: (hundredth, rows with it, rows without)."""
+    scores = {}
+    positive, negative = sum(c[1] for c in counts), sum(c[2] for c in counts)
+    for at in range(1, 100):
+        hit, false = sum(c[1] for c in counts if c[0] >= at), sum(c[2] for c in counts if c[0] >= at)
+        if hit and false <= false_share * negative:
+            scores[at] = 2 * hit / (positive + hit + false)
+    best = [at for at, f1 in scores.items() if f1 == max(scores.values())]
+    return sum(best) / len(best) / 100 if best else THRESHOLD
+
+
+def train(labelled: DataFrame, categories: int, folds: int = FOLDS, penalty: float = PENALTY, steps: int = STEPS) -> tuple[list[tuple[int, int, float]], np.ndarray, float]:
+    """(weights, vocabulary, threshold) for a bounded table (id, text, y: array of 0/1): rows
+    (category, feature, weight) as _fits numbers features; no weights for an empty table."""
+    sample = staged(labelled.select(F.xxhash64("id").alias("id"), "y", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_sample_features, "id long, y array<double>, features array<long>"), "labelled")
     sums = [F.sum(F.col("y")[j]).alias(f"y{j}") for j in range(categories)]
     totals = sample.agg(F.count(F.lit(1)).alias("n"), *sums).first()
-    if not totals["n"]:
-        return []
-    # A word whose rows have a category about as often as all rows can't outweigh the penalty.
     n = totals["n"]
-    per = sample.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("rows"), *sums)
+    if not n:
+        return [], np.zeros(0, np.int64), THRESHOLD
+    # A feature whose rows have a category about as often as all rows can't outweigh the penalty.
+    per = sample.select("y", F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("rows"), *sums)
     pull = F.greatest(F.lit(0.0), *[F.abs(F.col(f"y{j}") - F.col("rows") * (totals[f"y{j}"] / n)) for j in range(categories)]) / n
-    strong = per.filter((F.col("rows") >= min(MIN_DOCS, max(1, n // 20))) & (pull > PENALTY / 2)).orderBy(F.desc(pull), "word").limit(MOST_WORDS).select("word")
-    known = sorted(r.word for r in strong.collect())
-    vocabulary = np.array(known, np.int64)
-    rows = sample.mapInArrow(_known_only(vocabulary), "id long, y array<double>, words array<long>").coalesce(1)
-    return [tuple(r) for r in rows.mapInArrow(_fitted(vocabulary, categories, folds), "category int, word long, earlier boolean, weight double").collect()]
-
-
-def _known_only(vocabulary: np.ndarray):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in it:
-            h, size = rows.column("words").flatten().to_numpy(zero_copy_only=False), np.diff(rows.column("words").offsets.to_numpy())
-            known = np.isin(h, vocabulary)
-            at = np.append(0, np.cumsum(np.bincount(np.repeat(np.arange(rows.num_rows), size)[known], minlength=rows.num_rows))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("y"), pa.ListArray.from_arrays(pa.array(at), pa.array(h[known]))], ["id", "y", "words"])
-
-    return run
-
+    vocabulary = np.sort(per.filter(pull > penalty / 2).select("feature").toPandas()["feature"].to_numpy(np.int64))
+    x = sample.mapInArrow(_known_only(vocabulary), "id long, y array<double>, features array<long>")
+    x = staged(x.withColumn("earlier", F.array().cast("array<double>")), "sample-known")
+    weights = []
+    for j in range(categories):
+        parts = x.withColumn("part", F.explode(F.sequence(F.lit(-1), F.lit(folds - 1)))).repartitionByRange(folds + 1, "part").sortWithinPartitions("part", "id")
+        fits = staged(parts.mapInArrow(_fits(len(vocabulary), j, folds, penalty, steps), "id long, p double, feature long, weight double"), "fits")
+        weights += [(j, r.feature, r.weight) for r in fits.filter("id is null").select("feature", "weight").collect()]
+        found = fits.filter("id is not null").select("id", "p")
+        if j < categories - 1:
+            x = staged(x.join(found, "id").withColumn("earlier", F.concat("earlier", F.array("p"))).drop("p"), "sample-chained")
+    scored = x.join(found, "id").groupBy(F.floor(F.col("p") * 100).cast("int").alias("at"), F.col("y")[categories - 1].alias("y")).count().collect()
+    return weights, vocabulary, best_threshold([(r["at"], r["count"] * int(r["y"]), r["count"] * int(1 - r["y"])) for r in scored])
+
+
+def _scored(weights: list[tuple[int, int, float]], vocabulary: np.ndarray, categories: int):
+    base, links, own = np.zeros(categories), np.zeros((categories, categories)), np.zeros((categories, len(vocabulary)))
+    for j, f, v in weights:
+        if f == -1:
+            base[j] = v
+        elif f < 0:
+            links[j, -2 - f] = v
+        else:
+            own[j, f] = v
+    # What weighs nothing need not be looked up.
+    used = np.flatnonzero(own.any(axis=0))
+    vocabulary, own = vocabulary[used], own[:, used]
 
-def _scored(model: list[tuple[int, int | None, bool, float]], categories: int):
     def run(texts: pa.Array) -> np.ndarray:
         """(categories, texts) probabilities."""
-        vocabulary = np.array(sorted({w for _, w, earlier, _ in model if w is not None and not earlier}), np.int64)
-        weights, base, links = np.zeros((categories, len(vocabulary) + 1)), np.zeros(categories), np.zeros((categories, categories))
-        for j, w, earlier, v in model:
-            if w is None:
-                base[j] = v
-            elif earlier:
-                links[j, w] = v
-            else:
-                weights[j, np.searchsorted(vocabulary, w)] = v
-        h, t = words(texts, APART)
-        h = h.view(np.int64)
+        h, t, stem = words(texts, APART, PREFIX)
+        h, t = np.append(h, stem[stem > 0]).view(np.int64), np.append(t, t[stem > 0])
         at = np.searchsorted(vocabulary, h)
-        hit = np.append(vocabulary, 0)[at] == h if len(vocabulary) else np.zeros(len(h), bool)
-        hit &= at < len(vocabulary)
+        hit = (np.append(vocabulary, 0)[at] == h) & (at < len(vocabulary))
         pairs = np.unique(t[hit] * max(1, len(vocabulary)) + at[hit])
         doc, word = np.divmod(pairs, max(1, len(vocabulary)))
         p = np.zeros((categories, len(texts)))
         for j in range(categories):
-            p[j] = sigmoid(base[j] + np.bincount(doc, weights[j][word], len(texts)) + links[j] @ p)
+            p[j] = sigmoid(base[j] + np.bincount(doc, own[j][word], len(texts)) + links[j] @ p)
         return p
 
     return run
 
 
-def scored_documents(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+def scored_documents(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float | None = None, penalty: float = PENALTY, steps: int = STEPS) -> DataFrame:
     """Rows (doc, p_<category>..., <last category>), one for each row of docs, with all its
     columns in the struct doc: the probabilities, and whether the last category's is at
-    least `threshold`.
+    least `threshold` (None: the one that is best out of fold, see best_threshold).
 
     `categories`: in the order of the chain, a name and a 0/1 expression over labels,
     whose key is `id_col` too. A labelled id with a null label is not learnt from; one
-    labelled several times has each category that any of its rows has. No labelled rows:
+    labelled several times has each category that any of its rows has; of several texts
+    of an id the least is learnt from. No labelled rows:
     probabilities are null and nothing is rejected; one class only: about its share.
     Null or empty text: a text without words, scored by the models' constants. Null ids
     are kept and scored, never learnt from. Repeated rows are scored alike. Other columns
@@ -214,11 +266,12 @@ def scored_documents(docs: DataFrame, labels: DataFrame, categories: dict[str, C
     chosen = marks.orderBy(F.xxhash64("lid"), "lid").limit(sample).select("lid", F.array(*names).alias("y"))
     # Ids and labels of at most `sample` rows: small enough for every task. Repeated rows are learnt from once.
     learnt = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(staged(chosen, "sample")), F.col("id") == F.col("lid"))
-    model = train(learnt.dropDuplicates(["id"]).select("id", "text", "y"), len(names))
+    one = learnt.groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    weights, vocabulary, found = train(one, len(names), penalty=penalty, steps=steps)
     base = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if not model:
+    if not weights:
         return base.select("doc", *[F.lit(None).cast("double").alias(f"p_{n}") for n in names], F.lit(False).alias(names[-1]))
-    score = _scored(model, len(names))
+    score, least = _scored(weights, vocabulary, len(names)), found if threshold is None else threshold
 
     @F.arrow_udf("array<double>")
     def probabilities(texts: pa.Array) -> pa.Array:
@@ -226,7 +279,7 @@ def scored_documents(docs: DataFrame, labels: DataFrame, categories: dict[str, C
         return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(p)), pa.array(p.T.ravel()))
 
     scored = base.select("doc", probabilities("text").alias("p"))
-    return scored.select("doc", *[F.col("p")[j].alias(f"p_{n}") for j, n in enumerate(names)], (F.col("p")[len(names) - 1] >= threshold).alias(names[-1]))
+    return scored.select("doc", *[F.col("p")[j].alias(f"p_{n}") for j, n in enumerate(names)], (F.col("p")[len(names) - 1] >= least).alias(names[-1]))
 
 
 def categories() -> dict[str, Column]:
