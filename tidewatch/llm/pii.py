@@ -26,19 +26,22 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Added by the method: international bank account numbers and hyphened national numbers.
+#: Added by the method: international bank account numbers, hyphened national numbers, and keys, tokens and
+#: passwords, which are long runs of letters and digits after a word that says so.
 IBAN = r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Z0-9])"
 NATIONAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+SECRET = r"[A-Za-z0-9+/_-]{16,}+={0,2}"
 
 #: What a span scores before and after its checks. An added span is reported from REPORT on.
-BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.9, "national": 0.4}
+BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.9, "national": 0.4, "secret": 0.4}
 CONTEXT_GAIN, REPORT, CONTEXT_CHARS = 0.3, 0.7, 40
 CONTEXT = {
     "email": "mail|contact|write", "ip": r"\bip\b|address|host|server", "card": "card|credit|visa|payment", "phone": "phone|call|tel|mobile|fax",
     "iban": "iban|bank|account|konto|compte|cuenta", "national": "ssn|social|security|insurance|national",
+    "secret": "token|secret|passw|pwd|credential|bearer|(api|access|private|auth)[ _-]?key",
 }
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("iban", "national")
+ADDED = ("iban", "national", "secret")
 
 
 def _digits(c: Column) -> Column:
@@ -69,6 +72,8 @@ def _valid(kind: str, m: Column) -> Column:
         return F.length(_digits(m)).between(9, 15)
     if kind == "iban":
         return F.length(F.replace(m, F.lit(" "), F.lit(""))).between(15, 34) & mod97(F.replace(m, F.lit(" "), F.lit("")))
+    if kind == "secret":
+        return m.rlike("[0-9].*[0-9]") & m.rlike("[A-Za-z]")
     return F.lit(True)
 
 
@@ -99,8 +104,9 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Rows (id_col, spans), one for each row of docs, spans an array of (kind, start, end, score).
 
     Base kinds (email, ip, card, phone) hold every match that its validator confirms,
-    whatever its score; the added kinds (iban, national) only spans of a score of at
-    least REPORT, so a national number needs a context word. Offsets count code points.
+    whatever its score; the added kinds (iban, national, secret) only spans of a score of
+    at least REPORT, so a national number or a secret needs a context word before it.
+    A secret has a letter and two digits at least. Offsets count code points.
 
     Null or empty text: no spans. Null ids and repeated rows are kept as they are; each
     row is judged by itself. Spans of several kinds may cover the same characters. Other
@@ -108,7 +114,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     base = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
     text = F.col("__t")
-    found = [_spans("email", text, EMAIL, "@"), _spans("ip", text, IP, None), _spans("card", text, CARD, None), _spans("phone", text, PHONE, "+"), _spans("iban", text, IBAN, None), _spans("national", text, NATIONAL, None)]
+    found = [_spans("email", text, EMAIL, "@"), _spans("ip", text, IP, None), _spans("card", text, CARD, None), _spans("phone", text, PHONE, "+"), _spans("iban", text, IBAN, None), _spans("national", text, NATIONAL, None), _spans("secret", text, SECRET, None)]
     strong = [F.filter(x, lambda s: s["score"] >= REPORT) if k in ADDED else x for k, x in zip(BASE + ADDED, found)]
     return base.select(F.col(id_col), reduce(F.concat, strong).alias("spans"))
 
@@ -120,7 +126,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(shown(F.filter("spans", lambda s: s["kind"].isin(*BASE))).cast("binary"), 256).alias("base_sha256"),
-        shown(F.col("spans")).alias("spans"),
+        shown(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"),
     )
 
 
@@ -151,13 +157,16 @@ OP7_SQL = (
             _sql_kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"len({_D}) BETWEEN 9 AND 15"),
             _sql_kind("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", f"len({_I}) BETWEEN 15 AND 34 AND {_REDUCE.format(_IBAN_DIGITS)}"),
             _sql_kind("national", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", f"regexp_matches({_NEAR}, 'ssn|social|security|insurance|national')"),
+            _sql_kind("secret", r"[A-Za-z0-9+/_-]{16,}={0,2}", f"regexp_matches(m, '[0-9].*[0-9]') AND regexp_matches(m, '[A-Za-z]') AND regexp_matches({_NEAR}, '{CONTEXT['secret']}')"),
         ]
     )
     + """,
-found AS (SELECT *, 1 AS o FROM email UNION ALL SELECT *, 2 FROM ip UNION ALL SELECT *, 3 FROM card UNION ALL SELECT *, 4 FROM phone UNION ALL SELECT *, 5 FROM iban UNION ALL SELECT *, 6 FROM national)
+found AS (SELECT *, 1 AS o FROM email UNION ALL SELECT *, 2 FROM ip UNION ALL SELECT *, 3 FROM card UNION ALL SELECT *, 4 FROM phone UNION ALL SELECT *, 5 FROM iban UNION ALL SELECT *, 6 FROM national
+          UNION ALL SELECT *, 7 FROM secret)
 SELECT d.doc_id, count(*) FILTER (WHERE o = 1) AS n_email, count(*) FILTER (WHERE o = 2) AS n_ip, count(*) FILTER (WHERE o = 3) AS n_card, count(*) FILTER (WHERE o = 4) AS n_phone,
        sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) FILTER (WHERE o <= 4), '')) AS base_sha256,
-       coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) FILTER (WHERE kind IS NOT NULL), '') AS spans
+       coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) FILTER (WHERE kind IS NOT NULL), '') AS spans,
+       count(kind) AS n_spans
 FROM docs d LEFT JOIN found f ON d.doc_id = f.doc_id GROUP BY d.doc_id
 """
 )
