@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.llm import line_dedup, mixing, pii
 
@@ -76,6 +77,17 @@ def test_mixing(docs):
     assert mixing.mix(docs([]))[0].count() == 0 and mixing.mix(docs([(1, None, "a")]))[0].first().taken == 0
 
 
+def test_points_of_far_slots(spark):
+    """However far the schedule goes, a source of a small quota gets its slots."""
+    far = [0, 1, 2, (1 << 31) - 1, 1 << 31, 50_000_000_000, (1 << 45) + 12345]
+    got = spark.createDataFrame([(x,) for x in far], "id long").select(mixing.point(F.col("id")).alias("p")).collect()
+    assert [x.p for x in got] == [x * mixing.STEP % mixing.TURN for x in far]
+    start = 50_000_000_000
+    near = sorted(x.p for x in spark.range(start, start + 4096).select(mixing.point(F.col("id")).alias("p")).collect())
+    gaps = [b - a for a, b in zip(near, near[1:])]
+    assert len(set(near)) == 4096 and max(gaps) < 4 * mixing.TURN // 4096
+
+
 def luhn_ok(x):
     d = [int(c) for c in x][::-1]
     return (sum(d[::2]) + sum(sum(divmod(2 * c, 10)) for c in d[1::2])) % 10 == 0

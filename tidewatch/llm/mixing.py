@@ -14,15 +14,19 @@ before. Texts are read once, for their number of words, and never shuffled.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, attached, staged, table
 
-#: round(2**31 / golden ratio) and 2**31: the points in whole numbers, each of the 2**31 once before any twice.
-STEP, TURN = 1327217885, 1 << 31
-#: Words in a block at most; the documents of a source are dealt into so many buckets; cells of [0, 1).
-BLOCK_WORDS, HEX_DIGITS, CELLS, SLOTS_IN_CHUNK = 128, 3, 1024, 1 << 16
+#: The points in whole numbers below 2**62, each once before any twice: multiples of 2**62 over the golden ratio.
+HALF = 31
+TURN = 1 << 2 * HALF
+STEP = (isqrt(5 << 4 * HALF) - TURN) // 2 | 1
+#: Words in a block at most; the documents of a source are dealt into so many buckets; cells of [0, 1) at least, and quotas in a cell.
+BLOCK_WORDS, HEX_DIGITS, CELLS, IN_CELL, SLOTS_IN_CHUNK = 128, 3, 1024, 1 << 20, 1 << 16
 ROUNDS = 3
 
 
@@ -62,16 +66,27 @@ def source_targets(sizes: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
     return s.select("source", "s", "l", "target", "n", "q", (F.col("hi") - F.col("q")).alias("lo"), "hi")
 
 
+def point(slot: Column) -> Column:
+    """slot * STEP mod TURN, for slots below TURN, by halves that no product overflows."""
+    half = 1 << HALF
+    hi, lo = F.shiftright(slot, HALF), slot.bitwiseAND(F.lit(half - 1))
+    cross = (hi * (STEP % half) + lo * (STEP // half)) % half
+    return (lo * (STEP % half) + cross * half) % TURN
+
+
 def schedule(sources: DataFrame) -> DataFrame:
     """Rows (slot, s, block) of the mix, from the staged table of source_targets."""
     spark = sources.sparkSession
     total = sources.agg(F.max("hi")).first()[0] or 0
     # Some slots more than quotas, as a source may come a few short; ranks beyond a quota go.
     slots = total + total // 50 + 64 if total else 0
-    points = spark.range(slots).select(F.col("id").alias("slot"), F.least(F.floor((F.col("id") % TURN * STEP % TURN).cast("double") * F.lit(total) / F.lit(TURN)), F.lit(total - 1)).alias("x"))
-    points = points.withColumn("cell", F.expr(f"x * {CELLS} div {max(total, 1)}"))
-    owners = sources.filter("q > 0").select("s", "lo", "hi", "n", "q", F.explode(F.expr(f"sequence(lo * {CELLS} div {max(total, 1)}, (hi - 1) * {CELLS} div {max(total, 1)})")).alias("cell"))
-    owned = points.join(owners, "cell").filter("x >= lo and x < hi").withColumn("chunk", F.expr(f"slot div {SLOTS_IN_CHUNK}"))
+    points = spark.range(slots).select(F.col("id").alias("slot"), F.least(F.floor(point(F.col("id")).cast("double") * F.lit(total) / F.lit(float(TURN))), F.lit(total - 1)).alias("x"))
+    # A cell holds few quotas, however many there are, so only sources that share a cell are compared.
+    cells = max(CELLS, total // IN_CELL)
+    cell = lambda x: F.floor(x / F.lit(max(1.0, total / cells)))
+    points = points.withColumn("cell", cell(F.col("x")))
+    owners = sources.filter("q > 0").select("s", "lo", "hi", "n", "q", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1))).alias("own_cell"))
+    owned = attached(points, staged(owners, "mix-owners"), F.col("cell") == F.col("own_cell"), "inner", 64).filter("x >= lo and x < hi").withColumn("chunk", F.expr(f"slot div {SLOTS_IN_CHUNK}"))
     ranked = running(owned, ["s"], "chunk", ["slot"], F.lit(1), "rank")
     return ranked.filter("rank < q").select("slot", "s", (F.col("rank") % F.col("n")).alias("block"))
 
@@ -100,7 +115,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     starts = lambda j: j * short + F.least(j, long_ones)
     parts = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(block_of(F.col("a")), block_of(F.col("a") + F.col("size") - 1))))
     parts = parts.select("s", "id", "a", "block", (F.greatest("a", starts(F.col("block"))) - F.col("a")).alias("first"), (F.least(F.col("a") + F.col("size"), starts(F.col("block") + 1)) - F.col("a")).alias("last"))
-    pieces = parts.join(schedule(sources), ["s", "block"])
+    # The mix is written, as it is what a reader of it wants besides the counts.
+    pieces = staged(parts.join(schedule(sources), ["s", "block"]).select("slot", "s", "a", "id", "first", "last"), "mix-pieces")
     # (s, a) names a row that has words: no two of them start at the same word of a line.
     taken = pieces.groupBy("s", "a").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
     worded = placed.filter("size > 0").join(taken, ["s", "a"], "left").select("id", "size", "l", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
@@ -122,7 +138,7 @@ s3 AS (SELECT *, total - coalesce(sum(cap) OVER (ORDER BY cap / w, s ROWS BETWEE
 s4 AS (SELECT *, least(cap::DOUBLE, coalesce(max(CASE WHEN rest * w <= cap * open THEN rest::DOUBLE / open::DOUBLE END) OVER (), 0.0::DOUBLE) * w) AS target, (l + {BLOCK_WORDS - 1}) // {BLOCK_WORDS} AS n FROM s3),
 s5 AS (SELECT *, CASE WHEN l > 0 THEN floor(target * n / l + 0.5)::BIGINT ELSE 0 END AS q FROM s4),
 s6 AS (SELECT *, sum(q) OVER (ORDER BY s)::BIGINT AS hi, sum(q) OVER ()::BIGINT AS qs FROM s5),
-points AS (SELECT i AS slot, least(floor((i % {TURN} * {STEP} % {TURN})::DOUBLE * qs / {TURN})::BIGINT, qs - 1) AS x
+points AS (SELECT i AS slot, least(floor((i::HUGEINT * {STEP} % {TURN})::BIGINT::DOUBLE * qs / {TURN}::DOUBLE)::BIGINT, qs - 1) AS x
            FROM (SELECT qs, unnest(range(qs + qs // 50 + 64)) AS i FROM (SELECT DISTINCT qs FROM s6))),
 ranked AS (SELECT s, n, q, row_number() OVER (PARTITION BY s ORDER BY slot) - 1 AS r FROM points JOIN s6 ON x >= hi - q AND x < hi),
 times AS (SELECT s, r % n AS block, count(*) AS c FROM ranked WHERE r < q GROUP BY ALL),
