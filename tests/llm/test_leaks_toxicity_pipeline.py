@@ -1,6 +1,7 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,9 +9,9 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from tidewatch.llm import decontamination, toxicity
+from tidewatch.llm.mixing import OP5_SQL
 
 from .test_lines_mixing_pii import brute_lines
-from .test_simhash_tokens_topk import brute_components, brute_fingerprint
 
 SF = "/root/testdata/sf0.001"
 
@@ -178,21 +179,59 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     left = [(d, t) for d, _, _, t in brute_lines(left)]
     assert sorted(zip(out["line_dedup"].doc_id, out["line_dedup"].text)) == left
     assert (out["line_dedup"].n_chars == out["line_dedup"].text.str.len()).all()
-    comp = brute_components([d for d, _ in left], [brute_fingerprint(t) for _, t in left])
-    left = [(d, t) for (d, t), c in zip(left, comp) if d == c]
+    left = brute_first_copies(left)
     assert sorted(out["near_duplicates"].doc_id) == [d for d, _ in left]
     items = spark.read.parquet(f"{SF}/benchmark.parquet").toPandas()
     gone = {d for d, *_ in brute_leaks(left, list(zip(items.item_id, items.text)))}
     assert sorted(out["decontamination"].doc_id) == [d for d, _ in left if d not in gone]
-    assert sorted(out["mixing"].doc_id) == sorted(out["decontamination"].doc_id) and out["mixing"].taken.sum() > 0
-
-
-def test_stages_keep_odd_rows(spark):
-    """Nulls, empty tables and repeated rows go through every stage."""
-    names = "doc_id long, text string, lang string, source string, n_chars long"
-    rows = [(1, "some words that nobody else has here at all", "en", "a", 5), (1, "some words that nobody else has here at all", "en", "a", 5), (None, None, None, None, None), (2, "", "en", None, 0), (3, None, "en", "a", None), (1, "a second text of the same id", "en", "a", 9)]
-    for given in (rows, []):
-        docs = spark.createDataFrame(given, names)
-        for name, stage in corpus_pipeline.STAGES:
-            docs = corpus_pipeline.staged(stage(spark, docs, SF), name)
-        assert (docs.count() > 0) == bool(given)
+    # The mix against op5's SQL, over what is left.
+    documents = out["decontamination"]
+    con = duckdb.connect()
+    con.register("documents", documents)
+    want = con.execute(OP5_SQL).fetchall()
+    columns = [c[0] for c in con.description]
+    got = [tuple(r[c] for c in columns) for r in docs.collect()]
+    plain = lambda rows: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows)
+    assert plain(got) == plain(want) and len(got) == len(documents)
+
+
+def brute_first_copies(docs, similarity=0.8):
+    """Of each group that links of like five-word shingles make, the document of the smallest id."""
+    sets, first = [shingles(t) for _, t in docs], list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if (not a and not b) or (a and b and len(a & b) >= similarity * len(a | b) - 1e-9):
+                lo, hi = sorted((first[i], first[j]))
+                first = [lo if f == hi else f for f in first]
+    return [d for k, d in enumerate(docs) if d[0] == min(docs[i][0] for i in range(len(docs)) if first[i] == first[k])]
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and very long texts, repeated rows and clashing names, through every stage."""
+    clashing = ["gone", "lid", "lrk", "__rk", "rk", "id", "doc", "others", "h", "s", "toxic", "component_id", "item_id"]
+    names = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clashing)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    at = 1_000_000  # beyond all labelled ids
+    one, long = "some words that nobody else has here at all", " ".join(f"word{i}" for i in range(60_000))
+    rows = [(at + 1, one, "a"), (at + 1, one, "a"), (None, None, None), (at + 2, "", None), (at + 3, None, "a"), (at + 1, "a second text of the same id", "a"), (at + 4, long, "b"), (at + 5, f"before\n{item}\nafter", "b"), (at + 6, long, "a")]
+    given = [(d, t, "en", s, 5, *clashing) for d, t, s in rows]
+    docs, seen = spark.createDataFrame(given, names), {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.columns
+        docs = corpus_pipeline.staged(stage(spark, docs, SF), name)
+        assert name == "mixing" or docs.columns == before
+        seen[name] = docs.collect()
+    ids = lambda name: sorted((r.doc_id or 0) - at for r in seen[name])
+    assert ids("toxicity") == ids("line_dedup") == sorted((d or 0) - at for d, *_ in rows)
+    texts = sorted((r.doc_id or 0, r.text) for r in seen["line_dedup"])
+    assert texts == sorted((d or 0, "" if d == at + 6 else t or "") for d, t, _ in rows)
+    assert all(r.n_chars == len(r.text) and r.gone == "gone" for r in seen["line_dedup"])
+    # Without words are the null id, 2, 3 and 6, whose line was that of 4.
+    assert ids("near_duplicates") == [1, 2, 4, 5]
+    assert ids("decontamination") == [1, 2, 4]
+    assert sorted((r.doc_id - at, r["size"]) for r in seen["mixing"] if r.doc_id != at + 1) == [(2, 0), (4, 60_000)]
+    docs = spark.createDataFrame([], names)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.staged(stage(spark, docs, SF), name)
+        assert docs.count() == 0

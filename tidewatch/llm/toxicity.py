@@ -45,27 +45,31 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h[new], t[new]
 
 
-def _lists(h: np.ndarray, t: np.ndarray, n: int) -> pa.Array:
+def _lists(values: np.ndarray, t: np.ndarray, n: int) -> pa.Array:
     at = np.searchsorted(t, np.arange(n + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(values))
 
 
 def _sample_features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in it:
-        own = _lists(*features(rows.column("text")), rows.num_rows)
+        h, t = features(rows.column("text"))
+        own = _lists(h.view(np.int64), t, rows.num_rows)
         yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("y"), own], ["id", "y", "features"])
 
 
 class Sparse:
-    """A 0/1 matrix of (rows, columns) of its ones, with some dense columns on the right."""
+    """A 0/1 matrix of (rows, columns) of its ones, in the order of rows, with some dense columns on the right."""
 
     def __init__(self, rows: np.ndarray, cols: np.ndarray, n: int, k: int, dense: np.ndarray):
         self.n, self.k, self.dense = n, k, dense
         # The ones by rows and by columns, each with the places where a new one begins.
-        by_row, by_col = np.lexsort((cols, rows)), np.lexsort((rows, cols))
-        self.cols, self.rows = cols[by_row], rows[by_col]
-        self.used_rows, self.row_at = np.unique(rows[by_row], return_index=True)
-        self.used_cols, self.col_at = np.unique(cols[by_col], return_index=True)
+        self.cols, self.used_rows, self.row_at = cols.astype(np.int32), *np.unique(rows, return_index=True)
+        by_col = np.argsort(self.cols, kind="stable")
+        self.rows = rows[by_col].astype(np.int32)
+        del by_col
+        counts = np.bincount(self.cols, minlength=k)
+        self.used_cols = np.flatnonzero(counts)
+        self.col_at = (np.cumsum(counts) - counts)[self.used_cols]
 
     def times(self, w: np.ndarray) -> np.ndarray:
         out = self.dense @ w[self.k :] if self.dense.shape[1] else np.zeros(self.n)
@@ -121,17 +125,19 @@ def _fits(size: int, category: int, folds: int, penalty: float, steps: int):
     probability of category e."""
 
     def fitted(part: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(held).combine_chunks()
+        t = pa.Table.from_batches(held)
+        held.clear()
+        t = t.combine_chunks()
         ids, n = t.column("id").to_numpy(), t.num_rows
         y = np.array([v[category] for v in t.column("y").to_pylist()])
         lists = [c.chunk(0) if isinstance(c := t.column(name).combine_chunks(), pa.ChunkedArray) else c for name in ("features", "earlier")]
-        rows, cols = np.repeat(np.arange(n), np.diff(lists[0].offsets.to_numpy())), lists[0].flatten().to_numpy()
+        rows, cols = np.repeat(np.arange(n, dtype=np.int32), np.diff(lists[0].offsets.to_numpy())), lists[0].flatten().to_numpy()
         dense = lists[1].flatten().to_numpy().reshape(n, category)
         fold = ids.view(np.uint64) % np.uint64(folds)
 
         def some(keep: np.ndarray) -> Sparse:
             ones = keep[rows]
-            return Sparse((np.cumsum(keep) - 1)[rows[ones]], cols[ones], int(keep.sum()), size, dense[keep])
+            return Sparse((np.cumsum(keep, dtype=np.int32) - 1)[rows[ones]], cols[ones], int(keep.sum()), size, dense[keep])
 
         learn = np.ones(n, bool) if part < 0 else fold != part
         w, bias = logistic(some(learn), y[learn], penalty, steps)
@@ -139,7 +145,7 @@ def _fits(size: int, category: int, folds: int, penalty: float, steps: int):
             out = [ids[~learn], sigmoid(some(~learn).times(w) + bias), None, None]
         else:
             used = np.append(np.flatnonzero(w[:size]), np.arange(size, len(w)))
-            out = [None, None, np.append(np.where(used < size, used, size - 2 - used), -1), np.append(w[used], bias)]
+            out = [None, None, np.append(np.where(used < size, used, size - 2 - used), -1).astype(np.int64), np.append(w[used], bias)]
         m = max(len(c) for c in out if c is not None)
         kinds = (pa.int64(), pa.float64(), pa.int64(), pa.float64())
         return pa.RecordBatch.from_arrays([pa.nulls(m, k) if c is None else pa.array(c, k) for c, k in zip(out, kinds)], ["id", "p", "feature", "weight"])
@@ -173,7 +179,7 @@ def _known_only(vocabulary: np.ndarray):
             at = np.searchsorted(vocabulary, h)
             known = np.append(vocabulary, 0)[at] == h
             known &= at < len(vocabulary)
-            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("y"), _lists(at[known], t[known], rows.num_rows)], ["id", "y", "features"])
+            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("y"), _lists(at[known].astype(np.int32), t[known], rows.num_rows)], ["id", "y", "features"])
 
     return run
 
@@ -204,7 +210,7 @@ def train(labelled: DataFrame, categories: int, folds: int = FOLDS, penalty: flo
     per = sample.select("y", F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("rows"), *sums)
     pull = F.greatest(F.lit(0.0), *[F.abs(F.col(f"y{j}") - F.col("rows") * (totals[f"y{j}"] / n)) for j in range(categories)]) / n
     vocabulary = np.sort(per.filter(pull > penalty / 2).select("feature").toPandas()["feature"].to_numpy(np.int64))
-    x = sample.mapInArrow(_known_only(vocabulary), "id long, y array<double>, features array<long>")
+    x = sample.mapInArrow(_known_only(vocabulary), "id long, y array<double>, features array<int>")
     x = staged(x.withColumn("earlier", F.array().cast("array<double>")), "sample-known")
     weights = []
     for j in range(categories):
