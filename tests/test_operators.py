@@ -200,3 +200,35 @@ def test_appends_can_be_repeated(spark, tmp_path):
     for _ in range(3):
         out = sinks.append_new(df, path, "id")
     assert out.count() == 10
+
+
+def test_only_a_missing_table_is_a_first_write(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.append_new(spark.range(3).withColumn("x", F.lit(1)), path, "id")
+    torn = spark.createDataFrame([("a", 1)], "id string, x int")
+    with pytest.raises(Exception):
+        sinks.append_new(torn, path, "id").collect()
+    rows = spark.createDataFrame([(None, 1), (None, 2), (2, 5), (7, 5), (7, 5)], "id long, x int")
+    assert sorted((r.id is None, r.id or 0) for r in sinks.append_new(rows, path, "id").collect()) == [(False, 0), (False, 1), (False, 2), (False, 7), (True, 0), (True, 0)]
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    from tidewatch.streaming import flows
+
+    path = str(tmp_path / "t")
+    write = flows.ingest(path, "id")
+    batch = spark.createDataFrame([(1, "a"), (2, "a"), (2, "a"), (3, "a"), (3, "b")], "id long, x string")
+    again = spark.createDataFrame([(1, "a"), (2, "z"), (9, "a")], "id long, x string")
+    for df, n in ((batch, 0), (batch, 0), (again, 1), (again, 1)):
+        write(df, n)
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "a"), (9, "a")]
+    told = spark.read.parquet(f"{path}-dispositions").groupBy("batch", "id", "disposition").count().collect()
+    assert sorted((r.batch, r.id, r.disposition) for r in told) == [(0, 1, "new"), (0, 2, "new"), (0, 3, "conflict"), (1, 1, "duplicate"), (1, 2, "conflict"), (1, 9, "new")]
+
+
+def test_ranks_within_keys(spark):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else "ab"[i % 2]) for i in range(500)], "id long, y string")
+    got = splits.by_digest(df, ["y"], splits.digest_order(F.col("id")), "id").collect()
+    for y in (None, "a", "b"):
+        own = [r for r in got if r.y == y]
+        assert sorted(r["rank"] for r in own) == list(range(1, len(own) + 1)) and {r.n_rows for r in own} == {len(own)}

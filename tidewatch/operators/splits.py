@@ -22,34 +22,52 @@ def digest_order(*parts: Column, seed: int = 42, bits: int = 0) -> Column:
     return F.sha2(text.cast("binary"), bits) if bits else F.md5(text.cast("binary"))
 
 
+#: Leading hex digits of a digest that make a bucket.
+BUCKET_DIGITS = 3
+
+
+def ranked_within(df: DataFrame, keys: list[str], bucket: Column, order: list, name: str = "rank") -> DataFrame:
+    """df with its rank, from 1, within its keys in the order of (bucket, *order), and the number of rows of the keys.
+
+    Rows are ranked within their bucket and the buckets' counts summed up, so no task
+    sees more than a bucket of a key.
+    """
+    b = df.withColumn("__b", bucket)
+    names = [f"__k{i}" for i in range(len(keys))]
+    sizes = b.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("__b").alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
+    whole = Window.partitionBy(*(names or [F.lit(0)]))
+    before = F.sum("__n").over(whole.orderBy(F.asc_nulls_first("__c")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+    sizes = sizes.select(*names, "__c", before.alias("__before"), F.sum("__n").over(whole).alias("n_rows"))
+    on = F.col("__b").eqNullSafe(F.col("__c"))
+    for k, n in zip(keys, names):
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    ranked = b.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(*order))).join(sizes, on)
+    return ranked.withColumn(name, F.col("__r") + F.col("__before")).drop("__b", "__c", "__r", "__before", *names)
+
+
+def by_digest(df: DataFrame, keys: list[str], digest: Column, tie: str, name: str = "rank") -> DataFrame:
+    """ranked_within in the order of (digest, tie)."""
+    d = df.withColumn("__d", digest)
+    return ranked_within(d, keys, F.substring("__d", 1, BUCKET_DIGITS), ["__d", tie], name).drop("__d")
+
+
 def stratified(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
     """df with `split`, 60/20/20 within each label, which needs three rows."""
-    w = Window.partitionBy(label)
-    rank = F.row_number().over(w.orderBy(digest_order(F.col(key), seed=seed), key))
-    n = F.count(F.lit(1)).over(w)
-    return df.withColumn("__n", n).withColumn("split", cut(rank, F.col("__n"))).filter(F.col("__n") >= 3).drop("__n")
+    ranked = by_digest(df, [label], digest_order(F.col(key), seed=seed), key, "__rank").filter("n_rows >= 3")
+    return ranked.withColumn("split", cut(F.col("__rank"), F.col("n_rows"))).drop("__rank", "n_rows")
 
 
 def grouped(df: DataFrame, group: str, seed: int = 42) -> DataFrame:
     """df with `split`, whole groups going to one part; the groups alone are ranked."""
     g = df.select(F.col(group).alias("__g")).distinct()
-    w = Window.partitionBy(F.lit(0))
-    ranked = g.withColumn("split", cut(F.row_number().over(w.orderBy(digest_order(F.col("__g"), seed=seed), "__g")), F.count(F.lit(1)).over(w)))
+    ranked = by_digest(g, [], digest_order(F.col("__g"), seed=seed), "__g", "__rank")
+    ranked = ranked.select("__g", cut(F.col("__rank"), F.col("n_rows")).alias("split"))
     return df.join(ranked, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
 
 
 def ranked_globally(df: DataFrame, bucket: Column, order: list[str], name: str = "rank") -> DataFrame:
-    """df with its rank, from 1, over all rows in the order of (bucket, *order), and the number of rows.
-
-    Rows are ranked within their bucket and the buckets' counts summed up, so no task
-    sees more than a bucket.
-    """
-    b = df.withColumn("__b", bucket)
-    sizes = b.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    one = Window.partitionBy(F.lit(0))
-    sizes = sizes.withColumns({"__before": F.sum("__n").over(one.orderBy(F.asc_nulls_first("__b")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n"), "n_rows": F.sum("__n").over(one)}).select(F.col("__b").alias("__c"), "__before", "n_rows")
-    inner = F.row_number().over(Window.partitionBy("__b").orderBy(*order))
-    return b.withColumn("__r", inner).join(sizes, F.col("__b").eqNullSafe(F.col("__c"))).withColumn(name, F.col("__r") + F.col("__before")).drop("__b", "__c", "__r", "__before")
+    """ranked_within over all rows."""
+    return ranked_within(df, [], bucket, order, name)
 
 
 def temporal(df: DataFrame, ts: str, order: list[str]) -> DataFrame:

@@ -68,6 +68,19 @@ def ss04(spark, d):
     return spark.read.parquet(out).drop("batch")
 
 
+@query("ss01_stream_dispositions", "SELECT disposition, count(*) AS n FROM (SELECT event_id, 'new' AS disposition FROM events UNION ALL SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'conflict' ELSE 'duplicate' END FROM events WHERE event_id % 2 = 0) GROUP BY 1")
+def ss01_dispositions(spark, d):
+    """Every event in a first drop; in a second one every other event again, every fourth with another value."""
+    path, out = scratch(spark, "sent"), scratch(spark, "taken")
+    a = alerts(spark, d).select("alert_id", "event_type", "value")
+    even, fourth = F.col("alert_id") % 2 == 0, F.col("alert_id") % 4 == 0
+    for part in (a, a.filter(even).withColumn("value", F.when(fourth, F.col("value") + 1).otherwise(F.col("value")))):
+        part.coalesce(4).write.mode("append").json(path)
+        stream = S.follow(spark, path, "alert_id long, event_type string, value double", files_per_batch=100)
+        S.drain(stream, out, write=S.ingest(out, "alert_id"))
+    return spark.read.parquet(f"{out}-dispositions").groupBy("disposition").agg(F.count(F.lit(1)).alias("n"))
+
+
 NAMESPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
 
 
@@ -94,6 +107,13 @@ def ss07(spark, d):
     return _latest(spark.read.parquet(out), ["started_at", "user_id"]).withColumn("started_at", F.col("started_at").cast("timestamp_ntz"))
 
 
+@query("ss07_limit_rule", f"WITH {ALERTS} SELECT time_bucket(INTERVAL 24 HOUR, observed_at, TIMESTAMP '1970-01-01') AS started_at, user_id, arg_min(alert_id, (observed_at, alert_id)) AS alert_id, count(*) - 1 AS n_suppressed FROM alerts GROUP BY 1, 2")
+def ss07_limit(spark, d):
+    out = scratch(spark, "limit")
+    S.drain(S.limit_rule(_stream(spark, d), "ts", "user_id", "alert_id", "24 hours", "1 day"), out, mode="update")
+    return _latest(spark.read.parquet(out), ["started_at", "user_id"]).withColumn("started_at", F.col("started_at").cast("timestamp_ntz"))
+
+
 @query("ss08_content_rule", f"WITH {ALERTS} SELECT alert_id FROM alerts WHERE contains(event_type, 'err') OR contains(event_type, 'purch')")
 def ss08(spark, d):
     out = scratch(spark, "content")

@@ -11,6 +11,7 @@ from tidewatch.operators import severity as V
 from tidewatch.operators import splits as P
 from tidewatch.operators import training as TR
 
+from . import scratch
 from .bindings import table
 from .registry import query
 
@@ -19,12 +20,9 @@ CUT = "CASE WHEN r <= floor(n * 0.6 + 1e-9) THEN 'train' WHEN r <= floor(n * 0.8
 
 @query("wn10_session_split", f"WITH s AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('7|' || c_mktsegment || '|' || c_custkey), c_custkey) AS r, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) SELECT c_custkey, c_mktsegment, {CUT} FROM s")
 def wn10(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("c_mktsegment")
     c = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
-    rank = F.row_number().over(w.orderBy(P.digest_order(F.col("c_mktsegment"), F.col("c_custkey"), seed=7, bits=256), "c_custkey"))
-    return c.withColumn("r", rank).withColumn("n", F.count(F.lit(1)).over(w)).select("c_custkey", "c_mktsegment", P.cut(F.col("r"), F.col("n")).alias("split"))
+    ranked = P.by_digest(c, ["c_mktsegment"], P.digest_order(F.col("c_mktsegment"), F.col("c_custkey"), seed=7, bits=256), "c_custkey")
+    return ranked.select("c_custkey", "c_mktsegment", P.cut(F.col("rank"), F.col("n_rows")).alias("split"))
 
 STRATIFIED = f"strat AS (SELECT event_id, event_type, {CUT} FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md5('42|' || event_id), event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events))"
 
@@ -116,13 +114,15 @@ def _evaluated(scored, truth, label, model):
     s = M.summary(M.per_class(M.confusion(scored, truth, label)))
     return s.select(F.lit(model).alias("model"), R(F.col("macro_f1"), 3).alias("macro_f1"), R(F.col("accuracy"), 3).alias("accuracy"), R(F.col("macro_fpr"), 3).alias("macro_fpr"))
 
-def _compare(spark, d, target, rows):
-    df = _flows(spark, d).filter(rows).cache()
+def _compare(spark, d, target, rows, seeds=(42,)):
+    """Each candidate of each seed on the validation rows."""
+    df = scratch.staged(_flows(spark, d).filter(rows), "flows")
     classes = 2 if target == "binary" else 3
     parts = []
-    for name, model in TR.candidates(classes, small=True).items():
-        fitted = TR.fit(_part(df, "train"), target, NUMERIC, CATEGORICAL, model)
-        parts.append(_evaluated(fitted.score(_part(df, "validation"), "m"), target, "m_label", name))
+    for seed in seeds:
+        for name, model in TR.candidates(classes, seed).items():
+            fitted = TR.fit(_part(df, "train"), target, NUMERIC, CATEGORICAL, model)
+            parts.append(_evaluated(fitted.score(_part(df, "validation"), "m"), target, "m_label", name).withColumn("seed", F.lit(seed)))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 @query("ml08_preprocess")
@@ -136,28 +136,22 @@ def ml08(spark, d):
 
 @query("ml10_detector_candidates")
 def ml10(spark, d):
-    return _compare(spark, d, "binary", "true")
+    return _compare(spark, d, "binary", "true").drop("seed")
 
 @query("ml13_family_candidates")
 def ml13(spark, d):
-    c = _compare(spark, d, "family", "binary = 'attack'")
+    c = _compare(spark, d, "family", "binary = 'attack'").drop("seed")
     return c.withColumn("champion", F.row_number().over(M.one().orderBy(F.desc("macro_f1"), "model")) == 1)
 
 @query("ml12_seeds_and_champion")
 def ml12(spark, d):
-    df = _flows(spark, d).cache()
-    runs = []
-    for seed in (42, 1337):
-        for name, model in TR.candidates(2, seed, small=True).items():
-            if name in ("logistic", "tree"):
-                fitted = TR.fit(_part(df, "train"), "binary", NUMERIC, CATEGORICAL, model)
-                runs.append(_evaluated(fitted.score(_part(df, "validation"), "m"), "binary", "m_label", name).withColumn("seed", F.lit(seed)))
-    m = reduce(lambda a, b: a.unionByName(b), runs).groupBy("model").agg(F.avg("macro_f1").alias("mean_f1"), F.avg("macro_fpr").alias("mean_fpr"), F.count(F.lit(1)).alias("runs"))
+    runs = _compare(spark, d, "binary", "true", (42, 1337, 2026))
+    m = runs.groupBy("model").agg(F.avg("macro_f1").alias("mean_f1"), F.avg("macro_fpr").alias("mean_fpr"), F.count(F.lit(1)).alias("runs"))
     return m.withColumn("rank", F.row_number().over(M.one().orderBy(F.desc("mean_f1"), "mean_fpr", "model")))
 
 def _models(spark, d):
-    df = _flows(spark, d)
-    tree = TR.candidates(2, small=True)["tree"]
+    df = scratch.staged(_flows(spark, d), "flows")
+    tree = TR.candidates(2)["tree"]
     train = _part(df, "train")
     return df, TR.fit(train, "binary", NUMERIC, CATEGORICAL, tree), TR.fit(train.filter("binary = 'attack'"), "family", NUMERIC, CATEGORICAL, tree)
 

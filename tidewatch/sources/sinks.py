@@ -7,15 +7,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 
+def stored(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    """The table at `path`, or None before its first write; any other error is raised."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def within(table: DataFrame, df: DataFrame, key: str) -> DataFrame:
+    """The rows of a table whose keys lie between the least and the greatest of df, so that a scan skips files and row groups of others."""
+    lo, hi = df.agg(F.min(key), F.max(key)).first()
+    return table.filter(F.col(key).between(lo, hi)) if lo is not None else table.filter(F.lit(False))
+
+
 def append_new(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Appends the rows whose key the table at `path` doesn't have yet, one for each key; returns the table."""
+    """Appends the rows whose key the table at `path` doesn't have yet, one for each key; returns the table.
+
+    One writer at a time: streams write batch after batch. Rows without a key are appended as they are.
+    """
     spark: SparkSession = df.sparkSession
-    fresh = df.dropDuplicates([key])
-    try:
-        stored = spark.read.schema(df.schema).parquet(path)
-        fresh = fresh.join(stored.select(key), key, "left_anti").select(*df.columns)
-    except AnalysisException:  # the first write
-        pass
+    fresh = df.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(df.filter(F.col(key).isNull()))
+    if (had := stored(spark, path, df.schema)) is not None:
+        fresh = fresh.join(within(had, df, key).select(key), key, "left_anti").select(*df.columns)
     fresh.write.mode("append").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

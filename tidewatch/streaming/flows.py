@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidewatch.operators import severity
+from tidewatch.operators import lifecycle, severity
 from tidewatch.sources import sinks
 
 
@@ -28,8 +28,29 @@ def once(stream: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
 
 
 def ingest(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A batch writer that appends what the table at `path` doesn't have."""
-    return lambda df, _: sinks.append_new(df, path, key) and None
+    """A batch writer that appends what the table at `path` doesn't have, and says of each key
+    of the batch whether it was new, a duplicate of what is stored, or in conflict with it or
+    with another row of the batch: rows (key, digest, disposition) in the folder batch=<n> of
+    `path`-dispositions. Rows in conflict are not appended.
+
+    A repeated batch finds its own rows stored; what its folder says already stays.
+    """
+
+    def write(df: DataFrame, n: int) -> None:
+        spark = df.sparkSession
+        seen = sinks.stored(spark, f"{path}-dispositions/batch={n}", f"{key} {dict(df.dtypes)[key]}, digest string, disposition string")
+        if seen is None:
+            digest = lambda x: x.withColumn("__digest", F.sha2(F.to_json(F.struct(*df.columns)), 256))
+            own, had = digest(df).persist(), sinks.stored(spark, path, df.schema)
+            known = digest(sinks.within(had, df, key) if had is not None else df.limit(0)).select(key, "__digest")
+            told = lifecycle.split_known(own.select(key, "__digest"), known, key, "__digest").select(key, F.col("__digest").alias("digest"), "disposition")
+            told.write.mode("overwrite").parquet(f"{path}-dispositions/batch={n}")
+            own.unpersist()
+            seen = spark.read.schema(told.schema).parquet(f"{path}-dispositions/batch={n}")
+        new = seen.filter("disposition = 'new'").select(key).distinct()
+        sinks.append_new(df.join(new, key, "left_semi").select(*df.columns), path, key)
+
+    return write
 
 
 def score_batch(predictions: str, alerts: str, key: str) -> Callable[[DataFrame, int], None]:
@@ -52,6 +73,12 @@ def threshold_rule(stream: DataFrame, ts: str, source: str, at_least: int, windo
     return n.filter(F.col("n") >= at_least).select(F.col("window.start").alias("started_at"), source, "n")
 
 
+def limit_rule(stream: DataFrame, ts: str, source: str, key: str, window: str, delay: str) -> DataFrame:
+    """One alert for each source and tumbling window, its first row (by time, then key), and how many more there were."""
+    b = stream.withWatermark(ts, delay).groupBy(F.window(ts, window), source).agg(F.min(F.struct(ts, key)).alias("first"), (F.count(F.lit(1)) - 1).alias("n_suppressed"))
+    return b.select(F.col("window.start").alias("started_at"), source, F.col(f"first.{key}").alias(key), "n_suppressed")
+
+
 def content_rule(stream: DataFrame, column: str, words: list[str]) -> DataFrame:
     hit = F.lit(False)
     for w in words:
@@ -86,20 +113,20 @@ def changes_only(stream: DataFrame, key: str) -> DataFrame:
 
     def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        out = []
-        for _, row in pd.concat(list(batches)).sort_values("version").iterrows():
-            if row["status"] != last:
-                last = row["status"]
-                out.append((k[0], int(row["version"]), last))
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["key", "version", "status"])
+        rows = pd.concat(list(batches)).sort_values("version")
+        before = rows["status"].shift()
+        before.iloc[0] = last
+        out = rows.loc[rows["status"] != before, ["version", "status"]]
+        state.update((rows["status"].iloc[-1],))
+        out.insert(0, "key", k[0])
+        yield out
 
     return stream.groupBy(key).applyInPandasWithState(update, "key string, version long, status string", "status string", "append", GroupStateTimeout.NoTimeout)
 
 
 def drain(stream: DataFrame, path: str, mode: str = "append", write: Callable[[DataFrame, int], None] | None = None) -> None:
-    """Runs a stream over all there is and stops. Output is appended to `path` as Parquet,
-    each batch's rows with its number, or handed to `write`."""
-    put = write or (lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(path))
+    """Runs a stream over all there is and stops. Each batch's rows are Parquet in a folder
+    batch=<n> of `path`, which a repeated batch overwrites, or they are handed to `write`."""
+    put = write or (lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}"))
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).foreachBatch(put).start()
     q.awaitTermination()
