@@ -232,3 +232,51 @@ def test_ranks_within_keys(spark):
     for y in (None, "a", "b"):
         own = [r for r in got if r.y == y]
         assert sorted(r["rank"] for r in own) == list(range(1, len(own) + 1)) and {r.n_rows for r in own} == {len(own)}
+
+
+def test_health_ladder(spark):
+    """Three alarms in a row are critical; what has no route, no reference or too few rows isn't judged."""
+    import datetime as dt
+
+    day = lambda i: dt.datetime(2024, 1, i)
+    keys = "window string, checked_at timestamp_ntz, cohort string"
+    groups = [("fast", day(i), c) for c in ("live", "thin", "stale", "odd") for i in (1, 2, 3, 4)]
+    counts = spark.createDataFrame([(*g, 5 if g[2] == "thin" else 50, 10) for g in groups], f"{keys}, n long, minimum int")
+    routes = spark.createDataFrame([("live", None), ("thin", None), ("stale", "blocked")], "cohort string, reason string")
+    alarm = lambda g: g[1] > day(1)
+    features = spark.createDataFrame([(*g, 2.0 if alarm(g) else 0.5, "warning" if alarm(g) else "healthy") for g in groups], f"{keys}, aggregate_score double, status string")
+    outputs = spark.createDataFrame([(*g, 3.0 if g[1] == day(4) else 0.1, "healthy") for g in groups], f"{keys}, aggregate_score double, status string")
+    got = {(r.cohort, r.checked_at.day): (r.status, r.score) for r in drift.health(counts, routes, features, outputs, "cohort").collect()}
+    assert [got["live", i] for i in (1, 2, 3, 4)] == [("healthy", 0.5), ("warning", 2.0), ("warning", 2.0), ("critical", 3.0)]
+    assert {got[c, 4] for c in ("thin", "stale", "odd")} == {("collecting", None), ("blocked", None), ("incompatible_source", None)}
+
+
+def test_output_metrics_need_support(spark):
+    base = spark.createDataFrame([("normal" if i % 4 else "attack", i / 400, "a" if i % 2 else "b", i / 400) for i in range(400)], "l string, s double, c string, cs double")
+    cur = spark.createDataFrame([(k, "attack", 0.9, "new", 0.5) for k in (1, 2) for _ in range(100 if k == 1 else 250)], "k int, l string, s double, c string, cs double")
+    cols = [F.col(c) for c in ("l", "s", "c", "cs")]
+    (bl, bs), (cl, cs) = drift.output_rows(base, [], *cols), drift.output_rows(cur, ["k"], *cols)
+    vocabulary, reference = drift.output_references(bl, bs, bl, bs)
+    limits = spark.createDataFrame([(m, 0.1) for m in drift.LABELS + drift.SCORES], "feature string, threshold double")
+    m = drift.output_metrics(vocabulary, reference, bs, cl, cs, limits, ["k"], 0.25, 0.05)
+    got = {(r.k, r.metric): (r.status, r.n) for r in m.collect()}
+    assert got[1, "classifier_scores"] == ("collecting", 100) and got[2, "classifier_scores"] == ("warning", 250)
+    assert all(got[k, x][0] == "warning" for k in (1, 2) for x in (*drift.LABELS, "detector_scores", "attack_routing_rate"))
+    assert {(r.k, r.alarm_count, r.aggregate_score >= 15) for r in drift.output_status(m, ["k"]).collect()} == {(1, 4, True), (2, 5, True)}
+    # Three values are too few to calibrate with.
+    few = drift.output_references(bl, bs, bl.limit(3), bs.limit(3))
+    assert few[0].count() == 0 and few[1].count() == 0
+
+
+def test_newest_rows_of_a_large_key(spark):
+    df = spark.createDataFrame([(i % 3 == 0, i % 50, i) for i in range(600)], "k boolean, t int, id int")
+    got = drift.newest(df, ["k"], [F.desc("t"), F.desc("id")], 40, F.col("id"), parts=7).collect()
+    for k in (True, False):
+        want = sorted(((i % 50, i) for i in range(600) if (i % 3 == 0) == k), reverse=True)[:40]
+        assert sorted(((r.t, r.id) for r in got if r.k == k), reverse=True) == want
+
+
+def test_only_critical_degrades(spark):
+    rows = [("critical", False, True, "degraded"), ("critical", True, True, "ready"), ("critical", False, False, "ready"), ("warning", False, True, "ready"), (None, False, True, "degraded")]
+    df = spark.createDataFrame(rows, "status string, shadow_mode boolean, deployment_eligible boolean, want string")
+    assert all(r.component == r.want for r in drift.readiness(df).collect())

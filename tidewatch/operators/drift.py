@@ -43,23 +43,38 @@ def histogram(long: DataFrame, reference: DataFrame, keys: list[str] = []) -> Da
     return binned.groupBy(*keys, "feature", S.bin_of(F.col("x"), F.col("edges")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def newest(df: DataFrame, keys: list[str], order: list[Column], count: int, salt: Column, parts: int = 64) -> DataFrame:
+    """The first `count` rows of each key in an order. Each of `parts` shares of a key, by `salt`, gives its own
+    first rows, so that no task sorts all rows of a key."""
+    share = F.pmod(F.xxhash64(salt), F.lit(parts))
+    some = df.withColumn("__s", share).withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__s").orderBy(*order))).filter(F.col("__r") <= count)
+    return some.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("__r") <= count).drop("__s", "__r")
+
+
 def reference_sample(long: DataFrame, id_col: str, size: int = 2000) -> DataFrame:
     """Rows (feature, x): the `size` rows of each feature whose ids have the least digests."""
-    w = Window.partitionBy("feature").orderBy(F.md5(F.concat_ws("|", "feature", F.col(id_col).cast("string"))), id_col, "x")
-    return long.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= size).select("feature", "x")
+    d = long.withColumn("__d", F.md5(F.concat_ws("|", "feature", F.col(id_col).cast("string"))))
+    return newest(d, ["feature"], [F.col("__d"), F.col(id_col), F.col("x")], size, F.col("__d")).select("feature", "x")
+
+
+def histogram_distance(reference: DataFrame, reference_rows: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (*keys, feature, js) of the histograms of rows (*keys, feature, x) over the reference's edges."""
+    ref_hist = histogram(reference_rows, reference).withColumnRenamed("n", "n_ref")
+    cur_hist = histogram(current, reference, keys)
+    # Every bin of the reference's edges, under- and overflow too, for every group.
+    bins = reference.select("feature", F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"))
+    grid = current.select(*keys, "feature").distinct().join(F.broadcast(bins), "feature")
+    full = grid.join(F.broadcast(ref_hist), ["feature", "bin"], "left").join(cur_hist, [*keys, "feature", "bin"], "left").na.fill(0, ["n_ref", "n"])
+    full = full.withColumn("p", S.smoothed(F.col("n_ref"), *keys, "feature")).withColumn("q", S.smoothed(F.col("n"), *keys, "feature"))
+    return full.groupBy(*keys, "feature").agg(S.js_distance(F.col("p"), F.col("q")).alias("js"))
 
 
 def numeric_drift(reference: DataFrame, reference_rows: DataFrame, sample: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (*keys, feature, js, ks, p, exceed_rate, ref_median, ref_p95, cur_median, cur_p95)."""
     # A row for each feature, and a bounded sample of it: kept, as each is used several times.
     reference, sample = reference.persist(), sample.persist()
-    ref_hist = histogram(reference_rows, reference).withColumnRenamed("n", "n_ref")
-    cur_hist = histogram(current, reference, keys)
     groups = current.select(*keys, "feature").distinct()
-    # Every bin of the reference's edges, under- and overflow too, for every group.
-    grid = groups.join(F.broadcast(reference.select("feature", F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"))), "feature")
-    full = grid.join(F.broadcast(ref_hist), ["feature", "bin"], "left").join(cur_hist, [*keys, "feature", "bin"], "left").na.fill(0, ["n_ref", "n"])
-    js = full.withColumn("p", S.smoothed(F.col("n_ref"), *keys, "feature")).withColumn("q", S.smoothed(F.col("n"), *keys, "feature")).groupBy(*keys, "feature").agg(S.js_distance(F.col("p"), F.col("q")).alias("js"))
+    js = histogram_distance(reference, reference_rows, current, keys)
     # A stored sample of a fixed size for each feature meets every group.
     ref_side = groups.join(F.broadcast(sample), "feature").withColumn("side", F.lit(0))
     both = ref_side.unionByName(current.select(*keys, "feature", "x").withColumn("side", F.lit(1)))
@@ -107,6 +122,111 @@ def window_status(judged: DataFrame, keys: list[str]) -> DataFrame:
     return judged.groupBy(*keys).agg(F.max("ratio").alias("aggregate_score"), F.count_if("drifted").alias("n_drifted"), F.when(F.bool_or("drifted"), "warning").otherwise("healthy").alias("status"))
 
 
+LABELS, SCORES = ["detector_labels", "classifier_labels"], ["detector_scores", "classifier_scores"]
+#: Classifier scores are judged from so many on; the others from one.
+CLASSIFIER_SUPPORT = 200
+
+
+def output_rows(df: DataFrame, keys: list[str], detector_label: Column, detector_score: Column, classifier_label: Column, classifier_score: Column) -> tuple[DataFrame, DataFrame]:
+    """(labels, scores): rows (*keys, feature, x) of what a model put out, in the names of LABELS and SCORES; nulls are left out."""
+    o = df.select(*keys, *[c.alias(n) for c, n in zip((detector_label, classifier_label, detector_score, classifier_score), LABELS + SCORES)])
+    return long_categorical(o, keys, LABELS), long_numeric(o, keys, SCORES)
+
+
+def output_references(labels: DataFrame, scores: DataFrame, calibration_labels: DataFrame, calibration_scores: DataFrame, least: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(vocabulary, numeric reference) of the outputs of a baseline, of which a metric has
+    none unless it has a baseline value and `least` values to calibrate its threshold with."""
+    enough = lambda c: c.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("feature")
+    vocabulary = labels.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n_ref")).join(F.broadcast(enough(calibration_labels)), "feature", "left_semi")
+    return vocabulary, numeric_reference(scores).join(F.broadcast(enough(calibration_scores)), "feature", "left_semi")
+
+
+def output_metrics(vocabulary: DataFrame, reference: DataFrame, reference_scores: DataFrame, labels: DataFrame, scores: DataFrame, thresholds: DataFrame, keys: list[str], rate: float, rate_threshold: float, attack: str = "attack", support: int = CLASSIFIER_SUPPORT) -> DataFrame:
+    """Rows (*keys, metric, n, value, threshold, ratio, drifted, status), for each group one for
+    each metric: label and score distances from the references, and how far the share of
+    `attack` among the detector's labels moved from `rate`. What has no reference, no values
+    or too few classifier scores is collecting. Thresholds: rows (feature, threshold)."""
+    counts = labels.select(*keys, "feature").unionByName(scores.select(*keys, "feature")).groupBy(*keys, "feature").agg(F.count(F.lit(1)).alias("n"))
+    known = lambda df, ref: df.join(F.broadcast(ref.select("feature").distinct()), "feature", "left_semi")
+    js = categorical_drift(vocabulary, known(labels, vocabulary), keys).select(*keys, "feature", "js")
+    js = js.unionByName(histogram_distance(reference, known(reference_scores, reference), known(scores, reference), keys).select(*keys, "feature", "js"))
+    groups = labels.select(*keys).distinct().withColumn("feature", F.explode(F.array(*[F.lit(x) for x in LABELS + SCORES])))
+    every = groups.join(counts, [*keys, "feature"], "left").join(js, [*keys, "feature"], "left").join(F.broadcast(thresholds), "feature", "left").na.fill(0, ["n"])
+    least = F.when(F.col("feature") == SCORES[1], support).otherwise(1)
+    every = every.select(*keys, F.col("feature").alias("metric"), "n", F.when(F.col("n") >= least, F.col("js")).alias("value"), "threshold")
+    moved = labels.filter(F.col("feature") == LABELS[0]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.abs(F.avg((F.col("x") == attack).cast("double")) - rate).alias("value"))
+    every = every.unionByName(moved.select(*keys, F.lit("attack_routing_rate").alias("metric"), "n", "value", F.lit(float(rate_threshold)).alias("threshold")))
+    every = every.withColumn("ratio", F.col("value") / F.greatest("threshold", F.lit(1e-12))).withColumn("drifted", F.coalesce(F.col("ratio") > 1, F.lit(False)))
+    return every.withColumn("status", F.when(F.col("ratio").isNull(), "collecting").when(F.col("drifted"), "warning").otherwise("healthy"))
+
+
+def output_status(metrics: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (*keys, alarm_count, aggregate_score, status) of output_metrics."""
+    return metrics.groupBy(*keys).agg(F.count_if("drifted").alias("alarm_count"), F.coalesce(F.max("ratio"), F.lit(0.0)).alias("aggregate_score"), F.when(F.bool_or("drifted"), "warning").otherwise("healthy").alias("status"))
+
+
+#: Name of a window, days that it reaches back, rows at most, rows at least.
+WINDOWS = [("fast", 1, 5_000, 1_000), ("slow", 7, 20_000, 5_000)]
+
+
+def window_rows(df: DataFrame, cohort: str, ts: str, id_col: str, checks: DataFrame, windows: list[tuple[str, float, int, int]] = WINDOWS) -> DataFrame:
+    """df with (window, checked_at, minimum): for every check (checked_at) and window the newest rows of each
+    cohort within it, as many as it takes at most. There are few checks and windows."""
+    policy = F.explode(F.array(*[F.struct(F.lit(n).alias("window"), F.lit(float(d)).alias("days"), F.lit(most).alias("maximum"), F.lit(least).alias("minimum")) for n, d, most, least in windows]))
+    at = checks.select("checked_at", policy.alias("p")).select("checked_at", "p.*").withColumn("since", F.col("checked_at") - F.make_dt_interval(secs=F.col("days").cast("decimal(12,6)") * 86400))
+    held = df.join(F.broadcast(at), (F.col(ts) > F.col("since")) & (F.col(ts) <= F.col("checked_at")))
+    keys, parts = ["window", "checked_at", cohort], []
+    for name, _, most, _ in windows:
+        parts.append(newest(held.filter(F.col("window") == name), keys, [F.desc(ts), F.desc(id_col)], most, F.col(id_col)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.drop("since", "days", "maximum")
+
+
+def health(counts: DataFrame, routes: DataFrame, features: DataFrame, outputs: DataFrame, cohort: str) -> DataFrame:
+    """Rows (window, checked_at, cohort, n, score, status): the status ladder of each cohort.
+
+    `counts`: rows (window, checked_at, cohort, n, minimum). `routes`: rows (cohort, reason),
+    reason null where a reference is admissible, 'incompatible_source' or 'blocked' otherwise;
+    a cohort without a row has no route. `features` and `outputs`: window_status and
+    output_status of the same groups. A warning that follows two alarms is critical.
+    """
+    keys = ["window", "checked_at", cohort]
+    f = features.select(*keys, F.col("aggregate_score").alias("f_score"), (F.col("status") == "warning").alias("f_alarm"))
+    o = outputs.select(*keys, F.col("aggregate_score").alias("o_score"), (F.col("status") == "warning").alias("o_alarm"))
+    every = counts.join(F.broadcast(routes.withColumn("__known", F.lit(True))), cohort, "left").join(f, keys, "left").join(o, keys, "left")
+    refused = F.when(F.col("__known").isNull(), "incompatible_source").otherwise(F.col("reason"))
+    judged = refused.isNull() & (F.col("n") >= F.col("minimum"))
+    alarm = judged & (F.coalesce("f_alarm", F.lit(False)) | F.coalesce("o_alarm", F.lit(False)))
+    every = every.withColumn("alarm", alarm).withColumn("score", F.when(judged, F.greatest(F.coalesce("f_score", F.lit(0.0)), F.coalesce("o_score", F.lit(0.0)))))
+    critical = escalated(every, "alarm", ["window", cohort], ["checked_at"])
+    status = F.coalesce(refused, F.when(F.col("n") < F.col("minimum"), "collecting").when(critical, "critical").when(F.col("alarm"), "warning").otherwise("healthy"))
+    return every.select(*keys, "n", "score", status.alias("status"))
+
+
+def readiness(latest: DataFrame) -> DataFrame:
+    """latest (..., status, shadow_mode, deployment_eligible) with `component`: degraded by a critical status of what
+    is eligible and not in shadow mode, or where nothing was evaluated."""
+    degrades = (F.col("status") == "critical") & ~F.col("shadow_mode") & F.coalesce("deployment_eligible", F.lit(False))
+    return latest.withColumn("component", F.when(F.col("status").isNull() | degrades, "degraded").otherwise("ready"))
+
+
+def admissible(references: DataFrame, version: str, detector: str, classifier: str) -> DataFrame:
+    """references (schema_version, content, content_sha256, detector_version, classifier_version,
+    n_numeric, n_categorical, ...) with `reason`: the first rule that it breaks, or 'ok'."""
+    from .lifecycle import first_reason
+
+    rules = [
+        ("unsupported_version", ~F.col("schema_version").eqNullSafe(F.lit(version))),
+        ("content_checksum", ~F.sha2(F.col("content").cast("binary"), 256).eqNullSafe(F.col("content_sha256"))),
+        ("stale_detector", ~F.col("detector_version").eqNullSafe(F.lit(detector))),
+        ("stale_classifier", ~F.col("classifier_version").eqNullSafe(F.lit(classifier))),
+        ("no_features", (F.coalesce("n_numeric", F.lit(0)) == 0) | (F.coalesce("n_categorical", F.lit(0)) == 0)),
+    ]
+    return references.withColumn("reason", first_reason(rules, "ok"))
+
+
 def escalated(df: DataFrame, alarm: str, keys: list[str], order: list[str], in_a_row: int = 3) -> Column:
     """Whether the row and the in_a_row - 1 before it all have the alarm."""
     w = Window.partitionBy(*keys).orderBy(*order)

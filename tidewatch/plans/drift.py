@@ -10,15 +10,18 @@ from tidewatch.operators import drift as D
 
 from .bindings import ALERTS, alerts, table
 from .registry import query
+from .scratch import staged
 
 R = lambda c, n=6: F.round(c, n)
-NUMERIC, FLAGS, CUT, SAMPLE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_returnflag", "l_shipper"], 1999, 500
+NUMERIC, FLAGS, CUT, SAMPLE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_returnflag", "l_shipper"], 1999, 2000
 THRESHOLD = 0.01
 Q = "[" + ", ".join(str(i / 20) for i in range(21)) + "]"
 
 LONG = f"""
 li AS (SELECT *, year(l_shipdate)::INT AS yr, CASE WHEN year(l_shipdate) = 2001 AND l_suppkey % 3 = 0 THEN 'new' || (l_suppkey % 5) ELSE 's' || (l_suppkey % 4) END AS l_shipper, concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id FROM lineitem),
-wide AS (SELECT yr, id, l_quantity + CASE WHEN yr = 2000 THEN 4 ELSE 0 END AS l_quantity, l_extendedprice, l_discount + 0.0::DOUBLE AS l_discount, l_tax + 0.0::DOUBLE AS l_tax FROM li),
+"""
+LI = LONG
+LONG = LI + f"""wide AS (SELECT yr, id, l_quantity + CASE WHEN yr = 2000 THEN 4 ELSE 0 END AS l_quantity, l_extendedprice, l_discount + 0.0::DOUBLE AS l_discount, l_tax + 0.0::DOUBLE AS l_tax FROM li),
 long AS (SELECT yr, id, feature, x FROM wide UNPIVOT (x FOR feature IN ({', '.join(NUMERIC)}))),
 refs AS (SELECT feature, count(*) AS n, min(x) AS min, max(x) AS max, quantile_cont(x, 0.05) AS q05, quantile_cont(x, 0.5) AS q50, quantile_cont(x, 0.95) AS q95, list_sort(list_distinct(quantile_cont(x, {Q}))) AS e FROM long WHERE yr < {CUT} GROUP BY feature),
 binned AS (SELECT yr, feature, CASE WHEN x = e[-1] THEN len(e) - 1 ELSE len(list_filter(e, lambda v: v <= x)) END::INT AS bin FROM long JOIN refs USING (feature)),
@@ -84,8 +87,11 @@ def _categorical(spark, d):
 
 
 def _judged(spark, d):
-    thresholds = spark.createDataFrame([(f, THRESHOLD) for f in NUMERIC + FLAGS], "feature string, threshold double")
-    return D.judge_features(_numeric(spark, d), _categorical(spark, d), thresholds, ["yr"])
+    return D.judge_features(_numeric(spark, d), _categorical(spark, d), _limits(spark), ["yr"])
+
+
+def _limits(spark):
+    return spark.createDataFrame([(f, THRESHOLD) for f in NUMERIC + FLAGS], "feature string, threshold double")
 
 
 @query("dr01_edges", f"WITH {LONG} SELECT feature, i::INT AS i, round(v, 6) AS edge FROM (SELECT feature, unnest(e) AS v, generate_subscripts(e, 1) - 1 AS i FROM refs)")
@@ -169,55 +175,128 @@ def dr13(spark, d):
     return D.numeric_reference(old).join(s, "feature").select("feature", "n", *[R(F.col(c)).alias(c) for c in ("min", "max", "q05", "q50", "q95")], F.size("edges").alias("n_edges"), "n_sample", "sample_sum")
 
 
-@query("dr14_output_references", f"WITH {ALERTS}, b AS (SELECT prediction, count(*) AS n, count(*) FILTER (WHERE day(observed_at) < 8) AS baseline, count(*) FILTER (WHERE day(observed_at) BETWEEN 8 AND 14) AS calibration, quantile_cont(confidence, 0.5) FILTER (WHERE day(observed_at) < 8) AS q50 FROM alerts GROUP BY 1) SELECT prediction, baseline, calibration, round(CASE WHEN baseline >= 1 AND calibration >= 4 THEN q50 END, 6) AS q50 FROM b")
-def dr14(spark, d):
-    day = F.dayofmonth("observed_at")
-    b = alerts(spark, d).groupBy("prediction").agg(F.count_if(day < 8).alias("baseline"), F.count_if(day.between(8, 14)).alias("calibration"), F.percentile(F.when(day < 8, F.col("confidence")), F.lit(0.5)).alias("q50"))
-    return b.withColumn("q50", R(F.when((F.col("baseline") >= 1) & (F.col("calibration") >= 4), F.col("q50"))))
+#: Thresholds of the output metrics, and of the move of the attack rate.
+OUTPUT_THRESHOLDS = {"detector_labels": 0.02, "classifier_labels": 0.05, "detector_scores": 0.05, "classifier_scores": 0.08}
+RATE_THRESHOLD = 0.02
+#: Output metrics in SQL: of current labels ol (g, metric, v) and scores os (g, metric, x) against those of a baseline, bl and bs.
+OUTPUT = f"""
+ov AS (SELECT metric, v, count(*) AS n_ref FROM bl GROUP BY 1, 2),
+oc AS (SELECT g, metric, v, count(*) AS n FROM ol GROUP BY 1, 2, 3),
+ob AS (SELECT g, metric, CASE WHEN n_ref IS NULL THEN '__OTHER__' ELSE v END AS bin, sum(n) AS n FROM oc LEFT JOIN ov USING (metric, v) GROUP BY 1, 2, 3),
+ow AS (SELECT metric, v AS bin, n_ref FROM ov UNION ALL SELECT DISTINCT metric, '__OTHER__', 0 FROM ov),
+og AS (SELECT g, metric, bin, n_ref, coalesce(n, 0) AS n FROM (SELECT DISTINCT g, metric FROM ol) JOIN ow USING (metric) LEFT JOIN ob USING (g, metric, bin)),
+oe AS (SELECT metric, list_sort(list_distinct(quantile_cont(x, {Q}))) AS e FROM bs GROUP BY 1),
+sr AS (SELECT metric, CASE WHEN x = e[-1] THEN len(e) - 1 ELSE len(list_filter(e, lambda v: v <= x)) END AS bin, count(*) AS n_ref FROM bs JOIN oe USING (metric) GROUP BY 1, 2),
+sc AS (SELECT g, metric, CASE WHEN x = e[-1] THEN len(e) - 1 ELSE len(list_filter(e, lambda v: v <= x)) END AS bin, count(*) AS n FROM os JOIN oe USING (metric) GROUP BY 1, 2, 3),
+sg AS (SELECT g, metric, bin::VARCHAR AS bin, coalesce(n_ref, 0) AS n_ref, coalesce(n, 0) AS n FROM (SELECT DISTINCT g, metric FROM os) JOIN (SELECT metric, unnest(range(0, len(e) + 1)) AS bin FROM oe) USING (metric) LEFT JOIN sr USING (metric, bin) LEFT JOIN sc USING (g, metric, bin)),
+op AS (SELECT *, (n_ref + 0.5::DOUBLE) / sum(n_ref + 0.5::DOUBLE) OVER w AS p, (n + 0.5::DOUBLE) / sum(n + 0.5::DOUBLE) OVER w AS q FROM (SELECT * FROM og UNION ALL SELECT * FROM sg) WINDOW w AS (PARTITION BY g, metric)),
+oj AS (SELECT g, metric, sqrt(greatest(0, sum(p * log2(p / ((p + q) / 2)) + q * log2(q / ((p + q) / 2))) / 2)) AS js FROM op GROUP BY 1, 2),
+on_ AS (SELECT g, metric, count(*) AS n FROM (SELECT g, metric FROM ol UNION ALL SELECT g, metric FROM os) GROUP BY 1, 2),
+ot AS (SELECT unnest({list(OUTPUT_THRESHOLDS)}) AS metric, unnest({list(OUTPUT_THRESHOLDS.values())})::DOUBLE AS threshold),
+om0 AS (SELECT g, metric, coalesce(n, 0) AS n, CASE WHEN n >= CASE metric WHEN 'classifier_scores' THEN 200 ELSE 1 END THEN js END AS value, threshold FROM (SELECT DISTINCT g FROM ol) CROSS JOIN ot LEFT JOIN on_ USING (g, metric) LEFT JOIN oj USING (g, metric)
+        UNION ALL SELECT g, 'attack_routing_rate', count(*), abs(avg((v = 'attack')::INT::DOUBLE) - (SELECT avg((v = 'attack')::INT::DOUBLE) FROM bl WHERE metric = 'detector_labels')), {RATE_THRESHOLD}::DOUBLE FROM ol WHERE metric = 'detector_labels' GROUP BY 1),
+om AS (SELECT *, value / threshold AS ratio, coalesce(value / threshold > 1, FALSE) AS drifted, CASE WHEN value IS NULL THEN 'collecting' WHEN value / threshold > 1 THEN 'warning' ELSE 'healthy' END AS status FROM om0)"""
+DAYS = f"""{ALERTS}, a AS (SELECT *, day(observed_at)::INT AS g, value / 200 AS class_score FROM alerts),
+lab AS (SELECT g, 'detector_labels' AS metric, prediction AS v FROM a UNION ALL SELECT g, 'classifier_labels', attack_class FROM a WHERE attack_class IS NOT NULL),
+sco AS (SELECT g, 'detector_scores' AS metric, confidence AS x FROM a UNION ALL SELECT g, 'classifier_scores', class_score FROM a WHERE attack_class IS NOT NULL)"""
+BY_DAY = f"{DAYS}, bl AS (SELECT metric, v FROM lab WHERE g < 15), bs AS (SELECT metric, x FROM sco WHERE g < 15), ol AS (SELECT * FROM lab WHERE g >= 15), os AS (SELECT * FROM sco WHERE g >= 15), {OUTPUT}"
+
+
+def _outputs(spark, d):
+    """(labels, scores) of the alerts, by day."""
+    a = alerts(spark, d).withColumn("day", F.dayofmonth("observed_at"))
+    score = F.when(F.col("attack_class").isNotNull(), F.col("value") / 200)
+    return D.output_rows(a, ["day"], F.col("prediction"), F.col("confidence"), F.col("attack_class"), score)
 
 
-OUT = f"""WITH {ALERTS}, a AS (SELECT *, day(observed_at)::INT AS day FROM alerts), r AS (SELECT list_sort(list_distinct(quantile_cont(confidence, {Q}))) AS e, avg((prediction = 'attack')::INT::DOUBLE) AS rate FROM a WHERE day < 15),
-b AS (SELECT day, CASE WHEN confidence = e[-1] THEN len(e) - 1 ELSE len(list_filter(e, lambda v: v <= confidence)) END::INT AS bin FROM a, r), rh AS (SELECT bin, count(*) AS n_ref FROM b WHERE day < 15 GROUP BY 1), ch AS (SELECT day, bin, count(*) AS n FROM b WHERE day >= 15 GROUP BY 1, 2),
-g AS (SELECT day, bin::INT AS bin FROM (SELECT DISTINCT day FROM ch), (SELECT unnest(range(0, len(e) + 1)) AS bin FROM r)), f AS (SELECT day, coalesce(n_ref, 0) + 0.5::DOUBLE AS n_ref, coalesce(n, 0) + 0.5::DOUBLE AS n FROM g LEFT JOIN rh USING (bin) LEFT JOIN ch USING (day, bin)),
-p AS (SELECT day, n_ref / sum(n_ref) OVER (PARTITION BY day) AS p, n / sum(n) OVER (PARTITION BY day) AS q FROM f), s AS (SELECT day, sqrt(greatest(0, sum(p * log2(p / ((p + q) / 2)) + q * log2(q / ((p + q) / 2))) / 2)) AS score_js FROM p GROUP BY 1),
-m AS (SELECT day, count(*) AS n, abs(avg((prediction = 'attack')::INT::DOUBLE) - (SELECT rate FROM r)) AS rate_move FROM a WHERE day >= 15 GROUP BY 1)
-SELECT day, n, round(CASE WHEN n >= 200 THEN score_js END, 6) AS score_js, round(rate_move, 6) AS rate_move, coalesce((n >= 200 AND score_js > 0.1)::INT, 0) + (rate_move > 0.03)::INT AS alarms FROM s JOIN m USING (day)"""
+def _thresholds(spark):
+    return spark.createDataFrame(list(OUTPUT_THRESHOLDS.items()), "feature string, threshold double")
 
 
-@query("dr10_output_window", OUT)
+@query("dr14_output_references", f"WITH {DAYS}, enough AS (SELECT metric FROM (SELECT g, metric FROM lab UNION ALL SELECT g, metric FROM sco) WHERE g BETWEEN 8 AND 14 GROUP BY 1 HAVING count(*) >= 4), l AS (SELECT metric, v, count(*) AS n FROM lab WHERE g < 8 GROUP BY 1, 2), s AS (SELECT metric, count(*) AS n, min(x) AS min, max(x) AS max, quantile_cont(x, 0.05) AS q05, quantile_cont(x, 0.5) AS q50, quantile_cont(x, 0.95) AS q95, len(list_distinct(quantile_cont(x, {Q}))) AS n_edges FROM sco WHERE g < 8 GROUP BY 1) SELECT metric, sum(n)::BIGINT AS n, NULL::DOUBLE AS min, NULL::DOUBLE AS max, NULL::DOUBLE AS q05, NULL::DOUBLE AS q50, NULL::DOUBLE AS q95, string_agg(v || ':' || n, ',' ORDER BY v) AS counts, NULL::INT AS n_edges FROM l JOIN enough USING (metric) GROUP BY 1 UNION ALL SELECT metric, n, round(min, 6), round(max, 6), round(q05, 6), round(q50, 6), round(q95, 6), NULL, n_edges::INT FROM s JOIN enough USING (metric)")
+def dr14(spark, d):
+    labels, scores = _outputs(spark, d)
+    base, calibration = F.col("day") < 8, F.col("day").between(8, 14)
+    vocabulary, reference = D.output_references(labels.filter(base), scores.filter(base), labels.filter(calibration), scores.filter(calibration))
+    counts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "n_ref"))), lambda r: F.concat(r["x"], F.lit(":"), r["n_ref"].cast("string"))), ",")
+    nothing = [F.lit(None).cast("double").alias(c) for c in ("min", "max", "q05", "q50", "q95")]
+    told = vocabulary.groupBy(F.col("feature").alias("metric")).agg(F.sum("n_ref").alias("n"), counts.alias("counts")).select("metric", "n", *nothing, "counts", F.lit(None).cast("int").alias("n_edges"))
+    levels = [R(F.col(c)).alias(c) for c in ("min", "max", "q05", "q50", "q95")]
+    return told.unionByName(reference.select(F.col("feature").alias("metric"), "n", *levels, F.lit(None).cast("string").alias("counts"), F.size("edges").alias("n_edges")))
+
+
+@query("dr14_output_thresholds")
+def dr14_thresholds(spark, d):
+    """How far two halves of the calibration part get apart, for each output metric."""
+    labels, scores = _outputs(spark, d)
+    base, calibration = F.col("day") < 8, F.col("day").between(8, 14)
+    counted = labels.filter(calibration).groupBy("feature", F.col("x").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    binned = D.histogram(scores.filter(calibration), D.numeric_reference(scores.filter(base))).withColumn("bin", F.col("bin").cast("string"))
+    return D.null_thresholds(counted.unionByName(binned), 1000)
+
+
+@query("dr10_output_metrics", f"WITH {BY_DAY} SELECT g AS day, metric, n, round(value, 6) AS value, round(ratio, 4) AS ratio, drifted, status FROM om")
+def dr10_metrics(spark, d):
+    labels, scores = _outputs(spark, d)
+    old, new = F.col("day") < 15, F.col("day") >= 15
+    vocabulary = labels.filter(old).groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n_ref"))
+    rate = labels.filter(old & (F.col("feature") == "detector_labels")).agg(F.avg((F.col("x") == "attack").cast("double"))).first()[0] or 0.0
+    m = D.output_metrics(vocabulary, D.numeric_reference(scores.filter(old)), scores.filter(old), labels.filter(new), scores.filter(new), _thresholds(spark), ["day"], rate, RATE_THRESHOLD)
+    return m.select("day", "metric", "n", R(F.col("value")).alias("value"), R(F.col("ratio"), 4).alias("ratio"), "drifted", "status")
+
+
+@query("dr10_output_window", f"WITH {BY_DAY} SELECT g AS day, count(*) FILTER (WHERE drifted) AS alarm_count, coalesce(max(round(ratio, 4)), 0) AS aggregate_score, CASE WHEN bool_or(drifted) THEN 'warning' ELSE 'healthy' END AS status FROM om GROUP BY 1")
 def dr10(spark, d):
-    a = alerts(spark, d).withColumn("day", F.dayofmonth("observed_at"))
-    long = D.long_numeric(a, ["day"], ["confidence"])
-    ref = D.numeric_reference(long.filter("day < 15"))
-    rh = D.histogram(long.filter("day < 15"), ref).withColumnRenamed("n", "n_ref")
-    ch = D.histogram(long.filter("day >= 15"), ref, ["day"])
-    grid = ch.select("day").distinct().crossJoin(F.broadcast(ref.select("feature", F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"))))
-    full = grid.join(F.broadcast(rh), ["feature", "bin"], "left").join(ch, ["day", "feature", "bin"], "left").na.fill(0, ["n", "n_ref"])
-    js = full.withColumn("p", S.smoothed(F.col("n_ref"), "day")).withColumn("q", S.smoothed(F.col("n"), "day")).groupBy("day").agg(S.js_distance(F.col("p"), F.col("q")).alias("js"))
-    attack = F.avg((F.col("prediction") == "attack").cast("double"))
-    m = a.filter("day >= 15").groupBy("day").agg(F.count(F.lit(1)).alias("n"), attack.alias("rate"))
-    base = F.broadcast(a.filter("day < 15").agg(attack.alias("base")))
-    out = js.join(m, "day").crossJoin(base).withColumn("score_js", F.when(F.col("n") >= 200, F.col("js"))).withColumn("rate_move", F.abs(F.col("rate") - F.col("base")))
-    alarms = F.coalesce((F.col("score_js") > 0.1).cast("int"), F.lit(0)) + (F.col("rate_move") > 0.03).cast("int")
-    return out.select("day", "n", R(F.col("score_js")).alias("score_js"), R(F.col("rate_move")).alias("rate_move"), alarms.alias("alarms"))
-
-
-HEALTH = f"""WITH {ALERTS}, w AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY observed_at DESC, alert_id DESC) AS r FROM alerts WHERE observed_at >= (SELECT max(observed_at) FROM alerts) - INTERVAL 7 DAY),
-c AS (SELECT event_type AS cohort, count(*) AS n, avg((prediction = 'attack')::INT::DOUBLE) AS rate FROM w WHERE r <= 400 GROUP BY 1), b AS (SELECT event_type AS cohort, avg((prediction = 'attack')::INT::DOUBLE) AS base FROM alerts WHERE observed_at < (SELECT max(observed_at) FROM alerts) - INTERVAL 14 DAY GROUP BY 1)
-SELECT cohort, n, round(abs(rate - base), 6) AS move, CASE WHEN cohort = 'purchase' THEN 'incompatible_source' WHEN cohort = 'signup' THEN 'blocked' WHEN n < 300 THEN 'collecting' WHEN abs(rate - base) > 0.005 THEN 'warning' ELSE 'healthy' END AS status FROM c JOIN b USING (cohort)"""
+    return D.output_status(dr10_metrics(spark, d), ["day"])
+
+
+#: The reference's bounds of rows; the days are those in which the lines of an order book come to as many.
+HEALTH_WINDOWS = [("fast", 180, 5_000, 1_000), ("slow", 730, 20_000, 5_000)]
+CHECKS = (0, 30, 60)
+HEALTH = f"""WITH {LI.replace("li AS (", "raw AS (")}
+src AS (SELECT * REPLACE (l_quantity + CASE WHEN yr = 2000 THEN 4 ELSE 0 END AS l_quantity), CASE WHEN l_suppkey % 8 < 5 THEN 0 WHEN l_suppkey % 8 = 5 THEN 1 WHEN l_suppkey % 8 = 6 THEN 2 ELSE 3 END AS cno FROM raw),
+ck AS (SELECT k, (SELECT max(l_shipdate)::DATE::TIMESTAMP FROM lineitem) - to_days(k * 30) AS checked_at FROM (SELECT unnest([0, 1, 2]) AS k)),
+pol AS (SELECT unnest([0, 1]) AS wno, unnest([180, 730]) AS days, unnest([5000, 20000]) AS most, unnest([1000, 5000]) AS least),
+cur AS (SELECT s.*, wno, k, least FROM src s JOIN ck ON TRUE JOIN pol ON l_shipdate > checked_at - to_days(days::INT) AND l_shipdate <= checked_at QUALIFY row_number() OVER (PARTITION BY wno, k, cno ORDER BY l_shipdate DESC, id DESC) <= most),
+li AS (SELECT * EXCLUDE (cno) REPLACE (0 AS yr) FROM src WHERE yr < {CUT} UNION ALL SELECT * EXCLUDE (cno, wno, k, least) REPLACE ((10000 + wno * 100 + k * 10 + cno)::INT AS yr) FROM cur),
+{LONG.removeprefix(LI)}, {FULL}, {KS}, {CATS}, {BH}, {JUDGED},
+seen AS (SELECT yr AS g, CASE WHEN l_extendedprice > 40000 + 900 * l_quantity THEN 'attack' ELSE 'normal' END AS label, (l_discount + 0.0::DOUBLE) * 10 AS score, 'tax_' || (l_suppkey % 3) AS class, (l_tax + 0.0::DOUBLE) * 10 AS class_score FROM li),
+lab AS (SELECT g, 'detector_labels' AS metric, label AS v FROM seen UNION ALL SELECT g, 'classifier_labels', class FROM seen WHERE label = 'attack'),
+sco AS (SELECT g, 'detector_scores' AS metric, score AS x FROM seen UNION ALL SELECT g, 'classifier_scores', class_score FROM seen WHERE label = 'attack'),
+bl AS (SELECT metric, v FROM lab WHERE g = 0), bs AS (SELECT metric, x FROM sco WHERE g = 0), ol AS (SELECT * FROM lab WHERE g > 0), os AS (SELECT * FROM sco WHERE g > 0), {OUTPUT},
+f AS (SELECT yr AS g, max(js / {THRESHOLD}) AS f_score, bool_or(drifted) AS f_alarm FROM judged GROUP BY 1),
+o AS (SELECT g, coalesce(max(ratio), 0) AS o_score, bool_or(drifted) AS o_alarm FROM om GROUP BY 1),
+c AS (SELECT 10000 + wno * 100 + k * 10 + cno AS g, wno, k, cno, count(*) AS n, any_value(least) AS least FROM cur GROUP BY ALL),
+j AS (SELECT *, cno < 2 AND n >= least AS judged FROM c LEFT JOIN f USING (g) LEFT JOIN o USING (g)),
+al AS (SELECT *, judged AND (coalesce(f_alarm, FALSE) OR coalesce(o_alarm, FALSE)) AS alarm FROM j),
+es AS (SELECT *, alarm AND coalesce(lag(alarm, 1) OVER w, FALSE) AND coalesce(lag(alarm, 2) OVER w, FALSE) AS critical FROM al WINDOW w AS (PARTITION BY wno, cno ORDER BY k DESC))
+SELECT ['fast', 'slow'][wno + 1] AS "window", checked_at, ['live', 'thin', 'stale', 'unrouted'][cno + 1] AS cohort, n, round(CASE WHEN judged THEN greatest(coalesce(f_score, 0), coalesce(o_score, 0)) END, 4) AS score,
+       CASE WHEN cno = 3 THEN 'incompatible_source' WHEN cno = 2 THEN 'blocked' WHEN n < least THEN 'collecting' WHEN critical THEN 'critical' WHEN alarm THEN 'warning' ELSE 'healthy' END AS status
+FROM es JOIN ck USING (k)"""
 
 
 @query("dr15_health_evaluation", HEALTH)
 def dr15(spark, d):
-    a = alerts(spark, d).withColumnRenamed("event_type", "cohort")
-    now = F.broadcast(a.agg(F.max("observed_at").alias("now")))
-    newest = Window.partitionBy("cohort").orderBy(F.desc("observed_at"), F.desc("alert_id"))
-    attack = F.avg((F.col("prediction") == "attack").cast("double"))
-    cur = a.join(now, F.col("observed_at") >= F.col("now") - F.expr("interval 7 days")).withColumn("r", F.row_number().over(newest)).filter("r <= 400").groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), attack.alias("rate"))
-    base = a.join(now, F.col("observed_at") < F.col("now") - F.expr("interval 14 days")).groupBy("cohort").agg(attack.alias("base"))
-    move = F.abs(F.col("rate") - F.col("base"))
-    status = F.when(F.col("cohort") == "purchase", "incompatible_source").when(F.col("cohort") == "signup", "blocked").when(F.col("n") < 300, "collecting").when(move > 0.005, "warning").otherwise("healthy")
-    return cur.join(base, "cohort").select("cohort", "n", R(move).alias("move"), status.alias("status"))
+    share = F.col("l_suppkey") % 8
+    w = _wide(spark, d).withColumn("cohort", F.when(share < 5, "live").when(share == 5, "thin").when(share == 6, "stale").otherwise("unrouted"))
+    last = w.agg(F.date_trunc("day", F.max("l_shipdate")).cast("timestamp_ntz").alias("last"))
+    checks = last.select(F.explode(F.array(*[F.col("last") - F.make_dt_interval(days=F.lit(n)) for n in CHECKS])).alias("checked_at"))
+    keys, old = ["window", "checked_at", "cohort"], _old(w)
+    cur = staged(D.window_rows(w, "cohort", "l_shipdate", "id", checks, HEALTH_WINDOWS), "windows")
+    counts = cur.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("minimum").alias("minimum"))
+    long_old, flags = D.long_numeric(old, ["id"], NUMERIC), D.long_categorical(old, [], FLAGS)
+    numeric = D.numeric_drift(D.numeric_reference(long_old), long_old, D.reference_sample(long_old, "id", SAMPLE), D.long_numeric(cur, keys, NUMERIC), keys)
+    categorical = D.categorical_drift(flags.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n_ref")), D.long_categorical(cur, keys, FLAGS), keys)
+    features = D.window_status(D.judge_features(numeric, categorical, _limits(spark), keys), keys)
+    label = F.when(F.col("l_extendedprice") > 40000 + 900 * F.col("l_quantity"), "attack").otherwise("normal")
+    attack = label == "attack"
+    put_out = lambda df, k: D.output_rows(df, k, label, F.col("l_discount") * 10, F.when(attack, F.concat(F.lit("tax_"), (F.col("l_suppkey") % 3).cast("string"))), F.when(attack, F.col("l_tax") * 10))
+    (base_labels, base_scores), (labels, scores) = put_out(old, []), put_out(cur, keys)
+    vocabulary = base_labels.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n_ref"))
+    rate = old.agg(F.avg(attack.cast("double"))).first()[0] or 0.0
+    outputs = D.output_status(D.output_metrics(vocabulary, D.numeric_reference(base_scores), base_scores, labels, scores, _thresholds(spark), keys, rate, RATE_THRESHOLD), keys)
+    routes = spark.createDataFrame([("live", None), ("thin", None), ("stale", "blocked")], "cohort string, reason string")
+    return D.health(counts, routes, features, outputs, "cohort").withColumn("score", R(F.col("score"), 4))
 
 
 @query("dr16_output_summary", f"WITH {ALERTS} SELECT count(*) FILTER (WHERE prediction = 'attack') AS n_attack, count(*) FILTER (WHERE prediction = 'normal') AS n_normal, round(avg((prediction = 'attack')::INT::DOUBLE), 6) AS routing_rate, round(median(confidence), 6) AS score_median, round(quantile_cont(confidence, 0.95), 6) AS score_p95 FROM alerts")
@@ -264,16 +343,22 @@ def dr18(spark, d):
     return s.join(F.broadcast(s.agg(F.max("checked_at").alias("now"))), F.col("checked_at") >= F.col("now") - F.expr("interval 9 days")).select("cohort", "checked_at")
 
 
-@query("dr19_readiness", f"{SNAPS}, l AS (SELECT cohort, arg_max(status, checked_at) AS status FROM st GROUP BY 1) SELECT cohort, status, CASE WHEN status IN ('critical', 'warning') AND cohort <> 'view' THEN 'degraded' ELSE 'ready' END AS component FROM l")
+@query("dr19_readiness", f"{SNAPS}, l AS (SELECT cohort, arg_max(status, checked_at) AS status FROM st GROUP BY 1) SELECT cohort, status, CASE WHEN status = 'critical' AND cohort <> 'view' AND cohort <> 'signup' THEN 'degraded' ELSE 'ready' END AS component FROM l")
 def dr19(spark, d):
+    """Views are watched in shadow mode, and signups aren't eligible for deployment."""
     s = _snapshots(spark, d).groupBy("cohort").agg(F.max_by("status", "checked_at").alias("status"))
-    return s.withColumn("component", F.when(F.col("status").isin("critical", "warning") & (F.col("cohort") != "view"), "degraded").otherwise("ready"))
+    return D.readiness(s.withColumn("shadow_mode", F.col("cohort") == "view").withColumn("deployment_eligible", F.col("cohort") != "signup")).select("cohort", "status", "component")
 
 
-@query("dr20_admissibility", "SELECT p_partkey, CASE WHEN p_size > 45 THEN 'unknown_schema' WHEN p_size % 7 = 0 THEN 'content_hash' WHEN p_brand <> 'Brand#' || (p_size % 25 + 1) AND p_size % 2 = 0 THEN 'model_version' WHEN p_name LIKE '%ring%' THEN 'missing_features' ELSE 'ok' END AS reason FROM part")
+@query("dr20_admissibility", "SELECT p_partkey, CASE WHEN p_size > 45 THEN 'unsupported_version' WHEN p_size % 7 = 0 THEN 'content_checksum' WHEN p_brand = 'Brand#11' THEN 'stale_detector' WHEN p_type LIKE 'PROMO%' THEN 'stale_classifier' WHEN p_partkey % 13 = 0 OR p_partkey % 17 = 0 THEN 'no_features' ELSE 'ok' END AS reason FROM part")
 def dr20(spark, d):
-    from tidewatch.operators.lifecycle import first_reason
-
-    size = F.col("p_size")
-    active = F.concat(F.lit("Brand#"), (size % 25 + 1).cast("string"))
-    return table(spark, d, "part").select("p_partkey", first_reason([("unknown_schema", size > 45), ("content_hash", size % 7 == 0), ("model_version", (F.col("p_brand") != active) & (size % 2 == 0)), ("missing_features", F.col("p_name").contains("ring"))], "ok").alias("reason"))
+    """Each part as the header of a reference; those of a size that seven divides were altered after their digest was taken."""
+    p, size = table(spark, d, "part"), F.col("p_size")
+    text = F.to_json(F.struct("p_partkey", "p_name", "p_brand", "p_retailprice"))
+    headers = p.select(
+        "p_partkey", F.when(size > 45, "drift-reference-v0").otherwise("drift-reference-v1").alias("schema_version"),
+        F.concat(text, F.when(size % 7 == 0, " ").otherwise("")).alias("content"), F.sha2(text.cast("binary"), 256).alias("content_sha256"),
+        F.when(F.col("p_brand") == "Brand#11", "d1").otherwise("d2").alias("detector_version"), F.when(F.col("p_type").startswith("PROMO"), "c1").otherwise("c2").alias("classifier_version"),
+        F.when(F.col("p_partkey") % 13 == 0, 0).otherwise(83).alias("n_numeric"), F.when(F.col("p_partkey") % 17 != 0, 2).alias("n_categorical"),
+    )
+    return D.admissible(headers, "drift-reference-v1", "d2", "c2").select("p_partkey", "reason")
