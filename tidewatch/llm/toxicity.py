@@ -57,30 +57,44 @@ def _sample_features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("y"), own], ["id", "y", "features"])
 
 
+def _starts(sorted_values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    new = np.ones(len(sorted_values), bool)
+    np.not_equal(sorted_values[1:], sorted_values[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def _sums(values: np.ndarray, index: np.ndarray, at: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """Of each run of `index` that begins at `at` the sum of values[index], a block of runs at a time."""
+    out, cuts = np.zeros(len(at)), np.searchsorted(at, np.arange(0, len(index), block))
+    for a, e in zip(cuts, [*cuts[1:], len(at)]):
+        if a < e:
+            first, last = at[a], at[e] if e < len(at) else len(index)
+            out[a:e] = np.add.reduceat(values[index[first:last]], at[a:e] - first)
+    return out
+
+
 class Sparse:
     """A 0/1 matrix of (rows, columns) of its ones, in the order of rows, with some dense columns on the right."""
 
     def __init__(self, rows: np.ndarray, cols: np.ndarray, n: int, k: int, dense: np.ndarray):
         self.n, self.k, self.dense = n, k, dense
         # The ones by rows and by columns, each with the places where a new one begins.
-        self.cols, self.used_rows, self.row_at = cols.astype(np.int32), *np.unique(rows, return_index=True)
-        by_col = np.argsort(self.cols, kind="stable")
-        self.rows = rows[by_col].astype(np.int32)
-        del by_col
+        self.cols, self.row_at = cols.astype(np.int32, copy=False), _starts(rows)
+        self.used_rows = rows[self.row_at]
+        self.rows = rows[np.argsort(self.cols, kind="stable")].astype(np.int32, copy=False)
         counts = np.bincount(self.cols, minlength=k)
         self.used_cols = np.flatnonzero(counts)
         self.col_at = (np.cumsum(counts) - counts)[self.used_cols]
 
     def times(self, w: np.ndarray) -> np.ndarray:
         out = self.dense @ w[self.k :] if self.dense.shape[1] else np.zeros(self.n)
-        if len(self.cols):
-            out[self.used_rows] += np.add.reduceat(w[self.cols], self.row_at)
+        out[self.used_rows] += _sums(w, self.cols, self.row_at)
         return out
 
     def back(self, r: np.ndarray) -> np.ndarray:
         out = np.zeros(self.k)
-        if len(self.rows):
-            out[self.used_cols] = np.add.reduceat(r[self.rows], self.col_at)
+        out[self.used_cols] = _sums(r, self.rows, self.col_at)
         return np.concatenate([out, self.dense.T @ r])
 
 
@@ -125,19 +139,19 @@ def _fits(size: int, category: int, folds: int, penalty: float, steps: int):
     probability of category e."""
 
     def fitted(part: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(held)
+        ids, y, features, earlier = ([b.column(c) for b in held] for c in ("id", "y", "features", "earlier"))
+        ids = np.concatenate([c.to_numpy() for c in ids])
+        n, y = len(ids), np.concatenate([c.flatten().to_numpy() for c in y]).reshape(len(ids), -1)[:, category]
+        sizes = np.concatenate([np.diff(c.offsets.to_numpy()) for c in features])
+        cols = np.concatenate([c.flatten().to_numpy() for c in features])
+        dense = np.concatenate([c.flatten().to_numpy() for c in earlier]).reshape(n, category)
         held.clear()
-        t = t.combine_chunks()
-        ids, n = t.column("id").to_numpy(), t.num_rows
-        y = np.array([v[category] for v in t.column("y").to_pylist()])
-        lists = [c.chunk(0) if isinstance(c := t.column(name).combine_chunks(), pa.ChunkedArray) else c for name in ("features", "earlier")]
-        rows, cols = np.repeat(np.arange(n, dtype=np.int32), np.diff(lists[0].offsets.to_numpy())), lists[0].flatten().to_numpy()
-        dense = lists[1].flatten().to_numpy().reshape(n, category)
+        del features, earlier
         fold = ids.view(np.uint64) % np.uint64(folds)
 
         def some(keep: np.ndarray) -> Sparse:
-            ones = keep[rows]
-            return Sparse((np.cumsum(keep, dtype=np.int32) - 1)[rows[ones]], cols[ones], int(keep.sum()), size, dense[keep])
+            rows = np.repeat(np.arange(keep.sum(), dtype=np.int32), sizes[keep])
+            return Sparse(rows, cols[np.repeat(keep, sizes)], int(keep.sum()), size, dense[keep])
 
         learn = np.ones(n, bool) if part < 0 else fold != part
         w, bias = logistic(some(learn), y[learn], penalty, steps)
