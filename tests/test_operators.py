@@ -280,3 +280,32 @@ def test_only_critical_degrades(spark):
     rows = [("critical", False, True, "degraded"), ("critical", True, True, "ready"), ("critical", False, False, "ready"), ("warning", False, True, "ready"), (None, False, True, "degraded")]
     df = spark.createDataFrame(rows, "status string, shadow_mode boolean, deployment_eligible boolean, want string")
     assert all(r.component == r.want for r in drift.readiness(df).collect())
+
+
+def test_redrive_plans_refuse_what_they_must(spark):
+    from tidewatch.operators import lifecycle
+
+    known = spark.createDataFrame([(1, "eligible"), (2, "not_quarantined")], "id long, reason string")
+    asked = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    plan = lambda a, **k: lifecycle.redrive_plan(a, known, "id", k.pop("operator", "o"), "r", **k)
+    assert sorted(map(tuple, plan(asked(1, 2, 3)).collect())) == [(1, True, "eligible"), (2, False, "not_quarantined"), (3, False, "not_found")]
+    assert plan(asked(1), dry_run=False).count() == 1
+    for bad, k in ((asked(1, 2), {"dry_run": False}), (asked(1, 1), {}), (asked(), {}), (asked(1), {"operator": " "})):
+        with pytest.raises(ValueError):
+            plan(bad, **k)
+
+
+def test_inference_frames_are_strict(spark):
+    df = spark.createDataFrame([("1.5", "x"), ("2", "y")], "a string, b string")
+    assert quality.inference_frame(df.select("b", "a"), ["a", "b"], ["b"]).collect()[1] == (2.0, "y")
+    with pytest.raises(ValueError, match="missing"):
+        quality.inference_frame(df, ["a", "b", "c"], ["b"])
+    for bad in (("Infinity", "x"), (None, "x"), ("1", " ")):
+        with pytest.raises(Exception, match="not a finite number"):
+            quality.inference_frame(spark.createDataFrame([bad], "a string, b string"), ["a", "b"], ["b"]).collect()
+
+
+def test_rates_restart_with_an_identity(spark):
+    rows = [("s", "a", 0, 5), ("s", "a", 1_000_000, 9), ("s", "b", 2_000_000, 1), ("s", "b", 3_000_000, 4), ("s", "b", 4_000_000, 2), ("t", "a", 0, 1), ("t", "a", 200_000_000, 3)]
+    got = flows.counter_rates(spark.createDataFrame(rows, "s string, i string, t long, n long"), "s", "i", "t", ["n"]).orderBy("s", "t").collect()
+    assert [(r.s, r.t, r.n_rate) for r in got] == [("s", 2_000_000, None), ("s", 3_000_000, 3.0), ("s", 4_000_000, None), ("t", 200_000_000, 2 / 200)]

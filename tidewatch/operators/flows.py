@@ -165,3 +165,25 @@ def violations(features: DataFrame) -> DataFrame:
     bad += [F.when(F.col(c) < 0, F.lit(f"negative:{c}")) for c in number if c.endswith(("_tot", "_count", "__tot", "__min", "__max", "_per_sec", "duration"))]
     sums = F.abs(F.col("fwd_pkts_payload__tot") + F.col("bwd_pkts_payload__tot") - F.col("flow_pkts_payload__tot")) > 1e-6
     return features.withColumn("violations", F.array_compact(F.array(*bad, F.when(sums, F.lit("payload_total")))))
+
+
+def counter_rates(df: DataFrame, sensor: str, identity: str, ts: str, counters: list[str], keep: int = 36, within_us: int = 120_000_000) -> DataFrame:
+    """The last samples of each sensor (at most `keep`, not older than `within_us` before its newest
+    one, none from before its identity changed) with <counter>_rate: the change of each counter by
+    the second; null on the first sample and where any counter was reset. Samples of one time are one.
+
+    `ts` is in microseconds.
+    """
+    w = Window.partitionBy(sensor).orderBy(ts)
+    d = df.dropDuplicates([sensor, ts]).withColumn("__new", F.coalesce((~F.col(identity).eqNullSafe(F.lag(identity).over(w))).cast("int"), F.lit(1)))
+    d = d.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    own = Window.partitionBy(sensor, "__run").orderBy(ts)
+    comparable = F.lag(ts).over(own).isNotNull()
+    for c in counters:
+        comparable = comparable & (F.col(c) >= F.lag(c).over(own))
+    seconds = (F.col(ts) - F.lag(ts).over(own)) / 1e6
+    d = d.withColumns({f"{c}_rate": F.when(comparable, (F.col(c) - F.lag(c).over(own)) / seconds) for c in counters})
+    back = Window.partitionBy(sensor).orderBy(F.desc(ts))
+    d = d.withColumns({"__n": F.row_number().over(back), "__last": F.max(ts).over(Window.partitionBy(sensor)), "__own": F.max("__run").over(Window.partitionBy(sensor))})
+    held = (F.col("__n") <= keep) & (F.col("__last") - F.col(ts) <= within_us) & (F.col("__run") == F.col("__own"))
+    return d.filter(held).drop("__new", "__run", "__n", "__last", "__own")

@@ -35,6 +35,47 @@ def split_known(batch: DataFrame, stored: DataFrame, key: str, digest: str) -> D
     return joined.withColumn("disposition", F.when(conflict, "conflict").when(F.col("__had").isNotNull(), "duplicate").otherwise("new")).drop("__had", "__torn")
 
 
+def redrive_plan(asked: DataFrame, eligibility: DataFrame, key: str, operator: str, reason: str, dry_run: bool = True) -> DataFrame:
+    """Rows (key, eligible, reason) for the ids asked for, once each. Without an operator, a reason
+    or ids, or with an id asked for twice, there is no plan; and unless it is a dry run, one
+    refused id refuses the whole set."""
+    if not operator.strip() or not reason.strip():
+        raise ValueError("operator and reason are required")
+    n, distinct = asked.agg(F.count(F.lit(1)), F.count_distinct(key)).first()
+    if not n:
+        raise ValueError("at least one id is required")
+    if distinct < n:
+        raise ValueError("ids must be unique")
+    plan = asked.select(key).join(eligibility.select(key, "reason"), key, "left").withColumn("reason", F.coalesce("reason", F.lit("not_found")))
+    plan = plan.select(key, (F.col("reason") == "eligible").alias("eligible"), "reason")
+    if not dry_run and (bad := plan.filter("not eligible").count()):
+        raise ValueError(f"{bad} ids are refused, and so is the whole set")
+    return plan
+
+
+#: States of jobs that are still to be done.
+ACTIVE = ("queued", "processing", "retrying")
+
+
+def ingestion_status(jobs: DataFrame, outbox: DataFrame, heartbeats: DataFrame, now: Column, minute: str = "1 minute", fresh: str = "60 seconds") -> DataFrame:
+    """One row of counts by state, queue depth, retries, ages and the outbox, over jobs (state,
+    attempts, created_at, completed_at), outbox (created_at, published_at) and worker
+    heartbeats (at): the worker is ready while a heartbeat is `fresh`, else degraded, or
+    blocked while jobs wait."""
+    state = lambda x: F.col("state") == x
+    active, seconds = F.col("state").isin(*ACTIVE), lambda a: F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col(a).cast("timestamp"))
+    j = jobs.agg(
+        F.count_if(active).alias("queue_depth"), *[F.count_if(state(x)).alias(x) for x in (*ACTIVE, "succeeded", "dead_letter")],
+        F.coalesce(F.sum(F.greatest(F.col("attempts") - 1, F.lit(0))), F.lit(0)).alias("retries"), F.min(F.when(active, F.col("created_at"))).alias("oldest"),
+        F.count_if(state("succeeded") & (F.col("completed_at") >= now - F.expr(f"interval {minute}"))).alias("completed_lately"),
+    )
+    o = outbox.agg(F.count_if(F.col("published_at").isNull()).alias("outbox_pending"), F.count_if(F.col("published_at").isNotNull()).alias("outbox_published"), F.min(F.when(F.col("published_at").isNull(), F.col("created_at"))).alias("oldest_outbox"))
+    h = heartbeats.agg((F.max("at") >= now - F.expr(f"interval {fresh}")).alias("alive"))
+    one = j.crossJoin(o).crossJoin(h)  # a row each
+    worker = F.when(F.coalesce("alive", F.lit(False)), "ready").when(F.col("queue_depth") == 0, "degraded").otherwise("blocked")
+    return one.select(*[c for c in j.columns if c != "oldest"], seconds("oldest").alias("oldest_active_age"), worker.alias("worker"), "outbox_pending", "outbox_published", seconds("oldest_outbox").alias("oldest_outbox_age"), F.when(F.col("outbox_pending") > 0, "degraded").otherwise("ready").alias("outbox"))
+
+
 def lower_rank_percentiles(df: DataFrame, keys: list[str], values: list[str], levels: dict[str, float]) -> DataFrame:
     """Rows (*keys, <value>_<level>...): the element at rank floor(q * (n - 1)) of the values
     in order, which is the nearest rank from below.

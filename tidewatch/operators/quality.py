@@ -22,6 +22,40 @@ def row_errors(numeric: list[str], categorical: list[str]) -> Column:
     return F.array_compact(F.array(*bad))
 
 
+def feature_set_errors(names: Column, expected: list[str]) -> Column:
+    """Array of codes: what is wrong with the names, in order, of a row's features."""
+    want = F.array(*map(F.lit, expected))
+    missing, extra = F.array_sort(F.array_except(want, names)), F.array_sort(F.array_except(names, want))
+    listed = lambda code, x: F.when(F.size(x) > 0, F.concat(F.lit(f"{code}:"), F.array_join(x, "+")))
+    moved = F.when((F.size(missing) == 0) & (F.size(extra) == 0) & (names != want), "misordered")
+    return F.array_compact(F.array(listed("missing", missing), listed("extra", extra), moved))
+
+
+def inference_frame(df: DataFrame, features: list[str], categorical: list[str]) -> DataFrame:
+    """df's features in their order, numbers as doubles. Missing or extra columns are an error at once; a
+    missing or infinite value, or a blank category, fails the job that reads it."""
+    missing, extra = [c for c in features if c not in df.columns], [c for c in df.columns if c not in features]
+    if missing or extra:
+        raise ValueError(f"missing columns: {missing}; extra columns: {extra}")
+
+    def checked(c: str) -> Column:
+        fail = F.raise_error(F.lit(f"{c}: missing, blank or not a finite number"))
+        if c in categorical:
+            return F.when(F.trim(c) != "", F.col(c)).otherwise(fail.cast("string")).alias(c)
+        x = number(c)
+        return F.when(~F.isnan(x) & (F.abs(x) < INF), x).otherwise(fail.cast("double")).alias(c)
+
+    return df.select(*map(checked, features))
+
+
+def columns_profile(df: DataFrame, identifiers: tuple[str, ...] = ("no",), tokens: tuple[str, ...] = ("uuid", "event_id", "row_id")) -> DataFrame:
+    """Rows (column, type, missing, candidate): candidate tells an index artefact or identifier, which may leak the label."""
+    odd = lambda c: c.startswith("Unnamed:") or c in identifiers or any(t in c.lower() for t in tokens)
+    one = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)])
+    rows = [F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col(f"m{i}").alias("missing"), F.lit(odd(c)).alias("candidate")) for i, (c, t) in enumerate(df.dtypes)]
+    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
 def envelope_errors(start: str, end: str, version: str, fingerprint: str, native: str) -> Column:
     bad = [F.when(F.col(end) < F.col(start), "ends_before_start"), F.when((F.col(version) == native) & F.col(fingerprint).isNull(), "fingerprint_missing")]
     return F.array_compact(F.array(*bad))

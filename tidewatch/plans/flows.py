@@ -11,6 +11,7 @@ from tidewatch.operators import flows as W
 
 from .bindings import table
 from .registry import query
+from .scratch import scratch
 
 H = 3_600_000_000
 ACTIVITY, SUBFLOW, BULK = 12 * H, 6 * H, 24 * H
@@ -135,6 +136,15 @@ def fx09_active(spark, d):
     return W.assemble(packets(spark, d).select("flow", "t", "seq"), ["flow"], 12 * H, 48 * H).groupBy("flow", "flow_no").agg(F.count(F.lit(1)).alias("n_packets"), (F.max("t") - F.min("t")).alias("duration_us"))
 
 
+@query("src05_flows_from_file", f"{ALL} SELECT flow, {SQL_ROUNDED(list(schema.COLUMNS), 3)} FROM features")
+def src05_flows(spark, d):
+    """All features of flows whose packets were decoded to a file before."""
+    path, p = scratch(spark, "decoded"), packets(spark, d)
+    p.write.json(path)
+    read = spark.read.schema(p.schema).json(path)
+    return W.flow_features(read, ACTIVITY, SUBFLOW, BULK).select("flow", *ROUNDED(schema.COLUMNS, 3))
+
+
 @query("dq07_invariants", f"{ALL} SELECT flow, CASE WHEN abs(fwd_pkts_payload__tot + bwd_pkts_payload__tot - flow_pkts_payload__tot - CASE WHEN flow % 10 = 0 THEN 5 ELSE 0 END) > 1e-6 THEN 'payload_total' ELSE '' END AS violations FROM features")
 def dq07(spark, d):
     broken = _features(spark, d).withColumn("flow_pkts_payload__tot", F.col("flow_pkts_payload__tot") + F.when(F.col("flow") % 10 == 0, 5).otherwise(0))
@@ -168,6 +178,15 @@ def wn09(spark, d):
     return e.filter("newest <= 36").select("user_id", "event_id", R(F.when((F.col("dp") >= 0) & (F.col("dt") > 0), F.col("dp") / F.col("dt")), 9).alias("rate"))
 
 
+@query("wn09_live_rates", "WITH c AS (SELECT user_id, epoch_us(ts) AS t, user_id % 3 = 0 AND ts >= TIMESTAMP '2024-01-20' AS identity, sum(json_extract_string(props, '$.k')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT % 500 AS packets FROM events), l AS (SELECT *, lag(t) OVER w AS pt, lag(packets) OVER w AS pp, lag(identity) OVER w AS pi, max(t) OVER (PARTITION BY user_id) AS last, last_value(identity) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS own, row_number() OVER (PARTITION BY user_id ORDER BY t DESC) AS n FROM c WINDOW w AS (PARTITION BY user_id ORDER BY t)) SELECT user_id, t, round(CASE WHEN pi IS NOT DISTINCT FROM identity AND packets >= pp THEN (packets - pp) / ((t - pt) / 1e6::DOUBLE) END, 9) AS packets_rate FROM l WHERE n <= 36 AND last - t <= 864000000000 AND identity = own")
+def wn09_live(spark, d):
+    """Every third sensor is another one from the 20th on; ten days are kept."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, d, "events").withColumn("packets", F.sum(F.get_json_object("props", "$.k").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) % 500)
+    e = e.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), ((F.col("user_id") % 3 == 0) & (F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz"))).alias("identity"), "packets")
+    return W.counter_rates(e, "user_id", "identity", "t", ["packets"], within_us=864_000_000_000).select("user_id", "t", R(F.col("packets_rate"), 9).alias("packets_rate"))
+
+
 @query("wn13_latest_by_key", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1")
 def wn13(spark, d):
     last = F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id"))

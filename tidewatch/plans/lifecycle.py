@@ -113,6 +113,13 @@ def lc02(spark, d):
     return plan.crossJoin(F.broadcast(plan.agg(F.bool_and(F.col("reason") == "eligible").alias("accepted"))))
 
 
+@query("lc02_dry_run", f"{REDRIVE}, q AS (SELECT i AS job_id FROM (SELECT o_orderkey AS i FROM orders WHERE o_orderkey % 97 = 0 UNION ALL SELECT -o_orderkey - 1 FROM orders WHERE o_orderkey % 997 = 0)) SELECT job_id, coalesce(reason, 'not_found') = 'eligible' AS eligible, coalesce(reason, 'not_found') AS reason FROM q LEFT JOIN r USING (job_id)")
+def lc02_dry_run(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey")
+    asked = o.filter("o_orderkey % 97 = 0").select(F.col("o_orderkey").alias("job_id")).unionByName(o.filter("o_orderkey % 997 = 0").select((-F.col("o_orderkey") - 1).alias("job_id")))
+    return L.redrive_plan(asked, _redrive(spark, d), "job_id", "operator", "after an outage")
+
+
 @query("jn10_session_splits", "WITH a AS (SELECT c_custkey, CASE WHEN c_custkey % 5 < 3 THEN 'train' WHEN c_custkey % 5 = 3 THEN 'validation' ELSE 'test' END AS split FROM customer WHERE c_custkey % 50 <> 0) SELECT coalesce(split, 'unknown_session') AS split, count(*) AS n FROM orders LEFT JOIN a ON o_custkey = c_custkey GROUP BY 1")
 def jn10(spark, d):
     m = F.col("c_custkey") % 5
@@ -163,6 +170,29 @@ def ag13(spark, d):
     return j.select("queue_depth", "succeeded", "dead_letter", _seconds("oldest", "now").cast("long").alias("oldest_active_age"), "retries", "succeeded_lately")
 
 
+#: Jobs in all states, with their time of completion; an outbox of which what is open isn't published yet.
+STATES = f"WITH {JOBS}, j AS (SELECT CASE WHEN state = 'queued' AND attempts IN (1, 2) THEN 'processing' WHEN state = 'queued' AND attempts > 2 THEN 'retrying' ELSE state END AS state, attempts, created_at, CASE WHEN state <> 'queued' THEN created_at + to_days((job_id % 9)::INT) END AS completed_at FROM jobs), n AS (SELECT max(created_at) AS now FROM jobs)"
+
+
+@query("ag13_full_status", f"{STATES} SELECT count(*) FILTER (WHERE state IN ('queued', 'processing', 'retrying')) AS queue_depth, count(*) FILTER (WHERE state = 'queued') AS queued, count(*) FILTER (WHERE state = 'processing') AS processing, count(*) FILTER (WHERE state = 'retrying') AS retrying, count(*) FILTER (WHERE state = 'succeeded') AS succeeded, count(*) FILTER (WHERE state = 'dead_letter') AS dead_letter, sum(greatest(attempts - 1, 0))::BIGINT AS retries, count(*) FILTER (WHERE state = 'succeeded' AND completed_at >= now - INTERVAL 3 DAY) AS completed_lately, date_diff('second', min(created_at) FILTER (WHERE state IN ('queued', 'processing', 'retrying')), any_value(now)) AS oldest_active_age, CASE WHEN max(created_at) FILTER (WHERE state = 'succeeded') >= any_value(now) - INTERVAL 30 DAY THEN 'ready' ELSE 'blocked' END AS worker, count(*) FILTER (WHERE completed_at IS NULL) AS outbox_pending, count(completed_at) AS outbox_published, date_diff('second', min(created_at) FILTER (WHERE completed_at IS NULL), any_value(now)) AS oldest_outbox_age, CASE WHEN count(*) > count(completed_at) THEN 'degraded' ELSE 'ready' END AS outbox FROM j, n")
+def ag13_full(spark, d):
+    waits = F.col("state") == "queued"
+    j = jobs(spark, d).withColumn("completed_at", F.when(~waits, F.col("created_at") + F.make_dt_interval(days=(F.col("job_id") % 9).cast("int"))))
+    j = j.withColumn("state", F.when(waits & F.col("attempts").isin(1, 2), "processing").when(waits & (F.col("attempts") > 2), "retrying").otherwise(F.col("state")))
+    now = F.lit(j.agg(F.max("created_at")).first()[0]).cast("timestamp_ntz")
+    return L.ingestion_status(j, j.select("created_at", F.col("completed_at").alias("published_at")), j.filter("state = 'succeeded'").select(F.col("created_at").alias("at")), now, "3 days", "30 days")
+
+
+@query("ag16_end_to_end", f"{JOB_TIMES}, w AS (SELECT channel, created_at, ended_at, {DAY.format(a='created_at', b='ended_at')} AS total, {DAY.format(a='ended_at', b='ended_at + to_days((job_id % 5)::INT)')} AS lag FROM jobs JOIN t USING (job_id)) SELECT channel, {LOWER.format(x='total', q='0.5::DOUBLE')} AS total_p50, {LOWER.format(x='total', q='0.95::DOUBLE')} AS total_p95, {LOWER.format(x='lag', q='0.5::DOUBLE')} AS lag_p50, {LOWER.format(x='lag', q='0.95::DOUBLE')} AS lag_p95, round(count(*) / date_diff('second', min(created_at), max(ended_at))::DOUBLE, 9) AS per_second FROM w GROUP BY 1")
+def ag16_end_to_end(spark, d):
+    """Jobs are published some days after their end."""
+    j = _job_times(spark, d).withColumn("published_at", F.col("ended_at") + F.make_dt_interval(days=(F.col("job_id") % 5).cast("int")))
+    j = j.withColumn("total", _seconds("created_at", "ended_at")).withColumn("lag", _seconds("ended_at", "published_at"))
+    span = j.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.min("created_at").alias("a"), F.max("ended_at").alias("z"))
+    rate = span.select("channel", R(F.col("n") / _seconds("a", "z"), 9).alias("per_second"))
+    return rate.join(L.lower_rank_percentiles(j, ["channel"], ["total", "lag"], {"p50": 0.5, "p95": 0.95}), "channel")
+
+
 @query("lc01_current_state", f"WITH {TRANSITIONS} SELECT job_id, arg_max(to_state, (occurred_at, transition_id)) AS to_state FROM transitions GROUP BY 1")
 def lc01(spark, d):
     return L.latest(transitions(spark, d), "job_id", "to_state", "occurred_at", "transition_id")

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch import schema
 from tidewatch.operators import quality as C
 from tidewatch.sources import sinks, tables
 
@@ -27,6 +28,7 @@ def _raw(spark, d):
 
 
 ERRORS = C.row_errors
+NAMES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 @query("dq01_row_errors", f"WITH {DEFECTS}, e AS (SELECT event_id, {CODES} FROM raw) SELECT event_id, concat_ws(',', e1, e2, e3) AS errors FROM e")
@@ -34,6 +36,15 @@ def dq01(spark, d):
     return _raw(spark, d).select("event_id", F.array_join(ERRORS(["value", "user_id"], ["event_type"]), ",").alias("errors"))
 
 
+@query("dq01_feature_sets", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'missing:l_tax' WHEN 2 THEN 'extra:port' WHEN 3 THEN 'misordered' ELSE 'missing:l_discount+l_tax,extra:port' END AS errors FROM events")
+def dq01_sets(spark, d):
+    sent = [NAMES, NAMES[:3], [*NAMES, "port"], NAMES[::-1], ["port", *NAMES[:2]]]
+    names, i = F.array(*map(F.lit, sent[0])), F.col("event_id") % 5
+    for n, x in enumerate(sent[1:], 1):
+        names = F.when(i == n, F.array(*map(F.lit, x))).otherwise(names)
+    return table(spark, d, "events").select("event_id", F.array_join(C.feature_set_errors(names, NAMES), ",").alias("errors"))
+
+
 @query("dq02_envelope", "SELECT event_id, concat_ws(',', CASE WHEN event_id % 13 = 0 THEN 'ends_before_start' END, CASE WHEN user_id % 2 = 0 AND event_id % 5 = 0 THEN 'fingerprint_missing' END) AS errors FROM events")
 def dq02(spark, d):
     i = F.col("event_id")
@@ -56,10 +67,21 @@ def dq04(spark, d):
     return p.select("n_rows", "duplicate_rows", "duplicate_feature_rows", F.col("n_l_returnflag").cast("long").alias("n_l_returnflag"), F.col("n_l_linestatus").cast("long").alias("n_l_linestatus"))
 
 
+@query("dq04_class_frequencies", "SELECT event_type AS label, count(*) AS n FROM events GROUP BY 1")
+def dq04_classes(spark, d):
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("dq04_columns", "SELECT 'Unnamed: 0' AS \"column\", 'bigint' AS type, (SELECT count(*) FROM events WHERE event_id % 7 = 0) AS missing, TRUE AS candidate UNION ALL SELECT 'event_id', 'bigint', 0, TRUE UNION ALL SELECT 'value', 'double', (SELECT count(*) FROM events WHERE event_id % 3 = 0), FALSE UNION ALL SELECT 'event_type', 'string', 0, FALSE")
+def dq04_columns(spark, d):
+    i = F.col("event_id")
+    return C.columns_profile(table(spark, d, "events").select(F.when(i % 7 != 0, i).alias("Unnamed: 0"), "event_id", F.when(i % 3 != 0, F.col("value")).alias("value"), "event_type"))
+
+
 @query("dq05_inference_frame", f"WITH {DEFECTS}, e AS (SELECT *, {CODES} FROM raw) SELECT event_type, try_cast(user_id AS DOUBLE) AS user_id, try_cast(value AS DOUBLE) AS value FROM e WHERE e1 IS NULL AND e2 IS NULL AND e3 IS NULL")
 def dq05(spark, d):
     good, _ = C.quarantined(_raw(spark, d), ERRORS(["value", "user_id"], ["event_type"]))
-    return good.select("event_type", C.number("user_id").alias("user_id"), C.number("value").alias("value"))
+    return C.inference_frame(good.select("value", "user_id", "event_type"), ["event_type", "user_id", "value"], ["event_type"])
 
 
 BOUNDS = {"l_quantity": (1.0, 49.0), "l_extendedprice": (0.0, 99_000.0), "l_discount": (0.0, 0.09), "l_tax": (0.0, 0.08)}
@@ -113,6 +135,19 @@ def src01(spark, d):
     return tables.flow_csv(spark, path, metadata=("event_id",), target="event_type", features=("user_id",))
 
 
+#: The 83 features, as text: a whole number for each, or a category.
+CANONICAL = [(c, "event_type" if c in schema.CATEGORICAL else f"CAST((event_id * {n + 3}) % 1009 AS {{}})") for n, c in enumerate(schema.FEATURES)]
+
+
+@query("src01_canonical_csv", "SELECT " + ", ".join(f"{x.format('VARCHAR')} AS {schema.column(c)}" for c, x in CANONICAL) + f", 'k' || (event_id % 3) AS {schema.TARGET} FROM events")
+def src01_canonical(spark, d):
+    """Written in another order, beside an index; read as the contract has it."""
+    path = scratch(spark, "canonical")
+    e = table(spark, d, "events").select(F.col("event_id").alias("Unnamed: 0"), F.concat(F.lit("k"), (F.col("event_id") % 3).cast("string")).alias(schema.TARGET), *[F.expr(x.format("STRING")).alias(c) for c, x in CANONICAL[::-1]])
+    e.write.csv(path, header=True)
+    return tables.flow_csv(spark, path)
+
+
 ROW = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType())])
 
 
@@ -167,6 +202,13 @@ def snk01(spark, d):
     return sinks.append_new(e, path, "event_id")
 
 
+@query("snk01_refused", "SELECT event_id, event_type FROM events WHERE event_id % 3 <> 0")
+def snk01_refused(spark, d):
+    path, e = scratch(spark, "append"), table(spark, d, "events").select("event_id", "event_type")
+    sinks.append_new(e.filter("event_id % 3 <> 0"), path, "event_id")
+    return sinks.refused(e, path, "event_id")
+
+
 @query("snk02_outbox", f"WITH {ALERTS} SELECT alert_id AS event_id, 'prediction.created' AS event_type, '{{\"alert_id\":' || alert_id || ',\"prediction\":\"' || prediction || '\"}}' AS payload FROM alerts UNION ALL SELECT alert_id, 'alert.created', '{{\"alert_id\":' || alert_id || ',\"severity\":\"' || severity || '\"}}' FROM alerts WHERE prediction = 'attack'")
 def snk02(spark, d):
     a = alerts(spark, d)
@@ -188,3 +230,10 @@ def snk03(spark, d):
 def snk04(spark, d):
     n = table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
     return sinks.write_report(n, scratch(spark, "report"))
+
+
+@query("snk04_artefact", "WITH r AS (SELECT sha256('event_id=' || event_id || ';event_type=' || event_type) AS digest FROM events), b AS (SELECT substr(digest, 1, 2) AS block, count(*) AS n, sha256(string_agg(digest, ',' ORDER BY digest)) AS digest FROM r GROUP BY 1) SELECT sum(n)::BIGINT AS n_rows, sha256(string_agg(digest, ',' ORDER BY block)) AS digest FROM b")
+def snk04_artefact(spark, d):
+    path = scratch(spark, "report")
+    sinks.write_report(table(spark, d, "events").select("event_id", "event_type"), path)
+    return sinks.artefact_digest(spark, path)

@@ -133,3 +133,20 @@ def ss10(spark, d):
     out = scratch(spark, "consumer")
     S.drain(S.once(_stream(spark, d, twice=True), "alert_id", "ts", "1 day").select("alert_id"), out)
     return spark.read.parquet(out).drop("batch")
+
+
+@query("ss06_sensor_presence", f"WITH {ALERTS} SELECT user_id AS sensor, CASE WHEN (SELECT max(epoch_us(observed_at)) FROM alerts) - epoch_us(max(observed_at)) > 3600000000 THEN 'offline' ELSE 'online' END AS status FROM alerts GROUP BY 1")
+def ss06_presence(spark, d):
+    """Sensors that were silent for an hour before the newest event are offline."""
+    states = ss06(spark, d)
+    now = states.agg(F.max("beat")).first()[0]
+    return S.with_presence(states, "beat", F.lit(now), 3600).select("sensor", "status")
+
+
+@query("ss12_session_stream", f"WITH {ALERTS}, g AS (SELECT user_id, observed_at AS t, alert_id, coalesce((epoch_us(observed_at) - epoch_us(lag(observed_at) OVER w) >= 28800000000)::INT, 0) AS fresh FROM alerts WINDOW w AS (PARTITION BY user_id ORDER BY observed_at, alert_id)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t, alert_id ROWS UNBOUNDED PRECEDING) AS island FROM g), a AS (SELECT user_id, min(t) AS started_at, max(t) AS ended_at, count(*) AS n FROM s GROUP BY user_id, island) SELECT user_id, started_at, n FROM a WHERE ended_at < TIMESTAMP '2024-01-20'")
+def ss12_stream(spark, d):
+    """A gap of eight hours ends a session; those that end before the 20th, which the watermark surely passes."""
+    out = scratch(spark, "sessions")
+    S.drain(S.sessions(_stream(spark, d), "user_id", "ts", "8 hours", "1 day"), out)
+    done = spark.read.parquet(out).filter(F.col("ended_at").cast("timestamp_ntz") < F.lit("2024-01-20").cast("timestamp_ntz"))
+    return done.select("user_id", F.col("started_at").cast("timestamp_ntz").alias("started_at"), "n")

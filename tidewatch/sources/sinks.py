@@ -36,6 +36,17 @@ def append_new(df: DataFrame, path: str, key: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def refused(df: DataFrame, path: str, key: str) -> DataFrame:
+    """The rows of df that append_new wouldn't take: their key is stored already, or has an earlier row in df.
+
+    Of rows of a new key that differ any one may be taken, so which ones are refused is then any of them too.
+    """
+    had = stored(df.sparkSession, path, df.schema)
+    known = df.filter(F.lit(False)) if had is None else df.join(within(had, df, key).select(key), key, "left_semi").select(*df.columns)
+    new = df if had is None else df.join(within(had, df, key).select(key), key, "left_anti").select(*df.columns)
+    return known.unionByName(new.exceptAll(new.dropDuplicates([key])))
+
+
 def outbox(predictions: DataFrame, alerts: DataFrame, key: str) -> DataFrame:
     """Rows (event_id, event_type, payload): one event for each prediction and one for each alert."""
     made = lambda df, kind: df.select(F.col(key).alias("event_id"), F.lit(kind).alias("event_type"), F.to_json(F.struct("*")).alias("payload"))
@@ -54,3 +65,15 @@ def write_report(df: DataFrame, path: str, digest: str = "digest") -> DataFrame:
     text = {f.name: F.col(f.name).cast("string") for f in df.schema.fields}
     df.withColumn(digest, canonical_digest(text)).write.mode("overwrite").json(path)
     return df.sparkSession.read.schema(df.withColumn(digest, F.lit("")).schema).json(path)
+
+
+def artefact_digest(spark: SparkSession, path: str, digest: str = "digest") -> DataFrame:
+    """One row (n_rows, digest) of a report: the digest of its rows' digests in order, by blocks of their first
+    two digits, so that no list holds them all. It is written beside the report, as <path>-manifest."""
+    rows = spark.read.schema(f"{digest} string").json(path)
+    text = lambda c: F.array_join(F.array_sort(F.collect_list(c)), ",")
+    blocks = rows.groupBy(F.substring(digest, 1, 2).alias("block")).agg(F.count(F.lit(1)).alias("n"), F.sha2(text(digest), 256).alias("d"))
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "d"))), lambda b: b["d"]), ",")
+    out = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.sha2(ordered, 256).alias("digest"))
+    out.write.mode("overwrite").json(f"{path}-manifest")
+    return spark.read.schema(out.schema).json(f"{path}-manifest")

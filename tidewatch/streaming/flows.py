@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -108,6 +108,17 @@ def sensor_state(stream: DataFrame, sensor: str) -> DataFrame:
     return stream.groupBy(sensor).applyInPandasWithState(update, "sensor long, packets long, events_seen long, beat long", "packets long, events long, beat long", "update", GroupStateTimeout.NoTimeout)
 
 
+def with_presence(states: DataFrame, beat: str, now: Column, seconds: int = 30) -> DataFrame:
+    """states with `status`: offline once the last beat (in microseconds) is more than `seconds` before `now`."""
+    return states.withColumn("status", F.when(now - F.col(beat) > seconds * 1_000_000, "offline").otherwise("online"))
+
+
+def sessions(stream: DataFrame, key: str, ts: str, gap: str, delay: str) -> DataFrame:
+    """Rows (key, started_at, ended_at, n) of sessions that a gap ends, once the watermark has passed them."""
+    s = stream.withWatermark(ts, delay).groupBy(key, F.session_window(ts, gap)).agg(F.max(ts).alias("ended_at"), F.count(F.lit(1)).alias("n"))
+    return s.select(key, F.col("session_window.start").alias("started_at"), "ended_at", "n")
+
+
 def changes_only(stream: DataFrame, key: str) -> DataFrame:
     """Rows (key, version, status) of the rows (key, version, status) whose status isn't the one before, by version."""
 
