@@ -142,5 +142,29 @@ def test_top_k(spark, size):
     assert top_k_rows(df.limit(0)) == []
 
 
+def test_blocks_of_clustered_vectors_are_skipped():
+    """Of vectors in 40 clusters a query scores a quarter at most, and finds the same."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 100, (40, 16))
+    v = np.floor(centres[rng.integers(0, 40, 8000)] + rng.normal(0, 5, (8000, 16))).astype(np.int64)
+    ids = np.arange(8000)
+    blocks = topk.Blocks(ids, v)
+    q = np.flatnonzero(ids % 50 == 0)
+    scores, found, filled = blocks.top(q, v[q], 5)
+    want = v[q] @ v.T
+    want[np.arange(len(q)), q] = -(1 << 40)
+    assert filled.all() and (scores == -np.sort(-want, axis=1)[:, :5]).all()
+    assert blocks.scored <= 0.25 * len(q) * len(v)
+
+
+def test_vectors_that_are_not_finite_take_no_part(spark, tmp_path):
+    inf, nan = float("inf"), float("nan")
+    rows = [(0, [0.5, -0.25]), (1, [0.501, 0.0]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (50, [-0.001, 0.999]), (100, [-inf, 0.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    v = {i: [int(np.floor(256 * x)) for x in e] for i, e in rows if i in (0, 1, 50)}
+    got = topk.op3_topk(spark, str(tmp_path)).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_top(list(v.items()), 5)
+
+
 def top_k_rows(df):
     return topk.top_k(df, F.col("id") % 50 == 0, shard_rows=100).collect()

@@ -8,7 +8,7 @@ should be found is missed, which banded signatures can't promise for short items
 long documents. Candidates are verified by exact shingle containment, on the words.
 
 Documents are scanned where they lie. The sketches are sent to all tasks if their counted
-size allows it; else the documents' hashes below the partitions' ceilings are joined.
+size allows it; else the documents' hashes up to the greatest of all sketches are joined.
 """
 
 from __future__ import annotations
@@ -125,7 +125,8 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     pairs = hits.join(sketches.select("h", "item"), "h").select("id", "rk", "item").distinct()
     pairs = staged(pairs.join(own, "item").select(F.col("id").alias("pid"), F.col("rk").alias("prk"), "item_id", "item_text"), "candidates")
     # Equal rows of documents are one document here.
-    held = attached(base, pairs, F.col("id").eqNullSafe(F.col("pid")) & (F.col("rk") == F.col("prk")), "inner", 1 << 9)
+    room = 64 + int(pairs.agg(F.avg(F.octet_length("item_text"))).first()[0] or 0) + 1
+    held = attached(base, pairs, F.col("id").eqNullSafe(F.col("pid")) & (F.col("rk") == F.col("prk")), "inner", room)
     found = held.select("id", "rk", "text", "item_id", "item_text").mapInArrow(_verify(k, t), f"id {kind(docs, id_col)}, item_id {kind(items, item_col)}, n_shingles long, n_shared long").distinct()
     return found.select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 

@@ -1,9 +1,10 @@
 """Operator 9: repeated byte windows, by a depth-limited radix sort of suffixes.
 
-Suffixes are ordered only through their first `window` bytes, by most-significant-digit
-passes; equal groups are exactly the repeated windows. After each pass a group that lies
-in one document is done, and so is a suffix whose equal in a smaller document is known;
-only the rest goes on to the next pass.
+Suffixes are grouped only through their first `window` bytes, by most-significant-digit
+passes; equal groups are exactly the repeated windows. The digits are hashes of these
+bytes: which group comes first doesn't matter, only which suffixes are equal. After each
+pass a group that lies in one document is done, and so is a suffix whose equal in a
+smaller document is known; only the rest goes on to the next pass.
 
 * The first digit of a window is the least hash of the k-byte strings in it. Windows
   that start next to each other mostly share it, so a run of them is one row. The second

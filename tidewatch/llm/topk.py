@@ -9,7 +9,11 @@ where the bound falls below its k-th score.
 
 A shard's vectors are read once, and the queries stream past them: what is shuffled is
 the vectors, and the queries once for each shard. Shards grow with the table once there
-are MAX_SHARDS. Every shard gives at most k rows for each query.
+are MANY_SHARDS, up to MAX_ROWS vectors; then their number grows. Every shard gives at
+most k rows for each query.
+
+How much is skipped depends on the vectors: those in clusters are skipped in most blocks,
+those spread evenly over all directions in none, as some vector of each block could be near.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import staged, table
 
-SHARD_ROWS, MAX_SHARDS, BLOCK, QUERY_ROWS = 4096, 1024, 64, 512
+SHARD_ROWS, MANY_SHARDS, MAX_ROWS, BLOCK, QUERY_ROWS = 4096, 1024, 1 << 18, 64, 512
 #: Whole numbers below this are exact in float64.
 EXACT = 1 << 53
 
@@ -43,6 +47,7 @@ class Blocks:
         self.cuts = np.arange(0, len(v), block)
         self.most, self.least = (f.reduceat(self.v, self.cuts, axis=0) for f in (np.maximum, np.minimum))
         self.ends = np.append(self.cuts[1:], len(v))
+        self.scored = 0  # pairs of a query and a vector
         self.peak = max((abs(int(x)) for x in (vectors.min(), vectors.max())), default=0) if vectors.size else 0
 
     def top(self, qids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,6 +72,7 @@ class Blocks:
             for b in np.unique(block):
                 rows = open_[block == b]
                 a, e = self.cuts[b], self.ends[b]
+                self.scored += len(rows) * int(e - a)
                 scores = (q[rows] @ self.v[a:e].T).astype(np.int64)
                 own = np.broadcast_to(self.ids[a:e], scores.shape)
                 best[rows], ids[rows], filled[rows] = self._merge(best[rows], ids[rows], filled[rows], scores, own, own != qids[rows, None], k)
@@ -119,7 +125,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, shard_rows: int = SHARD_ROWS
     """
     sound = vectors.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
     sound = staged(sound.select(F.col("id").cast("long"), F.col("v").cast("array<long>"), F.size("v").alias("dim")).distinct(), "vectors")
-    shards = max(1, min(MAX_SHARDS, -(-sound.count() // shard_rows)))
+    n = sound.count()
+    shards = max(1, min(MANY_SHARDS, -(-n // shard_rows)), -(-n // MAX_ROWS))
     held = sound.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "dim", F.lit(False).alias("is_query"), "id", "v")
     asks = sound.filter(is_query).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), "dim", F.lit(True).alias("is_query"), "id", "v")
     dealt = held.unionByName(asks).repartition(F.col("shard")).sortWithinPartitions("shard", "dim", "is_query")
