@@ -309,3 +309,16 @@ def test_rates_restart_with_an_identity(spark):
     rows = [("s", "a", 0, 5), ("s", "a", 1_000_000, 9), ("s", "b", 2_000_000, 1), ("s", "b", 3_000_000, 4), ("s", "b", 4_000_000, 2), ("t", "a", 0, 1), ("t", "a", 200_000_000, 3)]
     got = flows.counter_rates(spark.createDataFrame(rows, "s string, i string, t long, n long"), "s", "i", "t", ["n"]).orderBy("s", "t").collect()
     assert [(r.s, r.t, r.n_rate) for r in got] == [("s", 2_000_000, None), ("s", 3_000_000, 3.0), ("s", 4_000_000, None), ("t", 200_000_000, 2 / 200)]
+
+
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    r = random.Random(8)
+    values = {"a": [r.choice([-1, 1]) * 10 ** r.uniform(-4, 6) for _ in range(500)] + [0.0, -0.0, 3.0, 3.0, 3.0], "b": [7.0], "c": [1.0, 2.0]}
+    df = spark.createDataFrame([(k, x) for k, v in values.items() for x in v] + [("a", None)], "k string, x double")
+    levels = [0, 0.05, 0.31, 0.5, 0.95, 1]
+    for row in S.quantiles(S.counted(df, ["k"], "x"), ["k"], "x", levels).collect():
+        assert row.q == pytest.approx(np.quantile(values[row.k], levels).tolist(), rel=1e-12)
+    run = S.running_counts(S.counted(df, ["k"], "x"), ["k"], "x", ["n"], falling=True).filter("k = 'a'").collect()
+    assert all(x.n_upto == sum(v >= x.x for v in values["a"]) and x.n_all == 505 for x in run)

@@ -8,12 +8,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def edges(value: Column, bins: int = 20) -> Column:
-    """Aggregate: the distinct bins + 1 linear quantiles, in order; one value is widened to an interval."""
-    q = F.percentile(value, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))
-    e = F.array_sort(F.array_distinct(q))
-    pad = lambda e: F.greatest(F.abs(e[0]) * 1e-9, F.lit(1e-9))
-    return F.when(F.size(e) == 1, F.array(e[0] - pad(e), e[0] + pad(e))).otherwise(e)
+def counted(df: DataFrame, keys: list[str], value: str, name: str = "n") -> DataFrame:
+    """Rows (*keys, value, name): how often each value came, nulls left out."""
+    return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(name))
+
+
+def running_counts(counts: DataFrame, keys: list[str], value: str, sums: list[str], falling: bool = False) -> DataFrame:
+    """counts with <sum>_upto, the running sum in the order of the values, and <sum>_all for each of `sums`.
+
+    Running sums are taken within buckets of near values, 256 to a doubling, and added to
+    those of the buckets before, so no task sorts all values of a key.
+    """
+    x = F.col(value).cast("double")
+    scale = F.floor(F.log2(F.greatest(F.abs(x), F.lit(1e-300))) * 256) + 300_000
+    bucket = F.when(x > 0, scale).when(x < 0, -scale).otherwise(0) * (-1 if falling else 1)
+    c, names = counts.withColumn("__b", bucket), [f"__k{i}" for i in range(len(keys))]
+    sizes = c.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("__b").alias("__c")).agg(*[F.sum(s).alias(f"__{s}") for s in sums])
+    whole = Window.partitionBy(*(names or [F.lit(0)]))
+    before = whole.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*names, "__c", *[F.coalesce(F.sum(f"__{s}").over(before), F.lit(0)).alias(f"{s}_before") for s in sums], *[F.sum(f"__{s}").over(whole).alias(f"{s}_all") for s in sums])
+    on = F.col("__b") == F.col("__c")
+    for k, n in zip(keys, names):
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    run = Window.partitionBy(*keys, "__b").orderBy(F.desc(value) if falling else F.asc(value)).rowsBetween(Window.unboundedPreceding, 0)
+    c = c.withColumns({f"{s}_in": F.sum(s).over(run) for s in sums}).join(sizes, on)
+    c = c.withColumns({f"{s}_upto": F.col(f"{s}_in") + F.col(f"{s}_before") for s in sums})
+    return c.drop("__b", "__c", *names, *[f"{s}_{x}" for s in sums for x in ("in", "before")])
+
+
+def quantiles(counts: DataFrame, keys: list[str], value: str, levels: list[float], name: str = "q", n: str = "n") -> DataFrame:
+    """Rows (*keys, name): the exact quantiles of counted values, an array by level, linear between ranks."""
+    c = running_counts(counts, keys, value, [n])
+    upto, below, every, x = F.col(f"{n}_upto"), F.col(f"{n}_upto") - F.col(n), F.col(f"{n}_all"), F.col(value).cast("double")
+    at = lambda rank: F.max(F.when((below <= rank) & (rank < upto), x))
+    places = [F.lit(float(q)) * (every - 1) for q in levels]
+    aggs = [a.alias(f"__{s}{i}") for i, p in enumerate(places) for s, a in (("l", at(F.floor(p))), ("h", at(F.ceil(p))), ("p", F.max(p)))]
+    found = c.groupBy(*keys).agg(*aggs)
+    lo, hi, p = (lambda i, s=s: F.col(f"__{s}{i}") for s in "lhp")
+    mid = lambda i: F.when(lo(i) == hi(i), lo(i)).otherwise((F.ceil(p(i)) - p(i)) * lo(i) + (p(i) - F.floor(p(i))) * hi(i))
+    return found.select(*keys, F.array(*[mid(i) for i in range(len(levels))]).alias(name))
 
 
 def bin_of(x: Column, e: Column) -> Column:
@@ -40,13 +73,15 @@ def kolmogorov_p(d: Column, n: Column, m: Column) -> Column:
     return F.when(x < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * series)))
 
 
-def ks_statistic(df: DataFrame, group: list[str], value: str, side: str) -> DataFrame:
-    """Rows (*group, n_ref, n_cur, ks): the greatest distance of the two distribution functions.
+def ks_statistic(df: DataFrame, group: list[str], value: str, side: str, n: str) -> DataFrame:
+    """Rows (*group, n_ref, n_cur, ks): the greatest distance of the two distribution functions of
+    counted values, `n` of each.
 
-    `side` is 0 for the reference and 1 for the current sample. Values are counted first,
-    so a running sum goes over the distinct values of a group.
+    `side` is 0 for the reference and 1 for the current sample. A running sum goes over
+    the distinct values of a group.
     """
-    c = df.groupBy(*group, value).agg(F.count_if(F.col(side) == 0).alias("a"), F.count_if(F.col(side) == 1).alias("b"))
+    of = lambda k: F.sum(F.when(F.col(side) == k, F.col(n)).otherwise(0))
+    c = df.groupBy(*group, value).agg(of(0).alias("a"), of(1).alias("b"))
     w = Window.partitionBy(*group)
     run = w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     c = c.withColumns({"n_ref": F.sum("a").over(w), "n_cur": F.sum("b").over(w), "fa": F.sum("a").over(run), "fb": F.sum("b").over(run)})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.distributions import counted, quantiles
 from . import severity as sev
 
 
@@ -52,7 +53,9 @@ def severity_timeline(df: DataFrame, ts: str, minutes: int, levels=("critical",
 def detections(df: DataFrame, family: str) -> DataFrame:
     """Rows (family, n, unresolved, median_confidence)."""
     finite = F.when(~F.isnan("confidence") & (F.abs("confidence") != float("inf")), F.col("confidence"))
-    return df.groupBy(family).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("status").isin(*sev.TERMINAL)).alias("unresolved"), F.median(finite).alias("median_confidence"))
+    counts = df.groupBy(family).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("status").isin(*sev.TERMINAL)).alias("unresolved"))
+    middle = quantiles(counted(df.select(F.col(family).alias("__f"), finite.alias("__x")), ["__f"], "__x"), ["__f"], "__x", [0.5])
+    return counts.join(middle, F.col(family).eqNullSafe(F.col("__f")), "left").select(*counts.columns, F.col("q")[0].alias("median_confidence"))
 
 
 def _graph_measures() -> list[Column]:

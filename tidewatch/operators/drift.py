@@ -27,9 +27,9 @@ def long_categorical(df: DataFrame, keys: list[str], features: list[str]) -> Dat
 
 def numeric_reference(long: DataFrame, keys: list[str] = [], bins: int = 20) -> DataFrame:
     """Rows (*keys, feature, n, min, max, q05, q50, q95, edges)."""
-    levels = [*(i / bins for i in range(bins + 1)), 0.05, 0.5, 0.95]  # of one aggregate, as each keeps all values
-    every = F.percentile("x", F.array(*map(F.lit, levels)))
-    r = long.groupBy(*keys, "feature").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), every.alias("all"))
+    levels = [*(i / bins for i in range(bins + 1)), 0.05, 0.5, 0.95]
+    c, by = S.counted(long, [*keys, "feature"], "x"), [*keys, "feature"]
+    r = c.groupBy(*by).agg(F.sum("n").alias("n"), F.min("x").alias("min"), F.max("x").alias("max")).join(S.quantiles(c, by, "x", levels, "all"), by)
     r = r.withColumn("e", F.slice("all", 1, bins + 1)).withColumn("q", F.slice("all", bins + 2, 3))
     e = F.array_sort(F.array_distinct("e"))
     pad = F.greatest(F.abs(F.col("e")[0]) * 1e-9, F.lit(1e-9))
@@ -39,8 +39,8 @@ def numeric_reference(long: DataFrame, keys: list[str] = [], bins: int = 20) ->
 
 def histogram(long: DataFrame, reference: DataFrame, keys: list[str] = []) -> DataFrame:
     """Rows (*keys, feature, bin, n). The reference has one row for each feature, of tens of edges."""
-    binned = long.join(F.broadcast(reference.select("feature", "edges")), "feature")
-    return binned.groupBy(*keys, "feature", S.bin_of(F.col("x"), F.col("edges")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    binned = S.counted(long, [*keys, "feature"], "x").join(F.broadcast(reference.select("feature", "edges")), "feature")
+    return binned.groupBy(*keys, "feature", S.bin_of(F.col("x"), F.col("edges")).alias("bin")).agg(F.sum("n").alias("n"))
 
 
 def newest(df: DataFrame, keys: list[str], order: list[Column], count: int, salt: Column, parts: int = 64) -> DataFrame:
@@ -71,19 +71,20 @@ def histogram_distance(reference: DataFrame, reference_rows: DataFrame, current:
 
 def numeric_drift(reference: DataFrame, reference_rows: DataFrame, sample: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (*keys, feature, js, ks, p, exceed_rate, ref_median, ref_p95, cur_median, cur_p95)."""
-    # A row for each feature, and a bounded sample of it: kept, as each is used several times.
-    reference, sample = reference.persist(), sample.persist()
-    groups = current.select(*keys, "feature").distinct()
+    # Values are counted once; all else is read off the counts.
+    counts = S.counted(current, [*keys, "feature"], "x")
+    groups = counts.select(*keys, "feature").distinct()
     js = histogram_distance(reference, reference_rows, current, keys)
     # A stored sample of a fixed size for each feature meets every group.
-    ref_side = groups.join(F.broadcast(sample), "feature").withColumn("side", F.lit(0))
-    both = ref_side.unionByName(current.select(*keys, "feature", "x").withColumn("side", F.lit(1)))
+    ref_side = groups.join(F.broadcast(sample), "feature").select(*keys, "feature", "x", F.lit(1).cast("long").alias("n"), F.lit(0).alias("side"))
+    both = ref_side.unionByName(counts.select(*keys, "feature", "x", "n", F.lit(1).alias("side")))
     both = both.withColumn("slot", S.slots(sample)(F.col("feature"), F.col("x")))
-    ks = S.ks_statistic(both, [*keys, "feature"], "slot", "side")
+    ks = S.ks_statistic(both, [*keys, "feature"], "slot", "side", "n")
     ks = ks.withColumn("p", S.kolmogorov_p(F.col("ks"), F.col("n_ref"), F.col("n_cur"))).drop("n_ref", "n_cur")
     r = reference.select("feature", "min", "max", F.col("q50").alias("ref_median"), F.col("q95").alias("ref_p95"))
     out = (F.col("x") < F.col("min")) | (F.col("x") > F.col("max"))
-    level = current.join(F.broadcast(r), "feature").groupBy(*keys, "feature").agg(F.avg(out.cast("double")).alias("exceed_rate"), F.first("ref_median").alias("ref_median"), F.first("ref_p95").alias("ref_p95"), F.percentile("x", F.array(F.lit(0.5), F.lit(0.95))).alias("q"))
+    level = counts.join(F.broadcast(r), "feature").groupBy(*keys, "feature").agg((F.sum(F.when(out, F.col("n")).otherwise(0)) / F.sum("n")).alias("exceed_rate"), F.first("ref_median").alias("ref_median"), F.first("ref_p95").alias("ref_p95"))
+    level = level.join(S.quantiles(counts, [*keys, "feature"], "x", [0.5, 0.95]), [*keys, "feature"])
     level = level.select(*keys, "feature", "exceed_rate", "ref_median", "ref_p95", F.col("q")[0].alias("cur_median"), F.col("q")[1].alias("cur_p95"))
     return js.join(ks, [*keys, "feature"]).join(level, [*keys, "feature"])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.distributions import wilson
+from tidewatch.functions.distributions import running_counts, wilson
 
 def one():
     """All rows in one window: for tables of a few rows, as results by class or score."""
@@ -58,23 +58,21 @@ def precision_recall(df: DataFrame, keys: list[str], score: str, positive: Colum
     Scores are counted first, so the running sums go over distinct scores.
     """
     c = df.groupBy(*keys, score).agg(F.count_if(positive).alias("pos"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*keys) if keys else one()
-    run = w.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumns({"tp": F.sum("pos").over(run), "said": F.sum("n").over(run), "n_positive": F.sum("pos").over(w), "n_all": F.sum("n").over(w)})
-    mixed = (F.col("n_positive") > 0) & (F.col("n_positive") < F.col("n_all"))
-    return c.filter(mixed).select(*keys, score, (F.col("tp") / F.col("said")).alias("precision"), (F.col("tp") / F.col("n_positive")).alias("recall"), "n_positive")
+    c = running_counts(c, keys, score, ["pos", "n"], falling=True)
+    c = c.withColumnsRenamed({"pos_upto": "tp", "n_upto": "said", "pos_all": "n_positive", "n_all": "n_every"})
+    mixed = (F.col("n_positive") > 0) & (F.col("n_positive") < F.col("n_every"))
+    return c.filter(mixed).select(*keys, score, (F.col("tp") / F.col("said")).alias("precision"), (F.col("tp") / F.col("n_positive")).alias("recall"), "n_positive", (F.col("pos") / F.col("n_positive")).alias("step"))
 
 
 def average_precision(curve: DataFrame, keys: list[str], score: str) -> DataFrame:
-    w = (Window.partitionBy(*keys) if keys else one()).orderBy(F.desc(score))
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0))
-    return curve.withColumn("part", step * F.col("precision")).groupBy(*keys).agg(F.sum("part").alias("average_precision"))
+    """The sum of precision over the steps in recall of a curve of precision_recall."""
+    return curve.groupBy(*keys).agg(F.sum(F.col("step") * F.col("precision")).alias("average_precision"))
 
 
 def compacted(curve: DataFrame, keys: list[str], score: str, points: int = 256) -> DataFrame:
     """At most `points` rows of a curve for each of keys, evenly spaced, both ends kept."""
-    w = Window.partitionBy(*keys) if keys else one()
-    c = curve.withColumn("i", F.row_number().over(w.orderBy(F.desc(score))) - 1).withColumn("m", F.count(F.lit(1)).over(w))
+    c = running_counts(curve.withColumn("one", F.lit(1)), keys, score, ["one"], falling=True)
+    c = c.withColumn("i", F.col("one_upto") - 1).withColumnRenamed("one_all", "m").drop("one", "one_upto")
     slot = lambda i: F.floor(i * (points - 1) / (F.col("m") - 1))
     keep = (F.col("m") <= points) | (F.col("i") == 0) | (slot(F.col("i")) > slot(F.col("i") - 1))
     return c.filter(keep).drop("i", "m")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions import distributions as Q
 from tidewatch.operators import dashboard as D
 from tidewatch.operators import severity as S
 
@@ -47,7 +48,7 @@ def ag04(spark, d):
 
 @query("ag05_median_score", f"WITH {ALERTS} SELECT round(median(confidence), 6) AS median_score FROM alerts")
 def ag05(spark, d):
-    return alerts(spark, d).agg(R(F.median("confidence")).alias("median_score"))
+    return Q.quantiles(Q.counted(alerts(spark, d), [], "confidence"), [], "confidence", [0.5]).select(R(F.col("q")[0]).alias("median_score"))
 
 
 TIMELINE = "count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium, count(*) FILTER (WHERE severity = 'low') AS low"
@@ -120,15 +121,19 @@ def ag15(spark, d):
 
 @query("ag17_replay_latency", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_ms, round(quantile_cont(value, 0.5), 6) AS p50_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms FROM events GROUP BY 1")
 def ag17(spark, d):
-    return alerts(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), R(F.avg("value")).alias("mean_ms"), R(F.percentile("value", F.lit(0.5))).alias("p50_ms"), R(F.percentile("value", F.lit(0.95))).alias("p95_ms"))
+    a = alerts(spark, d)
+    means = a.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), R(F.avg("value")).alias("mean_ms"))
+    levels = Q.quantiles(Q.counted(a, ["event_type"], "value"), ["event_type"], "value", [0.5, 0.95])
+    return means.join(levels, "event_type").select("event_type", "n", "mean_ms", R(F.col("q")[0]).alias("p50_ms"), R(F.col("q")[1]).alias("p95_ms"))
 
 
 @query("ag18_latest_latency", "SELECT round(quantile_cont(value, 0.5), 6) AS median_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms, count(*) AS n FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")
 def ag18(spark, d):
     a = alerts(spark, d)
     latest = a.join(F.broadcast(a.agg(F.max("observed_at").alias("now"))), F.col("observed_at") > F.col("now") - F.expr("interval 24 hours"))
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95)))
-    return latest.agg(p.alias("p"), F.count(F.lit(1)).alias("n")).select(R(F.col("p")[0]).alias("median_ms"), R(F.col("p")[1]).alias("p95_ms"), "n")
+    c = Q.counted(latest, [], "value")
+    levels = Q.quantiles(c, [], "value", [0.5, 0.95]).crossJoin(latest.agg(F.count(F.lit(1)).alias("n")))  # a row each
+    return levels.select(R(F.col("q")[0]).alias("median_ms"), R(F.col("q")[1]).alias("p95_ms"), "n")
 
 
 @query("ag19_analyst_review", f"WITH {ALERTS} SELECT count(*) FILTER (WHERE status = 'resolved') AS confirmed, count(*) FILTER (WHERE status = 'false_positive') AS false_positive, round(count(*) FILTER (WHERE status = 'resolved')::DOUBLE / nullif(count(*) FILTER (WHERE status IN ('resolved','false_positive')), 0), 6) AS confirmed_rate FROM alerts")

@@ -36,10 +36,9 @@ def observations_json(spark: SparkSession, path: str, row: T.StructType, lines:
         df = spark.read.schema(wrapped).option("columnNameOfCorruptRecord", bad).option("multiLine", True).json(path)
         own = F.struct(*[F.col(f.name) for f in row.fields])
         df = df.select(bad, F.explode(F.when(F.col("observations").isNotNull(), F.col("observations")).otherwise(F.array(own))).alias("o")).select("o.*", bad)
-    df = df.cache()  # Spark doesn't let a query of raw JSON read the corrupt column alone
-    n = df.filter(F.col(bad).isNotNull()).count()
+    # Spark doesn't let a query of raw JSON read the corrupt column alone.
+    n, _ = df.agg(F.count_if(F.col(bad).isNotNull()), F.count(row.fields[0].name)).first()
     if n:
-        df.unpersist()
         raise ValueError(f"{n} records can't be read; the batch is refused")
     return df.drop(bad)
 
