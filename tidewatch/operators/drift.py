@@ -95,11 +95,11 @@ def categorical_drift(vocabulary: DataFrame, current: DataFrame, keys: list[str]
     Values out of the vocabulary share one bin; `unseen` lists the commonest of them.
     """
     counted = current.groupBy(*keys, "feature", "x").agg(F.count(F.lit(1)).alias("n"))
-    joined = counted.join(F.broadcast(vocabulary), ["feature", "x"], "left")
+    joined = counted.join(vocabulary, ["feature", "x"], "left")
     bins = joined.groupBy(*keys, "feature", F.when(F.col("n_ref").isNull(), OTHER).otherwise(F.col("x")).alias("bin")).agg(F.sum("n").alias("n"))
     known = vocabulary.select("feature", F.col("x").alias("bin"), "n_ref")
     every = known.unionByName(known.select("feature").distinct().select("feature", F.lit(OTHER).alias("bin"), F.lit(0).cast("long").alias("n_ref")))
-    grid = current.select(*keys, "feature").distinct().join(F.broadcast(every), "feature")
+    grid = counted.select(*keys, "feature").distinct().join(every, "feature")
     full = grid.join(bins, [*keys, "feature", "bin"], "left").na.fill(0, ["n"])
     js = full.withColumn("p", S.smoothed(F.col("n_ref"), *keys, "feature")).withColumn("q", S.smoothed(F.col("n"), *keys, "feature")).groupBy(*keys, "feature").agg(S.js_distance(F.col("p"), F.col("q")).alias("js"), F.sum("n").alias("total"))
     new = joined.filter("n_ref is null")

@@ -108,8 +108,8 @@ def ag12(spark, d):
 def ag14(spark, d):
     a = alerts(spark, d)
     s = a.groupBy("user_id").agg(F.count(F.lit(1)).alias("events_seen"), F.count_if(F.col("prediction") == "attack").alias("alerts_seen"), F.sum("k").alias("packets"), F.count_if(F.col("k") == 0).alias("drops"), F.max("observed_at").alias("beat"))
-    now = F.max("beat").over(Window.partitionBy(F.lit(0)))
-    s = s.withColumn("online", F.col("beat") >= now - F.expr("interval 1 hour"))
+    now = F.broadcast(a.agg(F.max("observed_at").alias("now")))
+    s = s.crossJoin(now).withColumn("online", F.col("beat") >= F.col("now") - F.expr("interval 1 hour"))
     return s.agg(F.count(F.lit(1)).alias("sensors"), *[F.sum(c).alias(c) for c in ("events_seen", "alerts_seen", "packets", "drops")], F.bool_or("online").alias("online"))
 
 
