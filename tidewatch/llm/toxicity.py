@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import staged, table
-from .hashing import words
+from .hashing import utf8, words
 
 SAMPLE, FOLDS = 20_000, 3
 #: Bytes of a word's beginning that make a feature besides the word.
@@ -50,11 +50,21 @@ def _lists(values: np.ndarray, t: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(values))
 
 
+def _stretches(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """(first, number) of texts that follow one another, of some `most` bytes together."""
+    ends, a = np.cumsum(np.diff(utf8(texts)[1])), 0
+    while a < len(texts):
+        e = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        yield a, e - a
+        a = e
+
+
 def _sample_features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in it:
-        h, t = features(rows.column("text"))
-        own = _lists(h.view(np.int64), t, rows.num_rows)
-        yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("y"), own], ["id", "y", "features"])
+    for batch in it:
+        for a, n in _stretches(batch.column("text")):
+            rows = batch.slice(a, n)
+            h, t = features(rows.column("text"))
+            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("y"), _lists(h.view(np.int64), t, n)], ["id", "y", "features"])
 
 
 def _starts(sorted_values: np.ndarray) -> np.ndarray:
@@ -295,7 +305,7 @@ def scored_documents(docs: DataFrame, labels: DataFrame, categories: dict[str, C
 
     @F.arrow_udf("array<double>")
     def probabilities(texts: pa.Array) -> pa.Array:
-        p = score(texts)
+        p = np.concatenate([np.zeros((len(names), 0)), *(score(texts.slice(a, n)) for a, n in _stretches(texts))], axis=1)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(p)), pa.array(p.T.ravel()))
 
     scored = base.select("doc", probabilities("text").alias("p"))
