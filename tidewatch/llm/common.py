@@ -66,3 +66,11 @@ def ascii_lower(c: Column) -> Column:
 def row_key(doc_id: str, text: str) -> Column:
     """Tells rows apart that share a doc_id but not a text; equal rows share it."""
     return F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB's SQL for the crc32 of an ASCII text, unsigned, bit by bit."""
+    bit = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END"
+    byte = f"list_reduce(list_prepend(xor(a, b), range(8)), lambda c, i: {bit})"
+    codes = f"list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda a, b: {byte}), 4294967295::BIGINT)"
