@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, merkle, mixing, passages, pii, simhash, substrings, token_counts, topk, toxicity
+from . import decontamination, line_dedup, merkle, mixing, passages, pii, repair, simhash, substrings, token_counts, topk, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_passages": passages.op10_passages,
+    "op12_repair": repair.op12_repair,
     "op13_merkle": merkle.op13_merkle,
 }
 
@@ -24,5 +25,6 @@ ORACLE_SQL = {
     "op4_line_dedup": line_dedup.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op7_pii": pii.OP7_SQL,
+    "op12_repair": repair.OP12_SQL,
     "op13_merkle": merkle.OP13_SQL,
 }
