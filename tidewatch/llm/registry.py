@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, merkle, mixing, passages, pii, repair, simhash, substrings, token_counts, topk, toxicity
+from . import decontamination, line_dedup, merkle, mixing, passages, pii, repair, simhash, substrings, token_counts, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_passages": passages.op10_passages,
+    "op11_url_filter": url_filter.op11_url_filter,
     "op12_repair": repair.op12_repair,
     "op13_merkle": merkle.op13_merkle,
 }
