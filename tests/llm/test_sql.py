@@ -6,7 +6,7 @@ import pytest
 from tidewatch.llm.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["documents", "embeddings", "benchmark"]
+TABLES = ["documents", "embeddings", "benchmark", "conversations"]
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
