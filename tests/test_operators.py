@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tidewatch import schema
 from tidewatch.functions import distributions as S
 from tidewatch.functions import identity
-from tidewatch.operators import dashboard, drift, flows, metrics, quality, search, severity, splits
+from tidewatch.functions import ranges
+from tidewatch.operators import dashboard, drift, flows, lifecycle, metrics, quality, search, severity, splits
 from tidewatch.sources import sinks, tables
 
 PACKET = "flow string, t long, seq long, direction int, payload long, ip_size long, window long, protocol int, src_port int, dst_port int, application string, " + ", ".join(f"{x} boolean" for x in flows.FLAGS)
@@ -135,8 +136,63 @@ def test_threshold_sweep_against_plain_python(spark):
 
 def test_average_precision_without_positives_is_left_out(spark):
     df = spark.createDataFrame([("a", 0.9, True), ("a", 0.8, False), ("a", 0.8, True), ("b", 0.5, False)], "k string, s double, y boolean")
-    ap = metrics.average_precision(metrics.precision_recall(df, ["k"], "s", F.col("y")), ["k"], "s").collect()
-    assert [(r.k, round(r.average_precision, 6)) for r in ap] == [("a", round(0.5 + 0.5 * 2 / 3, 6))]
+    ap = metrics.average_precision(df, ["k"], "s", F.col("y")).orderBy("k").collect()
+    assert [(r.k, r.average_precision and round(r.average_precision, 6)) for r in ap] == [("a", round(0.5 + 0.5 * 2 / 3, 6)), ("b", None)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 255, 256, 257, 999])
+def test_compact_curves_keep_even_steps_and_the_end(spark, n):
+    rows = [("a", i / 1000, i % 3 == 0) for i in range(n)] + [("a", 2.0, True), ("a", 2.0, False)]
+    curve = metrics.precision_recall(spark.createDataFrame(rows, "k string, s double, y boolean"), ["k"], "s", F.col("y"))
+    kept = [r.s for r in metrics.compacted(curve, ["k"], "s").orderBy("s").collect()]
+    scores = sorted({s for _, s, _ in rows})
+    want = scores if len(scores) <= 255 else [scores[i] for i in sorted({k * (len(scores) - 1) // 254 for k in range(255)})]
+    assert kept == [None, *want]
+
+
+def test_first_row_of_a_batch_is_new_and_its_repeats_are_not(spark):
+    batch = spark.createDataFrame([(1, "a", 0), (1, "a", 1), (1, "a", 2), (2, "b", 3), (3, "c", 4), (3, "x", 5), (4, "d", 6), (4, "d", 7)], "id long, digest string, place long")
+    stored = spark.createDataFrame([(2, "other"), (4, "d")], "id long, digest string")
+    got = [r.disposition for r in lifecycle.split_known(batch, stored, "id", "digest", "place").orderBy("place").collect()]
+    assert got == ["new", "duplicate", "duplicate", "conflict", "conflict", "conflict", "duplicate", "duplicate"]
+
+
+def plain_flows(rows, idle, active):
+    """{(key, t, seq): number} of packets in order."""
+    out, state = {}, {}
+    for key, t, seq in sorted(rows, key=lambda r: (r[0] is not None, r)):
+        start, last, number = state.get(key, (t, t, 0))
+        if t - last > idle or t - start > active:
+            start, number = t, number + 1
+        state[key] = (start, t, number)
+        out[key, t, seq] = number
+    return out
+
+
+@pytest.mark.parametrize("idle, active", [(10, 25), (3, 1 << 60), (1 << 40, 7), (0, 0), (6, 100)])
+def test_flows_of_a_hot_key_and_small_ones(spark, idle, active):
+    r = random.Random(idle + active)
+    rows, t = [], 0
+    for seq in range(4000):  # one key has nine packets in ten, many at one time
+        t += r.choice([0, 0, 1, 1, 2, 5, 11])
+        rows.append(("hot", t, seq))
+    rows += [(r.choice(["a", "b", "c", None]), r.randrange(300), 4000 + i) for i in range(400)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "key string, t long, seq long").repartition(5)
+    got = {(x.key, x.t, x.seq): x.flow_no for x in flows.assemble(df, ["key"], idle, active).collect()}
+    assert got == plain_flows(rows, idle, active)
+    assert flows.assemble(df.limit(0), ["key"], idle, active).count() == 0
+
+
+def test_a_hot_key_is_spread_over_ranges(spark):
+    p = spark.range(40_000).select(F.when(F.col("id") % 10 < 9, 0).otherwise(F.col("id")).alias("key"), F.col("id").alias("t"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # so few rows would be one range
+    try:
+        ranged = ranges.sorted_ranges(p, ["key", "t"], "rid", "hot")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    counts = [r["count"] for r in ranged.filter("key = 0").groupBy(F.shiftright("rid", ranges.RANGE_BIT)).count().collect()]
+    assert len(counts) >= 3 and max(counts) <= 20_000
 
 
 def test_topology(spark):

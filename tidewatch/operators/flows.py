@@ -6,14 +6,12 @@ share that partitioning; each step shuffles only the packet columns that it need
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch import schema
+from tidewatch.functions import ranges as R
+from tidewatch.functions.scratch import staged
 
 #: Fixed values, in microseconds. A gap must be longer than these to part two periods, subflows or bulks.
 ACTIVITY_GAP, SUBFLOW_GAP, BULK_GAP, BULK_PACKETS = 5_000_000, 1_000_000, 1_000_000, 4
@@ -125,31 +123,30 @@ def assemble(packets: DataFrame, keys: list[str], idle: int, active: int) -> Dat
     """packets with `flow_no`, the number of the flow within its key: a gap of over `idle`,
     or a packet over `active` after the flow's first one, starts the next.
 
-    The second rule depends on where the flow before it ended, so a key's packets are
-    read in order; only the last packet's state is held, whatever the size of the key.
+    Packets are sorted into ranges of like size, whatever the size of a key. Gaps cut a key into
+    runs. Where the second rule cuts depends on the cut before, so within runs of over `active`
+    every packet gets a link to the first one beyond its time, and what links lead to from a
+    run's first packet, by doubling, are the cuts. Packets of one time are in the order of seq.
     """
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = start = last = None
-        number = 0
-        for rows in it:
-            k, t = rows.column("__key").to_numpy(zero_copy_only=False), rows.column("t").to_numpy(zero_copy_only=False)
-            out, a = np.zeros(len(t), np.int64), 0
-            while a < len(t):
-                if k[a] != key or t[a] - last > idle or t[a] - start > active:
-                    number = 0 if k[a] != key else number + 1
-                    key, start = k[a], t[a]
-                # The flow goes on up to another key, a long gap or the end of its time.
-                e = int(np.searchsorted(k, key, side="right"))
-                e = min(e, a + int(np.searchsorted(t[a:e], start + active, side="right")))
-                wide = np.flatnonzero(np.diff(t[a:e]) > idle)
-                e = a + int(wide[0]) + 1 if len(wide) else max(e, a + 1)
-                out[a:e], last, a = number, t[e - 1], e
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out)], [*rows.schema.names, "flow_no"])
-
-    dealt = packets.withColumn("__key", F.xxhash64(*keys)).repartition(F.col("__key")).sortWithinPartitions("__key", "t", "seq")
-    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in dealt.schema)
-    return dealt.mapInArrow(run, f"{fields}, flow_no long").drop("__key")
+    p = R.sorted_ranges(packets, [*keys, "t", "seq"], "__id", "packets")
+    p = R.previous(p, keys, "__id", "t", "__before")
+    p = staged(R.running_sum(p, keys, "__id", (F.col("t") - F.col("__before") > idle).cast("long"), "__run").withColumn("__run", F.coalesce("__run", F.lit(0))), "runs")
+    run = [*keys, "__run"]
+    spans = p.groupBy(*run).agg(F.min("t").alias("__t0"), F.max("t").alias("__t1"), F.min("__id").alias("id"))
+    long_runs = staged(spans.filter(F.col("__t1") - F.col("__t0") > active), "long-runs")
+    named = [F.col(c).alias(f"__k{i}") for i, c in enumerate(run)]
+    same = F.lit(True)
+    for i, c in enumerate(run):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    # A packet, and beside it a probe for the end of its time; a packet of that very time comes first.
+    own = p.join(long_runs.select(*named), same, "left_semi").select(*run, "__id", F.explode(F.array(*[F.struct((F.col("t") + F.lit(k * active)).alias("at"), F.lit(k).alias("probe")) for k in (0, 1)])).alias("e"))
+    events = R.sorted_ranges(own.select(*run, "__id", "e.at", "e.probe"), [*run, "at", "probe", "__id"], "__place", "ends-of-flows")
+    ahead = R.following(events, run, "__place", F.when(F.col("probe") == 0, F.col("__id")), "nxt").filter("probe = 1 and nxt is not null")
+    cuts = R.reached(long_runs.select("id"), ahead.select(F.col("__id").alias("id"), "nxt"))
+    starts = staged(spans.select("id").unionByName(cuts).distinct().select(F.col("id").alias("__start")), "starts-of-flows")
+    marked = p.join(starts, F.col("__id") == F.col("__start"), "left")
+    numbered = R.running_sum(staged(marked, "packets-of-flows"), keys, "__id", F.col("__start").isNotNull().cast("long"), "flow_no")
+    return numbered.withColumn("flow_no", F.col("flow_no") - 1).select(*packets.columns, "flow_no")
 
 
 def flow_key() -> list[Column]:

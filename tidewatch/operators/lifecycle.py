@@ -25,14 +25,20 @@ def first_reason(reasons: list[tuple[str, Column]], fine: str = "eligible") -> C
     return out
 
 
-def split_known(batch: DataFrame, stored: DataFrame, key: str, digest: str) -> DataFrame:
+def split_known(batch: DataFrame, stored: DataFrame, key: str, digest: str, place: str) -> DataFrame:
     """batch with `disposition`: new; duplicate, if the stored row or an earlier one of the
-    batch is the same; conflict, if a row of the same key has another digest."""
+    batch is the same; conflict, if a row of the same key has another digest.
+
+    `place` is a row's place in the batch, no two of one key alike: of equal rows the first is new.
+    A key's rows are summed up before they meet, so a key that is sent again and again isn't
+    gathered.
+    """
     had = stored.select(key, F.col(digest).alias("__had"))
-    within = batch.groupBy(key).agg((F.min(digest) != F.max(digest)).alias("__torn"))
+    within = batch.groupBy(key).agg((F.min(digest) != F.max(digest)).alias("__torn"), F.min(place).alias("__first"))
     joined = batch.join(had, key, "left").join(within, key)
     conflict = F.col("__torn") | (F.col("__had") != F.col(digest))
-    return joined.withColumn("disposition", F.when(conflict, "conflict").when(F.col("__had").isNotNull(), "duplicate").otherwise("new")).drop("__had", "__torn")
+    known = F.col("__had").isNotNull() | (F.col(place) > F.col("__first"))
+    return joined.withColumn("disposition", F.when(conflict, "conflict").when(known, "duplicate").otherwise("new")).drop("__had", "__torn", "__first")
 
 
 def redrive_plan(asked: DataFrame, eligibility: DataFrame, key: str, operator: str, reason: str, dry_run: bool = True) -> DataFrame:

@@ -64,18 +64,26 @@ def precision_recall(df: DataFrame, keys: list[str], score: str, positive: Colum
     return c.filter(mixed).select(*keys, score, (F.col("tp") / F.col("said")).alias("precision"), (F.col("tp") / F.col("n_positive")).alias("recall"), "n_positive", (F.col("pos") / F.col("n_positive")).alias("step"))
 
 
-def average_precision(curve: DataFrame, keys: list[str], score: str) -> DataFrame:
-    """The sum of precision over the steps in recall of a curve of precision_recall."""
-    return curve.groupBy(*keys).agg(F.sum(F.col("step") * F.col("precision")).alias("average_precision"))
+def average_precision(df: DataFrame, keys: list[str], score: str, positive: Column) -> DataFrame:
+    """Rows (*keys, average_precision): the sum of precision over the steps in recall; null where all
+    rows are positive or none is."""
+    curve = precision_recall(df, keys, score, positive)
+    area = curve.groupBy(*keys).agg(F.sum(F.col("step") * F.col("precision")).alias("average_precision"))
+    return df.select(*keys).distinct().join(area, keys, "left")
 
 
 def compacted(curve: DataFrame, keys: list[str], score: str, points: int = 256) -> DataFrame:
-    """At most `points` rows of a curve for each of keys, evenly spaced, both ends kept."""
-    c = running_counts(curve.withColumn("one", F.lit(1)), keys, score, ["one"], falling=True)
-    c = c.withColumn("i", F.col("one_upto") - 1).withColumnRenamed("one_all", "m").drop("one", "one_upto")
-    slot = lambda i: F.floor(i * (points - 1) / (F.col("m") - 1))
-    keep = (F.col("m") <= points) | (F.col("i") == 0) | (slot(F.col("i")) > slot(F.col("i") - 1))
-    return c.filter(keep).drop("i", "m")
+    """At most `points` rows (*keys, score, precision, recall) of a curve for each of keys: the thresholds
+    at points - 1 even steps, rounded down, from the least to the greatest one, and the closing
+    point, precision 1 and recall 0, which has no threshold."""
+    c = running_counts(curve.withColumn("one", F.lit(1)), keys, score, ["one"])
+    c = c.select(*keys, score, "precision", "recall", (F.col("one_upto") - 1).alias("i"), (F.col("one_all") - 1).alias("last"))
+    steps = F.lit(points - 2)
+    # The first step that reaches row i, rounded down, must be row i itself.
+    step = F.when(F.col("last") > 0, F.ceil(F.col("i") * steps / F.col("last"))).otherwise(0)
+    keep = (F.col("last") < points - 1) | (F.floor(step * F.col("last") / steps) == F.col("i"))
+    closing = curve.select(*keys).distinct().select(*keys, F.lit(None).cast(dict(curve.dtypes)[score]).alias(score), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+    return c.filter(keep).drop("i", "last").unionByName(closing)
 
 
 def threshold_sweep(df: DataFrame, score: str, positive: Column, steps: int = 100) -> DataFrame:

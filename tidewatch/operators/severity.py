@@ -17,9 +17,11 @@ def assess(prediction: Column, confidence: Column, behaves_oddly: Column) -> Col
 
 
 def reasons(prediction: Column, confidence: Column, more: Column) -> Column:
-    """An array: how sure the model is, then the reasons that others gave."""
+    """An array: how sure the model is, then the reasons that others gave. What is normal to the
+    model and to them has no reasons."""
     said = F.concat(F.lit("model predicted "), prediction, F.format_string(" with %.1f%% confidence", F.round(confidence * 100, 1)))
-    return F.concat(F.array(said), more)
+    quiet = (prediction == "normal") & (F.size(more) == 0)
+    return F.when(quiet, F.array().cast("array<string>")).otherwise(F.concat(F.array(said), more))
 
 
 def sensor_severity(priority: Column) -> Column:

@@ -89,11 +89,11 @@ def prj02(spark, d):
     return a.select("alert_id", "detection_source", F.when(sensor, F.col("signature")).otherwise(F.col("attack_class")).alias("attack_class"), F.when(~sensor, F.col("confidence")).alias("confidence"), F.coalesce(occurred, created).alias("observed_at"))
 
 
-@query("prj03_severity_reasons", f"WITH {ALERTS} SELECT alert_id, CASE WHEN prediction = 'normal' AND NOT odd THEN 'informational' WHEN confidence >= 0.9 OR odd THEN 'critical' WHEN confidence >= 0.75 THEN 'high' ELSE 'medium' END AS severity, 1 + odd::INT AS n_reasons, 'model predicted ' || prediction AS said FROM (SELECT *, k > 95 AS odd FROM alerts)")
+@query("prj03_severity_reasons", f"WITH {ALERTS} SELECT alert_id, CASE WHEN prediction = 'normal' AND NOT odd THEN 'informational' WHEN confidence >= 0.9 OR odd THEN 'critical' WHEN confidence >= 0.75 THEN 'high' ELSE 'medium' END AS severity, CASE WHEN quiet THEN 0 ELSE 1 + odd::INT END AS n_reasons, CASE WHEN NOT quiet THEN 'model predicted ' || prediction END AS said FROM (SELECT *, k > 95 AS odd, prediction = 'normal' AND NOT odd AS quiet FROM alerts)")
 def prj03(spark, d):
     odd = F.col("k") > 95
     told = S.reasons(F.col("prediction"), F.col("confidence"), F.when(odd, F.array(F.lit("profile"))).otherwise(F.array().cast("array<string>")))
-    return alerts(spark, d).select("alert_id", S.assess(F.col("prediction"), F.col("confidence"), odd).alias("severity"), F.size(told).alias("n_reasons"), F.regexp_extract(told[0], "^(.*) with [0-9.]+% confidence$", 1).alias("said"))
+    return alerts(spark, d).select("alert_id", S.assess(F.col("prediction"), F.col("confidence"), odd).alias("severity"), F.size(told).alias("n_reasons"), F.regexp_extract(F.get(told, 0), "^(.*) with [0-9.]+% confidence$", 1).alias("said"))
 
 
 @query("prj04_sensor_severity", f"WITH {ALERTS} SELECT alert_id, CASE k % 5 WHEN 1 THEN 'critical' WHEN 2 THEN 'high' WHEN 3 THEN 'medium' ELSE 'low' END AS severity FROM alerts")

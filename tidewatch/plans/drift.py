@@ -10,7 +10,7 @@ from tidewatch.operators import drift as D
 
 from .bindings import ALERTS, alerts, table
 from .registry import query
-from .scratch import staged
+from tidewatch.functions.scratch import staged
 
 R = lambda c, n=6: F.round(c, n)
 NUMERIC, FLAGS, CUT, SAMPLE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_returnflag", "l_shipper"], 1999, 2000

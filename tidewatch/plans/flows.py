@@ -11,7 +11,7 @@ from tidewatch.operators import flows as W
 
 from .bindings import table
 from .registry import query
-from .scratch import scratch
+from tidewatch.functions.scratch import scratch
 
 H = 3_600_000_000
 ACTIVITY, SUBFLOW, BULK = 12 * H, 6 * H, 24 * H
@@ -131,9 +131,32 @@ def fx09(spark, d):
     return W.assemble(packets(spark, d).select("flow", "t", "seq"), ["flow"], 8 * H, 1 << 60).select("flow", "seq", "flow_no")
 
 
-@query("fx09_assembly_active")
+def _assembled(idle: int, active: int) -> str:
+    return f"""
+placed AS (
+  SELECT flow, t, seq, row_number() OVER w AS i, coalesce(t - lag(t) OVER w > {idle}, FALSE) AS gap FROM packets WINDOW w AS (PARTITION BY flow ORDER BY t, seq)
+),
+links AS MATERIALIZED (
+  SELECT flow, i, least(min(CASE WHEN gap THEN i END) OVER (PARTITION BY flow ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING),
+                        min(i) OVER (PARTITION BY flow ORDER BY t RANGE BETWEEN {active + 1} FOLLOWING AND UNBOUNDED FOLLOWING)) AS nxt FROM placed
+),
+starts(flow, i, flow_no) AS (
+  SELECT DISTINCT flow, 1::BIGINT, 0::BIGINT FROM placed
+  UNION ALL SELECT s.flow, l.nxt, s.flow_no + 1 FROM starts s JOIN links l USING (flow, i) WHERE l.nxt IS NOT NULL
+),
+assembled AS (SELECT p.flow, p.seq, max(s.flow_no) OVER (PARTITION BY p.flow ORDER BY p.i) AS flow_no FROM placed p LEFT JOIN starts s USING (flow, i))"""
+
+
+@query("fx09_assembly_active", f"WITH RECURSIVE {PACKETS}, {_assembled(12 * H, 48 * H)} SELECT flow, seq, flow_no FROM assembled")
 def fx09_active(spark, d):
-    return W.assemble(packets(spark, d).select("flow", "t", "seq"), ["flow"], 12 * H, 48 * H).groupBy("flow", "flow_no").agg(F.count(F.lit(1)).alias("n_packets"), (F.max("t") - F.min("t")).alias("duration_us"))
+    return W.assemble(packets(spark, d).select("flow", "t", "seq"), ["flow"], 12 * H, 48 * H).select("flow", "seq", "flow_no")
+
+
+@query("fx09_one_key", f"WITH RECURSIVE {PACKETS.replace('user_id AS flow', '0 AS flow', 1)}, {_assembled(2 * H, 12 * H)} SELECT seq, flow_no FROM assembled")
+def fx09_one_key(spark, d):
+    """All packets under one key: a gap of two hours or half a day ends a flow."""
+    p = packets(spark, d).select(F.lit(0).alias("flow"), "t", "seq")
+    return W.assemble(p, ["flow"], 2 * H, 12 * H).select("seq", "flow_no")
 
 
 @query("src05_flows_from_file", f"{ALL} SELECT flow, {SQL_ROUNDED(list(schema.COLUMNS), 3)} FROM features")

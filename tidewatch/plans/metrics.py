@@ -93,12 +93,35 @@ def _curve(spark, d):
     return M.precision_recall(_pairs(spark, d), ["seed"], "score", F.col("truth") == "error")
 
 
-@query("ev07_average_precision", f"WITH {PAIRS}, {CURVE}, st AS (SELECT seed, precision * (recall - coalesce(lag(recall) OVER (PARTITION BY seed ORDER BY score DESC), 0)) AS part FROM curve) SELECT seed, round(sum(part), 6) AS average_precision FROM st GROUP BY 1")
+#: The last class never occurs, so it has no average precision.
+CLASSES = ("click", "view", "purchase", "signup", "error", "never")
+RANKED = f"""
+rated AS (
+  SELECT seed, label, truth = label AS positive, CASE WHEN predicted = label THEN score ELSE 1 - score END AS score
+  FROM pairs CROSS JOIN (VALUES {", ".join(f"('{c}')" for c in CLASSES)}) v(label)
+),
+counted AS (SELECT seed, label, score, count(*) FILTER (WHERE positive) AS pos, count(*) AS n FROM rated GROUP BY ALL),
+summed AS (
+  SELECT seed, label, pos, sum(pos) OVER w / sum(n) OVER w AS precision, sum(pos) OVER (PARTITION BY seed, label) AS positives, sum(n) OVER (PARTITION BY seed, label) AS rows
+  FROM counted WINDOW w AS (PARTITION BY seed, label ORDER BY score DESC ROWS UNBOUNDED PRECEDING)
+)"""
+
+
+@query("ev07_average_precision", f"WITH {PAIRS}, {RANKED} SELECT seed, label, round(sum(precision * pos / positives) FILTER (WHERE positives BETWEEN 1 AND rows - 1), 6) AS average_precision FROM summed GROUP BY 1, 2")
 def ev07(spark, d):
-    return M.average_precision(_curve(spark, d), ["seed"], "score").select("seed", R(F.col("average_precision")).alias("average_precision"))
+    own = F.col("predicted") == F.col("label")
+    rated = _pairs(spark, d).withColumn("label", F.explode(F.array(*map(F.lit, CLASSES)))).withColumn("score", F.when(own, F.col("score")).otherwise(1 - F.col("score")))
+    area = M.average_precision(rated, ["seed", "label"], "score", F.col("truth") == F.col("label"))
+    return area.select("seed", "label", R(F.col("average_precision")).alias("average_precision"))
 
 
-@query("ev08_compact_curve", f"WITH {PAIRS}, {CURVE}, i AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC) - 1 AS i, count(*) OVER (PARTITION BY seed) AS m FROM curve) SELECT seed, score, round(precision, 6) AS precision, round(recall, 6) AS recall FROM i WHERE m <= 256 OR i = 0 OR floor(i * 255 / (m - 1)) > floor((i - 1) * 255 / (m - 1))")
+COMPACT = """
+placed AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score) - 1 AS i, count(*) OVER (PARTITION BY seed) AS m FROM curve),
+steps AS (SELECT seed, m, unnest(CASE WHEN m <= 255 THEN range(m) ELSE list_distinct([k * (m - 1) // 254 FOR k IN range(255)]) END) AS i FROM (SELECT DISTINCT seed, m FROM placed))
+SELECT seed, score, round(precision, 6) AS precision, round(recall, 6) AS recall FROM placed JOIN steps USING (seed, m, i) UNION ALL SELECT DISTINCT seed, NULL, 1.0::DOUBLE, 0.0::DOUBLE FROM placed"""
+
+
+@query("ev08_compact_curve", f"WITH {PAIRS}, {CURVE}, {COMPACT}")
 def ev08(spark, d):
     return M.compacted(_curve(spark, d), ["seed"], "score").select("seed", "score", R(F.col("precision")).alias("precision"), R(F.col("recall")).alias("recall"))
 

@@ -13,7 +13,7 @@ from tidewatch.sources import sinks, tables
 
 from .bindings import ALERTS, JOBS, alerts, jobs, table
 from .registry import query
-from .scratch import scratch
+from tidewatch.functions.scratch import scratch
 
 R = lambda c, n=6: F.round(c, n)
 #: Rows of text with planted defects.

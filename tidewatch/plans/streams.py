@@ -10,7 +10,7 @@ from tidewatch.streaming import flows as S
 
 from .bindings import ALERTS, alerts
 from .registry import query
-from .scratch import scratch
+from tidewatch.functions.scratch import scratch
 
 FIELDS = "alert_id long, user_id long, event_type string, severity string, k int, value double, ts timestamp"
 

@@ -11,7 +11,7 @@ from tidewatch.operators import severity as V
 from tidewatch.operators import splits as P
 from tidewatch.operators import training as TR
 
-from . import scratch
+from tidewatch.functions import scratch
 from .bindings import table
 from .registry import query
 
