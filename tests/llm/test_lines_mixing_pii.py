@@ -77,6 +77,23 @@ def test_mixing(docs):
     assert mixing.mix(docs([]))[0].count() == 0 and mixing.mix(docs([(1, None, "a")]))[0].first().taken == 0
 
 
+def test_small_sources_get_their_targets(docs):
+    """Thousands of sources of a few words, and some large ones: each within a word of its target."""
+    r = random.Random(17)
+    rows = [(i, " ".join(["w"] * r.randrange(1, 40)), f"s{i % 3000:04}") for i in range(9000)] + [(9000 + i, "w " * 5000, f"t{i % 3}") for i in range(12)]
+    taken, _ = mixing.mix(docs(rows))
+    got = taken.collect()
+    assert len(got) == len(rows)
+    size, target, total = {}, {}, {}
+    source = {d: s for d, _, s in rows}
+    for g in got:
+        s = source[g.doc_id]
+        size[s], target[s], total[s] = g.source_size, g.target, total.get(s, 0) + g.taken
+        assert g.taken <= 3 * g["size"]
+    assert all(abs(total[s] - target[s]) <= 0.5 for s in target)
+    assert sum(total.values()) == pytest.approx(sum(size.values()), rel=0.01)
+
+
 def test_points_of_far_slots(spark):
     """However far the schedule goes, a source of a small quota gets its slots."""
     far = [0, 1, 2, (1 << 31) - 1, 1 << 31, 50_000_000_000, (1 << 45) + 12345]
