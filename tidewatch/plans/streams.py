@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import identity
+from tidewatch.sources import growing, tables
 from tidewatch.streaming import flows as S
+from tidewatch.streaming import state
 
 from .bindings import ALERTS, alerts
 from .registry import query
@@ -64,7 +66,15 @@ def ss03(spark, d):
 @query("ss04_status_changes", f"WITH {ALERTS} SELECT event_type AS key, alert_id AS version, status FROM (SELECT event_type, alert_id, severity AS status, lag(severity) OVER (PARTITION BY event_type ORDER BY alert_id) AS before FROM alerts) WHERE status IS DISTINCT FROM before")
 def ss04(spark, d):
     out = scratch(spark, "changes")
-    S.drain(S.changes_only(_stream(spark, d).select(F.col("event_type").alias("key"), F.col("alert_id").alias("version"), F.col("severity").alias("status")), "key"), out)
+    S.drain(state.status_changes(_stream(spark, d).withColumnRenamed("event_type", "key"), ["key"], "alert_id", "severity"), out)
+    return spark.read.parquet(out).drop("batch")
+
+
+@query("ss04_changes_by_cohort", f"WITH {ALERTS} SELECT event_type AS cohort, hour, alert_id AS version, status FROM (SELECT event_type, hour, alert_id, severity AS status, lag(severity) OVER (PARTITION BY event_type, hour ORDER BY alert_id) AS before FROM (SELECT *, hour(observed_at)::INT AS hour FROM alerts)) WHERE status IS DISTINCT FROM before")
+def ss04_cohorts(spark, d):
+    out = scratch(spark, "cohort-changes")
+    s = _stream(spark, d).withColumn("hour", F.hour("ts")).withColumnRenamed("event_type", "cohort")
+    S.drain(state.status_changes(s, ["cohort", "hour"], "alert_id", "severity"), out)
     return spark.read.parquet(out).drop("batch")
 
 
@@ -95,9 +105,9 @@ def ss05(spark, d):
 @query("ss06_sensor_state", f"WITH {ALERTS} SELECT user_id AS sensor, sum(k)::BIGINT AS packets, count(*) AS events_seen, epoch_us(max(observed_at)) AS beat FROM alerts GROUP BY 1")
 def ss06(spark, d):
     out = scratch(spark, "state")
-    s = _stream(spark, d).select("user_id", F.col("k").alias("packets"), F.unix_micros("ts").alias("beat"))
-    S.drain(S.sensor_state(s, "user_id"), out, mode="update")
-    return _latest(spark.read.parquet(out), ["sensor"])
+    S.drain(state.sensor_presence(_stream(spark, d), "user_id", "ts", "k", 3600, delay="1 hour"), out)
+    last = F.max_by(F.struct("packets", "events_seen", "beat"), F.struct("batch", "events_seen")).alias("last")
+    return spark.read.parquet(out).groupBy("sensor").agg(last).select("sensor", "last.*")
 
 
 @query("ss07_threshold_rule", f"WITH {ALERTS} SELECT time_bucket(INTERVAL 24 HOUR, observed_at, TIMESTAMP '1970-01-01') AS started_at, user_id, count(*) AS n FROM alerts GROUP BY 1, 2 HAVING count(*) >= 5")
@@ -135,12 +145,53 @@ def ss10(spark, d):
     return spark.read.parquet(out).drop("batch")
 
 
-@query("ss06_sensor_presence", f"WITH {ALERTS} SELECT user_id AS sensor, CASE WHEN (SELECT max(epoch_us(observed_at)) FROM alerts) - epoch_us(max(observed_at)) > 3600000000 THEN 'offline' ELSE 'online' END AS status FROM alerts GROUP BY 1")
+PRESENCE = f"""
+WITH {ALERTS}, beats AS (SELECT user_id AS sensor, epoch_us(observed_at) AS t FROM alerts),
+gaps AS (SELECT *, lag(t) OVER w AS before, lead(t) OVER w AS after FROM beats WINDOW w AS (PARTITION BY sensor ORDER BY t)),
+changes AS (
+  SELECT sensor, t AS "at", 'online' AS status FROM gaps WHERE before IS NULL OR t - before > 3600000000
+  UNION ALL SELECT sensor, t + 3600000000, 'offline' FROM gaps WHERE after IS NULL OR after - t > 3600000000
+)"""
+
+
+@query("ss06_presence_changes", f"{PRESENCE} SELECT sensor, \"at\", status FROM changes WHERE \"at\" < epoch_us(TIMESTAMP '2024-01-20')")
+def ss06_changes(spark, d):
+    """Sensors go offline after an hour of silence; changes until the 20th, which the clock surely passes."""
+    out = scratch(spark, "presence")
+    S.drain(state.sensor_presence(_stream(spark, d), "user_id", "ts", "k", 3600, delay="1 hour"), out)
+    until = F.unix_micros(F.lit("2024-01-20").cast("timestamp"))
+    return spark.read.parquet(out).filter(F.col("changed") & (F.col("at") < until)).select("sensor", "at", "status")
+
+
+@query("ss06_sensor_presence", f"{PRESENCE} SELECT sensor, arg_max(status, \"at\") AS status FROM changes WHERE \"at\" < epoch_us(TIMESTAMP '2024-01-20') GROUP BY 1")
 def ss06_presence(spark, d):
-    """Sensors that were silent for an hour before the newest event are offline."""
-    states = ss06(spark, d)
-    now = states.agg(F.max("beat")).first()[0]
-    return S.with_presence(states, "beat", F.lit(now), 3600).select("sensor", "status")
+    """What each sensor was at the start of the 20th."""
+    return ss06_changes(spark, d).groupBy("sensor").agg(F.max_by("status", "at").alias("status"))
+
+
+@query("src03_growing_files", "SELECT event_id AS alert_id, user_id FROM events")
+def src03_growing(spark, d):
+    """Files that are followed by bytes while they grow: read as they are, then with as many lines again."""
+    path, out = scratch(spark, "growing"), scratch(spark, "lines")
+    a = alerts(spark, d).select("alert_id", "user_id")
+    half = F.col("alert_id") % 2 == 0
+    local = path.removeprefix("file://")
+    for part in (a.filter(half), a.filter(~half)):
+        part.coalesce(4).write.mode("append").json(path)
+        S.drain(growing.follow_growing(spark, f"{local}/*.json", split=1 << 20), out)
+    return spark.read.parquet(out).select(F.from_json("value", "alert_id long, user_id long").alias("x")).select("x.*")
+
+
+@query("src04_sensor_lines", "SELECT event_id, event_type, sig FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'alert' ELSE 'stats' END AS event_type, CASE WHEN event_id % 2 = 0 THEN user_id::INT END AS sig FROM events WHERE event_id % 5 <> 0)")
+def src04_lines(spark, d):
+    """A sensor's log, followed; every fifth line can't be read and is passed over."""
+    path, out = scratch(spark, "eve"), scratch(spark, "eve-lines")
+    e, even = alerts(spark, d), F.col("alert_id") % 2 == 0
+    when = F.date_format("observed_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    line = F.to_json(F.struct(when.alias("timestamp"), F.when(even, "alert").otherwise("stats").alias("event_type"), F.col("alert_id").cast("string").alias("flow_id"), F.when(even, F.struct(F.col("user_id").cast("int").alias("signature_id"))).alias("alert")))
+    e.select(F.when(F.col("alert_id") % 5 == 0, F.substr(line, F.lit(1), F.length(line) - 4)).otherwise(line).alias("value")).coalesce(3).write.text(path)
+    S.drain(tables.sensor_events(growing.follow_growing(spark, f"{path.removeprefix('file://')}/*.txt")), out)
+    return spark.read.parquet(out).select(F.col("flow_id").cast("long").alias("event_id"), "event_type", F.col("alert.signature_id").alias("sig"))
 
 
 @query("ss12_session_stream", f"WITH {ALERTS}, g AS (SELECT user_id, observed_at AS t, alert_id, coalesce((epoch_us(observed_at) - epoch_us(lag(observed_at) OVER w) >= 28800000000)::INT, 0) AS fresh FROM alerts WINDOW w AS (PARTITION BY user_id ORDER BY observed_at, alert_id)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t, alert_id ROWS UNBOUNDED PRECEDING) AS island FROM g), a AS (SELECT user_id, min(t) AS started_at, max(t) AS ended_at, count(*) AS n FROM s GROUP BY user_id, island) SELECT user_id, started_at, n FROM a WHERE ended_at < TIMESTAMP '2024-01-20'")

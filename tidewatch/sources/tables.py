@@ -52,8 +52,10 @@ EVENT = T.StructType([
 
 def sensor_events(lines: DataFrame, value: str = "value") -> DataFrame:
     """Alerts and statistics among a sensor's lines (static or streaming); what can't be read, or has no time, is skipped."""
-    e = lines.select(F.from_json(value, EVENT, {"mode": "PERMISSIVE"}).alias("e")).filter("e is not null").select("e.*")
-    return e.filter(F.col("event_type").isin("alert", "stats") & F.col("timestamp").isNotNull())
+    bad = "_corrupt_record"
+    row = T.StructType([*EVENT.fields, T.StructField(bad, T.StringType())])
+    e = lines.select(F.from_json(value, row, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}).alias("e")).select("e.*")
+    return e.filter(F.col(bad).isNull() & F.col("event_type").isin("alert", "stats") & F.col("timestamp").isNotNull()).drop(bad)
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
