@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 
 def counted(df: DataFrame, keys: list[str], value: str, name: str = "n") -> DataFrame:
-    """Rows (*keys, value, name): how often each value came, nulls left out."""
-    return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(name))
+    """Rows (*keys, value, name): how often each value came, nulls left out. Rows that have a column
+    of that name are counts themselves, and are added up."""
+    n = F.sum(name) if name in df.columns else F.count(F.lit(1))
+    return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias(name))
 
 
 def running_counts(counts: DataFrame, keys: list[str], value: str, sums: list[str], falling: bool = False) -> DataFrame:
@@ -77,16 +79,14 @@ def ks_statistic(df: DataFrame, group: list[str], value: str, side: str, n: str)
     """Rows (*group, n_ref, n_cur, ks): the greatest distance of the two distribution functions of
     counted values, `n` of each.
 
-    `side` is 0 for the reference and 1 for the current sample. A running sum goes over
-    the distinct values of a group.
+    `side` is 0 for the reference and 1 for the current sample. Running sums go over the
+    distinct values of a group, by buckets.
     """
     of = lambda k: F.sum(F.when(F.col(side) == k, F.col(n)).otherwise(0))
-    c = df.groupBy(*group, value).agg(of(0).alias("a"), of(1).alias("b"))
-    w = Window.partitionBy(*group)
-    run = w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumns({"n_ref": F.sum("a").over(w), "n_cur": F.sum("b").over(w), "fa": F.sum("a").over(run), "fb": F.sum("b").over(run)})
-    gap = F.abs(F.col("fa") / F.col("n_ref") - F.col("fb") / F.col("n_cur"))
-    out = c.groupBy(*group).agg(F.first("n_ref").alias("n_ref"), F.first("n_cur").alias("n_cur"), F.max(F.when((F.col("n_ref") > 0) & (F.col("n_cur") > 0), gap)).alias("ks"))
+    c = running_counts(df.groupBy(*group, value).agg(of(0).alias("a"), of(1).alias("b")), group, value, ["a", "b"])
+    gap = F.abs(F.col("a_upto") / F.col("a_all") - F.col("b_upto") / F.col("b_all"))
+    both = (F.col("a_all") > 0) & (F.col("b_all") > 0)
+    out = c.groupBy(*group).agg(F.first("a_all").alias("n_ref"), F.first("b_all").alias("n_cur"), F.max(F.when(both, gap)).alias("ks"))
     return out.withColumn("ks", F.coalesce("ks", F.lit(0.0)))
 
 

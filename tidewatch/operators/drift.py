@@ -38,7 +38,10 @@ def numeric_reference(long: DataFrame, keys: list[str] = [], bins: int = 20) ->
 
 
 def histogram(long: DataFrame, reference: DataFrame, keys: list[str] = []) -> DataFrame:
-    """Rows (*keys, feature, bin, n). The reference has one row for each feature, of tens of edges."""
+    """Rows (*keys, feature, bin, n) of values or counted values. The reference has one row for each
+    feature, of tens of edges. Rows that have a bin and n already are added up."""
+    if "bin" in long.columns:
+        return long.groupBy(*keys, "feature", "bin").agg(F.sum("n").alias("n"))
     binned = S.counted(long, [*keys, "feature"], "x").join(F.broadcast(reference.select("feature", "edges")), "feature")
     return binned.groupBy(*keys, "feature", S.bin_of(F.col("x"), F.col("edges")).alias("bin")).agg(F.sum("n").alias("n"))
 
@@ -59,28 +62,36 @@ def reference_sample(long: DataFrame, id_col: str, size: int = 2000) -> DataFram
 
 def histogram_distance(reference: DataFrame, reference_rows: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (*keys, feature, js) of the histograms of rows (*keys, feature, x) over the reference's edges."""
-    ref_hist = histogram(reference_rows, reference).withColumnRenamed("n", "n_ref")
-    cur_hist = histogram(current, reference, keys)
+    return binned_distance(reference, histogram(reference_rows, reference), histogram(current, reference, keys), keys)
+
+
+def binned_distance(reference: DataFrame, ref_hist: DataFrame, cur_hist: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (*keys, feature, js) of histograms (feature, bin, n) and (*keys, feature, bin, n)."""
+    ref_hist = ref_hist.withColumnRenamed("n", "n_ref")
     # Every bin of the reference's edges, under- and overflow too, for every group.
     bins = reference.select("feature", F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"))
-    grid = current.select(*keys, "feature").distinct().join(F.broadcast(bins), "feature")
+    grid = cur_hist.select(*keys, "feature").distinct().join(F.broadcast(bins), "feature")
     full = grid.join(F.broadcast(ref_hist), ["feature", "bin"], "left").join(cur_hist, [*keys, "feature", "bin"], "left").na.fill(0, ["n_ref", "n"])
     full = full.withColumn("p", S.smoothed(F.col("n_ref"), *keys, "feature")).withColumn("q", S.smoothed(F.col("n"), *keys, "feature"))
     return full.groupBy(*keys, "feature").agg(S.js_distance(F.col("p"), F.col("q")).alias("js"))
 
 
+def sample_distance(sample: DataFrame, counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Rows (*keys, feature, ks, p) of counts (*keys, feature, value, n) against a stored sample (feature, value)."""
+    # A sample of a fixed size for each feature meets every group.
+    groups = counts.select(*keys, "feature").distinct()
+    ref_side = groups.join(F.broadcast(sample), "feature").select(*keys, "feature", value, F.lit(1).cast("long").alias("n"), F.lit(0).alias("side"))
+    both = ref_side.unionByName(counts.select(*keys, "feature", value, "n", F.lit(1).alias("side")))
+    ks = S.ks_statistic(both, [*keys, "feature"], value, "side", "n")
+    return ks.withColumn("p", S.kolmogorov_p(F.col("ks"), F.col("n_ref"), F.col("n_cur"))).drop("n_ref", "n_cur")
+
+
 def numeric_drift(reference: DataFrame, reference_rows: DataFrame, sample: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (*keys, feature, js, ks, p, exceed_rate, ref_median, ref_p95, cur_median, cur_p95)."""
     # Values are counted once; all else is read off the counts.
     counts = S.counted(current, [*keys, "feature"], "x")
-    groups = counts.select(*keys, "feature").distinct()
-    js = histogram_distance(reference, reference_rows, current, keys)
-    # A stored sample of a fixed size for each feature meets every group.
-    ref_side = groups.join(F.broadcast(sample), "feature").select(*keys, "feature", "x", F.lit(1).cast("long").alias("n"), F.lit(0).alias("side"))
-    both = ref_side.unionByName(counts.select(*keys, "feature", "x", "n", F.lit(1).alias("side")))
-    both = both.withColumn("slot", S.slots(sample)(F.col("feature"), F.col("x")))
-    ks = S.ks_statistic(both, [*keys, "feature"], "slot", "side", "n")
-    ks = ks.withColumn("p", S.kolmogorov_p(F.col("ks"), F.col("n_ref"), F.col("n_cur"))).drop("n_ref", "n_cur")
+    js = histogram_distance(reference, reference_rows, counts, keys)
+    ks = sample_distance(sample, counts, keys, "x")
     r = reference.select("feature", "min", "max", F.col("q50").alias("ref_median"), F.col("q95").alias("ref_p95"))
     out = (F.col("x") < F.col("min")) | (F.col("x") > F.col("max"))
     level = counts.join(F.broadcast(r), "feature").groupBy(*keys, "feature").agg((F.sum(F.when(out, F.col("n")).otherwise(0)) / F.sum("n")).alias("exceed_rate"), F.first("ref_median").alias("ref_median"), F.first("ref_p95").alias("ref_p95"))
@@ -94,7 +105,7 @@ def categorical_drift(vocabulary: DataFrame, current: DataFrame, keys: list[str]
 
     Values out of the vocabulary share one bin; `unseen` lists the commonest of them.
     """
-    counted = current.groupBy(*keys, "feature", "x").agg(F.count(F.lit(1)).alias("n"))
+    counted = S.counted(current, [*keys, "feature"], "x")
     joined = counted.join(vocabulary, ["feature", "x"], "left")
     bins = joined.groupBy(*keys, "feature", F.when(F.col("n_ref").isNull(), OTHER).otherwise(F.col("x")).alias("bin")).agg(F.sum("n").alias("n"))
     known = vocabulary.select("feature", F.col("x").alias("bin"), "n_ref")
@@ -146,8 +157,11 @@ def output_metrics(vocabulary: DataFrame, reference: DataFrame, reference_scores
     """Rows (*keys, metric, n, value, threshold, ratio, drifted, status), for each group one for
     each metric: label and score distances from the references, and how far the share of
     `attack` among the detector's labels moved from `rate`. What has no reference, no values
-    or too few classifier scores is collecting. Thresholds: rows (feature, threshold)."""
-    counts = labels.select(*keys, "feature").unionByName(scores.select(*keys, "feature")).groupBy(*keys, "feature").agg(F.count(F.lit(1)).alias("n"))
+    or too few classifier scores is collecting. Thresholds: rows (feature, threshold).
+    Labels may be counted (n), scores counted and binned (bin, n)."""
+    weighed = lambda df: df if "n" in df.columns else df.withColumn("n", F.lit(1).cast("long"))
+    labels, scores = weighed(labels), weighed(scores)
+    counts = labels.select(*keys, "feature", "n").unionByName(scores.select(*keys, "feature", "n")).groupBy(*keys, "feature").agg(F.sum("n").alias("n"))
     known = lambda df, ref: df.join(F.broadcast(ref.select("feature").distinct()), "feature", "left_semi")
     js = categorical_drift(vocabulary, known(labels, vocabulary), keys).select(*keys, "feature", "js")
     js = js.unionByName(histogram_distance(reference, known(reference_scores, reference), known(scores, reference), keys).select(*keys, "feature", "js"))
@@ -155,7 +169,7 @@ def output_metrics(vocabulary: DataFrame, reference: DataFrame, reference_scores
     every = groups.join(counts, [*keys, "feature"], "left").join(js, [*keys, "feature"], "left").join(F.broadcast(thresholds), "feature", "left").na.fill(0, ["n"])
     least = F.when(F.col("feature") == SCORES[1], support).otherwise(1)
     every = every.select(*keys, F.col("feature").alias("metric"), "n", F.when(F.col("n") >= least, F.col("js")).alias("value"), "threshold")
-    moved = labels.filter(F.col("feature") == LABELS[0]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.abs(F.avg((F.col("x") == attack).cast("double")) - rate).alias("value"))
+    moved = labels.filter(F.col("feature") == LABELS[0]).groupBy(*keys).agg(F.sum("n").alias("n"), F.abs(F.sum(F.when(F.col("x") == attack, F.col("n")).otherwise(0)) / F.sum("n") - rate).alias("value"))
     every = every.unionByName(moved.select(*keys, F.lit("attack_routing_rate").alias("metric"), "n", "value", F.lit(float(rate_threshold)).alias("threshold")))
     every = every.withColumn("ratio", F.col("value") / F.greatest("threshold", F.lit(1e-12))).withColumn("drifted", F.coalesce(F.col("ratio") > 1, F.lit(False)))
     return every.withColumn("status", F.when(F.col("ratio").isNull(), "collecting").when(F.col("drifted"), "warning").otherwise("healthy"))

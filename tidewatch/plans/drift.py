@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import distributions as S
+from tidewatch.functions.scratch import scratch, staged
 from tidewatch.operators import drift as D
+from tidewatch.streaming import health as H
+from tidewatch.streaming.flows import drain
 
 from .bindings import ALERTS, alerts, table
 from .registry import query
-from tidewatch.functions.scratch import staged
 
 R = lambda c, n=6: F.round(c, n)
 NUMERIC, FLAGS, CUT, SAMPLE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_returnflag", "l_shipper"], 1999, 2000
@@ -75,9 +79,11 @@ def _new(df):
 
 
 def _numeric(spark, d):
+    """Values are counted and written once; all statistics but the stored sample are read off the counts."""
     long = _long(spark, d)
-    ref = D.numeric_reference(_old(long))
-    return D.numeric_drift(ref, _old(long), D.reference_sample(_old(long), "id", SAMPLE), _new(long), ["yr"])
+    counts = staged(S.counted(long, ["yr", "feature"], "x"), "value-counts")
+    ref, sample = staged(D.numeric_reference(_old(counts)), "reference"), staged(D.reference_sample(_old(long), "id", SAMPLE), "sample")
+    return D.numeric_drift(ref, _old(counts), sample, _new(counts), ["yr"])
 
 
 def _categorical(spark, d):
@@ -277,15 +283,15 @@ FROM es JOIN ck USING (k)"""
 
 @query("dr15_health_evaluation", HEALTH)
 def dr15(spark, d):
-    share = F.col("l_suppkey") % 8
-    w = _wide(spark, d).withColumn("cohort", F.when(share < 5, "live").when(share == 5, "thin").when(share == 6, "stale").otherwise("unrouted"))
+    w = _cohorts(_wide(spark, d))
     last = w.agg(F.date_trunc("day", F.max("l_shipdate")).cast("timestamp_ntz").alias("last"))
     checks = last.select(F.explode(F.array(*[F.col("last") - F.make_dt_interval(days=F.lit(n)) for n in CHECKS])).alias("checked_at"))
     keys, old = ["window", "checked_at", "cohort"], _old(w)
     cur = staged(D.window_rows(w, "cohort", "l_shipdate", "id", checks, HEALTH_WINDOWS), "windows")
     counts = cur.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("minimum").alias("minimum"))
     long_old, flags = D.long_numeric(old, ["id"], NUMERIC), D.long_categorical(old, [], FLAGS)
-    numeric = D.numeric_drift(D.numeric_reference(long_old), long_old, D.reference_sample(long_old, "id", SAMPLE), D.long_numeric(cur, keys, NUMERIC), keys)
+    old_counts, new_counts = staged(S.counted(long_old, ["feature"], "x"), "value-counts"), staged(S.counted(D.long_numeric(cur, keys, NUMERIC), [*keys, "feature"], "x"), "window-counts")
+    numeric = D.numeric_drift(staged(D.numeric_reference(old_counts), "reference"), old_counts, staged(D.reference_sample(long_old, "id", SAMPLE), "sample"), new_counts, keys)
     categorical = D.categorical_drift(flags.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n_ref")), D.long_categorical(cur, keys, FLAGS), keys)
     features = D.window_status(D.judge_features(numeric, categorical, _limits(spark), keys), keys)
     label = F.when(F.col("l_extendedprice") > 40000 + 900 * F.col("l_quantity"), "attack").otherwise("normal")
@@ -299,6 +305,45 @@ def dr15(spark, d):
     return D.health(counts, routes, features, outputs, "cohort").withColumn("score", R(F.col("score"), 4))
 
 
+def _cohorts(w):
+    share = F.col("l_suppkey") % 8
+    return w.withColumn("cohort", F.when(share < 5, "live").when(share == 5, "thin").when(share == 6, "stale").otherwise("unrouted"))
+
+
+#: As dr15, but windows take all their rows, and the two checks before the first count as alarms before it.
+STREAMED = HEALTH.replace("unnest([5000, 20000]) AS most", "unnest([1000000000, 1000000000]) AS most").replace("unnest([0, 1, 2]) AS k", "unnest([0, 1, 2, 3, 4]) AS k") + " WHERE k < 3"
+
+
+@query("ss03_health_evaluation", STREAMED)
+def ss03_health(spark, d):
+    """The lines as a stream; statuses are judged within it, from panes of a day."""
+    out, drop = scratch(spark, "health"), scratch(spark, "lines")
+    w = _cohorts(_wide(spark, d))
+    label = F.when(F.col("l_extendedprice") > 40000 + 900 * F.col("l_quantity"), "attack").otherwise("normal")
+    attack = label == "attack"
+    class_, class_score = F.when(attack, F.concat(F.lit("tax_"), (F.col("l_suppkey") % 3).cast("string"))), F.when(attack, F.col("l_tax") * 10)
+    old = _old(w)
+    counts, sample = staged(S.counted(D.long_numeric(old, ["id"], NUMERIC), ["feature"], "x"), "value-counts"), staged(D.reference_sample(D.long_numeric(old, ["id"], NUMERIC), "id", SAMPLE), "sample")
+    flags = D.long_categorical(old, [], FLAGS).groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n_ref"))
+    labels, scores = D.output_rows(old, [], label, F.col("l_discount") * 10, class_, class_score)
+    score_counts = staged(S.counted(scores, ["feature"], "x"), "score-counts")
+    rate = old.agg(F.avg(attack.cast("double"))).first()[0] or 0.0
+    ref = H.Reference(
+        staged(D.numeric_reference(counts), "reference"), counts, sample, staged(flags, "vocabulary"), _limits(spark),
+        staged(D.numeric_reference(score_counts), "score-reference"), score_counts, staged(labels.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n_ref")), "labels"), _thresholds(spark), rate, RATE_THRESHOLD,
+    )
+    w = w.withColumn("ts", F.col("l_shipdate").cast("timestamp"))
+    last = w.agg(F.date_trunc("day", F.max("ts"))).first()[0]
+    w.select("ts", "cohort", "l_suppkey", *NUMERIC, *FLAGS).repartitionByRange(8, "ts").write.parquet(drop)
+    stream = spark.readStream.schema(spark.read.parquet(drop).schema).parquet(drop)
+    p = H.panes(stream, "ts", "cohort", NUMERIC, FLAGS, {"detector_labels": label, "classifier_labels": class_}, {"detector_scores": F.col("l_discount") * 10, "classifier_scores": class_score}, ref, "1 day", "1 day")
+    routes = spark.createDataFrame([("live", None), ("thin", None), ("stale", "blocked")], "cohort string, reason string")
+    step = timedelta(days=30)
+    judge = H.evaluated(out, p.schema, step, last - 2 * step, [(name, days, least) for name, days, _, least in HEALTH_WINDOWS], routes, ref)
+    drain(p, out, mode="update", write=judge)
+    return spark.read.parquet(out).withColumns({"score": R(F.col("score"), 4), "checked_at": F.col("checked_at").cast("timestamp_ntz")})
+
+
 @query("dr16_output_summary", f"WITH {ALERTS} SELECT count(*) FILTER (WHERE prediction = 'attack') AS n_attack, count(*) FILTER (WHERE prediction = 'normal') AS n_normal, round(avg((prediction = 'attack')::INT::DOUBLE), 6) AS routing_rate, round(median(confidence), 6) AS score_median, round(quantile_cont(confidence, 0.95), 6) AS score_p95 FROM alerts")
 def dr16(spark, d):
     p = F.col("prediction")
