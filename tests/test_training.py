@@ -1,11 +1,15 @@
 """Models on data that can be told apart, so that what they must learn is known."""
 
+import math
 import random
 
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from tidewatch.operators import training
+from tidewatch.operators.predictors import RuleDetector
+from tidewatch.streaming import flows
 
 NUMERIC, CATEGORICAL = ["a", "b"], ["c"]
 
@@ -52,11 +56,68 @@ def test_cascade_sends_attacks_only_to_the_classifier(rows):
     assert sum(r.detector_label == r.binary for r in out) >= 590 and sum(r.attack_class == r.family for r in out if r.binary == "attack") >= 190
 
 
-def test_calibration_is_a_rising_sigmoid(spark):
+def test_sigmoids_are_those_of_single_fits(spark):
     r = random.Random(2)
-    df = spark.createDataFrame([(x, r.random() < 1 / (1 + 2.718281828 ** -(8 * x - 4))) for x in (r.random() for _ in range(3000))], "s double, y boolean")
-    slope, intercept = training.platt(df, "s", F.col("y"))
-    assert slope == pytest.approx(8, abs=1.2) and intercept == pytest.approx(-4, abs=0.8)
-    assert training.platt(df.filter("y"), "s", F.col("y")) == (1.0, 0.0)
-    p = spark.range(1).select(training.calibrated(F.lit(0.5), 8.0, -4.0).alias("p")).first().p
-    assert p == pytest.approx(0.5)
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    rows = []
+    for _ in range(4000):
+        x = [r.uniform(-1, 1) for _ in range(3)]
+        p = [sig(4 * x[0] - 1), sig(2 * x[1]), sig(50 * x[2])]
+        rows.append((x, r.choices(range(3), p)[0]))
+    df = spark.createDataFrame(rows, "m array<double>, y int")
+    slopes, intercepts = training.platt(df, F.col("m"), F.col("y"), 3)
+    for k in range(3):  # gradient descent of Newton's kind on each class alone
+        own = [(x[k], y == k) for x, y in rows]
+        pos = sum(o for _, o in own)
+        t = [((pos + 1) / (pos + 2)) if o else 1 / (len(own) - pos + 2) for _, o in own]
+        a = b = 0.0
+        for _ in range(30):
+            ps = [sig(a * s + b) for s, _ in own]
+            ga, gb = sum((p - q) * s for p, q, (s, _) in zip(ps, t, own)), sum(p - q for p, q in zip(ps, t))
+            w = [p * (1 - p) for p in ps]
+            haa, hab, hbb = sum(v * s * s for v, (s, _) in zip(w, own)), sum(v * s for v, (s, _) in zip(w, own)), sum(w)
+            det = haa * hbb - hab * hab
+            a, b = a - (hbb * ga - hab * gb) / det, b - (haa * gb - hab * ga) / det
+        assert (slopes[k], intercepts[k]) == pytest.approx((a, b), rel=1e-3, abs=1e-3)
+
+
+@pytest.fixture(scope="module")
+def noisy(spark):
+    """Classes that overlap, so that trees are surer than they should be."""
+    r, out = random.Random(8), []
+    for i in range(1500):
+        family = r.choice(["dos", "scan", "brute"])
+        at = {"dos": 0.0, "scan": 1.0, "brute": 2.0}[family]
+        out.append((i, r.gauss(at, 1.0), r.gauss(-at, 1.5), "x", "attack" if family == "dos" else "normal", family))
+    return spark.createDataFrame(out, "id long, a double, b double, c string, binary string, family string")
+
+
+@pytest.mark.parametrize("target", ["binary", "family"])
+@pytest.mark.parametrize("name", ["tree", "forest", "boosting"])
+def test_calibrated_models_are_not_worse(noisy, target, name):
+    train, held, test = (noisy.filter(c) for c in ("id % 3 = 0", "id % 3 = 1", "id % 3 = 2"))
+    raw = training.fit(train, target, NUMERIC, CATEGORICAL, training.candidates(2 if target == "binary" else 3, small=True)[name])
+    own = training.calibrate(raw, held, target)
+    scored = own.score(test, "m")
+    assert training.log_loss(scored, target, "m_probability", own.labels) <= training.log_loss(raw.score(test, "m"), target, "m_probability", raw.labels) + 0.01
+    assert scored.filter("abs(aggregate(m_probability, 0D, (a, x) -> a + x) - 1) > 1e-9 or exists(m_probability, p -> p < 0 or p > 1)").count() == 0
+    assert training.calibrate(raw, held.filter(F.col(target) == raw.labels[0]), target) == raw
+
+
+def test_predictors_are_saved_and_score_alike_in_batch_and_stream(spark, rows, tmp_path):
+    rule = RuleDetector(syn="syn", rst="b", rate="rate")
+    model = training.calibrate(training.fit(rows, "binary", NUMERIC, CATEGORICAL, training.candidates(2, small=True)["forest"]), rows, "binary").predictor()
+    flows_ = rows.fillna({"b": 0.0}).withColumns({"rate": F.col("a") * 20_000, "syn": F.col("a") * 10})
+    flows_.write.json(str(tmp_path / "in"))
+    for name, predictor, load in (("rule", rule, RuleDetector.load), ("model", model, PipelineModel.load)):
+        predictor.write().overwrite().save(str(tmp_path / name))
+        loaded = load(str(tmp_path / name))
+        told = lambda p: sorted((r.id, r.m_label, round(r.m_score, 9)) for r in p.transform(flows_).collect())  # noqa: E731, B023
+        want = told(predictor)
+        assert told(loaded) == want and all(s >= 0.5 for *_, s in want) and len({x for _, x, _ in want}) == 2
+        out = str(tmp_path / f"out-{name}")
+        stream = flows.follow(spark, str(tmp_path / "in"), flows_.schema)
+        flows.drain(stream, out, write=flows.score_batch(f"{out}-predictions", f"{out}-alerts", "id", loaded))
+        got = sorted((r.id, r.prediction, round(r.score, 9)) for r in spark.read.parquet(f"{out}-predictions").collect())
+        assert got == want
+        assert spark.read.parquet(f"{out}-alerts").count() == sum(x == "attack" for _, x, _ in want)

@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import (
+    DecisionTreeClassificationModel,
+    DecisionTreeClassifier,
+    GBTClassifier,
+    LogisticRegression,
+    OneVsRest,
+    RandomForestClassificationModel,
+    RandomForestClassifier,
+)
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .predictors import Decision
+
 MISSING = "__missing__"
 
 
@@ -50,19 +60,22 @@ def candidates(classes: int, seed: int = 42, small: bool = False) -> dict[str, o
 
 @dataclass
 class Fitted:
-    """A model with its labels, in the order of its probabilities."""
+    """A model with its labels, in the order of its classes, and what it decides by."""
 
     pipeline: PipelineModel
     labels: list[str]
+    margins: str = "probability"
+    slopes: tuple[float, ...] = ()
+    intercepts: tuple[float, ...] = ()
+
+    def predictor(self, prefix: str = "m") -> PipelineModel:
+        """A transformer that adds <prefix>_label, <prefix>_score and <prefix>_probability (an array); it can be saved."""
+        decision = Decision(labels=self.labels, margins=self.margins, slopes=list(self.slopes), intercepts=list(self.intercepts), prefix=prefix)
+        return PipelineModel([*self.pipeline.stages, decision])
 
     def score(self, df: DataFrame, prefix: str) -> DataFrame:
-        """df with <prefix>_label and, where the model has them, <prefix>_probability (an array)."""
-        out = self.pipeline.transform(df)
-        names = F.array(*[F.lit(x) for x in self.labels])
-        made = {f"{prefix}_label": F.get(names, F.col("prediction").cast("int"))}
-        if "probability" in out.columns:
-            made[f"{prefix}_probability"] = vector_to_array("probability")
-        return out.select(*[F.col(f"`{c}`") for c in df.columns], *[c.alias(n) for n, c in made.items()])
+        """df with <prefix>_label and <prefix>_probability (an array)."""
+        return self.predictor(prefix).transform(df).select(*[F.col(f"`{c}`") for c in df.columns], f"{prefix}_label", f"{prefix}_probability")
 
 
 def fit(df: DataFrame, target: str, numeric: list[str], categorical: list[str], model) -> Fitted:
@@ -73,20 +86,52 @@ def fit(df: DataFrame, target: str, numeric: list[str], categorical: list[str],
     index = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(target)) - 1
     weighted = balanced_weights(filled(df, categorical).withColumn("label", index.cast("double")), target)
     scale = isinstance(model, LogisticRegression)
-    return Fitted(Pipeline(stages=[*preprocessing(numeric, categorical, scale), model]).fit(weighted), labels)
-
-
-def platt(df: DataFrame, score: str, positive: Column) -> tuple[float, float]:
-    """(slope, intercept) of a sigmoid over raw scores, fitted on validation rows; (1, 0) for one class only."""
-    two = df.select(positive.cast("double").alias("label"), F.col(score).cast("double").alias("s"))
-    if two.select("label").distinct().count() < 2:
-        return 1.0, 0.0
-    m = LogisticRegression(maxIter=50).fit(VectorAssembler(inputCols=["s"], outputCol="features").transform(two))
-    return float(m.coefficients[0]), float(m.intercept)
-
-
-def calibrated(score: Column, slope: float, intercept: float) -> Column:
-    return 1 / (1 + F.exp(-(score * slope + intercept)))
+    fitted = Pipeline(stages=[*preprocessing(numeric, categorical, scale), model]).fit(weighted)
+    # One against the rest has margins only.
+    return Fitted(fitted, labels, "rawPrediction" if isinstance(model, OneVsRest) else "probability", *(((1.0,) * len(labels), (0.0,) * len(labels)) if isinstance(model, OneVsRest) else ()))
+
+
+def platt(df: DataFrame, margins: Column, truth: Column, classes: int) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """(slopes, intercepts): for each class a sigmoid over its margin (an array has them), fitted to whether truth, a
+    number of a class, is that class. Targets are drawn in by the counts of both sides, so that margins that
+    part the classes wholly keep a finite slope.
+
+    All sigmoids are one regression: a row stands once for each class and target, in features of its class only.
+    """
+    long = df.select(truth.cast("int").alias("y"), F.posexplode(margins).alias("k", "s")).select("k", F.col("s").cast("double"), (F.col("y") == F.col("k")).alias("own"))
+    sizes = long.groupBy("k").agg(F.count_if("own").alias("pos"), F.count_if(~F.col("own")).alias("neg"), F.avg("s").alias("mean"), F.stddev_pop("s").alias("sd")).orderBy("k").collect()  # a row for each class
+    scale = [(r["mean"], r["sd"] or 1.0) for r in sizes]
+    of = lambda values: F.get(F.array(*[F.lit(float(v)) for v in values]), F.col("k"))
+    target = F.when(F.col("own"), of([(r["pos"] + 1) / (r["pos"] + 2) for r in sizes])).otherwise(of([1 / (r["neg"] + 2) for r in sizes]))
+    z = (F.col("s") - of([m for m, _ in scale])) / of([d for _, d in scale])
+    rows = long.select("k", z.alias("z"), F.explode(F.array(F.struct(F.lit(1.0).alias("label"), target.alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - target).alias("weight")))).alias("t"))
+    rows = rows.groupBy("k", "z", "t.label").agg(F.sum("t.weight").alias("weight"))  # trees give few margins
+    cells = [F.when(F.col("k") == k, c).otherwise(0.0) for k in range(classes) for c in (F.col("z"), F.lit(1.0))]
+    m = LogisticRegression(maxIter=200, tol=1e-9, fitIntercept=False, standardization=False, weightCol="weight").fit(rows.select("label", "weight", array_to_vector(F.array(*cells)).alias("features")))
+    c = list(m.coefficients.toArray())
+    slopes = [c[2 * k] / scale[k][1] for k in range(classes)]
+    return tuple(map(float, slopes)), tuple(float(c[2 * k + 1] - slopes[k] * scale[k][0]) for k in range(classes))
+
+
+def calibrate(fitted: Fitted, validation: DataFrame, target: str) -> Fitted:
+    """fitted with a sigmoid for each class, from rows that it wasn't fitted on; as it is if these have one class only.
+
+    Linear and boosted models have margins, of trees the shares of votes are taken.
+    """
+    known = validation.filter(F.col(target).isin(fitted.labels))
+    if known.select(target).distinct().count() < 2:
+        return fitted
+    model = fitted.pipeline.stages[-1]
+    margins = "probability" if isinstance(model, (DecisionTreeClassificationModel, RandomForestClassificationModel)) else "rawPrediction"
+    index = F.array_position(F.array(*[F.lit(x) for x in fitted.labels]), F.col(target)) - 1
+    slopes, intercepts = platt(fitted.pipeline.transform(known), vector_to_array(margins), index, len(fitted.labels))
+    return replace(fitted, margins=margins, slopes=slopes, intercepts=intercepts)
+
+
+def log_loss(df: DataFrame, truth: str, probability: str, labels: list[str]) -> float:
+    """The mean negative logarithm of the true label's probability."""
+    p = F.get(F.col(probability), (F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(truth)) - 1).cast("int"))
+    return df.agg(F.avg(-F.log(F.greatest(p, F.lit(1e-15))))).first()[0]
 
 
 def cascade(df: DataFrame, detector: Fitted, classifier: Fitted, normal: str = "normal") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import identity
+from tidewatch.operators.predictors import RuleDetector
 from tidewatch.sources import growing, tables
 from tidewatch.streaming import flows as S
 from tidewatch.streaming import state
@@ -51,7 +52,7 @@ def ss01(spark, d):
 def ss02(spark, d):
     out = scratch(spark, "scored")
     obs = _stream(spark, d, twice=True).select("alert_id", F.col("value").alias("syn"), F.col("k").alias("rst"), (F.col("value") * F.col("k") * 10).alias("rate"))
-    S.drain(obs, out, write=S.score_batch(f"{out}-predictions", f"{out}-alerts", "alert_id"))
+    S.drain(obs, out, write=S.score_batch(f"{out}-predictions", f"{out}-alerts", "alert_id", RuleDetector(syn="syn", rst="rst", rate="rate")))
     return spark.read.parquet(f"{out}-alerts").select("alert_id", "severity")
 
 

@@ -121,7 +121,7 @@ def _compare(spark, d, target, rows, seeds=(42,)):
     parts = []
     for seed in seeds:
         for name, model in TR.candidates(classes, seed).items():
-            fitted = TR.fit(_part(df, "train"), target, NUMERIC, CATEGORICAL, model)
+            fitted = TR.calibrate(TR.fit(_part(df, "train"), target, NUMERIC, CATEGORICAL, model), _part(df, "validation"), target)
             parts.append(_evaluated(fitted.score(_part(df, "validation"), "m"), target, "m_label", name).withColumn("seed", F.lit(seed)))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -153,16 +153,21 @@ def _models(spark, d):
     df = scratch.staged(_flows(spark, d), "flows")
     tree = TR.candidates(2)["tree"]
     train = _part(df, "train")
-    return df, TR.fit(train, "binary", NUMERIC, CATEGORICAL, tree), TR.fit(train.filter("binary = 'attack'"), "family", NUMERIC, CATEGORICAL, tree)
+    held, attacks = _part(df, "validation"), "binary = 'attack'"
+    detector, classifier = TR.fit(train, "binary", NUMERIC, CATEGORICAL, tree), TR.fit(train.filter(attacks), "family", NUMERIC, CATEGORICAL, tree)
+    return df, TR.calibrate(detector, held, "binary"), TR.calibrate(classifier, held.filter(attacks), "family")
 
 @query("ml11_calibration")
 def ml11(spark, d):
-    df, detector, _ = _models(spark, d)
-    positive = F.col("binary") == "attack"
-    raw = F.get("m_probability", F.lit(detector.labels.index("attack")))
-    slope, intercept = TR.platt(detector.score(_part(df, "validation"), "m").withColumn("raw", raw), "raw", positive)
-    test = detector.score(_part(df, "test"), "m").withColumn("p", TR.calibrated(raw, slope, intercept))
-    return test.groupBy(F.floor(F.col("p") * 10).alias("bin")).agg(F.count(F.lit(1)).alias("n"), R(F.avg("p"), 4).alias("mean_p"), R(F.avg(positive.cast("double")), 4).alias("share"))
+    """How often a label of each model is right, by the tenth of its calibrated probability, on the test rows."""
+    df, detector, classifier = _models(spark, d)
+    test = _part(df, "test")
+    parts = []
+    for name, model, rows, truth in (("detector", detector, test, "binary"), ("classifier", classifier, test.filter("binary = 'attack'"), "family")):
+        long = model.score(rows, "m").select(truth, F.explode(F.map_from_arrays(F.array(*map(F.lit, model.labels)), "m_probability")).alias("label", "p"))
+        by = long.groupBy(F.lit(name).alias("model"), "label", F.least(F.floor(F.col("p") * 10), F.lit(9)).alias("bin"))
+        parts.append(by.agg(F.count(F.lit(1)).alias("n"), R(F.avg("p"), 4).alias("mean_p"), R(F.avg((F.col(truth) == F.col("label")).cast("double")), 4).alias("share")))
+    return parts[0].unionByName(parts[1])
 
 @query("ml20_cascade")
 def ml20(spark, d):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Transformer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,12 +52,13 @@ def ingest(path: str, key: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def score_batch(predictions: str, alerts: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A batch writer: every observation becomes a prediction, every attack an alert."""
+def score_batch(predictions: str, alerts: str, key: str, predictor: Transformer) -> Callable[[DataFrame, int], None]:
+    """A batch writer: every observation becomes a prediction, every attack an alert. `predictor` adds
+    m_label and m_score, as the rule detector and fitted models do."""
 
     def write(df: DataFrame, _: int) -> None:
-        s = severity.rule_score(F.col("syn"), F.col("rst"), F.col("rate"))
-        scored = df.withColumn("score", s).withColumn("prediction", severity.rule_label(F.col("score"))).persist()
+        said = predictor.transform(df).select(*df.columns, F.col("m_score").alias("score"), F.col("m_label").alias("prediction"))
+        scored = said.persist()
         sinks.append_new(scored, predictions, key)
         hit = scored.filter("prediction = 'attack'").withColumn("severity", severity.assess(F.col("prediction"), F.col("score"), F.lit(False)))
         sinks.append_new(hit, alerts, key)
