@@ -1,5 +1,6 @@
 """Operators on small fixtures whose results are known by hand."""
 
+import datetime
 import random
 import uuid
 
@@ -10,7 +11,7 @@ from tidewatch import schema
 from tidewatch.functions import distributions as S
 from tidewatch.functions import identity
 from tidewatch.functions import ranges
-from tidewatch.operators import dashboard, drift, flows, lifecycle, metrics, quality, search, severity, splits
+from tidewatch.operators import dashboard, drift, evidence, flows, lifecycle, metrics, quality, search, severity, splits
 from tidewatch.sources import sinks, tables
 
 PACKET = "flow string, t long, seq long, direction int, payload long, ip_size long, window long, protocol int, src_port int, dst_port int, application string, " + ", ".join(f"{x} boolean" for x in flows.FLAGS)
@@ -378,3 +379,23 @@ def test_quantiles_are_exact(spark):
         assert row.q == pytest.approx(np.quantile(values[row.k], levels).tolist(), rel=1e-12)
     run = S.running_counts(S.counted(df, ["k"], "x"), ["k"], "x", ["n"], falling=True).filter("k = 'a'").collect()
     assert all(x.n_upto == sum(v >= x.x for v in values["a"]) and x.n_all == 505 for x in run)
+
+
+def test_counts_within_intervals_of_any_alignment(spark):
+    r = random.Random(12)
+    stamp = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    events = [(r.randrange(5000) if i % 5 else r.randrange(0, 5000, 300), r.choice("ab")) for i in range(600)]
+    spans = [(i, a, a + r.choice([0, 1, 299, 300, 301, 600, 1500, 4000])) for i, a in enumerate([0, 1, 299, 300, 301, 600, 900] * 6)]
+    e = spark.createDataFrame([(stamp(t), k) for t, k in events], "ts timestamp, k string")
+    w = spark.createDataFrame([(i, stamp(a), stamp(z)) for i, a, z in spans], "i long, since timestamp, checked_at timestamp")
+    got = {(x.i, x.k): x.n for x in evidence.interval_counts(e, "ts", ["k"], w, ["i"]).collect()}
+    want = {(i, k): n for i, a, z in spans for k in "ab" if (n := sum(a < t <= z and c == k for t, c in events))}
+    assert got == want
+
+
+def test_performance_without_truth_is_null(spark):
+    rows = spark.createDataFrame([("a", None, "attack", "x", 1.0), ("b", "MQTT", "normal", None, 2.0), ("b", "dos", "attack", None, 4.0), ("b", "dos", "attack", "dos", 9.0)], "k string, truth string, said string, family string, ms double")
+    got = {x.k: x for x in evidence.performance(rows, ["k"], F.col("truth"), F.col("said"), F.col("family"), F.col("ms")).collect()}
+    assert (got["a"].labelled_count, got["a"].detector_attack_recall, got["a"].cascade_accuracy, got["a"].latency_median) == (0, None, None, 1.0)
+    assert (got["b"].labelled_count, got["b"].detector_attack_recall, got["b"].detector_normal_false_positive_rate, got["b"].latency_median) == (3, 1.0, 0.0, 4.0)
+    assert got["b"].cascade_accuracy == pytest.approx(2 / 3)

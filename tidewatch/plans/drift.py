@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import distributions as S
 from tidewatch.functions.scratch import scratch, staged
 from tidewatch.operators import drift as D
+from tidewatch.operators import evidence as V
 from tidewatch.streaming import health as H
 from tidewatch.streaming.flows import drain
 
@@ -281,13 +282,21 @@ SELECT ['fast', 'slow'][wno + 1] AS "window", checked_at, ['live', 'thin', 'stal
 FROM es JOIN ck USING (k)"""
 
 
-@query("dr15_health_evaluation", HEALTH)
-def dr15(spark, d):
+def _health_rows(spark, d):
+    """(lines with their cohort, checks, the rows of every window of theirs)."""
     w = _cohorts(_wide(spark, d))
     last = w.agg(F.date_trunc("day", F.max("l_shipdate")).cast("timestamp_ntz").alias("last"))
     checks = last.select(F.explode(F.array(*[F.col("last") - F.make_dt_interval(days=F.lit(n)) for n in CHECKS])).alias("checked_at"))
+    return w, checks, staged(D.window_rows(w, "cohort", "l_shipdate", "id", checks, HEALTH_WINDOWS), "windows")
+
+
+@query("dr15_health_evaluation", HEALTH)
+def dr15(spark, d):
+    return _evaluated(spark, *_health_rows(spark, d))
+
+
+def _evaluated(spark, w, checks, cur):
     keys, old = ["window", "checked_at", "cohort"], _old(w)
-    cur = staged(D.window_rows(w, "cohort", "l_shipdate", "id", checks, HEALTH_WINDOWS), "windows")
     counts = cur.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("minimum").alias("minimum"))
     long_old, flags = D.long_numeric(old, ["id"], NUMERIC), D.long_categorical(old, [], FLAGS)
     old_counts, new_counts = staged(S.counted(long_old, ["feature"], "x"), "value-counts"), staged(S.counted(D.long_numeric(cur, keys, NUMERIC), [*keys, "feature"], "x"), "window-counts")
@@ -344,6 +353,65 @@ def ss03_health(spark, d):
     return spark.read.parquet(out).withColumns({"score": R(F.col("score"), 4), "checked_at": F.col("checked_at").cast("timestamp_ntz")})
 
 
+#: Each window's evidence: rejections are orders, the truth of every third line is known, every fifth was reviewed.
+EVIDENCE = f"""WITH st AS ({HEALTH}),
+{LI.replace("li AS (", "raw AS (")}
+src AS (SELECT *, CASE WHEN l_suppkey % 8 < 5 THEN 'live' WHEN l_suppkey % 8 = 5 THEN 'thin' WHEN l_suppkey % 8 = 6 THEN 'stale' ELSE 'unrouted' END AS cohort FROM raw),
+win AS (SELECT DISTINCT "window", checked_at, CASE "window" WHEN 'fast' THEN 180 ELSE 730 END AS days, CASE "window" WHEN 'fast' THEN 5000 ELSE 20000 END AS most FROM st),
+cur AS (
+  SELECT s.*, w."window", w.checked_at FROM src s JOIN win w ON l_shipdate > checked_at - to_days(days) AND l_shipdate <= checked_at
+  QUALIFY row_number() OVER (PARTITION BY w."window", w.checked_at, cohort ORDER BY l_shipdate DESC, id DESC) <= most
+),
+rated AS (
+  SELECT "window", checked_at, cohort, l_extendedprice / 1000 AS ms, CASE WHEN l_linenumber % 3 = 0 THEN CASE WHEN l_extendedprice > 42000 + 900 * l_quantity THEN 'tax_' || (l_suppkey % 3) ELSE 'normal' END END AS truth,
+         CASE WHEN l_extendedprice > 40000 + 900 * (l_quantity + CASE WHEN yr = 2000 THEN 4 ELSE 0 END) THEN 'attack' ELSE 'normal' END AS said, CASE WHEN l_linenumber <> 6 THEN 'tax_' || (l_suppkey % 3) ELSE 'unclassified_attack' END AS family,
+         CASE WHEN l_linenumber % 5 = 0 THEN ['confirmed', 'false_positive', 'open'][(l_suppkey % 3 + 1)::INT] END AS review FROM cur
+),
+perf AS (
+  SELECT "window", checked_at, cohort, count(truth) AS labelled_count, count(*) FILTER (WHERE truth <> 'normal' AND said = 'attack') / nullif(count(*) FILTER (WHERE truth <> 'normal'), 0)::DOUBLE AS recall,
+         count(*) FILTER (WHERE truth = 'normal' AND said = 'attack') / nullif(count(*) FILTER (WHERE truth = 'normal'), 0)::DOUBLE AS fpr,
+         count(*) FILTER (WHERE truth = CASE WHEN said = 'normal' THEN said ELSE family END) / nullif(count(truth), 0)::DOUBLE AS accuracy, quantile_cont(ms, 0.5) AS p50, quantile_cont(ms, 0.95) AS p95,
+         count(*) FILTER (WHERE review IN ('confirmed', 'false_positive')) AS reviewed, count(*) FILTER (WHERE review = 'confirmed') AS confirmed
+  FROM rated GROUP BY ALL
+),
+coh(cohort, no, version) AS (VALUES ('live', 0, 'v1'), ('thin', 1, 'v1'), ('stale', 2, 'v2'), ('unrouted', 3, NULL)),
+rej AS (
+  SELECT w."window", w.checked_at, c.cohort, o_orderpriority AS code, count(*) AS n FROM orders JOIN win w ON o_orderdate > checked_at - to_days(days) AND o_orderdate <= checked_at
+  JOIN coh c ON o_custkey % 4 = c.no AND (o_orderkey % 3 = 0 OR version IS NULL OR version = 'v' || (o_orderkey % 3)) GROUP BY ALL
+),
+codes AS (SELECT "window", checked_at, cohort, sum(n)::BIGINT AS schema_rejections, string_agg(code || ':' || n, ',' ORDER BY code) AS error_codes FROM rej GROUP BY ALL)
+SELECT "window", checked_at, cohort, status, labelled_count, round(recall, 6) AS detector_attack_recall, round(fpr, 6) AS detector_normal_false_positive_rate, round(accuracy, 6) AS cascade_accuracy,
+       round(p50, 6) AS latency_median, round(p95, 6) AS latency_p95, coalesce(schema_rejections, 0) AS schema_rejections, coalesce(error_codes, '') AS error_codes, reviewed, confirmed
+FROM st JOIN perf USING ("window", checked_at, cohort) LEFT JOIN codes USING ("window", checked_at, cohort)"""
+
+
+@query("dr15_health_evidence", EVIDENCE)
+def dr15_evidence(spark, d):
+    w, checks, cur = _health_rows(spark, d)
+    keys = ["window", "checked_at", "cohort"]
+    family = F.concat(F.lit("tax_"), (F.col("l_suppkey") % 3).cast("string"))
+    # Lines of 2000 have four more in _wide; the truth is about the line as it is.
+    quantity = F.col("l_quantity") - F.when(F.col("yr") == 2000, 4).otherwise(0)
+    truth = F.when(F.col("l_linenumber") % 3 == 0, F.when(F.col("l_extendedprice") > 42000 + 900 * quantity, family).otherwise("normal"))
+    said = F.when(F.col("l_extendedprice") > 40000 + 900 * F.col("l_quantity"), "attack").otherwise("normal")
+    rated = V.performance(cur, keys, truth, said, F.when(F.col("l_linenumber") != 6, family), F.col("l_extendedprice") / 1000)
+    review = F.element_at(F.array(*map(F.lit, ("confirmed", "false_positive", "open"))), (F.col("l_suppkey") % 3 + 1).cast("int"))
+    reviewed = V.reviews(cur, keys, "id", w.filter("l_linenumber % 5 = 0").select("id", review.alias("status")))
+    windows = checks.select("checked_at", F.explode(F.array(*[F.struct(F.lit(name).alias("window"), F.lit(days).alias("days")) for name, days, *_ in HEALTH_WINDOWS])).alias("p")).select("checked_at", "p.*")
+    windows = windows.withColumn("since", F.col("checked_at") - F.make_dt_interval(days="days"))
+    o = table(spark, d, "orders")
+    no = F.col("o_custkey") % 4
+    channel = F.when(no == 0, "live").when(no == 1, "thin").when(no == 2, "stale").otherwise("unrouted")
+    failures = o.select("o_orderdate", channel.alias("channel"), F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("v"), (F.col("o_orderkey") % 3).cast("string"))).alias("version"), F.col("o_orderpriority").alias("code"))
+    cohorts = spark.createDataFrame([("live", "live", "v1"), ("thin", "thin", "v1"), ("stale", "stale", "v2"), ("unrouted", "unrouted", None)], "cohort string, channel string, version string")
+    told = V.rejections(failures, "o_orderdate", "channel", "version", "code", windows, cohorts, 86_400)
+    out = _evaluated(spark, w, checks, cur).select(*keys, "status").join(rated, keys).join(told, keys, "left").join(reviewed, keys, "left")
+    codes = F.array_join(F.transform(F.map_entries("error_codes"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    rates = [R(F.col(c)).alias(c) for c in ("detector_attack_recall", "detector_normal_false_positive_rate", "cascade_accuracy")]
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("schema_rejections", "reviewed", "confirmed")]
+    return out.select(*keys, "status", "labelled_count", *rates, R(F.col("latency_median")).alias("latency_median"), R(F.col("latency_p95")).alias("latency_p95"), F.coalesce(codes, F.lit("")).alias("error_codes"), *counts)
+
+
 @query("dr16_output_summary", f"WITH {ALERTS} SELECT count(*) FILTER (WHERE prediction = 'attack') AS n_attack, count(*) FILTER (WHERE prediction = 'normal') AS n_normal, round(avg((prediction = 'attack')::INT::DOUBLE), 6) AS routing_rate, round(median(confidence), 6) AS score_median, round(quantile_cont(confidence, 0.95), 6) AS score_p95 FROM alerts")
 def dr16(spark, d):
     p = F.col("prediction")
