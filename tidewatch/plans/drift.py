@@ -11,6 +11,7 @@ from tidewatch.functions import distributions as S
 from tidewatch.functions.scratch import scratch, staged
 from tidewatch.operators import drift as D
 from tidewatch.operators import evidence as V
+from tidewatch.sources import sinks
 from tidewatch.streaming import health as H
 from tidewatch.streaming.flows import drain
 
@@ -452,8 +453,13 @@ def dr17(spark, d):
 
 @query("dr18_retention", f"{SNAPS} SELECT cohort, checked_at FROM st WHERE checked_at >= (SELECT max(checked_at) FROM st) - INTERVAL 9 DAY")
 def dr18(spark, d):
-    s = _snapshots(spark, d)
-    return s.join(F.broadcast(s.agg(F.max("checked_at").alias("now"))), F.col("checked_at") >= F.col("now") - F.expr("interval 9 days")).select("cohort", "checked_at")
+    """Snapshots kept by day; days before the last nine are dropped."""
+    s, path = _snapshots(spark, d).select("cohort", "checked_at"), scratch(spark, "snapshots")
+    sinks.append_by_day(s, path, "checked_at")
+    newest = spark.read.parquet(path).agg(F.max("checked_at")).first()[0]
+    if newest is not None:
+        sinks.retain(spark, path, "checked_at", newest - timedelta(days=9))
+    return spark.read.schema(s.schema).parquet(path).select("cohort", "checked_at")
 
 
 @query("dr19_readiness", f"{SNAPS}, l AS (SELECT cohort, arg_max(status, checked_at) AS status FROM st GROUP BY 1) SELECT cohort, status, CASE WHEN status = 'critical' AND cohort <> 'view' AND cohort <> 'signup' THEN 'degraded' ELSE 'ready' END AS component FROM l")

@@ -10,9 +10,11 @@ from pyspark.sql import types as T
 from tidewatch import schema
 from tidewatch.operators import quality as C
 from tidewatch.sources import sinks, tables
+from tidewatch.sources.keyed import KeyedStore
 
 from .bindings import ALERTS, JOBS, alerts, jobs, table
 from .registry import query
+from .training import digest_tree_sql
 from tidewatch.functions.scratch import scratch
 
 R = lambda c, n=6: F.round(c, n)
@@ -209,6 +211,16 @@ def snk01_refused(spark, d):
     return sinks.refused(e, path, "event_id")
 
 
+@query("snk01_keyed_store", "SELECT md5(event_id::VARCHAR) AS id, event_type FROM events")
+def snk01_keyed(spark, d):
+    """Random keys, appended in parts that overlap."""
+    e = table(spark, d, "events").select(F.md5(F.col("event_id").cast("string").cast("binary")).alias("id"), "event_type", "event_id")
+    store = KeyedStore(spark, scratch(spark, "keyed"), e.drop("event_id").schema, "id")
+    for part in ("event_id % 3 = 0", "event_id % 3 <= 1", "true"):
+        store.append(e.filter(part).drop("event_id"))
+    return store.read()
+
+
 @query("snk02_outbox", f"WITH {ALERTS} SELECT alert_id AS event_id, 'prediction.created' AS event_type, '{{\"alert_id\":' || alert_id || ',\"prediction\":\"' || prediction || '\"}}' AS payload FROM alerts UNION ALL SELECT alert_id, 'alert.created', '{{\"alert_id\":' || alert_id || ',\"severity\":\"' || severity || '\"}}' FROM alerts WHERE prediction = 'attack'")
 def snk02(spark, d):
     a = alerts(spark, d)
@@ -232,7 +244,7 @@ def snk04(spark, d):
     return sinks.write_report(n, scratch(spark, "report"))
 
 
-@query("snk04_artefact", "WITH r AS (SELECT sha256('event_id=' || event_id || ';event_type=' || event_type) AS digest FROM events), b AS (SELECT substr(digest, 1, 2) AS block, count(*) AS n, sha256(string_agg(digest, ',' ORDER BY digest)) AS digest FROM r GROUP BY 1) SELECT sum(n)::BIGINT AS n_rows, sha256(string_agg(digest, ',' ORDER BY block)) AS digest FROM b")
+@query("snk04_artefact", f"WITH RECURSIVE rows AS (SELECT 0 AS one, sha256('event_id=' || event_id || ';event_type=' || event_type) AS v FROM events), {digest_tree_sql('one', 'rows')} SELECT n AS n_rows, digest FROM tree")
 def snk04_artefact(spark, d):
     path = scratch(spark, "report")
     sinks.write_report(table(spark, d, "events").select("event_id", "event_type"), path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import identity
 from tidewatch.operators.predictors import RuleDetector
 from tidewatch.sources import growing, tables
+from tidewatch.sources.keyed import KeyedStore
 from tidewatch.streaming import flows as S
 from tidewatch.streaming import state
 
@@ -44,8 +45,9 @@ def src03(spark, d):
 @query("ss01_ingest_stream", "SELECT event_id AS alert_id, event_type FROM events")
 def ss01(spark, d):
     out = scratch(spark, "ingested")
-    S.drain(_stream(spark, d, twice=True).select("alert_id", "event_type"), out, write=S.ingest(out, "alert_id"))
-    return spark.read.parquet(out)
+    sent = _stream(spark, d, twice=True).select("alert_id", "event_type")
+    S.drain(sent, out, write=S.ingest(out, "alert_id"))
+    return KeyedStore(spark, out, sent.schema, "alert_id").read()
 
 
 @query("ss02_stream_scoring", "SELECT event_id AS alert_id, CASE WHEN s >= 0.9 THEN 'critical' WHEN s >= 0.75 THEN 'high' ELSE 'medium' END AS severity FROM (SELECT event_id, least(0.99::DOUBLE, 0.02::DOUBLE + least(value / 100, 0.55::DOUBLE) + least(k / 100::DOUBLE, 0.2::DOUBLE) + least(value * k * 10 / 100000, 0.2::DOUBLE)) AS s FROM (SELECT *, json_extract_string(props, '$.k')::INT AS k FROM events)) WHERE s >= 0.5")

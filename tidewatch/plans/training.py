@@ -12,6 +12,7 @@ from tidewatch.operators import splits as P
 from tidewatch.operators import training as TR
 
 from tidewatch.functions import scratch
+from tidewatch.functions.identity import digest_tree
 from .bindings import table
 from .registry import query
 
@@ -67,12 +68,20 @@ def st04(spark, d):
 def ml05(spark, d):
     return ml01(spark, d).filter("event_type = 'error'")
 
-@query("ml06_partition_fingerprint", f"WITH {STRATIFIED}, b AS (SELECT split, event_id // 1000 AS block, sha256(string_agg(event_id, ',' ORDER BY event_id)) AS digest, count(*) AS n FROM strat GROUP BY 1, 2) SELECT split, sha256(string_agg(digest, ',' ORDER BY block)) AS digest, sum(n)::BIGINT AS n FROM b GROUP BY 1")
+def digest_tree_sql(key: str, rows: str) -> str:
+    """The digest tree by key of rows (key, v), in SQL."""
+    return f"""
+nodes(k, lv, i, d, n) AS (
+  SELECT {key}, 0, row_number() OVER (PARTITION BY {key} ORDER BY v) - 1, v, 1::BIGINT FROM {rows}
+  UNION ALL
+  SELECT k, lv + 1, i // 1000, sha256(string_agg(d, ',' ORDER BY i)), sum(n)::BIGINT FROM (SELECT *, count(*) OVER (PARTITION BY k) AS c FROM nodes) WHERE c > 1 OR lv = 0 GROUP BY k, lv + 1, i // 1000
+),
+tree AS (SELECT k, arg_max(d, lv) AS digest, arg_max(n, lv) AS n FROM nodes GROUP BY k)"""
+
+
+@query("ml06_partition_fingerprint", f"WITH RECURSIVE {STRATIFIED}, parts AS (SELECT split, event_id::VARCHAR AS v FROM strat), {digest_tree_sql('split', 'parts')} SELECT k AS split, digest, n FROM tree")
 def ml06(spark, d):
-    # Digests of blocks of ids, then of the blocks' digests, so that no list holds a partition's ids.
-    text = lambda key, c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, c))), lambda r: r[c].cast("string")), ",")
-    blocks = ml01(spark, d).withColumn("block", F.expr("event_id div 1000")).groupBy("split", "block").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), ","), 256).alias("digest"), F.count(F.lit(1)).alias("n"))
-    return blocks.groupBy("split").agg(F.sha2(text("block", "digest"), 256).alias("digest"), F.sum("n").alias("n"))
+    return digest_tree(ml01(spark, d), ["split"], "event_id")
 
 @query("ml07_manifest_split", f"WITH g AS (SELECT c_custkey, {CUT} FROM (SELECT c_custkey, row_number() OVER (ORDER BY md5('42|' || c_custkey), c_custkey) AS r, count(*) OVER () AS n FROM customer)) SELECT o_orderkey, split FROM orders JOIN g ON o_custkey = c_custkey")
 def ml07(spark, d):

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import datetime, time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from tidewatch.functions.scratch import staged
+
 
 def stored(spark: SparkSession, path: str, schema) -> DataFrame | None:
     """The table at `path`, or None before its first write; any other error is raised."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -68,12 +72,31 @@ def write_report(df: DataFrame, path: str, digest: str = "digest") -> DataFrame:
 
 
 def artefact_digest(spark: SparkSession, path: str, digest: str = "digest") -> DataFrame:
-    """One row (n_rows, digest) of a report: the digest of its rows' digests in order, by blocks of their first
-    two digits, so that no list holds them all. It is written beside the report, as <path>-manifest."""
-    rows = spark.read.schema(f"{digest} string").json(path)
-    text = lambda c: F.array_join(F.array_sort(F.collect_list(c)), ",")
-    blocks = rows.groupBy(F.substring(digest, 1, 2).alias("block")).agg(F.count(F.lit(1)).alias("n"), F.sha2(text(digest), 256).alias("d"))
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "d"))), lambda b: b["d"]), ",")
-    out = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.sha2(ordered, 256).alias("digest"))
+    """One row (n_rows, digest) of a report: the digest tree over its rows' digests in order. It is written
+    beside the report, as <path>-manifest."""
+    from tidewatch.functions.identity import digest_tree
+
+    out = digest_tree(spark.read.schema(f"{digest} string").json(path), [], digest).select(F.col("n").alias("n_rows"), "digest")
     out.write.mode("overwrite").json(f"{path}-manifest")
     return spark.read.schema(out.schema).json(f"{path}-manifest")
+
+
+def append_by_day(df: DataFrame, path: str, ts: str) -> None:
+    """Appends rows in a folder for each day of `ts`, which `retain` can drop whole."""
+    df.withColumn("day", F.to_date(ts)).write.mode("append").partitionBy("day").parquet(path)
+
+
+def retain(spark: SparkSession, path: str, ts: str, cutoff: datetime) -> None:
+    """Drops what is older than `cutoff` from a table of append_by_day: whole days by their folders, and of the
+    cutoff's own day the rows before it. Files of younger days aren't touched."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for day in files.listStatus(root):  # folders, one for each day
+        name = day.getPath().getName()
+        if name.startswith("day=") and name.removeprefix("day=") < cutoff.date().isoformat():
+            files.delete(day.getPath(), True)
+    if cutoff != datetime.combine(cutoff.date(), time()):
+        rows = stored(spark, f"{path}/day={cutoff.date().isoformat()}", None)
+        if rows is not None:
+            kept = staged(rows.filter(F.col(ts) >= F.lit(cutoff)).withColumn("day", F.lit(cutoff.date())), "cutoff-day")
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)

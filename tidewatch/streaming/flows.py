@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import lifecycle, severity
 from tidewatch.sources import sinks
+from tidewatch.sources.keyed import KeyedStore
 
 
 def follow(spark: SparkSession, path: str, schema, files_per_batch: int = 10, form: str = "json") -> DataFrame:
@@ -27,7 +28,7 @@ def once(stream: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
 
 
 def ingest(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A batch writer that appends what the table at `path` doesn't have, and says of each row
+    """A batch writer that appends what the keyed store at `path` doesn't have, and says of each row
     of the batch whether it was new, a duplicate of what is stored or of an earlier row, or in
     conflict with the one or the other: rows (key, digest, disposition) in the folder batch=<n> of
     `path`-dispositions. Rows in conflict are not appended.
@@ -35,19 +36,21 @@ def ingest(path: str, key: str) -> Callable[[DataFrame, int], None]:
     A repeated batch finds its own rows stored; what its folder says already stays.
     """
 
+    store = lambda df: KeyedStore(df.sparkSession, path, df.schema, key)
+
     def write(df: DataFrame, n: int) -> None:
         spark = df.sparkSession
         seen = sinks.stored(spark, f"{path}-dispositions/batch={n}", f"{key} {dict(df.dtypes)[key]}, digest string, disposition string")
         if seen is None:
             digest = lambda x: x.withColumn("__digest", F.sha2(F.to_json(F.struct(*df.columns)), 256))
-            own, had = digest(df).withColumn("__place", F.monotonically_increasing_id()).persist(), sinks.stored(spark, path, df.schema)
-            known = digest(sinks.within(had, df, key) if had is not None else df.limit(0)).select(key, "__digest")
+            own = digest(df).withColumn("__place", F.monotonically_increasing_id()).persist()
+            known = digest(store(df).matching(own)).select(key, "__digest")
             told = lifecycle.split_known(own.select(key, "__digest", "__place"), known, key, "__digest", "__place").select(key, F.col("__digest").alias("digest"), "disposition")
             told.write.mode("overwrite").parquet(f"{path}-dispositions/batch={n}")
             own.unpersist()
             seen = spark.read.schema(told.schema).parquet(f"{path}-dispositions/batch={n}")
         new = seen.filter("disposition = 'new'").select(key).distinct()
-        sinks.append_new(df.join(new, key, "left_semi").select(*df.columns), path, key)
+        store(df).append(df.join(new, key, "left_semi").select(*df.columns))
 
     return write
 
