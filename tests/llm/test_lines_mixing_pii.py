@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +106,17 @@ def test_points_of_far_slots(spark):
     assert len(set(near)) == 4096 and max(gaps) < 4 * mixing.TURN // 4096
 
 
+def test_a_text_of_very_many_matches(docs):
+    """Context and offsets of two hundred thousand addresses in one text, in seconds."""
+    n = 200_000
+    text = "mail " + " ".join(f"u{i}@example.org" for i in range(n)) + " call +1 212 555 0100"
+    began = time.perf_counter()
+    row = pii.personal_data(docs([(1, text, "s")])).select(F.size("spans").alias("n"), F.element_at("spans", n).alias("last"), F.element_at("spans", 1).alias("first"), F.element_at("spans", -1).alias("phone")).first()
+    assert time.perf_counter() - began < 60
+    assert row.n == n + 1 and text[row["last"]["start"] : row["last"]["end"]] == f"u{n - 1}@example.org"
+    assert row.first.score == 1.0 and row["last"]["score"] == 0.9 and row.phone.kind == "phone" and row.phone.score == 1.0
+
+
 def luhn_ok(x):
     d = [int(c) for c in x][::-1]
     return (sum(d[::2]) + sum(sum(divmod(2 * c, 10)) for c in d[1::2])) % 10 == 0

@@ -4,7 +4,8 @@ Patterns propose spans; validators (part ranges, Luhn, mod 97, digit counts) con
 them; words near a span move its score. Only DataFrame functions are used. Spark's
 regular expressions give matches without offsets, so each pattern is also used to split
 the text: matches and the gaps between them alternate, and running sums of their lengths
-in code points are the offsets.
+in code points are the offsets. Context is read off the ends of gaps, not off the text
+by offset, which would be read from its start for every match.
 
 The patterns are written so that no text can make them slow: every repetition is
 possessive where that cannot change the match, and a pattern that fails within a run of
@@ -77,27 +78,47 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(kind: str, text: Column, pattern: str, needed: str | None) -> Column:
-    """Array of (kind, start, end, score), in order of start."""
+#: Characters that a match has at least, by kind: so many matches lie within the characters before another one.
+LEAST = {"email": 5, "ip": 7, "card": 2, "phone": 4, "iban": 12, "national": 11, "secret": 16}
+_PAIR = "array<struct<g:int,tail:string,m:string,n:int>>"
+
+
+def _pairs(text: Column, pattern: str, needed: str | None) -> Column:
+    """For each match in turn (g, tail, m, n): the length and the end of the gap before it, the match and its length."""
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    # One pair for each match: the length of the gap before it, and the match.
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m"), F.length(m).alias("n")))
-    empty = F.array().cast("array<struct<kind:string,start:int,end:int,m:string>>")
-    placed = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, p: F.struct(
-            (a["at"] + p["g"] + p["n"]).alias("at"),
-            F.when(_valid(kind, p["m"]), F.concat(a["out"], F.array(F.struct(F.lit(kind).alias("kind"), (a["at"] + p["g"]).alias("start"), (a["at"] + p["g"] + p["n"]).alias("end"), p["m"].alias("m"))))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    near = lambda s: F.lower(F.substring(text, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT_CHARS))))
-    score = lambda s: F.least(F.lit(1.0), F.lit(BASE_SCORE[kind]) + F.when(near(s).rlike(CONTEXT[kind]), CONTEXT_GAIN).otherwise(0.0))
-    scored = F.transform(placed, lambda s: F.struct(s["kind"].alias("kind"), s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"), score(s).alias("score")))
+    tail = lambda c: F.right(c, F.lit(CONTEXT_CHARS))
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("g"), tail(g).alias("tail"), m.alias("m"), F.length(m).alias("n")))
     searched = text.contains(needed) if needed else text.rlike(pattern)
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:double>>")
-    return F.when(searched, scored).otherwise(none)
+    return F.when(searched, pairs).otherwise(F.array().cast(_PAIR))
+
+
+def _starts(pairs: Column) -> Column:
+    """Where the gap before each match starts. Sums are taken within blocks of as many matches as there are
+    blocks, and of whole blocks, so a text of very many matches isn't slower for each."""
+    block = F.greatest(F.ceil(F.sqrt(F.size(pairs))), F.lit(1)).cast("int")
+    blocks = F.when(F.size(pairs) > 0, F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / block).cast("int"))).otherwise(F.array().cast("array<int>"))
+    own = lambda k: F.slice(pairs, k * block + 1, block)
+    nothing = lambda at: F.struct(at.alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+    sums = F.transform(blocks, lambda k: F.aggregate(own(k), F.lit(0), lambda a, p: a + p["g"] + p["n"]))
+    firsts = F.aggregate(sums, nothing(F.lit(0)), step, lambda a: a["out"])
+    return F.flatten(F.zip_with(blocks, firsts, lambda k, at: F.aggregate(own(k), nothing(at), lambda a, p: step(a, p["g"] + p["n"]), lambda a: a["out"])))
+
+
+def _spans(kind: str, pairs: Column, starts: Column) -> Column:
+    """Array of (kind, start, end, score), in order of start, of the matches that are confirmed."""
+    back = -(-CONTEXT_CHARS // LEAST[kind])
+
+    def near(p, i):
+        before = F.transform(F.slice(pairs, F.greatest(i - back, F.lit(0)) + 1, F.least(i, F.lit(back))), lambda q: F.concat(q["tail"], q["m"]))
+        return F.lower(F.right(F.concat(F.array_join(before, ""), p["tail"]), F.lit(CONTEXT_CHARS)))
+
+    def judged(p, i):
+        score = F.least(F.lit(1.0), F.lit(BASE_SCORE[kind]) + F.when(near(p, i).rlike(CONTEXT[kind]), CONTEXT_GAIN).otherwise(0.0))
+        start = (F.get(starts, i) + p["g"]).cast("long")
+        return F.when(_valid(kind, p["m"]), F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + p["n"]).alias("end"), score.alias("score")))
+
+    return F.filter(F.transform(pairs, judged), lambda s: s.isNotNull())
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,11 +133,14 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     row is judged by itself. Spans of several kinds may cover the same characters. Other
     columns are ignored. No rows: no rows. A text may be of any length.
     """
-    base = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
-    text = F.col("__t")
-    found = [_spans("email", text, EMAIL, "@"), _spans("ip", text, IP, None), _spans("card", text, CARD, None), _spans("phone", text, PHONE, "+"), _spans("iban", text, IBAN, None), _spans("national", text, NATIONAL, None), _spans("secret", text, SECRET, None)]
-    strong = [F.filter(x, lambda s: s["score"] >= REPORT) if k in ADDED else x for k, x in zip(BASE + ADDED, found)]
-    return base.select(F.col(id_col), reduce(F.concat, strong).alias("spans"))
+    base = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
+    patterns = {"email": (EMAIL, "@"), "ip": (IP, None), "card": (CARD, None), "phone": (PHONE, "+"), "iban": (IBAN, None), "national": (NATIONAL, None), "secret": (SECRET, None)}
+    # Columns of their own, so that each is computed once.
+    base = base.select("__id", *[_pairs(F.col("__t"), p, needed).alias(k) for k, (p, needed) in patterns.items()])
+    base = base.withColumns({f"{k}_at": _starts(F.col(k)) for k in patterns})
+    found = {k: _spans(k, F.col(k), F.col(f"{k}_at")) for k in BASE + ADDED}
+    strong = [F.filter(x, lambda s: s["score"] >= REPORT) if k in ADDED else x for k, x in found.items()]
+    return base.select(F.col("__id").alias(id_col), reduce(F.concat, strong).alias("spans"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
