@@ -399,3 +399,39 @@ def test_performance_without_truth_is_null(spark):
     assert (got["a"].labelled_count, got["a"].detector_attack_recall, got["a"].cascade_accuracy, got["a"].latency_median) == (0, None, None, 1.0)
     assert (got["b"].labelled_count, got["b"].detector_attack_recall, got["b"].detector_normal_false_positive_rate, got["b"].latency_median) == (3, 1.0, 0.0, 4.0)
     assert got["b"].cascade_accuracy == pytest.approx(2 / 3)
+
+
+def test_splits_say_why_there_is_none(spark):
+    df = spark.createDataFrame([(i, f"g{i % 2}", f"h{i % 5}", datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=i)) for i in range(50)], "id long, few string, many string, ts timestamp")
+    none, how = splits.realistic(df, ["few"], "ts", ["id"])
+    assert none is None and not how["available"] and "fewer than 3" in how["reason"]
+    got, how = splits.realistic(df, ["absent", "many"], "ts", ["id"])
+    assert how["strategy"] == "group-aware" and got.groupBy("many").agg(F.count_distinct("split").alias("n")).filter("n > 1").count() == 0
+    got, how = splits.realistic(df, [], "ts", ["id"])
+    assert how["strategy"] == "temporal" and got.filter("split = 'test'").count() == 10
+    assert splits.realistic(df.drop("ts"), ["absent"], "ts", ["id"])[1]["reason"] == "no group or time column"
+
+
+def test_latest_snapshot_prefers_what_may_be_deployed(spark):
+    day = lambda n: datetime.datetime(2024, 1, n)
+    rows = [("a", "live", "fast", day(1), True), ("b", "replay", "fast", day(3), False), ("c", "live", "slow", day(4), True), ("d", "live", "fast", day(2), None)]
+    s = spark.createDataFrame(rows, "cohort string, channel string, window string, checked_at timestamp, deployment_eligible boolean")
+    one = lambda *a, **k: [r.cohort for r in drift.latest_snapshot(s, *a, **k).collect()]
+    assert one({}, "fast") == ["a"] and one({}) == ["c"] and one({"channel": "replay"}, "fast") == ["b"] and one({"channel": "none"}) == []
+    s = s.withColumn("deployment_eligible", F.lit(False))
+    assert one({}, "fast") == [] and one({}, "fast", deployment=("channel", "live")) == ["d"]
+
+
+def test_cohorts_that_cannot_be_judged(spark):
+    c = spark.createDataFrame([("a", 10), ("b", 10), ("c", 1), ("d", None), ("e", 99)], "k string, n long")
+    refs = spark.createDataFrame([("a", "ok"), ("b", "stale_detector"), ("c", "ok"), ("d", "ok")], "k string, reason string")
+    got = {r.k: r.reason for r in drift.judgeable(c, refs, "k", "n", 5).collect()}
+    assert got == {"a": "ok", "b": "stale_detector", "c": "not_enough_data", "d": "not_enough_data", "e": "missing_reference"}
+
+
+def test_identifiers(spark):
+    ids = ["a", "A1._-z", "-a", "", None, "a" * 64, "a" * 65, "a\n", "é"]
+    digests = ["0" * 64, "aF" * 32, "g" + "0" * 63, "0" * 63, "0" * 64 + "\n", None]
+    said = spark.createDataFrame([(x,) for x in ids + digests], "x string").select(quality.sensor_id_ok(F.col("x")).alias("s"), quality.digest_ok(F.col("x")).alias("d")).collect()
+    assert [r.s for r in said[: len(ids)]] == [True, True, False, False, False, True, False, False, False]
+    assert [r.d for r in said[len(ids) :]] == [True, True, False, False, False, False]

@@ -58,12 +58,14 @@ def detections(df: DataFrame, family: str) -> DataFrame:
     return counts.join(middle, F.col(family).eqNullSafe(F.col("__f")), "left").select(*counts.columns, F.col("q")[0].alias("median_confidence"))
 
 
-def _graph_measures() -> list[Column]:
+def _graph_measures(again: Column) -> list[Column]:
+    """What alerts of a node or edge come to. `again` is true where a row's alert was counted there before, so
+    that alerts are told apart without a shuffle of their ids: a row of the table is an alert."""
     open_ = ~F.col("status").isin(*sev.TERMINAL)
     return [
         F.count(F.lit(1)).alias("n_alerts"), F.count_if(open_).alias("n_unresolved"), sev.from_rank(F.max(sev.rank(F.col("severity")))).alias("severity"),
         sev.from_rank(F.max(F.when(open_, sev.rank(F.col("severity"))))).alias("open_severity"), F.array_join(F.array_sort(F.collect_set("protocol")), ",").alias("protocols"),
-        F.max("observed_at").alias("last_seen"), F.count_distinct("alert_id").alias("n_distinct_alerts"),
+        F.max("observed_at").alias("last_seen"), F.count_if(~again).alias("n_distinct_alerts"),
     ]
 
 
@@ -79,10 +81,11 @@ def topology_nodes(df: DataFrame) -> DataFrame:
 
     Counts are partly aggregated before the shuffle, so a hot endpoint sends few rows.
     """
-    ends = df.withColumn("node", F.explode(F.array("source", "destination"))).filter(F.col("node").isNotNull())
-    return ends.groupBy("node").agg(*_graph_measures()).withColumn("identity", identity_quality(F.col("node")))
+    ends = df.select("*", F.posexplode(F.array("source", "destination")).alias("__end", "node")).filter(F.col("node").isNotNull())
+    loop = (F.col("__end") == 1) & F.col("source").eqNullSafe(F.col("destination"))
+    return ends.groupBy("node").agg(*_graph_measures(loop)).withColumn("identity", identity_quality(F.col("node")))
 
 
 def topology_edges(df: DataFrame) -> DataFrame:
     both = df.filter(F.col("source").isNotNull() & F.col("destination").isNotNull())
-    return both.groupBy("source", "destination").agg(*_graph_measures())
+    return both.groupBy("source", "destination").agg(*_graph_measures(F.lit(False)))

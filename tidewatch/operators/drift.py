@@ -289,3 +289,39 @@ def null_rate_threshold(positive: int, total: int, window: int, rounds: int = 10
     a = rng.hypergeometric(positive, total - positive, size, rounds)
     b = rng.hypergeometric(positive - a, total - positive - (size - a), size)
     return max(1 / size, float(np.quantile(np.abs(a - b) / size, quantile)))
+
+
+def null_rate_thresholds(counts: DataFrame, key: str, window: int) -> DataFrame:
+    """Rows (key, threshold) of counts (key, n, positive), each drawn in a task from two numbers."""
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        drawn = [null_rate_threshold(int(p), int(n), window) for p, n in zip(rows["positive"], rows["n"])]
+        return pd.DataFrame({key: rows[key], "threshold": drawn})
+
+    kind = dict(counts.dtypes)[key]
+    return counts.groupBy(key).applyInPandas(draw, f"{key} {kind}, threshold double")
+
+
+def latest_snapshot(snapshots: DataFrame, filters: dict[str, str], window: str | None = None, deployment: tuple[str, str] | None = None) -> DataFrame:
+    """The newest snapshot, at most a row, whose columns have the values of `filters`.
+
+    Without any filter it is the newest that is deployment_eligible; where there is none and `deployment`
+    (a column and its value) is given, the newest of that channel.
+    """
+    own = snapshots if window is None else snapshots.filter(F.col("window") == window)
+    wanted = F.lit(True)
+    for c, v in filters.items():
+        wanted = wanted & (F.col(c) == v)
+    if not filters:
+        wanted = F.coalesce("deployment_eligible", F.lit(False))
+    second = F.col(deployment[0]) == deployment[1] if deployment and deployment[0] not in filters else F.lit(False)
+    choice = F.when(wanted, 0).when(second, 1)
+    return own.withColumn("__c", choice).filter(F.col("__c").isNotNull()).orderBy("__c", F.desc("checked_at"), "cohort").limit(1).drop("__c")
+
+
+def judgeable(cohorts: DataFrame, references: DataFrame, key: str, count: str, least: float) -> DataFrame:
+    """cohorts with `reason`: that of their reference (key, reason), missing_reference without one,
+    not_enough_data where an admissible one meets too few rows or none, else ok."""
+    j = cohorts.join(references.select(F.col(key).alias("__k"), F.col("reason").alias("__r")), F.col(key) == F.col("__k"), "left")
+    reason = F.when(F.col("__r").isNull(), "missing_reference").when(F.col("__r") != "ok", F.col("__r")).when(F.coalesce(count, F.lit(0)) < least, "not_enough_data").otherwise("ok")
+    return j.withColumn("reason", reason).drop("__k", "__r")

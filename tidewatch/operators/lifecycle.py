@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.distributions import counted, running_counts
+
 
 def latest(df: DataFrame, key: str, value: str, *order: str) -> DataFrame:
     """Rows (key, value): the value of the last row of each key."""
@@ -86,12 +88,11 @@ def lower_rank_percentiles(df: DataFrame, keys: list[str], values: list[str], le
     """Rows (*keys, <value>_<level>...): the element at rank floor(q * (n - 1)) of the values
     in order, which is the nearest rank from below.
 
-    Equal values are counted first, and running counts find the rank; no list is gathered.
+    Equal values are counted first, and running counts by buckets of values find the rank, so neither
+    a list nor all values of a key meet in a task.
     """
-    long = df.select(*keys, *values).unpivot(keys, values, "__of", "__x").filter("__x is not null")
-    c = long.groupBy(*keys, "__of", "__x").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*keys, "__of")
-    upto = F.sum("__n").over(w.orderBy("__x").rowsBetween(Window.unboundedPreceding, 0))
-    c = c.withColumn("__upto", upto).withColumn("__all", F.sum("__n").over(w))
-    picks = [F.min(F.when((F.col("__of") == v) & (F.col("__upto") > F.floor(q * (F.col("__all") - 1))), F.col("__x"))).alias(f"{v}_{name}") for v in values for name, q in levels.items()]
-    return c.groupBy(*keys).agg(*picks)
+    long = df.select(*keys, *[F.col(v).cast("double").alias(v) for v in values]).unpivot(keys, values, "__of", "__x")
+    c = running_counts(counted(long, [*keys, "__of"], "__x", "__n"), [*keys, "__of"], "__x", ["__n"])
+    at = lambda v, q: (F.col("__of") == v) & (F.col("__n_upto") > F.floor(q * (F.col("__n_all") - 1)))
+    kinds = dict(df.dtypes)
+    return c.groupBy(*keys).agg(*[F.min(F.when(at(v, q), F.col("__x"))).cast(kinds[v]).alias(f"{v}_{name}") for v in values for name, q in levels.items()])

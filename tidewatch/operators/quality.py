@@ -12,6 +12,16 @@ def number(c: str) -> Column:
     return F.expr(f"try_cast(`{c}` as double)")
 
 
+def sensor_id_ok(c: Column) -> Column:
+    """Whether a text names a sensor: 1 to 64 letters, digits, underscores, dots and hyphens, a letter or digit first."""
+    return F.coalesce(c.rlike(r"\A[a-zA-Z0-9][a-zA-Z0-9_.-]{0,63}\z"), F.lit(False))
+
+
+def digest_ok(c: Column) -> Column:
+    """Whether a text is a SHA-256 digest: 64 hexadecimal digits."""
+    return F.coalesce(c.rlike(r"\A[0-9a-fA-F]{64}\z"), F.lit(False))
+
+
 def row_errors(numeric: list[str], categorical: list[str]) -> Column:
     """Array of codes: what is wrong with a row of text columns."""
     bad = []

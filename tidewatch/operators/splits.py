@@ -65,6 +65,24 @@ def grouped(df: DataFrame, group: str, seed: int = 42) -> DataFrame:
     return df.join(ranked, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
 
 
+#: Groups that a split by group needs, one for each part.
+LEAST_GROUPS = len(PARTS)
+
+
+def realistic(df: DataFrame, groups: list[str], ts: str | None, order: list[str], seed: int = 42) -> tuple[DataFrame | None, dict]:
+    """(df with `split`, how): whole groups to one part by the first column of `groups` that df has, else by
+    time. Without either, or with fewer groups than parts, there is no split, and `how` has the reason."""
+    column = next((c for c in groups if c in df.columns), None)
+    if column is not None:
+        # A few groups tell that there are enough.
+        if df.select(F.coalesce(F.col(column).cast("string"), F.lit(""))).distinct().limit(LEAST_GROUPS).count() < LEAST_GROUPS:
+            return None, {"available": False, "reason": f"group column {column!r} has fewer than {LEAST_GROUPS} groups"}
+        return grouped(df, column, seed), {"available": True, "strategy": "group-aware", "column": column}
+    if ts is not None and ts in df.columns:
+        return temporal(df, ts, order), {"available": True, "strategy": "temporal", "column": ts}
+    return None, {"available": False, "reason": "no group or time column"}
+
+
 def ranked_globally(df: DataFrame, bucket: Column, order: list[str], name: str = "rank") -> DataFrame:
     """ranked_within over all rows."""
     return ranked_within(df, [], bucket, order, name)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import distributions as Q
+from tidewatch.functions.distributions import counted, quantiles
 from tidewatch.operators import dashboard as D
 from tidewatch.operators import severity as S
 
@@ -158,7 +159,10 @@ def ag21(spark, d):
 @query("ag23_metric_series", "SELECT event_type AS model, metric, round(v * 100, 6) AS percent FROM (SELECT event_type, avg(least(value/100, 1.0::DOUBLE)) AS accuracy, max(least(value/1000, 1.0::DOUBLE)) AS f1_macro, min(least(value/100, 1.0::DOUBLE)) AS precision_macro, median(least(value/100, 1.0::DOUBLE)) AS recall_macro FROM events GROUP BY 1) UNPIVOT (v FOR metric IN (accuracy, f1_macro, precision_macro, recall_macro))")
 def ag23(spark, d):
     c = F.least(F.col("value") / 100, F.lit(1.0))
-    m = alerts(spark, d).groupBy(F.col("event_type").alias("model")).agg(F.avg(c).alias("accuracy"), F.max(F.least(F.col("value") / 1000, F.lit(1.0))).alias("f1_macro"), F.min(c).alias("precision_macro"), F.median(c).alias("recall_macro"))
+    a = alerts(spark, d).select(F.col("event_type").alias("model"), c.alias("c"), F.least(F.col("value") / 1000, F.lit(1.0)).alias("f1"))
+    m = a.groupBy("model").agg(F.avg("c").alias("accuracy"), F.max("f1").alias("f1_macro"), F.min("c").alias("precision_macro"))
+    middle = quantiles(counted(a, ["model"], "c"), ["model"], "c", [0.5])
+    m = m.join(middle.select("model", F.col("q")[0].alias("recall_macro")), "model")
     return m.unpivot("model", ["accuracy", "f1_macro", "precision_macro", "recall_macro"], "metric", "v").select("model", "metric", R(F.col("v") * 100).alias("percent"))
 
 

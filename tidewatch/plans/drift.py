@@ -172,8 +172,9 @@ def dr11(spark, d):
 
 @query("dr12_null_rate_threshold")
 def dr12(spark, d):
-    n, pos = alerts(spark, d).agg(F.count(F.lit(1)), F.count_if(F.col("prediction") == "attack")).first()
-    return spark.range(1).select(F.lit(n).alias("n"), F.lit(D.null_rate_threshold(pos, n, 1000)).alias("threshold"))
+    """For each kind of event, how far the share of attacks of two disjoint samples of it gets apart."""
+    counts = alerts(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("prediction") == "attack").alias("positive"))
+    return D.null_rate_thresholds(counts, "event_type", 1000)
 
 
 @query("dr13_reference_build", f"WITH {LONG}, {KS} SELECT feature, any_value(r.n) AS n, round(any_value(min), 6) AS min, round(any_value(max), 6) AS max, round(any_value(q05), 6) AS q05, round(any_value(q50), 6) AS q50, round(any_value(q95), 6) AS q95, any_value(len(e))::INT AS n_edges, count(*) AS n_sample, round(sum(x), 4) AS sample_sum FROM refs r JOIN sample USING (feature) GROUP BY feature")
@@ -415,8 +416,10 @@ def dr15_evidence(spark, d):
 
 @query("dr16_output_summary", f"WITH {ALERTS} SELECT count(*) FILTER (WHERE prediction = 'attack') AS n_attack, count(*) FILTER (WHERE prediction = 'normal') AS n_normal, round(avg((prediction = 'attack')::INT::DOUBLE), 6) AS routing_rate, round(median(confidence), 6) AS score_median, round(quantile_cont(confidence, 0.95), 6) AS score_p95 FROM alerts")
 def dr16(spark, d):
-    p = F.col("prediction")
-    return alerts(spark, d).agg(F.count_if(p == "attack").alias("n_attack"), F.count_if(p == "normal").alias("n_normal"), R(F.avg((p == "attack").cast("double"))).alias("routing_rate"), R(F.median("confidence")).alias("score_median"), R(F.percentile("confidence", F.lit(0.95))).alias("score_p95"))
+    p, a = F.col("prediction"), alerts(spark, d)
+    counts = a.agg(F.count_if(p == "attack").alias("n_attack"), F.count_if(p == "normal").alias("n_normal"), R(F.avg((p == "attack").cast("double"))).alias("routing_rate"))
+    levels = S.quantiles(S.counted(a, [], "confidence"), [], "confidence", [0.5, 0.95])
+    return counts.crossJoin(levels.select(R(F.col("q")[0]).alias("score_median"), R(F.col("q")[1]).alias("score_p95")))  # a row each
 
 
 SNAPS = f"WITH {ALERTS}, snap AS (SELECT event_type AS cohort, observed_at::DATE::TIMESTAMP AS checked_at, count(*) AS n, count(*) FILTER (WHERE confidence > 0.7) > 14 AS alarm FROM alerts GROUP BY 1, 2), esc AS (SELECT *, alarm AND coalesce(lag(alarm, 1) OVER w, FALSE) AND coalesce(lag(alarm, 2) OVER w, FALSE) AS critical FROM snap WINDOW w AS (PARTITION BY cohort ORDER BY checked_at)), st AS (SELECT *, CASE WHEN critical THEN 'critical' WHEN alarm THEN 'warning' ELSE 'healthy' END AS status FROM esc)"
@@ -446,6 +449,14 @@ def wn08(spark, d):
     return alerts(spark, d).withColumn("r", F.row_number().over(w)).filter("r <= 100").select("event_type", "alert_id")
 
 
+@query("dr17_latest_snapshot", f"{SNAPS}, l AS (SELECT cohort, checked_at, status FROM st WHERE cohort <> 'signup' ORDER BY checked_at DESC, cohort LIMIT 1), v AS (SELECT cohort, checked_at, status FROM st WHERE cohort = 'signup' ORDER BY checked_at DESC LIMIT 1) SELECT 'default' AS asked, * FROM l UNION ALL SELECT 'signup', * FROM v")
+def dr17_latest(spark, d):
+    """The latest snapshot that may be deployed, and the latest of a cohort that is asked for; signups aren't eligible."""
+    s = _snapshots(spark, d).withColumn("deployment_eligible", F.col("cohort") != "signup")
+    one = D.latest_snapshot(s, {}).select(F.lit("default").alias("asked"), "cohort", "checked_at", "status")
+    return one.unionByName(D.latest_snapshot(s, {"cohort": "signup"}).select(F.lit("signup").alias("asked"), "cohort", "checked_at", "status"))
+
+
 @query("dr17_snapshot_history", f"{SNAPS} SELECT cohort, checked_at, status FROM st WHERE cohort = 'click' ORDER BY checked_at DESC LIMIT 10")
 def dr17(spark, d):
     return _snapshots(spark, d).filter("cohort = 'click'").orderBy(F.desc("checked_at")).limit(10).select("cohort", "checked_at", "status")
@@ -469,6 +480,15 @@ def dr19(spark, d):
     return D.readiness(s.withColumn("shadow_mode", F.col("cohort") == "view").withColumn("deployment_eligible", F.col("cohort") != "signup")).select("cohort", "status", "component")
 
 
+@query("dr20_without_reference", f"WITH {ALERTS}, c AS (SELECT event_type, count(*) AS n FROM alerts GROUP BY 1) SELECT event_type, CASE WHEN event_type = 'error' THEN 'missing_reference' WHEN n < (SELECT avg(n) FROM c) THEN 'not_enough_data' ELSE 'ok' END AS reason FROM c")
+def dr20_missing(spark, d):
+    """Errors have no reference, and what is rarer than the average isn't enough to be judged."""
+    c = alerts(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    least = c.agg(F.avg("n")).first()[0] or 0
+    refs = c.filter("event_type <> 'error'").select("event_type", F.lit("ok").alias("reason"))
+    return D.judgeable(c, refs, "event_type", "n", least).select("event_type", "reason")
+
+
 @query("dr20_admissibility", "SELECT p_partkey, CASE WHEN p_size > 45 THEN 'unsupported_version' WHEN p_size % 7 = 0 THEN 'content_checksum' WHEN p_brand = 'Brand#11' THEN 'stale_detector' WHEN p_type LIKE 'PROMO%' THEN 'stale_classifier' WHEN p_partkey % 13 = 0 OR p_partkey % 17 = 0 THEN 'no_features' ELSE 'ok' END AS reason FROM part")
 def dr20(spark, d):
     """Each part as the header of a reference; those of a size that seven divides were altered after their digest was taken."""

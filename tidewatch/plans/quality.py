@@ -187,6 +187,18 @@ def src05(spark, d):
     return spark.read.schema("flow long, t long, direction int, payload long").json(path).groupBy("flow").agg(F.count(F.lit(1)).alias("n"))
 
 
+IDS = "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'sensor-' || user_id WHEN 1 THEN '-' || user_id WHEN 2 THEN event_type || '.' || repeat('x', (user_id % 70)::INT) WHEN 3 THEN user_id || ' ' END AS sensor, CASE event_id % 4 WHEN 0 THEN sha256(event_type) WHEN 1 THEN md5(event_type) WHEN 2 THEN upper(sha256(event_type)) WHEN 3 THEN 'g' || substr(sha256(event_type), 2) END AS digest FROM events"
+
+
+@query("dq12_identifiers", f"SELECT event_id, coalesce(regexp_full_match(sensor, '[a-zA-Z0-9][a-zA-Z0-9_.-]{{0,63}}'), FALSE) AS sensor_ok, regexp_full_match(digest, '[0-9a-fA-F]{{64}}') AS digest_ok FROM ({IDS})")
+def dq12(spark, d):
+    e, five, four = table(spark, d, "events"), F.col("event_id") % 5, F.col("event_id") % 4
+    user, sha = F.col("user_id").cast("string"), F.sha2(F.col("event_type").cast("binary"), 256)
+    sensor = F.when(five == 0, F.concat(F.lit("sensor-"), user)).when(five == 1, F.concat(F.lit("-"), user)).when(five == 2, F.concat("event_type", F.lit("."), F.repeat(F.lit("x"), (F.col("user_id") % 70).cast("int")))).when(five == 3, F.concat(user, F.lit(" ")))
+    digest = F.when(four == 0, sha).when(four == 1, F.md5(F.col("event_type").cast("binary"))).when(four == 2, F.upper(sha)).otherwise(F.concat(F.lit("g"), F.substring(sha, 2, 63)))
+    return e.select("event_id", C.sensor_id_ok(sensor).alias("sensor_ok"), C.digest_ok(digest).alias("digest_ok"))
+
+
 @query("src06_fingerprints", "SELECT 'changed' AS problem, count(*) AS n FROM (SELECT DISTINCT event_type FROM events) WHERE event_type = 'click' UNION ALL SELECT 'missing', 1")
 def src06(spark, d):
     path = scratch(spark, "files")
