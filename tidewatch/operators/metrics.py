@@ -86,6 +86,34 @@ def compacted(curve: DataFrame, keys: list[str], score: str, points: int = 256)
     return c.filter(keep).drop("i", "last").unionByName(closing)
 
 
+def evaluation_view(rows: DataFrame, versions: dict[str, str], promoted_seed: int) -> DataFrame:
+    """One row for each candidate (stage, model) of predictions (stage, model, seed, part, truth, predicted), parts
+    being validation and test: the mean and the range of its validation macro F1 over the seeds, whether it is
+    selected by that mean (of equal ones the first name), the version of what was promoted, and of the promoted seed the
+    compact metrics of both parts, the confusion and the support of each class in the test part.
+
+    A macro false positive rate is told for the stage binary only; among families it isn't an operating figure.
+    """
+    keys = ["stage", "model", "seed", "part"]
+    matrix = confusion(rows, "truth", "predicted", keys)
+    classes = per_class(matrix, keys)
+    s = summary(classes, keys)
+    runs = s.filter("part = 'validation'").groupBy("stage", "model").agg(F.avg("macro_f1").alias("selection_value"), F.min("macro_f1").alias("least_macro_f1"), F.max("macro_f1").alias("most_macro_f1"), F.count(F.lit(1)).alias("n_seeds"))
+    best = Window.partitionBy("stage").orderBy(F.desc(F.round("selection_value", 9)), "model")  # a row for each candidate
+    runs = runs.withColumn("selected", F.row_number().over(best) == 1)
+    version = F.create_map(*[F.lit(x) for kv in versions.items() for x in kv]) if versions else F.create_map().cast("map<string,string>")
+    runs = runs.withColumn("model_version", F.when(F.col("selected"), F.element_at(version, F.col("stage"))).otherwise("evaluation-only"))
+    own = s.filter(F.col("seed") == promoted_seed)
+    of = lambda part: own.filter(F.col("part") == part).select("stage", "model", *[F.col(c).alias(f"{part}_{c}") for c in ("macro_f1", "weighted_f1", "accuracy", "balanced_accuracy", "mcc")], F.when(F.col("stage") == "binary", F.col("macro_fpr")).alias(f"{part}_false_positive_rate"))
+    test = (F.col("seed") == promoted_seed) & (F.col("part") == "test")
+    cells = matrix.filter(test).groupBy("stage", "model").agg(F.array_sort(F.collect_list(F.struct("actual", "predicted", "n"))).alias("confusion"))
+    support = classes.filter(test).groupBy("stage", "model").agg(F.array_sort(F.collect_list(F.struct("label", "support"))).alias("class_support"))
+    out = runs
+    for side in (of("validation"), of("test"), cells, support):
+        out = out.join(side, ["stage", "model"], "left")
+    return out
+
+
 def threshold_sweep(df: DataFrame, score: str, positive: Column, steps: int = 100) -> DataFrame:
     """Rows (threshold, recall, precision, fpr, alert_rate) for 0, 1/steps, ..., 1, a row being
     called positive from the threshold on.

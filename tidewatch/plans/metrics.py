@@ -200,6 +200,45 @@ def ev14(spark, d):
     return M.confusion(_pairs(spark, d), "truth", "predicted").select("actual", "predicted", R(F.when(total > 0, F.col("n") * 100 / total).otherwise(0.0)).alias("percent"))
 
 
+#: Three candidates whose rules are shifted by two each; all kinds of events, and errors against the rest.
+CANDIDATES = """
+said AS (
+  SELECT 'model_' || m AS model, user_id % 3 AS seed, CASE WHEN event_id % 2 = 0 THEN 'validation' ELSE 'test' END AS part, event_type AS truth,
+         CASE WHEN v > 60 THEN 'error' WHEN v > 40 THEN 'view' WHEN v > 25 AND event_id % 2 = 0 THEN event_type WHEN v > 12 THEN 'click' ELSE 'signup' END AS predicted
+  FROM (SELECT *, value + 2 * m AS v FROM events CROSS JOIN range(3) r(m))
+),
+pairs AS (
+  SELECT 'multiclass|' || model || '|' || seed || '|' || part AS g, truth, predicted FROM said
+  UNION ALL SELECT 'binary|' || model || '|' || seed || '|' || part, CASE WHEN truth = 'error' THEN 'attack' ELSE 'normal' END, CASE WHEN predicted = 'error' THEN 'attack' ELSE 'normal' END FROM said
+)"""
+COMPACTED = f"""WITH {CANDIDATES}, {_summary_sql('g')},
+s AS (SELECT *, split_part(g, '|', 1) AS stage, split_part(g, '|', 2) AS model, split_part(g, '|', 3)::BIGINT AS seed, split_part(g, '|', 4) AS part FROM summary),
+runs AS (SELECT stage, model, avg(macro_f1) AS selection_value, min(macro_f1) AS low, max(macro_f1) AS high, count(*) AS n_seeds FROM s WHERE part = 'validation' GROUP BY 1, 2),
+picked AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY round(selection_value, 9) DESC, model) = 1 AS selected FROM runs),
+cells AS (SELECT g, string_agg(actual || '>' || predicted || ':' || n, ',' ORDER BY actual, predicted) AS confusion FROM matrix GROUP BY 1),
+sizes AS (SELECT g, string_agg(label || ':' || support, ',' ORDER BY label) AS class_support FROM classes GROUP BY 1)
+SELECT p.stage, p.model, CASE WHEN selected THEN p.stage || '-v1' ELSE 'evaluation-only' END AS model_version, selected, round(selection_value, 6) AS selection_value, round(low, 6) AS least_macro_f1, round(high, 6) AS most_macro_f1, n_seeds,
+       round(v.macro_f1, 6) AS validation_macro_f1, round(t.macro_f1, 6) AS test_macro_f1, round(t.weighted_f1, 6) AS test_weighted_f1, round(t.accuracy, 6) AS test_accuracy, round(t.mcc, 6) AS test_mcc,
+       CASE WHEN p.stage = 'binary' THEN round(t.macro_fpr, 6) END AS test_false_positive_rate, confusion, class_support
+FROM picked p JOIN s v ON v.stage = p.stage AND v.model = p.model AND v.seed = 1 AND v.part = 'validation' JOIN s t ON t.stage = p.stage AND t.model = p.model AND t.seed = 1 AND t.part = 'test' JOIN cells ON cells.g = t.g JOIN sizes ON sizes.g = t.g"""
+
+
+@query("ev16_candidates", COMPACTED)
+def ev16_candidates(spark, d):
+    """The evaluation view of both stages, with seed 1 promoted."""
+    e = table(spark, d, "events").select("*", F.explode(F.array(*map(F.lit, range(3)))).alias("m")).withColumn("v", F.col("value") + 2 * F.col("m"))
+    v = F.col("v")
+    predicted = F.when(v > 60, "error").when(v > 40, "view").when((v > 25) & (F.col("event_id") % 2 == 0), F.col("event_type")).when(v > 12, "click").otherwise("signup")
+    rows = e.select(F.lit("multiclass").alias("stage"), F.concat(F.lit("model_"), F.col("m").cast("string")).alias("model"), (F.col("user_id") % 3).alias("seed"), F.when(F.col("event_id") % 2 == 0, "validation").otherwise("test").alias("part"), F.col("event_type").alias("truth"), predicted.alias("predicted"))
+    two = lambda c: F.when(F.col(c) == "error", "attack").otherwise("normal")
+    rows = rows.unionByName(rows.withColumns({"stage": F.lit("binary"), "truth": two("truth"), "predicted": two("predicted")}))
+    out = M.evaluation_view(rows, {"binary": "binary-v1", "multiclass": "multiclass-v1"}, 1)
+    cells = F.array_join(F.transform("confusion", lambda c: F.concat(c["actual"], F.lit(">"), c["predicted"], F.lit(":"), c["n"].cast("string"))), ",")
+    support = F.array_join(F.transform("class_support", lambda c: F.concat(c["label"], F.lit(":"), c["support"].cast("string"))), ",")
+    rounded = ["selection_value", "least_macro_f1", "most_macro_f1", "validation_macro_f1", "test_macro_f1", "test_weighted_f1", "test_accuracy", "test_mcc", "test_false_positive_rate"]
+    return out.select("stage", "model", "model_version", "selected", "n_seeds", *[R(F.col(c)).alias(c) for c in rounded], cells.alias("confusion"), support.alias("class_support"))
+
+
 @query("ev16_evaluation_view", f"WITH {PAIRS}, {_summary_sql('seed')}, s AS (SELECT seed, string_agg(label || ':' || support, ',' ORDER BY label) AS class_support FROM classes GROUP BY 1) SELECT seed, round(macro_f1, 6) AS f1_macro, round(macro_fpr, 6) AS fpr, class_support, row_number() OVER (ORDER BY round(macro_f1, 9) DESC, seed) = 1 AS champion FROM summary JOIN s USING (seed)")
 def ev16(spark, d):
     c = M.per_class(M.confusion(_pairs(spark, d), "truth", "predicted", ["seed"]), ["seed"])
