@@ -435,3 +435,21 @@ def test_identifiers(spark):
     said = spark.createDataFrame([(x,) for x in ids + digests], "x string").select(quality.sensor_id_ok(F.col("x")).alias("s"), quality.digest_ok(F.col("x")).alias("d")).collect()
     assert [r.s for r in said[: len(ids)]] == [True, True, False, False, False, True, False, False, False]
     assert [r.d for r in said[len(ids) :]] == [True, True, False, False, False, False]
+
+
+def test_references_of_parts_that_overlap_or_are_empty_are_refused(spark):
+    rows = [(i, float(i % 7), "xy"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, a double, c string")
+    outputs = (F.when(F.col("a") > 3, "attack").otherwise("normal"), F.col("a") / 7, F.when(F.col("a") > 3, F.col("c")), F.when(F.col("a") > 3, F.col("a")))
+    build = lambda train, held: drift.whole_reference(train, held, "id", ["a"], ["c"], outputs, window=20)
+    with pytest.raises(drift.Overlap):
+        build(df.filter("id < 40"), df.filter("id >= 39"))
+    with pytest.raises(ValueError, match="need rows"):
+        build(df, df.limit(0))
+    with pytest.raises(ValueError, match="finite"):
+        build(df.filter("id < 40").withColumn("a", F.when(F.col("id") == 3, float("nan")).otherwise(F.col("a"))), df.filter("id >= 40"))
+    entries, sample, parts = build(df.filter("id < 40"), df.filter("id >= 40"))
+    got = {(r.kind, r.feature): r for r in entries.collect()}
+    assert got["categorical", "c"].counts == {"x": 20, "y": 20, "__OTHER__": 0} and got["output_label", "detector_labels"].n == 20
+    assert sum(got["numeric", "a"].counts.values()) == 40 and 0 < got["numeric", "a"].threshold < 1 and sample.count() == 40
+    assert got["rate", "attack_routing_rate"].counts == {"attack": sum(r[1] > 3 for r in rows[40:])} and {r.part: r.n for r in parts.collect()} == {"fit": 40, "held_out": 20}

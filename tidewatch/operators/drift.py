@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import distributions as S
+from tidewatch.functions.identity import digest_tree
+from tidewatch.functions.scratch import staged
 
 OTHER = "__OTHER__"
 
@@ -325,3 +327,66 @@ def judgeable(cohorts: DataFrame, references: DataFrame, key: str, count: str, l
     j = cohorts.join(references.select(F.col(key).alias("__k"), F.col("reason").alias("__r")), F.col(key) == F.col("__k"), "left")
     reason = F.when(F.col("__r").isNull(), "missing_reference").when(F.col("__r") != "ok", F.col("__r")).when(F.coalesce(count, F.lit(0)) < least, "not_enough_data").otherwise("ok")
     return j.withColumn("reason", reason).drop("__k", "__r")
+
+
+class Overlap(ValueError):
+    """Rows that a reference is fitted on are held out as well."""
+
+
+def parts_of_reference(train: DataFrame, held_out: DataFrame, id_col: str) -> DataFrame:
+    """Rows (part, n, digest) of both parts, digests being those of their ids in order. Parts that are empty or share
+    an id are refused."""
+    shared = train.select(id_col).join(held_out.select(id_col), id_col, "left_semi").limit(1).count()
+    if shared:
+        raise Overlap("the parts of a reference must be disjoint")
+    both = train.select(F.lit("fit").alias("part"), id_col).unionByName(held_out.select(F.lit("held_out").alias("part"), id_col))
+    parts = digest_tree(both, ["part"], id_col)
+    if parts.count() < 2:
+        raise ValueError("both parts of a reference need rows")
+    return parts.select("part", "n", "digest")
+
+
+REFERENCE_ROW = ["kind", "feature", "n", "min", "max", "q05", "q50", "q95", "edges", "counts", "threshold"]
+
+
+def whole_reference(train: DataFrame, held_out: DataFrame, id_col: str, numeric: list[str], categorical: list[str], outputs: tuple[Column, Column, Column, Column], window: int = 5_000, attack: str = "attack") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entries, samples, parts) of a reference, from the rows that models were fitted on and rows held out from them.
+
+    entries, rows (*REFERENCE_ROW): each numeric and categorical feature of `train` and each output of `held_out`, with
+    its histogram or the counts of its vocabulary (one more for what isn't in it) and the threshold that two disjoint
+    samples of it keep; and the rate of `attack` among the detector's labels. `outputs`: columns of the detector's label
+    and score and the classifier's, as for output_rows; thresholds of outputs are those of the fitted part.
+    samples: rows (feature, x). parts: as parts_of_reference, which refuses what isn't disjoint. Numbers that
+    aren't finite are refused.
+    """
+    parts = parts_of_reference(train, held_out, id_col)
+    bad = F.lit(False)
+    for c in numeric:
+        bad = bad | F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c)) == float("inf"))
+    if train.filter(bad).limit(1).count():
+        raise ValueError("a feature of the fitted rows isn't finite")
+    null = lambda kind: F.lit(None).cast(kind)
+    long = long_numeric(train, [id_col], numeric)
+    (labels, scores), (fitted_labels, fitted_scores) = output_rows(held_out, [], *outputs), output_rows(train, [], *outputs)
+    thresholds = lambda binned: null_thresholds(binned.select("feature", F.col("bin").cast("string").alias("bin"), "n"), window)
+
+    def numbers(kind: str, values: DataFrame, drawn: DataFrame) -> DataFrame:
+        counts = staged(S.counted(values, ["feature"], "x"), "reference-counts")
+        ref = staged(numeric_reference(counts), "reference")
+        bins = histogram(counts, ref).groupBy("feature").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("bin").cast("string").alias("k"), "n")))).alias("counts"))
+        entry = ref.join(bins, "feature").join(thresholds(histogram(drawn, ref)), "feature", "left")
+        return entry.withColumn("kind", F.lit(kind)).select(*REFERENCE_ROW)
+
+    def words(kind: str, values: DataFrame, drawn: DataFrame) -> DataFrame:
+        counts = values.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"))
+        entries = F.array_append(F.array_sort(F.collect_list(F.struct(F.col("x").alias("k"), "n"))), F.struct(F.lit(OTHER).alias("k"), F.lit(0).cast("long").alias("n")))
+        of = counts.groupBy("feature").agg(F.sum("n").alias("n"), F.map_from_entries(entries).alias("counts"))
+        of = of.join(thresholds(S.counted(drawn, ["feature"], "x").withColumnRenamed("x", "bin")), "feature", "left")
+        return of.select(F.lit(kind).alias("kind"), "feature", "n", *[null("double").alias(c) for c in ("min", "max", "q05", "q50", "q95")], null("array<double>").alias("edges"), "counts", "threshold")
+
+    flags = long_categorical(train, [], categorical)
+    entries = numbers("numeric", long, long).unionByName(words("categorical", flags, flags)).unionByName(numbers("output_score", scores, fitted_scores)).unionByName(words("output_label", labels, fitted_labels))
+    hits = lambda df: df.filter(F.col("feature") == LABELS[0]).groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") == attack).alias("positive"))
+    moved = null_rate_thresholds(hits(fitted_labels), "feature", window)
+    rate = hits(labels).join(moved, "feature").select(F.lit("rate").alias("kind"), F.lit("attack_routing_rate").alias("feature"), "n", *[null("double").alias(c) for c in ("min", "max", "q05", "q50", "q95")], null("array<double>").alias("edges"), F.create_map(F.lit(attack), F.col("positive")).alias("counts"), "threshold")
+    return staged(entries.unionByName(rate), "reference-entries"), reference_sample(long, id_col), parts

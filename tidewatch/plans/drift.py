@@ -17,6 +17,7 @@ from tidewatch.streaming.flows import drain
 
 from .bindings import ALERTS, alerts, table
 from .registry import query
+from .training import digest_tree_sql
 
 R = lambda c, n=6: F.round(c, n)
 NUMERIC, FLAGS, CUT, SAMPLE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_returnflag", "l_shipper"], 1999, 2000
@@ -184,6 +185,38 @@ def dr13(spark, d):
     return D.numeric_reference(old).join(s, "feature").select("feature", "n", *[R(F.col(c)).alias(c) for c in ("min", "max", "q05", "q50", "q95")], F.size("edges").alias("n_edges"), "n_sample", "sample_sum")
 
 
+#: Fitted on the lines before CUT, the outputs held out from CUT's own year.
+WHOLE = f"""WITH RECURSIVE {LONG}, clong AS (SELECT yr, feature, x FROM (SELECT yr, l_returnflag, l_shipper FROM li) UNPIVOT (x FOR feature IN (l_returnflag, l_shipper))),
+held AS (SELECT CASE WHEN l_extendedprice > 40000 + 900 * l_quantity THEN 'attack' ELSE 'normal' END AS label, (l_discount + 0.0::DOUBLE) * 10 AS score, 'tax_' || (l_suppkey % 3) AS class, (l_tax + 0.0::DOUBLE) * 10 AS class_score FROM li WHERE yr = {CUT}),
+words AS (
+  SELECT 'categorical' AS kind, feature, x FROM clong WHERE yr < {CUT} UNION ALL SELECT 'output_label', 'detector_labels', label FROM held UNION ALL SELECT 'output_label', 'classifier_labels', class FROM held WHERE label = 'attack'
+),
+scores AS (SELECT 'detector_scores' AS feature, score AS x FROM held UNION ALL SELECT 'classifier_scores', class_score FROM held WHERE label = 'attack'),
+sref AS (SELECT feature, count(*) AS n, min(x) AS min, max(x) AS max, quantile_cont(x, 0.05) AS q05, quantile_cont(x, 0.5) AS q50, quantile_cont(x, 0.95) AS q95, list_sort(list_distinct(quantile_cont(x, {Q}))) AS e FROM scores GROUP BY 1),
+shist AS (SELECT feature, CASE WHEN x = e[-1] THEN len(e) - 1 ELSE len(list_filter(e, lambda v: v <= x)) END::INT AS bin, count(*) AS n FROM scores JOIN sref USING (feature) GROUP BY 1, 2),
+nums AS (SELECT 'numeric' AS kind, r.*, h.counts FROM refs r JOIN (SELECT feature, string_agg(bin || ':' || n_ref, ',' ORDER BY bin::VARCHAR) AS counts FROM ref_hist GROUP BY 1) h USING (feature)
+         UNION ALL SELECT 'output_score', r.*, h.counts FROM sref r JOIN (SELECT feature, string_agg(bin || ':' || n, ',' ORDER BY bin::VARCHAR) AS counts FROM shist GROUP BY 1) h USING (feature)),
+parts AS (SELECT CASE WHEN yr < {CUT} THEN 'fit' ELSE 'held_out' END AS part, id AS v FROM li WHERE yr <= {CUT}), {digest_tree_sql('part', 'parts')}
+SELECT kind, feature, n, round(min, 6) AS min, round(max, 6) AS max, round(q05, 6) AS q05, round(q50, 6) AS q50, round(q95, 6) AS q95, len(e)::INT AS n_edges, counts FROM nums
+UNION ALL SELECT kind, feature, sum(n)::BIGINT, NULL, NULL, NULL, NULL, NULL, NULL, string_agg(x || ':' || n, ',' ORDER BY x) || ',__OTHER__:0' FROM (SELECT kind, feature, x, count(*) AS n FROM words GROUP BY ALL) GROUP BY 1, 2
+UNION ALL SELECT 'rate', 'attack_routing_rate', count(*), NULL, NULL, NULL, NULL, NULL, NULL, 'attack:' || count(*) FILTER (WHERE label = 'attack') FROM held
+UNION ALL SELECT 'part', k, n, NULL, NULL, NULL, NULL, NULL, NULL, digest FROM tree"""
+
+
+@query("dr13_whole_reference", WHOLE)
+def dr13_whole(spark, d):
+    w = staged(_wide(spark, d), "lines")
+    label = F.when(F.col("l_extendedprice") > 40000 + 900 * F.col("l_quantity"), "attack").otherwise("normal")
+    attack = label == "attack"
+    outputs = (label, F.col("l_discount") * 10, F.when(attack, F.concat(F.lit("tax_"), (F.col("l_suppkey") % 3).cast("string"))), F.when(attack, F.col("l_tax") * 10))
+    entries, _, parts = D.whole_reference(_old(w), w.filter(F.col("yr") == CUT), "id", NUMERIC, FLAGS, outputs)
+    counts = F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    levels = ["min", "max", "q05", "q50", "q95"]
+    told = entries.select("kind", "feature", "n", *[R(F.col(c)).alias(c) for c in levels], F.when(F.col("edges").isNotNull(), F.size("edges")).alias("n_edges"), counts.alias("counts"))
+    nothing = [F.lit(None).cast("double").alias(c) for c in levels]
+    return told.unionByName(parts.select(F.lit("part").alias("kind"), F.col("part").alias("feature"), "n", *nothing, F.lit(None).cast("int").alias("n_edges"), F.col("digest").alias("counts")))
+
+
 #: Thresholds of the output metrics, and of the move of the attack rate.
 OUTPUT_THRESHOLDS = {"detector_labels": 0.02, "classifier_labels": 0.05, "detector_scores": 0.05, "classifier_scores": 0.08}
 RATE_THRESHOLD = 0.02
