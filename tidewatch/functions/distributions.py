@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -44,6 +47,9 @@ def quantiles(counts: DataFrame, keys: list[str], value: str, levels: list[float
     upto, below, every, x = F.col(f"{n}_upto"), F.col(f"{n}_upto") - F.col(n), F.col(f"{n}_all"), F.col(value).cast("double")
     at = lambda rank: F.max(F.when((below <= rank) & (rank < upto), x))
     places = [F.lit(float(q)) * (every - 1) for q in levels]
+    # Few values lie at a rank that is asked for; all others go before the aggregates are taken.
+    wanted = reduce(or_, [(below <= F.ceil(p)) & (upto > F.floor(p)) for p in places])
+    c = c.filter(wanted)
     aggs = [a.alias(f"__{s}{i}") for i, p in enumerate(places) for s, a in (("l", at(F.floor(p))), ("h", at(F.ceil(p))), ("p", F.max(p)))]
     found = c.groupBy(*keys).agg(*aggs)
     lo, hi, p = (lambda i, s=s: F.col(f"__{s}{i}") for s in "lhp")

@@ -30,7 +30,8 @@ def long_categorical(df: DataFrame, keys: list[str], features: list[str]) -> Dat
 def numeric_reference(long: DataFrame, keys: list[str] = [], bins: int = 20) -> DataFrame:
     """Rows (*keys, feature, n, min, max, q05, q50, q95, edges)."""
     levels = [*(i / bins for i in range(bins + 1)), 0.05, 0.5, 0.95]
-    c, by = S.counted(long, [*keys, "feature"], "x"), [*keys, "feature"]
+    # Counted and written once: ranks are found in several passes over the counts.
+    c, by = staged(S.counted(long, [*keys, "feature"], "x"), "counted"), [*keys, "feature"]
     r = c.groupBy(*by).agg(F.sum("n").alias("n"), F.min("x").alias("min"), F.max("x").alias("max")).join(S.quantiles(c, by, "x", levels, "all"), by)
     r = r.withColumn("e", F.slice("all", 1, bins + 1)).withColumn("q", F.slice("all", bins + 2, 3))
     e = F.array_sort(F.array_distinct("e"))
