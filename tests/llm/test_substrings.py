@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from tidewatch.llm import substrings
+from tidewatch.llm import hashing, substrings
 
 
 def brute(rows, w=50):
@@ -47,3 +47,14 @@ def test_against_brute_force(docs, spark, twice, buffer_rows, monkeypatch):
 
 def test_no_rows(docs):
     assert substrings.repeated_substrings(docs([])).count() == 0
+
+
+def test_texts_beyond_a_piece_and_runs_of_one_letter(docs):
+    """Texts over hashing.PIECE bytes, and more windows of one kind than a run of positions holds."""
+    r = random.Random(7)
+    line = lambda n: "".join(r.choice("abcdefgh é\n") for _ in range(n))
+    p = line(120)
+    long = line(hashing.PIECE - 40) + p + line(5000)
+    rows = [(3, "x" + p + "y"), (5, long), (7, long[1000:2000] + p), (8, "z" * 200_000), (2, "z" * 60 + "q"), (9, "q" + "z" * 70_000 + p[:60])]
+    got = substrings.repeated_substrings(docs([(*x, "s") for x in rows])).drop("kept").collect()
+    assert sorted(tuple(x) for x in got) == brute(rows)
