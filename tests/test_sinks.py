@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import identity
 from tidewatch.sources import sinks
-from tidewatch.sources.keyed import BUCKET, KeyedStore
+from tidewatch.sources.keyed import KeyedStore
 
 
 def key(i):
@@ -25,7 +25,7 @@ def test_a_keyed_store_reads_only_buckets_that_may_hold_its_keys(spark, tmp_path
     assert store.perhaps(frame(range(10_000, 10_200))).count() <= 4
     one = store.matching(frame([77, 10_001]))
     files = {r[0] for r in one.select(F.input_file_name()).collect()}
-    assert one.filter(F.col("id") == key(77)).count() == 1 and 1 <= len(files) <= 2 and all(BUCKET in f for f in files)
+    assert one.filter(F.col("id") == key(77)).count() == 1 and 1 <= len(files) <= 2 and len({r[0] for r in store.read().select(F.input_file_name()).collect()}) == 16
     assert {r.id for r in store.perhaps(frame(range(2000))).collect()} == {key(i) for i in range(2000)}
     r = random.Random(1)
     held = set(range(2000))

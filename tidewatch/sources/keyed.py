@@ -19,7 +19,7 @@ BUCKET = "__bucket"
 
 
 class KeyedStore:
-    """Rows (*schema) at `path`, one for each key. One writer at a time; rows without a key are appended as they are.
+    """Rows (*schema) in the folder `path`, one for each key, with filters in `path`-filters. One writer at a time; rows without a key are appended as they are.
 
     buckets: files of an append at most. words: bitmap rows of a bucket's filter, of WORD_BITS bits each; some
     3,000 keys for each keep wrong hits at 1 in 100. Beyond that more buckets are read, and
@@ -40,13 +40,13 @@ class KeyedStore:
 
     def read(self) -> DataFrame:
         """All rows; none before the first append."""
-        had = stored(self.spark, f"{self.path}/rows", self.schema)
-        return had.select(*self.schema.names) if had is not None else self.spark.createDataFrame([], self.schema)
+        had = stored(self.spark, self.path, self.schema)
+        return had if had is not None else self.spark.createDataFrame([], self.schema)
 
     def perhaps(self, keys: DataFrame) -> DataFrame:
         """The distinct keys of a table that may be stored, with their bucket: all that are, and some that aren't."""
         own = keys.select(self.key).filter(F.col(self.key).isNotNull()).distinct().withColumn(BUCKET, self._bucket())
-        filters = stored(self.spark, f"{self.path}/filters", f"{BUCKET} int, word long, bits binary")
+        filters = stored(self.spark, f"{self.path}-filters", f"{BUCKET} int, word long, bits binary")
         if filters is None:
             return own.limit(0)
         whole = filters.groupBy(BUCKET, "word").agg(F.bitmap_or_agg("bits").alias("bits"))
@@ -58,11 +58,9 @@ class KeyedStore:
     def matching(self, keys: DataFrame) -> DataFrame:
         """Stored rows of the buckets that may hold some of the keys, and hold all that do."""
         asked = [r[0] for r in self.perhaps(keys).select(BUCKET).distinct().collect()]  # at most `buckets` numbers
-        fields = T.StructType([*self.schema.fields, T.StructField(BUCKET, T.IntegerType())])
-        rows = stored(self.spark, f"{self.path}/rows", fields)
-        if rows is None or not asked:
-            return self.spark.createDataFrame([], self.schema)
-        return rows.filter(F.col(BUCKET).isin(asked)).drop(BUCKET)
+        # A file's number is that of its bucket.
+        rows = stored(self.spark, self.path, self.schema, f"part-{{{','.join(f'{b:05}' for b in asked)}}}-*") if asked else None
+        return rows if rows is not None else self.spark.createDataFrame([], self.schema)
 
     def append(self, df: DataFrame) -> None:
         """Adds the rows whose key isn't stored, one for each key. Repeating it changes nothing."""
@@ -72,5 +70,5 @@ class KeyedStore:
         # Filters first: if the rows are never written, some buckets are read in vain, and no key is missed.
         bits = self._bits(fresh.filter(F.col(self.key).isNotNull()).select(self.key, BUCKET))
         filters = bits.groupBy(BUCKET, "word").agg(F.bitmap_construct_agg("bit").alias("bits"))
-        filters.coalesce(1).write.mode("append").parquet(f"{self.path}/filters")  # at most buckets * words rows
-        fresh.repartition(self.buckets, BUCKET).write.mode("append").partitionBy(BUCKET).parquet(f"{self.path}/rows")
+        filters.coalesce(1).write.mode("append").parquet(f"{self.path}-filters")  # at most buckets * words rows
+        fresh.repartitionById(self.buckets, F.coalesce(BUCKET, F.lit(0))).drop(BUCKET).write.mode("append").parquet(self.path)

@@ -11,10 +11,11 @@ from pyspark.sql.utils import AnalysisException
 from tidewatch.functions.scratch import staged
 
 
-def stored(spark: SparkSession, path: str, schema) -> DataFrame | None:
-    """The table at `path`, or None before its first write; any other error is raised."""
+def stored(spark: SparkSession, path: str, schema, names: str = "*") -> DataFrame | None:
+    """The table at `path`, or None before its first write; any other error is raised. Only files whose names
+    match the pattern `names` are read."""
     try:
-        return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
+        return (spark.read.schema(schema) if schema is not None else spark.read).option("pathGlobFilter", names).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
