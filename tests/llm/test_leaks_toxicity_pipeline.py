@@ -68,6 +68,30 @@ def test_logistic_finds_the_optimum():
     assert abs(r.sum()) < 1e-5 and (np.abs(g) <= 1e-3 + 1e-5).all() and np.allclose(g[w != 0], -1e-3 * np.sign(w[w != 0]), atol=1e-5)
 
 
+def test_fit_takes_in_what_was_left_out_at_first():
+    """A feature that is as common with the category as without it pulls on nothing, until another weighs something."""
+    rng, n = np.random.default_rng(3), 3000
+    y = (np.arange(n) % 2 == 0).astype(float)
+    told = y == 1
+    a = told & (rng.random(n) < 0.9) | ~told & (rng.random(n) < 0.3)
+    # Even within all rows, telling among those with a.
+    b = np.zeros(n, bool)
+    b[rng.permutation(np.flatnonzero(told & ~a))[:100]] = True
+    b[rng.permutation(np.flatnonzero(~told & a))[:100]] = True
+    x = np.stack([a, b], axis=1)
+    rows, cols = np.nonzero(x)
+    pull = np.abs(x.T @ (y - y.mean())) / n
+    w, bias = toxicity.fit(rows, cols, 2, np.zeros((n, 0)), y, 1e-3, 5000)
+    assert pull[0] > 5e-4 >= pull[1] and w[1] != 0
+    whole, c = toxicity.logistic(toxicity.Sparse(rows, cols, n, 2, np.zeros((n, 0))), y, 1e-3, 5000)
+    assert np.allclose(w, whole, atol=1e-2) and abs(bias - c) < 1e-2
+    # Rare features weigh nothing: what `train` leaves out.
+    rare = np.zeros((n, 1), bool)
+    rare[np.flatnonzero(told)[:3]] = True
+    rows, cols = np.nonzero(np.concatenate([x, rare], axis=1))
+    assert toxicity.logistic(toxicity.Sparse(rows, cols, n, 3, np.zeros((n, 0))), y, 1e-3, 5000)[0][2] == 0
+
+
 def test_toxicity_on_held_out_rows(docs, spark):
     r = random.Random(8)
     bad = ["vile", "foul", "Übel"]

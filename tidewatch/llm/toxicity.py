@@ -8,9 +8,12 @@ features weigh nothing. A text is rejected where the last category's probability
 reaches a threshold, which is also chosen out of fold.
 
 The models are fitted on at most `sample` labelled rows, those whose ids have the least
-hashes. Spark counts in how many of them each feature is, by category, and keeps the
-features that can move a model at all. Every fit, of all rows of the sample or all but a
-fold, is a task of its own. Scoring reads whole texts, row by row, and shuffles nothing.
+hashes. Spark counts in how many of them each feature is. One row moves the loss's slope by
+less than 1 / n, so a feature of at most penalty * n rows weighs nothing at the optimum,
+whatever the others weigh: only such features are left out. Every fit, of all rows of the
+sample or all but a fold, is a task of its own. It starts with the features that pull most
+and takes in any other whose slope is over the penalty, until there is none. Scoring reads
+whole texts, row by row, and shuffles nothing.
 """
 
 from __future__ import annotations
@@ -112,12 +115,16 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def logistic(x: Sparse, y: np.ndarray, penalty: float = PENALTY, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, float]:
-    """Weights and intercept of an L1 logistic model, by accelerated proximal gradient
-    steps, at most `steps`, until no weight's step is over `tolerance` as a gradient."""
-    share = y.mean() if len(y) else 0.0
-    w, bias = np.zeros(x.k + x.dense.shape[1]), float(np.log((share * len(y) + 0.5) / ((1 - share) * len(y) + 0.5)))
-    if not 0 < share < 1:
+def constant(y: np.ndarray) -> float:
+    """The intercept of a model without features, drawn in a little from a share of 0 or 1."""
+    return float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+
+
+def logistic(x: Sparse, y: np.ndarray, penalty: float = PENALTY, steps: int = STEPS, tolerance: float = TOLERANCE, start: tuple[np.ndarray, float] | None = None) -> tuple[np.ndarray, float]:
+    """Weights and intercept of an L1 logistic model, by accelerated proximal gradient steps, at most
+    `steps`, until no weight's step is over `tolerance` as a gradient; `start`: weights and intercept to begin with."""
+    w, bias = start or (np.zeros(x.k + x.dense.shape[1]), constant(y))
+    if not 0 < y.sum() < len(y):
         return w, bias
     u = np.ones(len(w) + 1)
     for _ in range(20):  # the largest eigenvalue of the matrix, with its column of ones
@@ -142,6 +149,32 @@ def logistic(x: Sparse, y: np.ndarray, penalty: float = PENALTY, steps: int = ST
     return w, bias
 
 
+def fit(rows: np.ndarray, cols: np.ndarray, size: int, dense: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, float]:
+    """`logistic` over `size` columns, given by their ones in the order of rows, and the dense ones.
+
+    Only those that pull on the constant model by over half the penalty are fitted at first. Of the
+    others those whose slope at the model found is over the penalty join them, until none is: what is
+    left out has a weight of 0 at the optimum of all columns.
+    """
+
+    def slope(r: np.ndarray, block: int = 1 << 22) -> np.ndarray:
+        out = np.zeros(size)
+        for a in range(0, len(cols), block):
+            out += np.bincount(cols[a : a + block], r[rows[a : a + block]], size)
+        return np.abs(out) / max(1, len(y))
+
+    w, bias = np.zeros(size + dense.shape[1]), constant(y)
+    used = slope(y - sigmoid(bias)) > penalty / 2
+    while True:
+        ones, own = used[cols], np.append(used, np.ones(dense.shape[1], bool))
+        x = Sparse(rows[ones], (np.cumsum(used) - 1)[cols[ones]], len(y), int(used.sum()), dense)
+        w[own], bias = logistic(x, y, penalty, steps, tolerance, (w[own], bias))
+        late = ~used & (slope(y - sigmoid(x.times(w[own]) + bias)) > penalty + tolerance)
+        if not 0 < y.sum() < len(y) or not late.any():
+            return w, bias
+        used |= late
+
+
 def _fits(size: int, category: int, folds: int, penalty: float, steps: int):
     """Rows (part, id, y, features, earlier), sorted by (part, id), to rows (id, p, feature,
     weight): of part f the probabilities of the rows of fold f, by a model of all others; of
@@ -159,14 +192,13 @@ def _fits(size: int, category: int, folds: int, penalty: float, steps: int):
         del features, earlier
         fold = ids.view(np.uint64) % np.uint64(folds)
 
-        def some(keep: np.ndarray) -> Sparse:
-            rows = np.repeat(np.arange(keep.sum(), dtype=np.int32), sizes[keep])
-            return Sparse(rows, cols[np.repeat(keep, sizes)], int(keep.sum()), size, dense[keep])
+        def ones(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return np.repeat(np.arange(keep.sum(), dtype=np.int32), sizes[keep]), cols[np.repeat(keep, sizes)]
 
         learn = np.ones(n, bool) if part < 0 else fold != part
-        w, bias = logistic(some(learn), y[learn], penalty, steps)
+        w, bias = fit(*ones(learn), size, dense[learn], y[learn], penalty, steps)
         if part >= 0:
-            out = [ids[~learn], sigmoid(some(~learn).times(w) + bias), None, None]
+            out = [ids[~learn], sigmoid(Sparse(*ones(~learn), int((~learn).sum()), size, dense[~learn]).times(w) + bias), None, None]
         else:
             used = np.append(np.flatnonzero(w[:size]), np.arange(size, len(w)))
             out = [None, None, np.append(np.where(used < size, used, size - 2 - used), -1).astype(np.int64), np.append(w[used], bias)]
@@ -225,15 +257,15 @@ def train(labelled: DataFrame, categories: int, folds: int = FOLDS, penalty: flo
     """(weights, vocabulary, threshold) for a bounded table (id, text, y: array of 0/1): rows
     (category, feature, weight) as _fits numbers features; no weights for an empty table."""
     sample = staged(labelled.select(F.xxhash64("id").alias("id"), "y", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_sample_features, "id long, y array<double>, features array<long>"), "labelled")
-    sums = [F.sum(F.col("y")[j]).alias(f"y{j}") for j in range(categories)]
-    totals = sample.agg(F.count(F.lit(1)).alias("n"), *sums).first()
-    n = totals["n"]
-    if not n:
+    # The fold of an id as an unsigned number, as _fits takes it.
+    fold = (F.shiftrightunsigned("id", 1) % folds * 2 + F.col("id").bitwiseAND(F.lit(1))) % folds
+    held = [r["count"] for r in sample.groupBy(fold.alias("fold")).count().collect()]
+    if not held:
         return [], np.zeros(0, np.int64), THRESHOLD
-    # A feature whose rows have a category about as often as all rows can't outweigh the penalty.
-    per = sample.select("y", F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("rows"), *sums)
-    pull = F.greatest(F.lit(0.0), *[F.abs(F.col(f"y{j}") - F.col("rows") * (totals[f"y{j}"] / n)) for j in range(categories)]) / n
-    vocabulary = np.sort(per.filter(pull > penalty / 2).select("feature").toPandas()["feature"].to_numpy(np.int64))
+    # Of the smallest fit's rows a weight needs more than this many.
+    least = penalty * (sum(held) - max(held))
+    per = sample.select(F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("rows"))
+    vocabulary = np.sort(per.filter(F.col("rows") > least).select("feature").toPandas()["feature"].to_numpy(np.int64))
     x = sample.mapInArrow(_known_only(vocabulary), "id long, y array<double>, features array<int>")
     x = staged(x.withColumn("earlier", F.array().cast("array<double>")), "sample-known")
     weights = []
