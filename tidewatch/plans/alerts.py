@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators import alerts as A
 from tidewatch.operators import search as Q
 from tidewatch.operators import severity as S
 
@@ -48,10 +48,8 @@ def flt05(spark, d):
 
 @query("flt06_topology_filter", f"WITH {ALERTS} SELECT alert_id, source, destination FROM alerts WHERE observed_at >= (SELECT max(observed_at) FROM alerts) - INTERVAL 7 DAY AND lower(protocol) = 'tcp' AND severity IN ('critical','high') AND status NOT IN ('resolved','false_positive')")
 def flt06(spark, d):
-    a = alerts(spark, d)
-    now = F.broadcast(a.agg(F.max("observed_at").alias("now")))
-    f = (F.lower("protocol") == "tcp") & F.col("severity").isin("critical", "high") & ~F.col("status").isin(*S.TERMINAL)
-    return a.filter(f).join(now, F.col("observed_at") >= F.col("now") - F.expr("interval 7 days")).select("alert_id", "source", "destination")
+    f = (F.lower("protocol") == "tcp") & A.elevated_and_open(F.col("severity"), F.col("status"))
+    return A.recent(alerts(spark, d), "observed_at", "7 days", f).select("alert_id", "source", "destination")
 
 
 @query("flt07_job_filter", f"WITH {JOBS} SELECT job_id, state, error_code, channel FROM jobs WHERE state = 'dead_letter' AND error_code = 'timeout' AND channel = '1-URGENT' AND created_at BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1998-01-01'")
@@ -65,28 +63,26 @@ OUTBOX = "CASE WHEN k % 3 = 0 THEN 'published' WHEN k % 4 > 0 THEN 'failed' ELSE
 
 @query("flt08_outbox_status", f"WITH {ALERTS} SELECT alert_id, {OUTBOX} AS outbox_status FROM alerts WHERE {OUTBOX} = 'failed'")
 def flt08(spark, d):
-    a = alerts(spark, d).withColumn("published_at", F.when(F.col("k") % 3 == 0, F.col("observed_at"))).withColumn("publish_attempts", F.col("k") % 4)
-    status = F.when(F.col("published_at").isNotNull(), "published").when(F.col("publish_attempts") > 0, "failed").otherwise("pending")
-    return a.withColumn("outbox_status", status).filter("outbox_status = 'failed'").select("alert_id", "outbox_status")
+    a = alerts(spark, d).withColumn("published_at", F.when(F.col("k") % 3 == 0, F.col("observed_at")))
+    return a.withColumn("outbox_status", A.delivery_status(F.col("published_at"), F.col("k") % 4)).filter("outbox_status = 'failed'").select("alert_id", "outbox_status")
 
 
 @query("flt09_signature_seen", f"WITH {ALERTS} SELECT alert_id, observed_at FROM alerts WHERE signature = 'sig_1' AND observed_at > TIMESTAMP '2024-01-12' ORDER BY observed_at DESC, alert_id DESC LIMIT 1")
 def flt09(spark, d):
-    return alerts(spark, d).filter((F.col("signature") == "sig_1") & (F.col("observed_at") > F.lit(END))).orderBy(F.desc("observed_at"), F.desc("alert_id")).limit(1).select("alert_id", "observed_at")
+    return A.newest(alerts(spark, d), (F.col("signature") == "sig_1") & (F.col("observed_at") > F.lit(END)), "observed_at", "alert_id").select("alert_id", "observed_at")
 
 
 @query("prj01_targets", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'attack' ELSE 'normal' END AS binary_target, CASE WHEN event_type = 'error' THEN event_type END AS family_target FROM events")
 def prj01(spark, d):
-    y = F.col("event_type")
-    return table(spark, d, "events").select("event_id", F.when(y.isin(*NORMAL), "normal").otherwise("attack").alias("binary_target"), F.when(~y.isin(*NORMAL), y).alias("family_target"))
+    binary, family = A.targets(F.col("event_type"), NORMAL)
+    return table(spark, d, "events").select("event_id", binary.alias("binary_target"), family.alias("family_target"))
 
 
 @query("prj02_unified_view", f"WITH {ALERTS} SELECT alert_id, CASE WHEN signature IS NOT NULL THEN 'sensor' ELSE 'model' END AS detection_source, CASE WHEN signature IS NOT NULL THEN signature ELSE attack_class END AS attack_class, CASE WHEN signature IS NULL THEN confidence END AS confidence, coalesce(CASE WHEN k % 2 = 0 THEN observed_at END, observed_at + INTERVAL 1 SECOND) AS observed_at FROM alerts")
 def prj02(spark, d):
-    a = alerts(spark, d).withColumn("detection_source", F.when(F.col("signature").isNotNull(), "sensor").otherwise("model"))
-    sensor = F.col("detection_source") == "sensor"
-    occurred, created = F.when(F.col("k") % 2 == 0, F.col("observed_at")), F.col("observed_at") + F.expr("interval 1 second")
-    return a.select("alert_id", "detection_source", F.when(sensor, F.col("signature")).otherwise(F.col("attack_class")).alias("attack_class"), F.when(~sensor, F.col("confidence")).alias("confidence"), F.coalesce(occurred, created).alias("observed_at"))
+    signature, observed = F.col("signature"), F.col("observed_at")
+    view = A.unified(signature.isNotNull(), signature, F.col("attack_class"), F.col("confidence"), F.when(F.col("k") % 2 == 0, observed), observed + F.expr("interval 1 second"))
+    return alerts(spark, d).select("alert_id", *view)
 
 
 @query("prj03_severity_reasons", f"WITH {ALERTS} SELECT alert_id, CASE WHEN prediction = 'normal' AND NOT odd THEN 'informational' WHEN confidence >= 0.9 OR odd THEN 'critical' WHEN confidence >= 0.75 THEN 'high' ELSE 'medium' END AS severity, CASE WHEN quiet THEN 0 ELSE 1 + odd::INT END AS n_reasons, CASE WHEN NOT quiet THEN 'model predicted ' || prediction END AS said FROM (SELECT *, k > 95 AS odd, prediction = 'normal' AND NOT odd AS quiet FROM alerts)")
@@ -104,8 +100,7 @@ def prj04(spark, d):
 @query("prj05_device_profile", f"WITH {ALERTS} SELECT alert_id, CASE WHEN k > 90 THEN ['port ' || k] ELSE [] END::VARCHAR AS reasons FROM alerts")
 def prj05(spark, d):
     violation = F.when(F.col("k") > 90, F.concat(F.lit("port "), F.col("k").cast("string")))
-    reasons = F.when(violation.isNotNull(), F.array(violation)).otherwise(F.array().cast("array<string>"))
-    return alerts(spark, d).select("alert_id", F.concat(F.lit("["), F.array_join(reasons, ", "), F.lit("]")).alias("reasons"))
+    return alerts(spark, d).select("alert_id", F.concat(F.lit("["), F.array_join(A.profile_reasons(violation), ", "), F.lit("]")).alias("reasons"))
 
 
 @query("prj06_sensor_alert", f"WITH {ALERTS} SELECT alert_id, source AS source_ip, k AS signature_id, signature || ',' || event_type AS reasons FROM alerts WHERE signature IS NOT NULL")
@@ -118,7 +113,8 @@ def prj06(spark, d):
 @query("prj07_endpoint_label", f"WITH {ALERTS} SELECT alert_id, coalesce(CASE WHEN k % 3 = 0 THEN source END, CASE WHEN k % 3 = 1 THEN destination END, 'port ' || nullif(k, 50), 'unknown') AS endpoint FROM alerts")
 def prj07(spark, d):
     k = F.col("k")
-    return alerts(spark, d).select("alert_id", F.coalesce(F.when(k % 3 == 0, F.col("source")), F.when(k % 3 == 1, F.col("destination")), F.concat(F.lit("port "), F.nullif(k, F.lit(50)).cast("string")), F.lit("unknown")).alias("endpoint"))
+    addresses = F.when(k % 3 == 0, F.col("source")), F.when(k % 3 == 1, F.col("destination"))
+    return alerts(spark, d).select("alert_id", A.endpoint(F.nullif(k, F.lit(50)), *addresses).alias("endpoint"))
 
 
 COHORT = """'{"channel":"' || event_type || '","classifier":"c' || (k % 2) || '","detector":"d1","fingerprint":' || CASE WHEN k % 3 = 0 THEN '"fp' || (k % 3) || '"' ELSE 'null' END || ',"schema":"v' || (k % 2) || '","source":"' || (user_id % 3) || '"}'"""
@@ -126,8 +122,11 @@ COHORT = """'{"channel":"' || event_type || '","classifier":"c' || (k % 2) || '"
 
 def _cohort():
     k = F.col("k")
-    fields = F.struct(F.col("event_type").alias("channel"), F.concat(F.lit("c"), (k % 2).cast("string")).alias("classifier"), F.lit("d1").alias("detector"), F.when(k % 3 == 0, F.concat(F.lit("fp"), (k % 3).cast("string"))).alias("fingerprint"), F.concat(F.lit("v"), (k % 2).cast("string")).alias("schema"), (F.col("user_id") % 3).cast("string").alias("source"))
-    return F.to_json(fields, {"ignoreNullFields": "false"})
+    odd, fingerprint = (k % 2).cast("string"), F.when(k % 3 == 0, F.concat(F.lit("fp"), (k % 3).cast("string")))
+    return A.canonical_key(
+        source=(F.col("user_id") % 3).cast("string"), schema=F.concat(F.lit("v"), odd), channel=F.col("event_type"),
+        fingerprint=fingerprint, detector=F.lit("d1"), classifier=F.concat(F.lit("c"), odd),
+    )
 
 
 @query("prj08_cohort_key", f"WITH {ALERTS} SELECT alert_id, {COHORT} AS cohort_key, event_type = 'view' AND k % 3 = 0 AS eligible FROM alerts")
@@ -137,24 +136,21 @@ def prj08(spark, d):
 
 @query("prj09_display_status", f"WITH {JOBS} SELECT job_id, CASE WHEN state = 'succeeded' THEN 'done' WHEN state = 'dead_letter' THEN 'failed' WHEN attempts > 0 THEN 'retrying' ELSE 'waiting' END AS display_status FROM jobs")
 def prj09(spark, d):
-    s = F.col("state")
-    return jobs(spark, d).select("job_id", F.when(s == "succeeded", "done").when(s == "dead_letter", "failed").when(F.col("attempts") > 0, "retrying").otherwise("waiting").alias("display_status"))
+    return jobs(spark, d).select("job_id", A.display_status(F.col("state"), F.col("attempts")).alias("display_status"))
 
 
 @query("prj10_failure_classes", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'extractor_incompatible' WHEN event_type = 'view' THEN 'validation_error' WHEN event_type = 'click' THEN 'database_unavailable' ELSE 'processing_error' END AS error_code, event_type NOT IN ('error', 'view') AS retryable FROM events")
 def prj10(spark, d):
-    message = F.when(F.col("event_type") == "error", "Extractor mismatch").when(F.col("event_type") == "view", "Validation: bad").when(F.col("event_type") == "click", "database: gone").otherwise("boom")
-    says = lambda w: F.lower("message").contains(w)
-    code = F.when(says("extractor"), "extractor_incompatible").when(says("validation"), "validation_error").when(says("database"), "database_unavailable").otherwise("processing_error")
-    return table(spark, d, "events").withColumn("message", message).select("event_id", code.alias("error_code")).withColumn("retryable", ~F.col("error_code").isin("extractor_incompatible", "validation_error"))
+    kind = F.col("event_type")
+    message = F.when(kind == "error", "Extractor mismatch").when(kind == "view", "Validation: bad").when(kind == "click", "database: gone").otherwise("boom")
+    code, retryable = A.failure(message)
+    return table(spark, d, "events").select("event_id", code.alias("error_code"), retryable.alias("retryable"))
 
 
 @query("prj11_dead_letter_routing", f"WITH {JOBS} SELECT job_id, CASE WHEN NOT retryable OR attempts > 3 THEN 'dead_letter' ELSE 'retry' END AS next_state, CASE WHEN retryable AND attempts <= 3 THEN created_at + to_seconds([1, 5, 30][greatest(attempts, 1)]) END AS available_at FROM jobs WHERE state <> 'succeeded'")
 def prj11(spark, d):
-    dead = ~F.col("retryable") | (F.col("attempts") > 3)
-    wait = F.get(F.array(F.lit(1), F.lit(5), F.lit(30)), F.greatest("attempts", F.lit(1)) - 1)
-    due = F.when(~dead, F.col("created_at") + F.make_dt_interval(secs=wait))
-    return jobs(spark, d).filter("state <> 'succeeded'").select("job_id", F.when(dead, "dead_letter").otherwise("retry").alias("next_state"), due.alias("available_at"))
+    state, due = A.routing(F.col("retryable"), F.col("attempts"), F.col("created_at"))
+    return jobs(spark, d).filter("state <> 'succeeded'").select("job_id", state.alias("next_state"), due.alias("available_at"))
 
 
 @query("tk01_offset_page", f"WITH {ALERTS} SELECT alert_id, observed_at, (SELECT count(*) FROM alerts WHERE status = 'open') AS total, TRUE AS has_more FROM alerts WHERE status = 'open' ORDER BY observed_at DESC, alert_id LIMIT 50 OFFSET 100")
@@ -186,22 +182,18 @@ def tk04(spark, d):
 @query("tk05_contributions", "WITH c AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(v) DESC, i) AS r FROM c) SELECT vec_id, CASE WHEN r <= 8 THEN 'f' || i ELSE 'Other ' || count(*) OVER (PARTITION BY vec_id, r <= 8) || ' features' END AS feature, round(CASE WHEN r <= 8 THEN v ELSE sum(v) OVER (PARTITION BY vec_id, r <= 8) END, 6) AS impact FROM r QUALIFY r <= 9")
 def tk05(spark, d):
     c = table(spark, d, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "v"))
-    r = c.withColumn("r", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc(F.abs("v")), "i")))
-    named = r.withColumn("feature", F.when(F.col("r") <= 8, F.concat(F.lit("f"), F.col("i").cast("string")))).groupBy("vec_id", "feature").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("n"))
-    return named.select("vec_id", F.coalesce("feature", F.format_string("Other %d features", "n")).alias("feature"), R(F.col("v")).alias("impact"))
+    top = A.top_contributions(c.withColumn("name", F.concat(F.lit("f"), F.col("i").cast("string"))), "vec_id", "name", "i", "v")
+    return top.select("vec_id", "feature", R(F.col("impact")).alias("impact"))
 
 
 @query("tk06_attributions", "WITH c AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, (generate_subscripts(embedding, 1) - 1) // 4 AS g FROM embeddings), s AS (SELECT vec_id, 'raw_' || g AS feature, sum(v) AS impact FROM c GROUP BY vec_id, g), t AS (SELECT vec_id, list_sum(embedding)::DOUBLE AS output FROM embeddings) SELECT vec_id, feature, round(impact, 6) AS impact, row_number() OVER (PARTITION BY vec_id ORDER BY round(abs(impact), 9) DESC, feature)::INT AS rank, abs(sum(impact) OVER (PARTITION BY vec_id) - output) <= 1e-4 AS additive FROM s JOIN t USING (vec_id)")
 def tk06(spark, d):
-    e = table(spark, d, "embeddings")
-    c = e.select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "v"))
+    e = table(spark, d, "embeddings").withColumn("values", F.col("embedding").cast("array<double>"))
     # One-hot columns raw_<feature>_<level> fold into their raw feature.
-    c = c.withColumn("name", F.format_string("raw_%d_%d", F.floor(F.col("i") / 4), F.col("i") % 4)).withColumn("feature", F.regexp_replace("name", r"_\d+$", ""))
-    s = c.groupBy("vec_id", "feature").agg(F.sum("v").alias("impact"))
-    w = Window.partitionBy("vec_id")
-    out = e.select("vec_id", F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x).alias("output"))
-    s = s.join(out, "vec_id")
-    return s.select("vec_id", "feature", R(F.col("impact")).alias("impact"), F.row_number().over(w.orderBy(F.desc(F.round(F.abs("impact"), 9)), "feature")).alias("rank"), (F.abs(F.sum("impact").over(w) - F.col("output")) <= 1e-4).alias("additive"))
+    c = e.select("vec_id", F.posexplode("values").alias("i", "v")).withColumn("name", F.format_string("raw_%d_%d", F.floor(F.col("i") / 4), F.col("i") % 4))
+    out = e.select("vec_id", F.aggregate("values", F.lit(0.0), lambda a, x: a + x).alias("output"))
+    folded = A.folded_attributions(c, out, "vec_id", F.regexp_replace("name", r"_\d+$", ""), "v", "output", 1e-4)
+    return folded.withColumn("impact", R(F.col("impact")))
 
 
 @query("tk07_recent_open", f"WITH {ALERTS} SELECT alert_id, observed_at, severity FROM alerts WHERE status NOT IN ('resolved','false_positive') ORDER BY observed_at DESC, alert_id LIMIT 6")
