@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import alerts as A
+from tidewatch.operators import dashboard, lifecycle
 
 T = datetime.datetime(2024, 5, 1, 12)
 
@@ -79,3 +80,36 @@ def test_attributions(spark):
     out = spark.createDataFrame([(1, -1.25), (2, 1.1)], "row int, y double")
     got = A.folded_attributions(df, out, "row", F.regexp_replace("f", "_.*$", ""), "x", "y").orderBy("row", "rank").collect()
     assert [tuple(r) for r in got] == [(1, "port", -2.0, 1, True), (1, "proto", 0.75, 2, True), (2, "port", 1.0, 1, False)]
+
+
+def test_rollups(spark):
+    rows = [(1, "open", "critical", "a", "b", "x"), (2, "resolved", "critical", "a", None, "y"), (3, "false_positive", "low", None, "b", "y"), (4, "open", "low", "c", "c", "x")]
+    df = spark.createDataFrame(rows, "id int, st string, sev string, src string, dst string, fam string")
+    assert tuple(dashboard.open_counts(df, "st", "sev").first()) == (4, 2, 1)
+    assert tuple(dashboard.review(df, "st").first()) == (1, 1, 0.5)
+    assert tuple(dashboard.overview(df, "src", "dst", "fam").first()) == (3, "x")
+    assert tuple(dashboard.truth_rates(df, F.col("id") <= 2, F.col("id") % 2 == 1).first()) == (0.5, 0.5, 0.5)
+    none = df.limit(0)
+    assert tuple(dashboard.review(none, "st").first()) == (0, 0, None)
+    assert tuple(dashboard.overview(none, "src", "dst", "fam").first()) == (0, None)
+    assert tuple(dashboard.truth_rates(none, F.col("id") < 2, F.col("id") < 2).first()) == (None, None, None)
+
+
+def test_latencies(spark):
+    rows = [("a", T - datetime.timedelta(hours=h), float(h)) for h in (0, 10, 24, 30)] + [(None, T, 7.0), ("b", T, None)]
+    df = spark.createDataFrame(rows, "kind string, at timestamp_ntz, ms double")
+    got = {r.kind: (r.n, r["mean"], r.q and list(r.q)) for r in dashboard.latencies(df, ["kind"], "ms", [0.5]).collect()}
+    assert got == {"a": (4, 16.0, [17.0]), None: (1, 7.0, [7.0]), "b": (1, None, None)}
+    # Half open: what is a whole day old isn't of the last day.
+    assert dashboard.lately(df, "at", "24 hours").filter("kind = 'a'").count() == 2
+    assert dashboard.latencies(df, [], "ms", [0.5]).first().n == 6
+
+
+def test_routes_and_feedback(spark):
+    df = spark.createDataFrame([(1, "v0", None), (2, "v0", "p"), (3, "v1", "p"), (4, "v1", None)], "id int, s string, f string")
+    routes = spark.createDataFrame([("v0", None, "rt"), ("v1", "p", "native")], "schema string, fingerprint string, route string")
+    got = [tuple(r) for r in lifecycle.routed(df, routes, "s", "f", "v0").orderBy("id").select("id", "route", "error_code").collect()]
+    assert got == [(1, "rt", None), (2, None, "fingerprint_not_allowed"), (3, "native", None), (4, None, "extractor_not_approved")]
+    said = spark.createDataFrame([(1, "resolved", 2), (1, "open", 1)], "id int, to string, n int")
+    told = lifecycle.with_feedback(df.select("id", "s"), said, "id", "to", ["n"], "s").orderBy("id").collect()
+    assert [tuple(r) for r in told][:2] == [(1, "resolved", 2), (2, "v0", 0)]

@@ -89,3 +89,46 @@ def topology_nodes(df: DataFrame) -> DataFrame:
 def topology_edges(df: DataFrame) -> DataFrame:
     both = df.filter(F.col("source").isNotNull() & F.col("destination").isNotNull())
     return both.groupBy("source", "destination").agg(*_graph_measures(F.lit(False)))
+
+
+def open_counts(df: DataFrame, status: str, severity: str, worst: str = "critical") -> DataFrame:
+    """One row (total, unresolved, critical_open)."""
+    open_ = ~F.col(status).isin(*sev.TERMINAL)
+    return df.agg(F.count(F.lit(1)).alias("total"), F.count_if(open_).alias("unresolved"), F.count_if((F.col(severity) == worst) & open_).alias("critical_open"))
+
+
+def lately(df: DataFrame, ts: str, interval: str) -> DataFrame:
+    """Rows less than `interval` older than the newest one."""
+    now = F.broadcast(df.agg(F.max(ts).alias("__now")))
+    return df.join(now, F.col(ts) > F.col("__now") - F.expr(f"interval {interval}")).drop("__now")
+
+
+def latencies(df: DataFrame, by: list[str], value: str, levels=(0.5, 0.95)) -> DataFrame:
+    """Rows (by, n, mean, q): rows, mean and interpolated quantiles of each group, from counts of distinct values.
+    Without `by` one row; a group without values has no quantiles."""
+    means = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
+    found = quantiles(counted(df, by, value), by, value, list(levels))
+    if not by:
+        return means.join(F.broadcast(found), F.lit(True), "left")  # a row each
+    own = found.select(*[F.col(c).alias(f"__{c}") for c in by], "q")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    return means.join(own, same, "left").select(*by, "n", "mean", "q")
+
+
+def review(df: DataFrame, status: str) -> DataFrame:
+    """One row (confirmed, false_positive, confirmed_rate) of what analysts closed; no rate if they closed nothing."""
+    yes, no = F.count_if(F.col(status) == "resolved"), F.count_if(F.col(status) == "false_positive")
+    return df.agg(yes.alias("confirmed"), no.alias("false_positive"), (yes / F.nullif(yes + no, F.lit(0))).alias("confirmed_rate"))
+
+
+def truth_rates(df: DataFrame, truth: Column, said: Column) -> DataFrame:
+    """One row (attack_recall, normal_fpr, accuracy) of two truth values; a rate over no rows is null."""
+    rate = lambda a, b: F.count_if(a) / F.nullif(F.count_if(b), F.lit(0))
+    return df.agg(rate(truth & said, truth).alias("attack_recall"), rate(~truth & said, ~truth).alias("normal_fpr"), rate(truth == said, F.lit(True)).alias("accuracy"))
+
+
+def overview(df: DataFrame, source: str, destination: str, family: str) -> DataFrame:
+    """One row (endpoints, top_family): distinct ends, and the commonest family, ties to the least name."""
+    ends = df.select(F.explode(F.array(source, destination)).alias("n")).filter("n is not null").distinct().agg(F.count(F.lit(1)).alias("endpoints"))
+    top = df.filter(F.col(family).isNotNull()).groupBy(family).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), family).limit(1)
+    return ends.crossJoin(top.agg(F.first(family).alias("top_family")))

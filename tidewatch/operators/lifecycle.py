@@ -96,3 +96,22 @@ def lower_rank_percentiles(df: DataFrame, keys: list[str], values: list[str], le
     at = lambda v, q: (F.col("__of") == v) & (F.col("__n_upto") > F.floor(q * (F.col("__n_all") - 1)))
     kinds = dict(df.dtypes)
     return c.groupBy(*keys).agg(*[F.min(F.when(at(v, q), F.col("__x"))).cast(kinds[v]).alias(f"{v}_{name}") for v in values for name, q in levels.items()])
+
+
+def routed(df: DataFrame, routes: DataFrame, schema: str, fingerprint: str, plain: str) -> DataFrame:
+    """df with (route, error_code): the route of exactly its schema and fingerprint, a null one being equal to null.
+
+    Without a route the schema `plain` allows no such fingerprint, and any other has not approved it.
+    `routes`: (schema, fingerprint, route), one row for each pair, joined by both.
+    """
+    own = routes.select(F.col("schema").alias("__s"), F.col("fingerprint").alias("__f"), "route")
+    j = df.join(own, F.col(schema).eqNullSafe(F.col("__s")) & F.col(fingerprint).eqNullSafe(F.col("__f")), "left").drop("__s", "__f")
+    why = F.when(F.col(schema) == plain, "fingerprint_not_allowed").otherwise("extractor_not_approved")
+    return j.withColumn("error_code", F.when(F.col("route").isNull(), why))
+
+
+def with_feedback(df: DataFrame, feedback: DataFrame, key: str, state: str, order: list[str], status: str) -> DataFrame:
+    """df with its `status` replaced by the newest feedback's state, where there is any, and n_feedback."""
+    s = feedback.groupBy(F.col(key).alias("__k")).agg(F.max_by(state, F.struct(*order)).alias("__latest"), F.count(F.lit(1)).alias("__n"))
+    j = df.join(s, F.col(key) == F.col("__k"), "left").withColumn(status, F.coalesce("__latest", status))
+    return j.withColumn("n_feedback", F.coalesce("__n", F.lit(0))).drop("__k", "__latest", "__n")

@@ -43,8 +43,7 @@ def ag03(spark, d):
 
 @query("ag04_open_scalars", f"WITH {ALERTS} SELECT count(*) AS total, count(*) FILTER (WHERE status NOT IN ('resolved','false_positive')) AS unresolved, count(*) FILTER (WHERE severity = 'critical' AND status NOT IN ('resolved','false_positive')) AS critical_open FROM alerts")
 def ag04(spark, d):
-    open_ = ~F.col("status").isin(*S.TERMINAL)
-    return alerts(spark, d).agg(F.count(F.lit(1)).alias("total"), F.count_if(open_).alias("unresolved"), F.count_if((F.col("severity") == "critical") & open_).alias("critical_open"))
+    return D.open_counts(alerts(spark, d), "status", "severity")
 
 
 @query("ag05_median_score", f"WITH {ALERTS} SELECT round(median(confidence), 6) AS median_score FROM alerts")
@@ -122,32 +121,26 @@ def ag15(spark, d):
 
 @query("ag17_replay_latency", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_ms, round(quantile_cont(value, 0.5), 6) AS p50_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms FROM events GROUP BY 1")
 def ag17(spark, d):
-    a = alerts(spark, d)
-    means = a.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), R(F.avg("value")).alias("mean_ms"))
-    levels = Q.quantiles(Q.counted(a, ["event_type"], "value"), ["event_type"], "value", [0.5, 0.95])
-    return means.join(levels, "event_type").select("event_type", "n", "mean_ms", R(F.col("q")[0]).alias("p50_ms"), R(F.col("q")[1]).alias("p95_ms"))
+    told = D.latencies(alerts(spark, d), ["event_type"], "value")
+    return told.select("event_type", "n", R(F.col("mean")).alias("mean_ms"), R(F.col("q")[0]).alias("p50_ms"), R(F.col("q")[1]).alias("p95_ms"))
 
 
 @query("ag18_latest_latency", "SELECT round(quantile_cont(value, 0.5), 6) AS median_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms, count(*) AS n FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")
 def ag18(spark, d):
-    a = alerts(spark, d)
-    latest = a.join(F.broadcast(a.agg(F.max("observed_at").alias("now"))), F.col("observed_at") > F.col("now") - F.expr("interval 24 hours"))
-    c = Q.counted(latest, [], "value")
-    levels = Q.quantiles(c, [], "value", [0.5, 0.95]).crossJoin(latest.agg(F.count(F.lit(1)).alias("n")))  # a row each
-    return levels.select(R(F.col("q")[0]).alias("median_ms"), R(F.col("q")[1]).alias("p95_ms"), "n")
+    told = D.latencies(D.lately(alerts(spark, d), "observed_at", "24 hours"), [], "value")
+    return told.select(R(F.col("q")[0]).alias("median_ms"), R(F.col("q")[1]).alias("p95_ms"), "n")
 
 
 @query("ag19_analyst_review", f"WITH {ALERTS} SELECT count(*) FILTER (WHERE status = 'resolved') AS confirmed, count(*) FILTER (WHERE status = 'false_positive') AS false_positive, round(count(*) FILTER (WHERE status = 'resolved')::DOUBLE / nullif(count(*) FILTER (WHERE status IN ('resolved','false_positive')), 0), 6) AS confirmed_rate FROM alerts")
 def ag19(spark, d):
-    yes, no = F.count_if(F.col("status") == "resolved"), F.count_if(F.col("status") == "false_positive")
-    return alerts(spark, d).agg(yes.alias("confirmed"), no.alias("false_positive"), R(yes / F.nullif(yes + no, F.lit(0))).alias("confirmed_rate"))
+    return D.review(alerts(spark, d), "status").withColumn("confirmed_rate", R(F.col("confirmed_rate")))
 
 
 @query("ag20_ground_truth", f"WITH {ALERTS}, t AS (SELECT *, event_type = 'error' AS truth, prediction = 'attack' AND confidence >= 0.3 AS said FROM alerts) SELECT round(count(*) FILTER (WHERE truth AND said)::DOUBLE / nullif(count(*) FILTER (WHERE truth), 0), 6) AS attack_recall, round(count(*) FILTER (WHERE NOT truth AND said)::DOUBLE / nullif(count(*) FILTER (WHERE NOT truth), 0), 6) AS normal_fpr, round(count(*) FILTER (WHERE truth = said)::DOUBLE / nullif(count(*), 0), 6) AS accuracy FROM t")
 def ag20(spark, d):
     truth, said = F.col("event_type") == "error", (F.col("prediction") == "attack") & (F.col("confidence") >= 0.3)
-    rate = lambda a, b: R(F.count_if(a) / F.nullif(F.count_if(b), F.lit(0)))
-    return alerts(spark, d).agg(rate(truth & said, truth).alias("attack_recall"), rate(~truth & said, ~truth).alias("normal_fpr"), rate(truth == said, F.lit(True)).alias("accuracy"))
+    rates = D.truth_rates(alerts(spark, d), truth, said)
+    return rates.select(*[R(F.col(c)).alias(c) for c in rates.columns])
 
 
 @query("ag21_class_frequency", "SELECT CASE WHEN event_id % 5 < 3 THEN 'train' WHEN event_id % 5 = 3 THEN 'validation' ELSE 'test' END AS split, event_type AS label, count(*) AS n FROM events GROUP BY 1, 2")
@@ -168,10 +161,7 @@ def ag23(spark, d):
 
 @query("ag24_overview", f"WITH {ALERTS} SELECT (SELECT count(DISTINCT n) FROM (SELECT source AS n FROM alerts UNION ALL SELECT destination FROM alerts)) AS endpoints, (SELECT attack_class FROM alerts WHERE attack_class IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, attack_class LIMIT 1) AS top_family")
 def ag24(spark, d):
-    a = alerts(spark, d)
-    ends = a.select(F.explode(F.array("source", "destination")).alias("n")).agg(F.count_distinct("n").alias("endpoints"))
-    top = a.filter("attack_class is not null").groupBy("attack_class").count().orderBy(F.desc("count"), "attack_class").limit(1).agg(F.first("attack_class").alias("top_family"))
-    return ends.crossJoin(top)
+    return D.overview(alerts(spark, d), "source", "destination", "attack_class")
 
 
 @query("ag25_peak_bucket", f"WITH {ALERTS} SELECT time_bucket(INTERVAL 60 MINUTE, observed_at, TIMESTAMP '1970-01-01') AS bucket, count(*) AS total FROM alerts GROUP BY 1 ORDER BY total DESC, bucket LIMIT 1")

@@ -213,15 +213,15 @@ def lc01(spark, d):
 
 @query("lc05_analyst_status", f"WITH {TRANSITIONS}, s AS (SELECT job_id, arg_max(to_state, (occurred_at, transition_id)) AS latest, count(*) AS n_feedback FROM transitions WHERE seq > 2 GROUP BY 1) SELECT o_orderkey AS alert_id, coalesce(latest, o_orderstatus) AS status, coalesce(n_feedback, 0) AS n_feedback FROM orders LEFT JOIN s ON o_orderkey = job_id")
 def lc05(spark, d):
-    t = transitions(spark, d).filter("seq > 2")
-    s = t.groupBy("job_id").agg(F.max_by("to_state", F.struct("occurred_at", "transition_id")).alias("latest"), F.count(F.lit(1)).alias("n_feedback"))
-    return table(spark, d, "orders").join(s, F.col("o_orderkey") == F.col("job_id"), "left").select(F.col("o_orderkey").alias("alert_id"), F.coalesce("latest", "o_orderstatus").alias("status"), F.coalesce("n_feedback", F.lit(0)).alias("n_feedback"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderstatus").alias("status"))
+    told = L.with_feedback(o, transitions(spark, d).filter("seq > 2"), "job_id", "to_state", ["occurred_at", "transition_id"], "status")
+    return told.withColumnRenamed("job_id", "alert_id")
 
 
 @query("prj13_model_routes", f"WITH {ALERTS}, r AS (SELECT * FROM (VALUES ('v0', NULL, 'model_rt'), ('v1', 'fp1', 'model_native_1'), ('v1', 'fp2', 'model_native_2')) t(schema, fp, route)), a AS (SELECT alert_id, 'v' || (k % 2) AS schema, CASE WHEN k % 4 <> 0 THEN 'fp' || (k % 4) END AS fp FROM alerts) SELECT alert_id, a.schema, route, CASE WHEN route IS NULL THEN CASE WHEN a.schema = 'v0' THEN 'fingerprint_not_allowed' ELSE 'extractor_not_approved' END END AS error_code FROM a LEFT JOIN r ON a.schema = r.schema AND a.fp IS NOT DISTINCT FROM r.fp")
 def prj13(spark, d):
     k = F.col("k")
     a = alerts(spark, d).select("alert_id", F.concat(F.lit("v"), (k % 2).cast("string")).alias("schema"), F.when(k % 4 != 0, F.concat(F.lit("fp"), (k % 4).cast("string"))).alias("fp"))
-    routes = spark.createDataFrame([("v0", None, "model_rt"), ("v1", "fp1", "model_native_1"), ("v1", "fp2", "model_native_2")], "rs string, rfp string, route string")
-    j = a.join(F.broadcast(routes), (F.col("schema") == F.col("rs")) & F.col("fp").eqNullSafe(F.col("rfp")), "left")
-    return j.select("alert_id", "schema", "route", F.when(F.col("route").isNull(), F.when(F.col("schema") == "v0", "fingerprint_not_allowed").otherwise("extractor_not_approved")).alias("error_code"))
+    pairs = [("v0", None, "model_rt"), ("v1", "fp1", "model_native_1"), ("v1", "fp2", "model_native_2")]
+    routes = F.broadcast(spark.createDataFrame(pairs, "schema string, fingerprint string, route string"))
+    return L.routed(a, routes, "schema", "fp", "v0").drop("fp")
