@@ -121,3 +121,54 @@ def test_predictors_are_saved_and_score_alike_in_batch_and_stream(spark, rows, t
         got = sorted((r.id, r.prediction, round(r.score, 9)) for r in spark.read.parquet(f"{out}-predictions").collect())
         assert got == want
         assert spark.read.parquet(f"{out}-alerts").count() == sum(x == "attack" for _, x, _ in want)
+
+
+def test_fits_and_sigmoids_read_rows_few_times(spark, rows):
+    """Labels and weights are found once, and a model runs over its validation rows once."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        read.add(1)
+        return x
+
+    own = rows.withColumn("binary", seen("binary"))
+    fitted = training.fit(own, "binary", NUMERIC, CATEGORICAL, training.candidates(2, small=True)["logistic"])
+    before, n = read.value, rows.count()
+    assert before <= 8 * n, before / n
+    assert training.calibrate(fitted, own, "binary").slopes
+    assert read.value - before == n
+
+
+def test_seeds_share_what_has_none_and_all_rows_are_prepared_once(spark, rows, monkeypatch):
+    from tidewatch.plans import training as plan
+
+    split = rows.withColumn("split", F.when(F.col("id") % 4 == 1, "validation").otherwise("train"))
+    fits, prepared = [], []
+    fit, prepare = training.fit_prepared, training.prepare
+    monkeypatch.setattr(plan, "_flows", lambda *_: split)
+    monkeypatch.setattr(plan, "NUMERIC", NUMERIC)
+    monkeypatch.setattr(plan, "CATEGORICAL", CATEGORICAL)
+    monkeypatch.setattr(plan.TR, "candidates", lambda classes, seed=42: candidates(classes, seed, small=True))
+    monkeypatch.setattr(plan.TR, "fit_prepared", lambda p, m: fits.append(m) or fit(p, m))
+    monkeypatch.setattr(plan.TR, "prepare", lambda *a: prepared.append(a) or prepare(*a))
+    got = plan._compare(spark, "", "binary", "true", (1, 2)).collect()
+    assert len(prepared) == 2 and len(fits) == 7
+    assert sorted((r.model, r.seed) for r in got) == sorted((m, s) for m in ("logistic", "tree", "forest", "boosting") for s in (1, 2))
+    assert all(r.accuracy >= 0.98 for r in got)
+
+
+candidates = training.candidates
+
+
+def test_stratified_ranks_few_rows(spark):
+    from tidewatch.operators import splits
+
+    df = spark.range(20_000).selectExpr("id", "case when id < 2 then 'rare' when id < 7 then null when id % 3 = 0 then 'a' else 'b' end as label")
+    ranked = splits.by_digest(df, ["label"], splits.digest_order(F.col("id")), "id").filter("n_rows >= 3")
+    want = {r.id: r.split for r in ranked.select("id", splits.cut(F.col("rank"), F.col("n_rows")).alias("split")).collect()}
+    split = splits.stratified(df, "label", "id")
+    assert {r.id: r.split for r in split.collect()} == want and len(want) == 19_998
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    # Below the window that ranks rows lies the filter that leaves those at an edge.
+    assert plan.count("row_number()") == 1 and "Union" in plan

@@ -52,9 +52,27 @@ def by_digest(df: DataFrame, keys: list[str], digest: Column, tie: str, name: st
 
 
 def stratified(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
-    """df with `split`, 60/20/20 within each label, which needs three rows."""
-    ranked = by_digest(df, [label], digest_order(F.col(key), seed=seed), key, "__rank").filter("n_rows >= 3")
-    return ranked.withColumn("split", cut(F.col("__rank"), F.col("n_rows"))).drop("__rank", "n_rows")
+    """df with `split`, 60/20/20 within each label, which needs three rows.
+
+    Buckets are counted, and only rows of those that hold an edge of a part, two for a label, are
+    ranked; all others know their part from their bucket, where they are.
+    """
+    d = df.withColumn("__d", digest_order(F.col(key), seed=seed)).withColumn("__b", F.substring("__d", 1, BUCKET_DIGITS))
+    sizes = d.groupBy(F.col(label).alias("__k"), F.col("__b").alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy("__k").orderBy("__c").rowsBetween(Window.unboundedPreceding, 0))
+    sizes = sizes.select("__k", "__c", "__n", upto.alias("__upto"), F.sum("__n").over(Window.partitionBy("__k")).alias("n_rows")).filter("n_rows >= 3")
+    edge = lambda share: F.min(F.when(F.col("__upto") > F.floor(F.col("n_rows") * share + 1e-9), F.struct("__c", (F.col("__upto") - F.col("__n")).alias("__before"))))
+    (first, second), last = PARTS[:-1], PARTS[-1][0]
+    edges = sizes.groupBy("__k", "n_rows").agg(edge(first[1]).alias("__e0"), edge(second[1]).alias("__e1"))
+    # A row for each label, of which there are few.
+    placed = d.join(F.broadcast(edges), F.col(label).eqNullSafe(F.col("__k")))
+    b, e0, e1 = F.col("__b"), F.col("__e0.__c"), F.col("__e1.__c")
+    ranked = placed.filter((b == e0) | (b == e1))
+    rank = F.row_number().over(Window.partitionBy("__k", "__b").orderBy("__d", key)) + F.when(b == e0, F.col("__e0.__before")).otherwise(F.col("__e1.__before"))
+    names = [F.col(f"`{c}`") for c in df.columns]
+    ranked = ranked.withColumn("__rank", rank).select(*names, cut(F.col("__rank"), F.col("n_rows")).alias("split"))
+    sure = placed.filter((b != e0) & (b != e1)).select(*names, F.when(b < e0, first[0]).when(b < e1, second[0]).otherwise(last).alias("split"))
+    return sure.unionByName(ranked)
 
 
 def grouped(df: DataFrame, group: str, seed: int = 42) -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.scratch import staged
+
 from .predictors import Decision
 
 MISSING = "__missing__"
@@ -53,7 +55,7 @@ def candidates(classes: int, seed: int = 42, small: bool = False) -> dict[str, o
     return {
         "logistic": LogisticRegression(maxIter=50 if small else 600, **own),
         "tree": DecisionTreeClassifier(maxDepth=6 if small else 14, minInstancesPerNode=2, seed=seed, **own),
-        "forest": RandomForestClassifier(numTrees=10 if small else 80, maxDepth=6 if small else 18, minInstancesPerNode=2, seed=seed, **own),
+        "forest": RandomForestClassifier(numTrees=10 if small else 80, maxDepth=6 if small else 18, minInstancesPerNode=2, seed=seed, cacheNodeIds=True, **own),
         "boosting": boosted if classes == 2 else OneVsRest(classifier=GBTClassifier(maxIter=10 if small else 80, stepSize=0.08, maxDepth=5, seed=seed, featuresCol="features", labelCol="label"), featuresCol="features", labelCol="label", weightCol="weight"),
     }
 
@@ -73,24 +75,52 @@ class Fitted:
         decision = Decision(labels=self.labels, margins=self.margins, slopes=list(self.slopes), intercepts=list(self.intercepts), prefix=prefix)
         return PipelineModel([*self.pipeline.stages, decision])
 
+    def applied(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        """Of df the columns `keep`, written once beside the margins of its rows, for `calibrate` and `decided`."""
+        out = self.pipeline.transform(df)
+        return staged(out.select(*keep, *[c for c in ("rawPrediction", "probability") if c in out.columns]), "margins")
+
+    def decided(self, applied: DataFrame, prefix: str) -> DataFrame:
+        """What `score` adds, to rows of `applied`."""
+        return self.predictor(prefix).stages[-1].transform(applied).drop("rawPrediction", "probability")
+
     def score(self, df: DataFrame, prefix: str) -> DataFrame:
         """df with <prefix>_label and <prefix>_probability (an array)."""
         return self.predictor(prefix).transform(df).select(*[F.col(f"`{c}`") for c in df.columns], f"{prefix}_label", f"{prefix}_probability")
 
 
-def fit(df: DataFrame, target: str, numeric: list[str], categorical: list[str], model) -> Fitted:
-    """`model` on df, whose classes weigh alike."""
-    from .splits import balanced_weights
+@dataclass
+class Prepared:
+    """Rows (label, weight, features) that models are fitted on, and how they came about."""
+
+    stages: list
+    labels: list[str]
+    rows: DataFrame
+
 
-    labels = sorted(r[0] for r in df.select(target).distinct().collect())  # a handful of classes
+def prepare(df: DataFrame, target: str, numeric: list[str], categorical: list[str], scale: bool) -> Prepared:
+    """df as models take it; its classes weigh alike. Labels and weights are found once, not in every pass of a fit."""
+    sizes = dict(tuple(r) for r in df.groupBy(target).agg(F.count(F.lit(1))).collect())  # a handful of classes
+    labels = sorted(sizes)
     index = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(target)) - 1
-    weighted = balanced_weights(filled(df, categorical).withColumn("label", index.cast("double")), target)
-    scale = isinstance(model, LogisticRegression)
-    fitted = Pipeline(stages=[*preprocessing(numeric, categorical, scale), model]).fit(weighted)
+    weights = F.array(*[F.lit(sum(sizes.values()) / (len(labels) * sizes[x])) for x in labels])
+    weighted = filled(df, categorical).withColumn("label", index.cast("double")).withColumn("weight", F.get(weights, index.cast("int")))
+    fitted = Pipeline(stages=preprocessing(numeric, categorical, scale)).fit(weighted)
+    return Prepared(fitted.stages, labels, fitted.transform(weighted).select("label", "weight", "features"))
+
+
+def fit_prepared(prepared: Prepared, model) -> Fitted:
+    """`model` on prepared rows."""
+    fitted, labels = PipelineModel([*prepared.stages, model.fit(prepared.rows)]), prepared.labels
     # One against the rest has margins only.
     return Fitted(fitted, labels, "rawPrediction" if isinstance(model, OneVsRest) else "probability", *(((1.0,) * len(labels), (0.0,) * len(labels)) if isinstance(model, OneVsRest) else ()))
 
 
+def fit(df: DataFrame, target: str, numeric: list[str], categorical: list[str], model) -> Fitted:
+    """`model` on df, whose classes weigh alike."""
+    return fit_prepared(prepare(df, target, numeric, categorical, isinstance(model, LogisticRegression)), model)
+
+
 def platt(df: DataFrame, margins: Column, truth: Column, classes: int) -> tuple[tuple[float, ...], tuple[float, ...]]:
     """(slopes, intercepts): for each class a sigmoid over its margin (an array has them), fitted to whether truth, a
     number of a class, is that class. Targets are drawn in by the counts of both sides, so that margins that
@@ -118,13 +148,18 @@ def calibrate(fitted: Fitted, validation: DataFrame, target: str) -> Fitted:
 
     Linear and boosted models have margins, of trees the shares of votes are taken.
     """
-    known = validation.filter(F.col(target).isin(fitted.labels))
+    return calibrate_applied(fitted, fitted.applied(validation, [target]), target)
+
+
+def calibrate_applied(fitted: Fitted, applied: DataFrame, target: str) -> Fitted:
+    """`calibrate` from the margins of `applied`, so that the model runs over the rows once."""
+    known = applied.filter(F.col(target).isin(fitted.labels))
     if known.select(target).distinct().count() < 2:
         return fitted
     model = fitted.pipeline.stages[-1]
     margins = "probability" if isinstance(model, (DecisionTreeClassificationModel, RandomForestClassificationModel)) else "rawPrediction"
     index = F.array_position(F.array(*[F.lit(x) for x in fitted.labels]), F.col(target)) - 1
-    slopes, intercepts = platt(fitted.pipeline.transform(known), vector_to_array(margins), index, len(fitted.labels))
+    slopes, intercepts = platt(known, vector_to_array(margins), index, len(fitted.labels))
     return replace(fitted, margins=margins, slopes=slopes, intercepts=intercepts)
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
+from pyspark.ml.classification import OneVsRest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import metrics as M
@@ -123,15 +127,40 @@ def _evaluated(scored, truth, label, model):
     s = M.summary(M.per_class(M.confusion(scored, truth, label)))
     return s.select(F.lit(model).alias("model"), R(F.col("macro_f1"), 3).alias("macro_f1"), R(F.col("accuracy"), 3).alias("accuracy"), R(F.col("macro_fpr"), 3).alias("macro_fpr"))
 
+#: Fits of `_compare` that run beside each other; a boosted model is hundreds of short jobs.
+AT_ONCE = 4
+
 def _compare(spark, d, target, rows, seeds=(42,)):
-    """Each candidate of each seed on the validation rows."""
+    """Each candidate of each seed on the validation rows. Rows are prepared once for all of them, and a model that
+    has no seed is fitted once."""
     df = scratch.staged(_flows(spark, d).filter(rows), "flows")
     classes = 2 if target == "binary" else 3
-    parts = []
+    train, validation = _part(df, "train"), _part(df, "validation")
+
+    def prepared(scale):
+        p = TR.prepare(train, target, NUMERIC, CATEGORICAL, scale)
+        return replace(p, rows=scratch.staged(p.rows, "features"))
+
+    plain, scaled = prepared(False), prepared(True)
+
+    def judged(job):
+        name, model, own = job
+        fitted = TR.fit_prepared(scaled if name == "logistic" else plain, model)
+        applied = fitted.applied(validation, [target])
+        part = _evaluated(TR.calibrate_applied(fitted, applied, target).decided(applied, "m"), target, "m_label", name)
+        return part.crossJoin(spark.createDataFrame([(s,) for s in own], "seed int"))
+
+    jobs = []
     for seed in seeds:
         for name, model in TR.candidates(classes, seed).items():
-            fitted = TR.calibrate(TR.fit(_part(df, "train"), target, NUMERIC, CATEGORICAL, model), _part(df, "validation"), target)
-            parts.append(_evaluated(fitted.score(_part(df, "validation"), "m"), target, "m_label", name).withColumn("seed", F.lit(seed)))
+            if model.hasParam("seed") or isinstance(model, OneVsRest):
+                jobs.append((name, model, [seed]))
+            elif seed == seeds[0]:
+                jobs.append((name, model, list(seeds)))
+    # The longest first.
+    jobs.sort(key=lambda j: ["forest", "boosting", "logistic", "tree"].index(j[0]))
+    with ThreadPool(AT_ONCE) as pool:
+        parts = pool.map(inheritable_thread_target(spark)(judged), jobs, chunksize=1)
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 @query("ml08_preprocess")
@@ -139,7 +168,7 @@ def ml08(spark, d):
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
 
-    df = _flows(spark, d)
+    df = scratch.staged(_flows(spark, d), "flows")
     out = Pipeline(stages=TR.preprocessing(NUMERIC, CATEGORICAL, True)).fit(_part(df, "train")).transform(df)
     return out.select("id", "split", F.size(vector_to_array("features")).alias("n_features"), R(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
