@@ -2,6 +2,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidewatch.llm import near_copies
@@ -62,3 +63,19 @@ def test_sets_are_those_of_the_words():
     texts = ["A b c d e f A b c d e", "", "a B", "a b c d e", "x " * 50]
     _, at = near_copies.shingle_sets(pa.array(texts))
     assert (at[1:] - at[:-1]).tolist() == [len(shingles(t)) for t in texts]
+
+
+def test_simhash_finds_candidates_and_jaccard_decides(docs, monkeypatch):
+    """The classes of op1's operator are a key of the sets, whatever they hold: here all are one class."""
+    rows, asked = edited(), []
+    own = near_copies.simhash.near_duplicates
+
+    def one_class(df, id_col):
+        asked.append(id_col)
+        return own(df, id_col).withColumn("component_id", F.lit(7).cast("long"))
+
+    monkeypatch.setattr(near_copies.simhash, "near_duplicates", one_class)
+    got = near_copies.near_copies(docs([(*x, "s") for x in rows])).collect()
+    key = lambda x: tuple(-1 if v is None else v for v in x)
+    assert asked == ["node"]
+    assert sorted(map(key, got)) == sorted(key((d, c)) for (d, _), c in zip(rows, brute_groups(rows)))

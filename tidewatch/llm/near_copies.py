@@ -1,7 +1,9 @@
 """Documents alike by the exact Jaccard similarity of their word shingles, for the pipeline.
 
-1. Each distinct set of shingles has BANDS keys of ROWS MinHash values. A pair of
-   similarity s shares no key with probability (1 - s ** ROWS) ** BANDS: 7e-6 at 0.8.
+1. Candidates are found by SimHash, as op1 has it: the class of like fingerprints is a key of
+   each distinct set of shingles. Its three bits are too few for a similarity of 0.8, so each
+   set has BANDS keys of ROWS MinHash values more. A pair of similarity s shares none of
+   these with probability (1 - s ** ROWS) ** BANDS: 7e-6 at 0.8.
 2. Sets that share keys, directly or through others, are a group; a large group is dealt
    into parts, and every two of its parts meet in a task of their own.
 3. There each pair that shares a key and isn't linked already is compared exactly, set
@@ -17,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import attached, row_key, staged
 from .components import components
 from .hashing import mixed, shingles, words
@@ -149,13 +152,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("rk"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = staged(base.mapInArrow(_keyed, f"id {id_type}, rk long, node long, keys array<long>"), "band-keys")
     distinct = staged(keyed.groupBy("node").agg(F.min("id").alias("first"), F.min("rk").alias("rk"), F.first("keys").alias("keys")), "distinct-sets")
+    # One text of each set; rows that share an id and a text give the same fingerprint.
+    one = attached(base, distinct.select("node", F.col("rk").alias("nrk")), F.col("rk") == F.col("nrk"), "inner", 32).select("node", "text")
+    classes = simhash.near_duplicates(one, "node").groupBy("node").agg(F.min("component_id").alias("class"))
+    with_class = F.when(F.size("keys") > 0, F.concat("keys", F.array("class"))).otherwise(F.col("keys"))
+    distinct = staged(distinct.join(classes, "node", "left").select("node", "first", "rk", with_class.alias("keys")), "distinct-keys")
     banded = distinct.select("node", F.posexplode("keys").alias("band", "key"))
     least = banded.groupBy("band", "key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     groups = staged(components(staged(banded.join(least, ["band", "key"]).filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "shared-keys")), "key-groups")
     sized = groups.join(groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / part).alias("parts")), "root")
     members = staged(sized.join(distinct, "node").select("node", "root", "parts", "keys", F.col("rk").alias("mrk")), "members")
     # One text of each set, however many rows share an id and a text.
-    texts = attached(base, members, F.col("rk") == F.col("mrk"), "inner", 64 + 8 * BANDS).select("node", "root", "parts", "keys", "text").dropDuplicates(["node"])
+    texts = attached(base, members, F.col("rk") == F.col("mrk"), "inner", 72 + 8 * BANDS).select("node", "root", "parts", "keys", "text").dropDuplicates(["node"])
     sets = texts.mapInArrow(_sets, "node long, root long, parts long, keys array<long>, shingles array<long>").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
     celled = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     celled = celled.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "node", "keys", "shingles")
