@@ -259,3 +259,20 @@ def test_stages_on_odd_rows(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.staged(stage(spark, docs, SF), name)
         assert docs.count() == 0
+
+
+def test_a_fit_holds_no_index_over_all_ones():
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    n, each, k = 10_000, 400, 30_000
+    cols = np.sort(r.integers(0, k, (n, each), dtype=np.int32), axis=1).ravel()
+    rows = np.repeat(np.arange(n, dtype=np.int32), each)
+    tracemalloc.start()
+    x = toxicity.Sparse(rows, cols, n, k, np.zeros((n, 0)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The ones by column take four bytes each; an index over all of them would take eight more.
+    assert peak < 9 * len(cols)
+    assert (x.rows == rows[np.argsort(cols, kind="stable")]).all()
+    assert (x.back(np.ones(n)) == np.bincount(cols, minlength=k)).all()

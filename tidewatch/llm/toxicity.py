@@ -77,7 +77,7 @@ def _starts(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _sums(values: np.ndarray, index: np.ndarray, at: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+def _sums(values: np.ndarray, index: np.ndarray, at: np.ndarray, block: int = 1 << 18) -> np.ndarray:
     """Of each run of `index` that begins at `at` the sum of values[index], a block of runs at a time."""
     out, cuts = np.zeros(len(at)), np.searchsorted(at, np.arange(0, len(index), block))
     for a, e in zip(cuts, [*cuts[1:], len(at)]):
@@ -87,6 +87,24 @@ def _sums(values: np.ndarray, index: np.ndarray, at: np.ndarray, block: int = 1
     return out
 
 
+def _counts(cols: np.ndarray, k: int, block: int = 1 << 18) -> np.ndarray:
+    """How many of each of k columns there are, a block at a time, as bincount widens what it counts."""
+    return sum((np.bincount(cols[a : a + block], minlength=k) for a in range(0, len(cols), block)), np.zeros(k, np.int64))
+
+
+def _by_column(rows: np.ndarray, cols: np.ndarray, counts: np.ndarray, block: int = 1 << 18) -> np.ndarray:
+    """`rows` in the stable order of `cols`, of which there are `counts`, a block at a time: no index over all ones is held."""
+    out, nxt = np.empty(len(cols), np.int32), np.cumsum(counts) - counts
+    for a in range(0, len(cols), block):
+        order = np.argsort(cols[a : a + block], kind="stable")
+        own = cols[a : a + block][order]
+        at = _starts(own)
+        size = np.diff(np.append(at, len(own)))
+        out[np.repeat(nxt[own[at]] - at, size) + np.arange(len(own))] = rows[a : a + block][order]
+        nxt[own[at]] += size
+    return out
+
+
 class Sparse:
     """A 0/1 matrix of (rows, columns) of its ones, in the order of rows, with some dense columns on the right."""
 
@@ -95,8 +113,8 @@ class Sparse:
         # The ones by rows and by columns, each with the places where a new one begins.
         self.cols, self.row_at = cols.astype(np.int32, copy=False), _starts(rows)
         self.used_rows = rows[self.row_at]
-        self.rows = rows[np.argsort(self.cols, kind="stable")].astype(np.int32, copy=False)
-        counts = np.bincount(self.cols, minlength=k)
+        counts = _counts(self.cols, k)
+        self.rows = _by_column(rows, self.cols, counts)
         self.used_cols = np.flatnonzero(counts)
         self.col_at = (np.cumsum(counts) - counts)[self.used_cols]
 
@@ -157,7 +175,7 @@ def fit(rows: np.ndarray, cols: np.ndarray, size: int, dense: np.ndarray, y: np.
     left out has a weight of 0 at the optimum of all columns.
     """
 
-    def slope(r: np.ndarray, block: int = 1 << 22) -> np.ndarray:
+    def slope(r: np.ndarray, block: int = 1 << 20) -> np.ndarray:
         out = np.zeros(size)
         for a in range(0, len(cols), block):
             out += np.bincount(cols[a : a + block], r[rows[a : a + block]], size)
@@ -167,12 +185,14 @@ def fit(rows: np.ndarray, cols: np.ndarray, size: int, dense: np.ndarray, y: np.
     used = slope(y - sigmoid(bias)) > penalty / 2
     while True:
         ones, own = used[cols], np.append(used, np.ones(dense.shape[1], bool))
-        x = Sparse(rows[ones], (np.cumsum(used) - 1)[cols[ones]], len(y), int(used.sum()), dense)
+        x = Sparse(rows[ones], (np.cumsum(used, dtype=np.int32) - 1)[cols[ones]], len(y), int(used.sum()), dense)
+        del ones
         w[own], bias = logistic(x, y, penalty, steps, tolerance, (w[own], bias))
         late = ~used & (slope(y - sigmoid(x.times(w[own]) + bias)) > penalty + tolerance)
         if not 0 < y.sum() < len(y) or not late.any():
             return w, bias
         used |= late
+        del x  # before the next one is built
 
 
 def _fits(size: int, category: int, folds: int, penalty: float, steps: int):
@@ -191,14 +211,16 @@ def _fits(size: int, category: int, folds: int, penalty: float, steps: int):
         held.clear()
         del features, earlier
         fold = ids.view(np.uint64) % np.uint64(folds)
-
-        def ones(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            return np.repeat(np.arange(keep.sum(), dtype=np.int32), sizes[keep]), cols[np.repeat(keep, sizes)]
-
         learn = np.ones(n, bool) if part < 0 else fold != part
-        w, bias = fit(*ones(learn), size, dense[learn], y[learn], penalty, steps)
+        rows = lambda keep: np.repeat(np.arange(keep.sum(), dtype=np.int32), sizes[keep])
+        if part >= 0:
+            own = np.repeat(learn, sizes)
+            cols, apart = cols[own], cols[~own]
+            del own
+        w, bias = fit(rows(learn), cols, size, dense[learn], y[learn], penalty, steps)
+        del cols
         if part >= 0:
-            out = [ids[~learn], sigmoid(Sparse(*ones(~learn), int((~learn).sum()), size, dense[~learn]).times(w) + bias), None, None]
+            out = [ids[~learn], sigmoid(Sparse(rows(~learn), apart, int((~learn).sum()), size, dense[~learn]).times(w) + bias), None, None]
         else:
             used = np.append(np.flatnonzero(w[:size]), np.arange(size, len(w)))
             out = [None, None, np.append(np.where(used < size, used, size - 2 - used), -1).astype(np.int64), np.append(w[used], bias)]
