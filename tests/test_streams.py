@@ -138,3 +138,49 @@ def test_where_whole_lines_end(tmp_path, text, size, end):
     (tmp_path / "f").write_bytes(text)
     with open(tmp_path / "f", "rb") as f:
         assert growing.whole_lines(f, size) == end
+
+
+def test_a_batch_of_a_sensor_asks_the_state_store_little():
+    import pandas as pd
+
+    calls = []
+
+    class Seen:
+        value = None
+
+        def exists(self):
+            calls.append("exists")
+            return self.value is not None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    class Handle:
+        timers = set()
+
+        def getValueState(self, *_):
+            return Seen()
+
+        def listTimers(self):
+            calls.append("list")
+            return list(self.timers)
+
+        def deleteTimer(self, t):
+            calls.append("delete")
+            self.timers.discard(t)
+
+        def registerTimer(self, t):
+            calls.append("register")
+            self.timers.add(t)
+
+    p = state.Presence(60_000_000, True, 0)
+    p.init(Handle())
+    for beats in ([5_000_000, 1_000_000], [9_000_000]):
+        list(p.handleInputRows(("a",), iter([pd.DataFrame({"beat": beats, "packets": [1] * len(beats)})]), None))
+    assert calls == ["get", "register", "update", "get", "delete", "register", "update"]
+    assert Handle.timers == {69_000} and p.seen.value[:4] == (3, 3, 9_000_000, True)

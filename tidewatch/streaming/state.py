@@ -28,19 +28,25 @@ class Presence(StatefulProcessor):
         self.handle = handle
         # Only timers of arrival time let Spark drop state by age itself.
         ttl = None if self.by_event_time else self.ttl * 1000
-        self.seen = handle.getValueState("seen", "packets long, events long, beat long, online boolean", ttl)
-
-    def _wake(self, at_ms: int) -> None:
-        for t in list(self.handle.listTimers()):
+        self.seen = handle.getValueState("seen", "packets long, events long, beat long, online boolean, wake long", ttl)
+
+    def _wake(self, at_ms: int, known: bool, before_ms: int | None) -> None:
+        """Moves the timer of a key; each call is a round trip to the state store, so what the state tells isn't asked."""
+        if before_ms == at_ms:
+            return
+        # State that arrival time has dropped may have left a timer.
+        old = list(self.handle.listTimers()) if not known and not self.by_event_time else [] if before_ms is None else [before_ms]
+        for t in old:
             self.handle.deleteTimer(t)
         self.handle.registerTimer(at_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        had = self.seen.get() if self.seen.exists() else (0, 0, -1, False)
-        packets, events, last, online = had
-        batch = pd.concat(list(rows)).sort_values("beat", kind="stable")
-        at, total = batch["beat"].to_numpy(np.int64), packets + batch["packets"].to_numpy(np.int64).cumsum()
-        count = events + np.arange(1, len(batch) + 1)
+        had = self.seen.get()
+        packets, events, last, online, timer = had or (0, 0, -1, False, None)
+        at, sent = (np.concatenate(x) for x in zip(*((b["beat"].to_numpy(np.int64), b["packets"].to_numpy(np.int64)) for b in rows)))
+        order = np.argsort(at, kind="stable")
+        at, total = at[order], packets + sent[order].cumsum()
+        count = events + np.arange(1, len(at) + 1)
         before = np.maximum.accumulate(np.append(last, at))[:-1]  # the latest beat until then
         out = []
         if self.by_event_time:
@@ -57,15 +63,16 @@ class Presence(StatefulProcessor):
         beat, online = max(last, int(at[-1])), True
         state = (int(total[-1]), int(count[-1]), beat)
         out.append((beat, "online", False, *state))
-        self.seen.update((*state, True))
-        self._wake(-((-beat if self.by_event_time else -timerValues.getCurrentProcessingTimeInMs() * 1000) // 1000) + self.silence // 1000)
+        wake = -((-beat if self.by_event_time else -timerValues.getCurrentProcessingTimeInMs() * 1000) // 1000) + self.silence // 1000
+        self._wake(wake, had is not None, timer)
+        self.seen.update((*state, True, wake))
         yield _presence_rows(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.seen.exists():
-            packets, events, beat, online = self.seen.get()
+        if had := self.seen.get():
+            packets, events, beat, online, _ = had
             if online:
-                self.seen.update((packets, events, beat, False))
+                self.seen.update((packets, events, beat, False, None))
                 at = beat + self.silence if self.by_event_time else expiredTimerInfo.getExpiryTimeInMs() * 1000
                 yield _presence_rows(key, [(at, "offline", True, packets, events, beat)])
 
@@ -74,9 +81,8 @@ class Presence(StatefulProcessor):
 
 
 def _presence_rows(key: tuple, rows: list[tuple]) -> pd.DataFrame:
-    df = pd.DataFrame(rows, columns=["at", "status", "changed", "packets", "events_seen", "beat"])
-    df.insert(0, "sensor", key[0])
-    return df
+    names = ["at", "status", "changed", "packets", "events_seen", "beat"]
+    return pd.DataFrame({"sensor": [key[0]] * len(rows)} | dict(zip(names, map(list, zip(*rows)))))
 
 
 def sensor_presence(stream: DataFrame, sensor: str, beat: str, packets: str, silence_seconds: int = 30, delay: str | None = None, ttl_seconds: int = 7 * 86_400) -> DataFrame:
