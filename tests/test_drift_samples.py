@@ -38,3 +38,12 @@ def test_windows_hold_the_newest_rows_and_little_is_sorted(spark):
     found = [(r.window, r.checked_at, r.id) for r in got.collect()]
     assert len(found) == len(set(found)) and set(found) == want
     assert "__since" in _plan(got) and got.columns == [*df.columns, "checked_at", "window", "minimum"]
+
+
+def test_fitted_numbers_are_counted_once(spark, monkeypatch):
+    whole, given = drift.histogram, []
+    monkeypatch.setattr(drift, "histogram", lambda long, *a: given.append(long.columns) or whole(long, *a))
+    train, held = (spark.range(a, a + 40).selectExpr("cast(id as string) id", "id * 1.0D x", "'k' c", "if(id % 2 = 0, 'attack', 'normal') l", "id / 100.0D s") for a in (0, 40))
+    attack = F.col("l") == "attack"
+    drift.whole_reference(train, held, "id", ["x"], ["c"], (F.col("l"), F.col("s"), F.when(attack, "a"), F.when(attack, F.col("s"))), 10)
+    assert all("n" in columns for columns in given[:2])
