@@ -3,6 +3,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -276,3 +277,29 @@ def test_a_fit_holds_no_index_over_all_ones():
     assert peak < 9 * len(cols)
     assert (x.rows == rows[np.argsort(cols, kind="stable")]).all()
     assert (x.back(np.ones(n)) == np.bincount(cols, minlength=k)).all()
+
+
+@pytest.mark.parametrize("part, most", [(-1, 14), (0, 9)])
+def test_a_fit_lets_go_of_what_it_has_read(part, most):
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    n, each, k, batch = 8_000, 400, 30_000, 2_000
+    cols = np.sort(r.integers(0, k, (n, each), dtype=np.int32), axis=1).ravel()
+
+    def lists(v):
+        return pa.ListArray.from_arrays(pa.array(np.arange(batch + 1, dtype=np.int32) * (len(v) // batch)), pa.array(v))
+
+    def batches():
+        for a in range(0, n, batch):
+            ids = np.arange(a, a + batch)
+            own = [pa.array(np.full(batch, part, np.int32)), pa.array(ids), lists((ids % 3 == 0).astype(float)), lists(cols[a * each : (a + batch) * each]), lists(np.zeros(0))]
+            yield pa.RecordBatch.from_arrays(own, ["part", "id", "y", "features", "earlier"])
+
+    list(toxicity._fits(k, 0, 3, 1e-3, 1)(b.slice(0, 50) for b in batches()))  # what is imported late isn't counted
+    tracemalloc.start()
+    list(toxicity._fits(k, 0, 3, 1e-3, 3)(batches()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Bytes for each one of the rows read; indexes of 64 bits over all ones made it 17 and 12.
+    assert peak < most * len(cols)

@@ -92,9 +92,19 @@ def _counts(cols: np.ndarray, k: int, block: int = 1 << 18) -> np.ndarray:
     return sum((np.bincount(cols[a : a + block], minlength=k) for a in range(0, len(cols), block)), np.zeros(k, np.int64))
 
 
+def _picked(values: np.ndarray, index: np.ndarray, ones: np.ndarray | None = None, block: int = 1 << 18) -> np.ndarray:
+    """values[index], or values[index[ones]], a block at a time, as numpy widens a whole index to 64 bits."""
+    out, n = np.empty(len(index) if ones is None else np.count_nonzero(ones), values.dtype), 0
+    for a in range(0, len(index), block):
+        own = index[a : a + block] if ones is None else index[a : a + block][ones[a : a + block]]
+        out[n : n + len(own)] = values[own]
+        n += len(own)
+    return out
+
+
 def _by_column(rows: np.ndarray, cols: np.ndarray, counts: np.ndarray, block: int = 1 << 18) -> np.ndarray:
     """`rows` in the stable order of `cols`, of which there are `counts`, a block at a time: no index over all ones is held."""
-    out, nxt = np.empty(len(cols), np.int32), np.cumsum(counts) - counts
+    out, nxt = np.empty(len(cols), rows.dtype), np.cumsum(counts) - counts
     for a in range(0, len(cols), block):
         order = np.argsort(cols[a : a + block], kind="stable")
         own = cols[a : a + block][order]
@@ -111,7 +121,7 @@ class Sparse:
     def __init__(self, rows: np.ndarray, cols: np.ndarray, n: int, k: int, dense: np.ndarray):
         self.n, self.k, self.dense = n, k, dense
         # The ones by rows and by columns, each with the places where a new one begins.
-        self.cols, self.row_at = cols.astype(np.int32, copy=False), _starts(rows)
+        self.cols, self.row_at = cols.astype(np.min_scalar_type(k), copy=False), _starts(rows)
         self.used_rows = rows[self.row_at]
         counts = _counts(self.cols, k)
         self.rows = _by_column(rows, self.cols, counts)
@@ -175,7 +185,7 @@ def fit(rows: np.ndarray, cols: np.ndarray, size: int, dense: np.ndarray, y: np.
     left out has a weight of 0 at the optimum of all columns.
     """
 
-    def slope(r: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    def slope(r: np.ndarray, block: int = 1 << 18) -> np.ndarray:
         out = np.zeros(size)
         for a in range(0, len(cols), block):
             out += np.bincount(cols[a : a + block], r[rows[a : a + block]], size)
@@ -184,8 +194,9 @@ def fit(rows: np.ndarray, cols: np.ndarray, size: int, dense: np.ndarray, y: np.
     w, bias = np.zeros(size + dense.shape[1]), constant(y)
     used = slope(y - sigmoid(bias)) > penalty / 2
     while True:
-        ones, own = used[cols], np.append(used, np.ones(dense.shape[1], bool))
-        x = Sparse(rows[ones], (np.cumsum(used, dtype=np.int32) - 1)[cols[ones]], len(y), int(used.sum()), dense)
+        ones, own = _picked(used, cols), np.append(used, np.ones(dense.shape[1], bool))
+        number = (np.cumsum(used) - 1).astype(np.min_scalar_type(int(used.sum())))
+        x = Sparse(rows[ones], _picked(number, cols, ones), len(y), int(used.sum()), dense)
         del ones
         w[own], bias = logistic(x, y, penalty, steps, tolerance, (w[own], bias))
         late = ~used & (slope(y - sigmoid(x.times(w[own]) + bias)) > penalty + tolerance)
@@ -202,21 +213,27 @@ def _fits(size: int, category: int, folds: int, penalty: float, steps: int):
     probability of category e."""
 
     def fitted(part: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        ids, y, features, earlier = ([b.column(c) for b in held] for c in ("id", "y", "features", "earlier"))
-        ids = np.concatenate([c.to_numpy() for c in ids])
-        n, y = len(ids), np.concatenate([c.flatten().to_numpy() for c in y]).reshape(len(ids), -1)[:, category]
-        sizes = np.concatenate([np.diff(c.offsets.to_numpy()) for c in features])
-        cols = np.concatenate([c.flatten().to_numpy() for c in features])
-        dense = np.concatenate([c.flatten().to_numpy() for c in earlier]).reshape(n, category)
-        held.clear()
-        del features, earlier
+        ids = np.concatenate([b.column("id").to_numpy() for b in held])
+        n, y = len(ids), np.concatenate([b.column("y").flatten().to_numpy() for b in held]).reshape(len(ids), -1)[:, category].copy()
+        sizes = np.concatenate([np.diff(b.column("features").offsets.to_numpy()) for b in held])
+        dense = np.concatenate([b.column("earlier").flatten().to_numpy() for b in held]).reshape(n, category)
         fold = ids.view(np.uint64) % np.uint64(folds)
         learn = np.ones(n, bool) if part < 0 else fold != part
-        rows = lambda keep: np.repeat(np.arange(keep.sum(), dtype=np.int32), sizes[keep])
-        if part >= 0:
-            own = np.repeat(learn, sizes)
-            cols, apart = cols[own], cols[~own]
-            del own
+        rows = lambda keep: np.repeat(np.arange(keep.sum(), dtype=np.min_scalar_type(n)), sizes[keep])
+        # The features, batch by batch, each of which goes once it was read.
+        cols, apart = (np.empty(sizes[keep].sum(), np.int32) for keep in (learn, ~learn))
+        first, at = 0, [0, 0]
+        for i, b in enumerate(held):
+            held[i] = None
+            own = np.repeat(learn[first : first + b.num_rows], sizes[first : first + b.num_rows])
+            values = b.column("features").flatten().to_numpy()
+            for j, (out, keep) in enumerate(((cols, own), (apart, ~own))):
+                m = np.count_nonzero(keep)
+                np.compress(keep, values, out=out[at[j] : at[j] + m])
+                at[j] += m
+            first += b.num_rows
+            del b, own, values, keep
+        held.clear()
         w, bias = fit(rows(learn), cols, size, dense[learn], y[learn], penalty, steps)
         del cols
         if part >= 0:
@@ -241,6 +258,7 @@ def _fits(size: int, category: int, folds: int, penalty: float, steps: int):
                     held = []
                 part = int(parts[a])
                 held.append(rows.slice(a, e - a))
+        rows = None  # the last batch is in `held` alone
         if held:
             yield fitted(part, held)
 
