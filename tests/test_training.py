@@ -172,3 +172,42 @@ def test_stratified_ranks_few_rows(spark):
     plan = split._jdf.queryExecution().optimizedPlan().toString()
     # Below the window that ranks rows lies the filter that leaves those at an edge.
     assert plan.count("row_number()") == 1 and "Union" in plan
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """Rows of few values, each of which comes many times; some numbers are missing."""
+    r, out = random.Random(11), []
+    for i in range(6000):
+        a, b = r.randrange(20), r.randrange(10)
+        family = ("dos" if b > 4 else "scan") if a + b > 14 else "normal"
+        out.append((i, float(a), None if i % 29 == 0 else float(b), "xyz"[i % 3], "attack" if family != "normal" else "normal", family))
+    return spark.createDataFrame(out, "id long, a double, b double, c string, binary string, family string").cache()
+
+
+@pytest.mark.parametrize("target", ["binary", "family"])
+def test_trees_on_cells_are_those_on_rows(many, target):
+    plain, cells = (training.prepare(many, target, NUMERIC, CATEGORICAL, False, n) for n in (None, 1))
+    assert not plain.cells and cells.cells and cells.rows.agg(F.sum("n")).first()[0] == 6000 and cells.rows.count() <= 1500
+    models = training.candidates(2 if target == "binary" else 3, small=True)
+    for name in ("tree", "boosting"):
+        a, b = (training.fit_prepared(p, models[name]).score(many, "m").select("id", "m_label", F.round(F.element_at("m_probability", 1), 6).alias("p")) for p in (plain, cells))
+        assert a.exceptAll(b).count() == 0, name
+    forest = training.fit_prepared(cells, models["forest"])
+    own = forest.pipeline.stages[-1]
+    assert len(own.trees) == 10 and len({t.toDebugString for t in own.trees}) == 10
+    # Beyond rows whose number is missing, which are noise, all is learnt.
+    assert forest.score(many, "m").filter("b is not null and m_label <> " + target).count() <= 0.03 * 6000
+    assert training.calibrate(forest, many, target).slopes
+
+
+def test_bootstrap_of_cells_is_that_of_their_rows(spark):
+    cells = spark.createDataFrame([(0.0, 2.0, n, [float(i)]) for i, n in enumerate([1] * 400 + [50] * 400)], "label double, weight double, n long, x array<double>").coalesce(1)
+    drawn = cells.mapInArrow(training._drawn(2, 5), "label double, weight double, x array<double>").groupBy("x").agg(F.sum("weight").alias("w"), F.count("*").alias("k")).collect()
+    few, lots = ([r.w / 2 for r in drawn if (r.x[0] < 400) == side] for side in (True, False))
+    assert all(w == int(w) for w in few + lots) and all(r.k == min(2, r.w / 2) for r in drawn)
+    assert 0.5 < len(few) / 400 < 0.75 and abs(sum(few) / 400 - 1) < 0.2
+    mean = sum(lots) / 400
+    assert len(lots) == 400 and abs(mean - 50) < 2 and 35 < sum((w - mean) ** 2 for w in lots) / 400 < 65
+    whole = cells.mapInArrow(training._drawn(2), "label double, weight double, x array<double>")
+    assert whole.count() == 1200 and whole.agg(F.sum("weight")).first()[0] == 2 * (400 + 50 * 400)

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import random
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassificationModel,
@@ -14,7 +20,7 @@ from pyspark.ml.classification import (
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Bucketizer, Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,13 +30,18 @@ from tidewatch.functions.scratch import staged
 from .predictors import Decision
 
 MISSING = "__missing__"
+#: Bins of a number, as many as Spark's trees make of it; quantiles that they are made of; how many rows a cell must
+#: stand for on average; trees of a forest that are fitted beside each other, and cells in a task of theirs and of other fits.
+BINS, GRID, ROWS_A_CELL, TREES_AT_ONCE, TREE_CELLS, FIT_CELLS = 32, 1024, 4, 8, 1 << 19, 1 << 16
 
 
-def preprocessing(numeric: list[str], categorical: list[str], scale: bool) -> list:
+def preprocessing(numeric: list[str], categorical: list[str], scale: bool, edges: list[list[float]] | None = None) -> list:
     """Stages from columns to `features`: medians for missing numbers, one-hot categories of
-    which unknown ones are all zero, standard scores for linear models."""
+    which unknown ones are all zero, standard scores for linear models. With `edges` a number is its bin."""
     stages = [Imputer(strategy="median", inputCols=numeric, outputCols=[f"{c}__i" for c in numeric])]
-    stages.append(VectorAssembler(inputCols=[f"{c}__i" for c in numeric], outputCol="__numeric"))
+    if edges:
+        stages.append(Bucketizer(splitsArray=[[-np.inf, *e, np.inf] for e in edges], inputCols=[f"{c}__i" for c in numeric], outputCols=[f"{c}__b" for c in numeric]))
+    stages.append(VectorAssembler(inputCols=[f"{c}__b" if edges else f"{c}__i" for c in numeric], outputCol="__numeric"))
     if scale:
         stages.append(StandardScaler(inputCol="__numeric", outputCol="__scaled", withMean=True))
     if categorical:
@@ -56,7 +67,7 @@ def candidates(classes: int, seed: int = 42, small: bool = False) -> dict[str, o
         "logistic": LogisticRegression(maxIter=50 if small else 600, **own),
         "tree": DecisionTreeClassifier(maxDepth=6 if small else 14, minInstancesPerNode=2, seed=seed, **own),
         "forest": RandomForestClassifier(numTrees=10 if small else 80, maxDepth=6 if small else 18, minInstancesPerNode=2, seed=seed, cacheNodeIds=True, **own),
-        "boosting": boosted if classes == 2 else OneVsRest(classifier=GBTClassifier(maxIter=10 if small else 80, stepSize=0.08, maxDepth=5, seed=seed, featuresCol="features", labelCol="label"), featuresCol="features", labelCol="label", weightCol="weight"),
+        "boosting": boosted if classes == 2 else OneVsRest(classifier=GBTClassifier(maxIter=10 if small else 80, stepSize=0.08, maxDepth=5, seed=seed, featuresCol="features", labelCol="label"), featuresCol="features", labelCol="label", weightCol="weight", parallelism=classes),
     }
 
 
@@ -96,22 +107,125 @@ class Prepared:
     stages: list
     labels: list[str]
     rows: DataFrame
+    #: How many cells (label, weight, n, x) rows are, where x are the features as an array and n how many rows it stands for; 0 where they are no cells.
+    cells: int = 0
 
 
-def prepare(df: DataFrame, target: str, numeric: list[str], categorical: list[str], scale: bool) -> Prepared:
-    """df as models take it; its classes weigh alike. Labels and weights are found once, not in every pass of a fit."""
+def bin_edges(df: DataFrame, numeric: list[str]) -> list[list[float]]:
+    """For each number the edges of BINS bins at most, of all rows: between any two of its values where they are few."""
+    out = []
+    for values in df.approxQuantile(numeric, [i / GRID for i in range(GRID + 1)], 1 / (4 * GRID)):
+        own = np.unique(values)
+        if len(own) > BINS:
+            own = np.unique(values[:: GRID // BINS][:-1])
+        out.append([float(x) for x in (own[1:] + own[:-1]) / 2] or [0.0])
+    return out
+
+
+def prepare_cells(weighted: DataFrame, labels: list[str], numeric: list[str], categorical: list[str]) -> Prepared:
+    """Rows that agree in their label, in the bins of their numbers and in their categories as one, with their number.
+
+    A tree sees of a number only its bin, so fits on cells are those on rows. There are as many cells as
+    combinations of bins and categories, whatever the number of rows.
+    """
+    fitted = Pipeline(stages=preprocessing(numeric, categorical, False, bin_edges(weighted, numeric))).fit(weighted)
+    (imputer, bins), rest = fitted.stages[:2], PipelineModel(fitted.stages[2:])
+    keys = ["label", "weight", *categorical, *[f"{c}__b" for c in numeric]]
+    grouped = bins.transform(imputer.transform(weighted)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    cells = rest.transform(grouped).select("label", "weight", "n", vector_to_array("features").alias("x"))
+    cells = staged(cells, "cells")
+    return Prepared(fitted.stages, labels, cells, cells.count())
+
+
+def prepare(df: DataFrame, target: str, numeric: list[str], categorical: list[str], scale: bool, cells_from: int | None = None) -> Prepared:
+    """df as models take it; its classes weigh alike. Labels and weights are found once, not in every pass of a fit.
+
+    For trees, from `cells_from` rows on, rows that are the same to them are one cell if this makes them much fewer.
+    """
     sizes = dict(tuple(r) for r in df.groupBy(target).agg(F.count(F.lit(1))).collect())  # a handful of classes
     labels = sorted(sizes)
     index = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(target)) - 1
     weights = F.array(*[F.lit(sum(sizes.values()) / (len(labels) * sizes[x])) for x in labels])
     weighted = filled(df, categorical).withColumn("label", index.cast("double")).withColumn("weight", F.get(weights, index.cast("int")))
+    n = sum(sizes.values())
+    if cells_from is not None and not scale and numeric and n >= cells_from:
+        cells = prepare_cells(weighted, labels, numeric, categorical)
+        if cells.cells * ROWS_A_CELL <= n:
+            return cells
     fitted = Pipeline(stages=preprocessing(numeric, categorical, scale)).fit(weighted)
     return Prepared(fitted.stages, labels, fitted.transform(weighted).select("label", "weight", "features"))
 
 
+def _instances(cells: DataFrame, labels: list[str]) -> DataFrame:
+    """Cells (label, weight, x) as models take them; their classes are all `labels`, whichever of them they have."""
+    named = F.col("label").alias("label", metadata={"ml_attr": {"type": "nominal", "name": "label", "vals": labels}})
+    return cells.select(named, "weight", array_to_vector("x").alias("features"))
+
+
+def _drawn(least: int, seed: int | None = None):
+    """Cells to instances (label, weight, x) of all their rows, or of a bootstrap sample of them: a row is drawn as often as
+    Poisson's distribution of mean 1 says, so the n rows of a cell together by that of mean n. A cell is as many
+    instances as it has rows, `least` at most, so that a least number for a leaf holds for rows."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng([seed or 0, TaskContext.get().partitionId()])
+        for cells in it:
+            n = cells.column("n").to_numpy()
+            n = n if seed is None else rng.poisson(n)
+            at = np.repeat(np.arange(len(n)), np.minimum(n, least))
+            own = cells.take(pa.array(at))
+            weight = own.column("weight").to_numpy() * n[at] / np.minimum(n[at], least)
+            yield pa.RecordBatch.from_arrays([own.column("label"), pa.array(weight), own.column("x")], ["label", "weight", "x"])
+
+    return run
+
+
+def _instances_drawn(prepared: Prepared, least: int, in_task: int, seed: int | None = None) -> DataFrame:
+    cells = prepared.rows.coalesce(-(-prepared.cells // in_task))
+    return _instances(cells.mapInArrow(_drawn(least, seed), "label double, weight double, x array<double>"), prepared.labels)
+
+
+def fit_forest(prepared: Prepared, model: RandomForestClassifier) -> RandomForestClassificationModel:
+    """A forest on cells: each tree on its own bootstrap sample of the rows that they stand for."""
+    trees = model.getNumTrees()
+    strategy = model.getFeatureSubsetStrategy()
+    if strategy == "auto":  # as for a forest of so many trees
+        strategy = "sqrt" if trees > 1 else "all"
+    single = model.copy({model.numTrees: 1, model.featureSubsetStrategy: strategy, model.bootstrap: False, model.cacheNodeIds: False})
+    seeds = random.Random(model.getSeed()).sample(range(1, 1 << 31), trees)
+
+    def tree(seed):
+        rows = _instances_drawn(prepared, model.getMinInstancesPerNode(), TREE_CELLS, seed if model.getBootstrap() else None).persist()
+        try:
+            return single.copy({single.seed: seed}).fit(rows)
+        finally:
+            rows.unpersist()
+
+    spark = prepared.rows.sparkSession
+    with ThreadPool(min(TREES_AT_ONCE, trees)) as pool:
+        fits = pool.map(inheritable_thread_target(spark)(tree), seeds, chunksize=1)
+    gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm.org.apache.spark.ml.classification
+    own = gateway.new_array(jvm.DecisionTreeClassificationModel, trees)
+    for i, f in enumerate(fits):
+        own[i] = f._java_obj.trees()[0]
+    return model._copyValues(RandomForestClassificationModel(jvm.RandomForestClassificationModel(model.uid, own, fits[0].numFeatures, fits[0].numClasses)))
+
+
+def _fit_cells(prepared: Prepared, model):
+    if isinstance(model, RandomForestClassifier):
+        return fit_forest(prepared, model)
+    tree = model.getClassifier() if isinstance(model, OneVsRest) else model
+    rows = _instances_drawn(prepared, tree.getMinInstancesPerNode(), FIT_CELLS).persist()
+    try:
+        return model.fit(rows)
+    finally:
+        rows.unpersist()
+
+
 def fit_prepared(prepared: Prepared, model) -> Fitted:
     """`model` on prepared rows."""
-    fitted, labels = PipelineModel([*prepared.stages, model.fit(prepared.rows)]), prepared.labels
+    own = _fit_cells(prepared, model) if prepared.cells else model.fit(prepared.rows)
+    fitted, labels = PipelineModel([*prepared.stages, own]), prepared.labels
     # One against the rest has margins only.
     return Fitted(fitted, labels, "rawPrediction" if isinstance(model, OneVsRest) else "probability", *(((1.0,) * len(labels), (0.0,) * len(labels)) if isinstance(model, OneVsRest) else ()))
 

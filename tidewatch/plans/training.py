@@ -129,6 +129,8 @@ def _evaluated(scored, truth, label, model):
 
 #: Fits of `_compare` that run beside each other; a boosted model is hundreds of short jobs.
 AT_ONCE = 4
+#: Training rows from which trees are fitted on cells of rows that are the same to them.
+CELLS_FROM = 1_000_000
 
 def _compare(spark, d, target, rows, seeds=(42,)):
     """Each candidate of each seed on the validation rows. Rows are prepared once for all of them, and a model that
@@ -138,7 +140,7 @@ def _compare(spark, d, target, rows, seeds=(42,)):
     train, validation = _part(df, "train"), _part(df, "validation")
 
     def prepared(scale):
-        p = TR.prepare(train, target, NUMERIC, CATEGORICAL, scale)
+        p = TR.prepare(train, target, NUMERIC, CATEGORICAL, scale, CELLS_FROM)
         return replace(p, rows=scratch.staged(p.rows, "features"))
 
     plain, scaled = prepared(False), prepared(True)
